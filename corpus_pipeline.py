@@ -1,13 +1,54 @@
-"""The corpus pipeline; its stages are added below as their operators come."""
+"""A corpus pipeline of five operators: language ID, exact dedup, n-gram join, mixing, piece encoding.
+
+Each stage works on all rows that the one before it kept, and all but the last return the columns of ``documents``.
+Rows that share a doc_id but not a text are told apart by the exact dedup; the two stages after it decide by doc_id, so
+such rows stay, go or repeat together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folkmoot.llm import exact_dedup, lang_id, mixing, ngram_join, piece_sampling
 from folkmoot.llm._common import stored, table
+from folkmoot.llm.queries import PIECE_MODEL, tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a model trained on the labelled ones is sure of."""
+    model = lang_id.fit(docs)
+    told = lang_id.identify(F.col("text"), model)
+    return docs.filter(~told["rejected"])
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the one with the smallest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity of 0.8 or more, the one with the smallest doc_id."""
+    classes = stored(ngram_join.ngram_join(docs), "classes")
+    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("times"))
+    ids = docs.withColumn("id_or_none", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    taken = taken.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_or_none"), "times")
+    return ids.join(taken, "id_or_none").withColumn("nth", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document: doc_id, piece_ids, n_pieces, ids_crc32, lossless."""
+    return piece_sampling.encode_pieces(docs, tokenizer_path(PIECE_MODEL))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("language", language), ("copies", copies), ("near_copies", near_copies), ("mixture", mixture), ("pieces", pieces)]
+ORACLE_SQL = None  # trained models and sampling stand between the tables and the rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

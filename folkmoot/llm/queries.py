@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folkmoot.llm import chat_format, exact_dedup, mixing, token_store
+from folkmoot.llm import ann_forest, chat_format, exact_dedup, html_main_text, lang_id, mixing, ngram_join, piece_sampling, quality_rank, token_store
 from folkmoot.llm._common import scratch, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +33,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.parse(spark.read.parquet(path)))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -49,10 +55,48 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def fold_of(doc_id: Column, folds: int) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = quality_rank.fit(docs, table(spark, sf_dir, "labels"), ~held_out, at_cut=0.3)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_rank.quality(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = lang_id.fit(docs.filter(~held_out))
+    told = docs.select("doc_id", held_out.alias("held_out"), lang_id.identify(F.col("text"), model).alias("told"))
+    return told.select("doc_id", "held_out", "told.lang_pred", "told.score", "told.rejected")
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_chat_format": op2_chat_format,
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_piece_sampling": op6_piece_sampling,
+    "op7_html_main_text": op7_html_main_text,
+    "op8_quality_rank": op8_quality_rank,
+    "op9_lang_id": op9_lang_id,
+    "op10_nearest": op10_nearest,
 }
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}

@@ -26,7 +26,7 @@ MAGIC = b"DAC1"
 RANK_EVERY = 512  # bits of a bitmap to an entry of its rank directory
 SHARD_SCHEMA = "part int, seq int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, code binary"
 ENCODE_SLICE = 1024  # words handed to the tokenizer at once
-CACHED_WORDS = 500_000  # words to a generation of a worker's cache; it has two
+CACHED_WORDS = 200_000  # words to a generation of a worker's cache; it has two
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
