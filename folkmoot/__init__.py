@@ -1,0 +1 @@
+"""Analytics over the records of deliberative bodies, on Spark."""
