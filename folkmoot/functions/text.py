@@ -92,7 +92,7 @@ def cited_decisions(c: Column) -> Column:
 
 
 def draft_ordinals(c: Column) -> Column:
-    """C4."""
+    """C4. Alternatives of the pattern are tried in order, so ``IV`` reads ``I`` and ``VI`` reads ``V``."""
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ORDINAL), F.lit(1)), F.upper))
 
 

@@ -346,3 +346,617 @@ def i2(s, d):
 def i3(s, d):
     e = b.table(s, d, "embeddings")
     return vectors.semantic_search_batch(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "vec_id", "embedding")
+
+
+# ---- scalar projections (2.B)
+
+
+@query("b_symbols", f"""SELECT id, upper(replace(replace(replace(trim(lower(symbol)), '_', '/'), '/ ', '/'), ' .', '.')) AS etl, upper(replace(replace(symbol, '\\', '/'), '_', '/')) AS ui,
+ session_part AS session, CAST(session_part AS VARCHAR) AS between, CAST(regexp_extract(symbol, '/C\\.(\\d+)/', 1) AS INTEGER) AS committee, CAST(split_part(symbol, 'L.', 2) AS INTEGER) AS number, symbol AS base,
+ replace(symbol, '/', '_') AS file_name, contains(symbol, '/') AS looks, 'https://docs.un.org/en/' || symbol AS url, CASE WHEN contains(symbol, '/L.') THEN 'draft' ELSE 'forwards' END AS mode
+ FROM (SELECT *, CAST(NULLIF(regexp_extract(symbol, '/(\\d+)/', 1), '') AS INTEGER) AS session_part FROM {DOCS})""")
+def b_symbols(s, d):
+    v = F.col("symbol")
+    return b.documents(s, d).select(
+        "id", c.normalize_symbol(F.lower(v)).alias("etl"), F.upper(c.normalize_symbol(v, "ui")).alias("ui"), c.session_of(v).alias("session"), c.session_between_slashes(v).alias("between"), c.committee_no(v).alias("committee"),
+        c.draft_parts(v)["number"].alias("number"), c.version_parts(v)["base"].alias("base"), c.symbol_filename(v).alias("file_name"), c.looks_like_symbol(v).alias("looks"), c.access_url(v).alias("url"), trajectories.trace_mode(v).alias("mode"),
+    )
+
+
+@query("b_text_stats", """SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word_count, len(string_split(text, chr(10))) AS line_count, contains(lower(text), 'annex') AS has_annex,
+ trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS collapsed, CASE WHEN length(text) > 600 THEN left(text, 600) || '...' ELSE text END AS dots,
+ CASE WHEN length(text) > 2000 THEN left(text, 1500) || '... [truncated] ...' || right(text, 500) ELSE text END AS middle, trim(split_part(text, ':', 1), ' ') AS title FROM documents""")
+def b_text_stats(s, d):
+    t = F.col("text")
+    return b.table(s, d, "documents").select("doc_id", c.text_stats(t).alias("x"), F.trim(c.collapse_ws(t)).alias("collapsed"), c.preview(t, 600, "dots").alias("dots"), c.preview(t, 0, "middle").alias("middle"), c.clean_title(t).alias("title")).select("doc_id", "x.*", "collapsed", "dots", "middle", "title")
+
+
+MONTH = "strftime(o_orderdate, '%B')"
+
+
+@query("b_dates", f"""SELECT o_orderkey, CASE WHEN {MONTH} = 'May' THEN CAST(o_orderdate AS DATE) WHEN month(o_orderdate) = 9 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS library_date, CAST(o_orderdate AS DATE) AS long_date, CAST(o_orderdate AS DATE) AS meeting_date FROM orders""")
+def b_dates(s, d):
+    o = b.table(s, d, "orders")
+    day = F.dayofmonth("o_orderdate").cast("string")
+    short = F.when(F.month("o_orderdate") == 9, "Sept").otherwise(F.date_format("o_orderdate", "MMM"))
+    library = F.concat(F.lit("[New York] : UN, "), day, F.lit(" "), short, F.lit(". "), F.year("o_orderdate").cast("string"))
+    long = F.concat(F.lit("[Place] : UN, "), day, F.lit(" "), F.date_format("o_orderdate", "MMMM yyyy"))
+    meeting = F.concat(F.lit("Tuesday, "), day, F.lit(" "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(", 10 a.m."))
+    return o.select("o_orderkey", c.parse_un_date(library).alias("library_date"), c.parse_un_date(long).alias("long_date"), c.parse_meeting_date(meeting).alias("meeting_date"))
+
+
+@query("b_vote_summaries", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'without_vote' ELSE 'recorded_vote' END AS vote_type, CASE WHEN l_returnflag <> 'N' THEN CAST(l_partkey AS INTEGER) END AS yes,
+ CASE WHEN l_returnflag <> 'N' THEN CAST(l_suppkey AS INTEGER) END AS no, CASE WHEN l_returnflag <> 'N' THEN CAST(l_linenumber AS INTEGER) END AS abstain, CAST(l_suppkey AS VARCHAR) || 'th plenary meeting' AS meeting,
+ CASE WHEN l_returnflag = 'N' THEN 'rejected' WHEN l_partkey > l_suppkey THEN 'adopted' ELSE 'rejected' END AS outcome FROM lineitem""")
+def b_vote_summaries(s, d):
+    v = b.table(s, d, "lineitem")
+    said = F.when(F.col("l_returnflag") == "N", "Adopted without vote").otherwise(F.format_string("Adopted %d-%d-%d", "l_partkey", "l_suppkey", "l_linenumber"))
+    parsed = c.parse_vote_summary(F.concat(said, F.lit(", "), F.col("l_suppkey").cast("string"), F.lit("nd plenary meeting")))
+    rows = v.select("l_orderkey", "l_linenumber", parsed.alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+    return rows.withColumn("outcome", c.final_outcome(F.col("yes"), F.col("no"), F.lit(True)))
+
+
+@query("b_agenda_refs", """SELECT p_partkey, 'A/78/251_item_' || CAST(p_size AS VARCHAR) || CASE p_partkey % 3 WHEN 2 THEN 'i' ELSE '' END AS id, 'A/78/251' AS agenda_symbol, CAST(p_size AS INTEGER) AS item_number,
+ CASE WHEN p_partkey % 3 = 2 THEN 'i' END AS sub_item, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE p_name || '. ' || p_type END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS subjects FROM part""")
+def b_agenda_refs(s, d):
+    p = b.table(s, d, "part")
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    item = F.when(k == 0, size).when(k == 1, F.concat(F.lit("["), size, F.lit("]"))).otherwise(F.concat(size, F.lit("i")))
+    ref = F.concat(F.lit("A/78/251 "), item, F.lit(" "), "p_name", F.lit(". "), "p_type")
+    return p.select("p_partkey", c.parse_agenda_ref(ref).alias("a")).select("p_partkey", "a.*")
+
+
+@query("b_speakers", """SELECT s_suppkey, 'Mr. ' || s_name || ' (' || n_name || ')' AS raw, n_name AS affiliation, CAST(NULL AS VARCHAR) AS role, 'Mr.' AS honorific, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def b_speakers(s, d):
+    v = b.table(s, d, "supplier").join(b.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return v.select("s_suppkey", c.parse_speaker(F.concat(F.lit("Mr.  "), "s_name", F.lit("  ("), "n_name", F.lit(")"))).alias("p")).select("s_suppkey", "p.*")
+
+
+@query("b_kinds_and_buckets", f"""SELECT n.id, e.relationship_type, {BUCKET} AS bucket, CASE WHEN doc_type = 'meeting' THEN 'meetings' WHEN doc_type = 'draft' THEN 'drafts' ELSE 'other' END AS path_kind, coalesce(title, 'x') AS title FROM {EDGES} e JOIN {NODES} n ON e.source_id = n.id""")
+def b_kinds(s, d):
+    rows = b.edges(s, d).join(b.nodes(s, d), F.col("source_id") == F.col("id"))
+    path = F.concat(F.lit("data/"), F.when(F.col("doc_type") == "meeting", "meetings").when(F.col("doc_type") == "draft", "drafts").otherwise("x"), F.lit("/f.json"))
+    return rows.select("id", "relationship_type", c.relation_bucket(F.col("relationship_type"), F.col("doc_type")).alias("bucket"), c.kind_from_path(path).alias("path_kind"), c.json_title(F.col("title"), F.lit('{"metadata": {"title": "x"}}')).alias("title"))
+
+
+@query("b_json_paths", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def b_json(s, d):
+    return b.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# ---- row-expanding text operators (2.C)
+
+
+@query("c1_mentions", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+ m AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS context, unnest(regexp_extract_all(line, '[0-9]{3,}')) AS symbol FROM l)
+ SELECT doc_id, symbol, context, CAST(min(line_no) AS INTEGER) AS line_no FROM m GROUP BY 1, 2, 3""")
+def c1(s, d):
+    return x.mentions(b.table(s, d, "documents"), "doc_id", "text", r"[0-9]{3,}").drop("pos")
+
+
+@query("c2_first_mentions", """WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]*ti[a-z]*')) AS l, regexp_extract_all(text, '[A-Z][a-z]*ti[a-z]*') AS f FROM documents), u AS (SELECT doc_id, unnest(l) AS symbol, f FROM m)
+ SELECT doc_id, symbol, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY list_position(f, symbol)) - 1 AS INTEGER) AS pos FROM u""")
+def c2(s, d):
+    return b.table(s, d, "documents").select("doc_id", F.posexplode(x.first_mentions(F.col("text"), "[A-Z][a-z]*ti[a-z]*")).alias("pos", "symbol"))
+
+
+@query("c4_draft_ordinals", """SELECT p_partkey, 'I,' || CAST(p_size AS VARCHAR) AS ordinals FROM part""")
+def c4(s, d):
+    t = F.concat("p_name", F.lit(" draft resolution IV and Draft Resolution "), F.col("p_size").cast("string"), F.lit(", draft resolution iv"))
+    return b.table(s, d, "part").select("p_partkey", F.array_join(x.draft_ordinals(t), ",").alias("ordinals"))
+
+
+@query("c5_paragraphs", """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT * FROM l WHERE line <> ''),
+ n AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(The|Of|In|La|De|Der|Die|En|Le)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM k)
+ SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, string_agg(line, ' ' ORDER BY pos) AS text FROM n GROUP BY 1, 2""")
+def c5(s, d):
+    return x.paragraphs(b.table(s, d, "documents"), "doc_id", "text", "^(The|Of|In|La|De|Der|Die|En|Le)")
+
+
+@query("c7_vote_lists", """SELECT l_orderkey AS id, CASE l_returnflag WHEN 'A' THEN 'in_favour' WHEN 'R' THEN 'against' ELSE 'abstaining' END AS vote_type, s_name AS state FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey""")
+def c7(s, d):
+    named = b.votes(s, d).select("document_id", "vote_type", "actor_id").distinct().join(b.actors(s, d), F.col("id") == F.col("actor_id"))
+    lists = [F.array_join(F.collect_list(F.when(F.col("vote_type") == k, F.col("name"))), ", ").alias(k) for k in aggregates.KINDS]
+    text = F.concat(F.lit("In favour: "), "in_favour", F.lit(" Against: "), "against", F.lit(" Abstaining: "), "abstaining", F.lit(" Draft resolution I was adopted by 3 votes."))
+    return x.extract_vote_lists(named.groupBy("document_id").agg(*lists).select(F.col("document_id").alias("id"), text.alias("text")), "id", "text")
+
+
+@query("c8_country_lists", """SELECT p_partkey, p_name || ';' || p_type || ';' || p_brand AS names FROM part""")
+def c8(s, d):
+    t = F.concat("p_name", F.lit(", "), "p_type", F.lit(" and "), "p_brand")
+    return b.table(s, d, "part").select("p_partkey", F.array_join(x.country_list(t), ";").alias("names"))
+
+
+@query("c9_strip_page_noise", """SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(html, '(</p>)', '\\1' || chr(10), 'g'), chr(10)), lambda l: NOT regexp_matches(trim(l, ' '), '(?i)please recycle') AND NOT regexp_matches(trim(l, ' '), '^_{10,}$')), chr(10)) AS text FROM pages""")
+def c9(s, d):
+    pages = b.table(s, d, "pages").select("page_id", F.lit(2).alias("page_no"), F.concat(F.regexp_replace("html", "(</p>)", "$1\\\n"), F.lit("\nA/C.3/78/L.41\n23-21227 (E) 131123\n*2321227*\n__________________\nPlease recycle")).alias("html"))
+    return x.strip_page_noise(pages, "page_id", "page_no", "html").drop("page_no")
+
+
+@query("c12_agenda_ranges", """SELECT p_partkey, CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 3 AS VARCHAR) AS label, array_to_string(list_transform(range(p_size, p_size + 4), lambda n: CAST(n AS VARCHAR)), ',') AS numbers FROM part""")
+def c12(s, d):
+    line = F.concat(F.lit("Agenda items "), F.col("p_size").cast("string"), F.lit(" to "), (F.col("p_size") + 3).cast("string"), F.lit(" (continued)"))
+    return b.table(s, d, "part").select("p_partkey", x.expand_agenda_range(line).alias("r")).select("p_partkey", "r.label", F.array_join("r.numbers", ",").alias("numbers"))
+
+
+@query("c16_tag_dictionary", """SELECT DISTINCT p_partkey, t.p_type AS name FROM part JOIN (SELECT DISTINCT p_type FROM part) t ON contains(part.p_name || ' ' || part.p_type, t.p_type)""")
+def c16(s, d):
+    p = b.table(s, d, "part")
+    return x.tag_dictionary(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), "p_partkey", "text", p, "p_type")
+
+
+@query("c18_meeting_transcripts", """SELECT conv_id, string_agg(repeat('=', 80) || chr(10) || role || ' (' || role || '):' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1""")
+def c18(s, d):
+    return x.meeting_transcript(b.utterances(s, d), "conv_id", "position_in_meeting", "speaker_name", "text", "speaker_affiliation")
+
+
+@query("c11_meetings_parsed")
+def c11(s, d):
+    """Transcripts of all conversations, parsed again into speeches."""
+    u = b.utterances(s, d)
+    line = F.concat(F.lit("Mr. "), F.initcap("speaker_name"), F.lit(" ("), "speaker_name", F.lit("): "), F.regexp_replace("text", r"[\n:]", " "))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position_in_meeting", line.alias("t")))), lambda z: z["t"]), "\n")
+    docs = u.groupBy("meeting_id").agg(F.concat(F.lit("Preface\nAgenda item 7 (continued)\nA title\n"), body).alias("text"))
+    _, said = x.parse_meetings(docs, "meeting_id", "text")
+    return said.select("id", "meeting_id", "position_in_section", "speaker.name", "speaker.affiliation", "word_count")
+
+
+# ---- ordered sequences (2.D)
+
+
+@query("d1_positions", f"""SELECT id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY section_id, position_in_meeting) AS INTEGER) AS position_in_meeting, CAST(row_number() OVER (PARTITION BY meeting_id, section_id ORDER BY position_in_meeting) AS INTEGER) AS position_in_section FROM {UTTERANCES} QUALIFY trim(coalesce(text, '')) <> ''""")
+def d1(s, d):
+    return sequences.with_positions(b.utterances(s, d).withColumnRenamed("position_in_meeting", "turn"), "meeting_id", "section_id", "turn").select("id", "position_in_meeting", "position_in_section")
+
+
+@query("d2_carry_forward", f"""SELECT event_id, last_value(CASE WHEN stage = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY trajectory_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS active FROM {STEPS}""")
+def d2(s, d):
+    e = b.steps(s, d)
+    return sequences.carry_forward(e, ["trajectory_id"], ["ts", "event_id"], F.when(F.col("stage") == "purchase", F.col("value")), "active").select("event_id", "active")
+
+
+@query("d5_timesteps", f"SELECT event_id, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY ts, event_id) - 1 AS INTEGER) AS t FROM {STEPS}")
+def d5(s, d):
+    return sequences.number_timesteps(b.steps(s, d), "trajectory_id", "ts", "event_id").select("event_id", "t")
+
+
+def numbered(s, d):
+    return sequences.number_timesteps(b.steps(s, d), "trajectory_id", "ts", "event_id")
+
+
+NUMBERED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY ts, event_id) - 1 AS INTEGER) AS t FROM {STEPS})"
+
+
+@query("d6_first_of_stage", f"SELECT trajectory_id, stage, arg_min(event_id, t) AS event_id FROM {NUMBERED} GROUP BY 1, 2")
+def d6(s, d):
+    return sequences.first_of_stage(numbered(s, d), "trajectory_id", "stage", "event_id")
+
+
+@query("d6_last_of_stage", f"SELECT trajectory_id, stage, arg_max(event_id, t) AS event_id FROM {NUMBERED} GROUP BY 1, 2")
+def d6b(s, d):
+    return sequences.last_of_stage(numbered(s, d), "trajectory_id", "stage", "event_id")
+
+
+@query("d7_transitions", f"SELECT event_id, stage, next_stage, next_value FROM (SELECT event_id, stage, lead(stage) OVER w AS next_stage, lead(value) OVER w AS next_value, lead(1) OVER w AS more FROM {STEPS} WINDOW w AS (PARTITION BY trajectory_id ORDER BY ts, event_id)) WHERE more = 1")
+def d7(s, d):
+    return sequences.transitions(b.steps(s, d), "trajectory_id", ["stage", "value"], ["ts", "event_id"]).select("event_id", "stage", "next_stage", "next_value")
+
+
+@query("d8_timeline", f"SELECT id, CAST(row_number() OVER (PARTITION BY custkey ORDER BY CASE WHEN month(date) = 9 THEN NULL ELSE date END NULLS LAST, id) AS INTEGER) AS place FROM {DOCS}")
+def d8(s, d):
+    docs = b.documents(s, d).withColumnRenamed("custkey", "trajectory_id")
+    raw = F.when(F.month("date") == 9, "8 Sept. 2023").otherwise(F.date_format("date", "d MMMM yyyy"))
+    return sequences.timeline(docs, c.parse_un_date(raw), "id").select("id", "place")
+
+
+@query("d9_preview_sample", f"""SELECT event_id, place FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY ts, event_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY trajectory_id) AS n FROM {STEPS})
+ WHERE n <= 50 OR place <= 10 OR place > n - 5 OR place BETWEEN n // 2 - 1 AND n // 2 + 3""")
+def d9(s, d):
+    return sequences.preview_sample(b.steps(s, d), ["ts", "event_id"], ["trajectory_id"]).select("event_id", "place")
+
+
+@query("d3_contexts")
+def d3(s, d):
+    """Every conversation as a debate that its first speech opens and its fourth closes."""
+    u = b.utterances(s, d)
+    said = F.when(F.col("position_in_meeting") == 0, "I give the floor for an explanation of vote before the vote").when(F.col("position_in_meeting") == 3, "We have heard the last speaker in explanation of vote").otherwise(F.col("text"))
+    who = F.when(F.col("position_in_meeting").isin(0, 3), "The President").otherwise(F.col("speaker_name"))
+    rows = u.withColumns({"speaker_raw": who, "text": said, "draft_mentions": x.draft_ordinals(F.col("text"))})
+    return sequences.tag_contexts(rows, ["meeting_id"], ["position_in_meeting"]).select("id", "eov_section_announcement", "eov_section_closed", "speech_timing", "is_explanation_of_vote", "self_declared_explanation")
+
+
+# ---- table building (2.E). Ids of built rows are hashes, so natural keys are shown.
+
+
+@query("e1_build_actors", "SELECT DISTINCT trim(c_mktsegment) AS name, 'country' AS actor_type FROM customer UNION SELECT DISTINCT p_type, 'country' FROM part")
+def e1(s, d):
+    names = b.table(s, d, "customer").select(F.col("c_mktsegment").alias("name")).unionByName(b.table(s, d, "part").select(F.col("p_type").alias("name")))
+    return tables.build_actors(names, b.actors(s, d)).select("name", "actor_type")
+
+
+@query("e2_build_subjects", "SELECT DISTINCT p_partkey AS document_id, upper(trim(s)) AS name FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS s FROM part) WHERE trim(s) <> ''")
+def e2(s, d):
+    docs = b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("subjects"))
+    subjects, bridge = tables.build_subjects(docs)
+    return bridge.join(subjects, bridge["subject_id"] == subjects["id"]).select("document_id", "name")
+
+
+def halves(s, d):
+    """Documents as two loads: all but meetings with some titles missing, and all but resolutions."""
+    docs = b.documents(s, d).select("id", "symbol", "doc_type", F.when(F.col("id") % 5 != 0, F.col("title")).alias("title"), "date", "session", F.lit(None).cast("string").alias("body_text"), F.lit(None).cast("string").alias("doc_metadata"))
+    other = b.documents(s, d).select("id", "symbol", F.lit("loaded").alias("doc_type"), F.concat(F.lit("new "), "title").alias("title"), "date", "session", F.col("title").alias("body_text"), F.lit(None).cast("string").alias("doc_metadata"))
+    return docs.filter("doc_type <> 'meeting'"), other.filter("session is not null")
+
+
+MERGED = f"""SELECT n.symbol, CASE WHEN o.doc_type = 'resolution' THEN 'resolution' ELSE 'loaded' END AS doc_type, coalesce(o.title, 'new ' || n.title) AS title, n.title AS body_text FROM {DOCS} n LEFT JOIN (SELECT symbol, doc_type, CASE WHEN id % 5 <> 0 THEN title END AS title FROM {DOCS} WHERE doc_type <> 'meeting') o USING (symbol)"""
+
+
+@query("e3_merge_fill", MERGED)
+def e3(s, d):
+    return tables.merge_documents(*halves(s, d), "fill", keep_resolutions=True).select("symbol", "doc_type", "title", "body_text")
+
+
+@query("e3_merge_overwrite", f"SELECT symbol, 'loaded' AS doc_type, 'new ' || title AS title, title AS body_text FROM {DOCS}")
+def e3b(s, d):
+    return tables.merge_documents(*halves(s, d), "overwrite").select("symbol", "doc_type", "title", "body_text")
+
+
+@query("e3_placeholders", "SELECT CAST(l_partkey AS VARCHAR) AS symbol, min(l_linestatus) AS doc_type FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def e3c(s, d):
+    docs = b.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("symbol"))
+    return tables.placeholders(docs, b.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_linestatus").alias("doc_type"))).select("symbol", "doc_type")
+
+
+@query("e4_refresh_body", "WITH b AS (SELECT source, arg_max(text, struct_pack(a := length(text), b := encode(text))) AS new_text FROM documents GROUP BY 1) SELECT doc_id, CASE WHEN length(new_text) > length(coalesce(text, '')) THEN new_text ELSE text END AS body_text FROM documents d LEFT JOIN b ON d.source = b.source")
+def e4(s, d):
+    docs = b.table(s, d, "documents").select("doc_id", F.col("source").alias("symbol"), F.col("text").alias("body_text"))
+    return tables.refresh_body(docs, docs.select("symbol", "body_text")).select("doc_id", "body_text")
+
+
+@query("e5_standalone", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def e5(s, d):
+    return tables.standalone(b.table(s, d, "documents").select("doc_id", "lang"), b.table(s, d, "labels"), "doc_id")
+
+
+@query("e6_build_relationships", """SELECT DISTINCT 'O' || CAST(l_orderkey AS VARCHAR) AS target_id, CASE l_returnflag WHEN 'A' THEN 'S' ELSE 'C' END || CAST(l_suppkey AS VARCHAR) AS source_id, CASE l_returnflag WHEN 'A' THEN 'draft_of' WHEN 'R' THEN 'committee_report_for' ELSE 'meeting_record_for' END AS relationship_type FROM lineitem""")
+def e6(s, d):
+    v = b.table(s, d, "lineitem")
+    ref = lambda flag, p: F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct(F.concat(F.lit(p), F.col("l_suppkey").cast("string")).alias("text"), F.lit(None).cast("string").alias("url"))))
+    records = v.groupBy(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("symbol")).agg(F.struct(ref("A", "s").alias("drafts"), ref("R", "c").alias("committee_reports"), ref("N", "c").alias("meeting_records")).alias("related_documents"))
+    records = records.withColumn("agenda", F.array().cast("array<struct<id:string,agenda_symbol:string>>"))
+    return tables.build_relationships(records, b.nodes(s, d)).select("source_id", "target_id", "relationship_type")
+
+
+@query("e7_votes_from_records", f"SELECT DISTINCT document_id, actor_id, vote_type, 'plenary' AS vote_context FROM {VOTES}")
+def e7(s, d):
+    named = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
+    lists = F.struct(*[F.collect_list(F.when(F.col("vote_type") == k, F.col("name"))).alias(k) for k in aggregates.KINDS])
+    records = named.groupBy("document_id").agg(lists.alias("vote_lists")).join(b.documents(s, d).select(F.col("id").alias("document_id"), "symbol"), "document_id").select("symbol", "vote_lists")
+    return tables.votes_from_records(records, b.documents(s, d), b.actors(s, d)).select("document_id", "actor_id", "vote_type", "vote_context")
+
+
+@query("e8_votes_from_meetings", f"SELECT DISTINCT v.document_id, v.actor_id, v.vote_type FROM {VOTES} v WHERE NOT EXISTS (SELECT 1 FROM {VOTES} o WHERE o.l_linenumber = 1 AND o.actor_id = v.actor_id AND o.vote_type = v.vote_type AND o.document_id = v.document_id)")
+def e8(s, d):
+    v = b.votes(s, d)
+    named = v.join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id").select("name", "vote_type", "document_id", "vote_event_id")
+    return tables.votes_from_meetings(named, b.actors(s, d), v.filter("l_linenumber = 1")).select("document_id", "actor_id", "vote_type")
+
+
+@query("e9_build_vote_events", f"SELECT event_id AS utterance_id, 'O' || CAST(coalesce(d.id, r.id) AS VARCHAR) AS target FROM events e LEFT JOIN {DOCS} d ON e.event_id = d.id AND e.event_id % 2 = 0 LEFT JOIN {DOCS} r ON e.user_id = r.id")
+def e9(s, d):
+    docs = b.documents(s, d)
+    e = b.table(s, d, "events").join(docs.select(F.col("id").alias("event_id"), F.col("symbol").alias("own")), "event_id", "left").join(docs.select(F.col("id").alias("user_id"), F.col("symbol").alias("res")), "user_id", "left")
+    rows = e.select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("utterance_id"), F.lit(78).alias("session"), F.when(F.col("event_id") % 2 == 0, F.lower("own")).alias("draft"), F.col("res").alias("resolution_symbol"), "event_type", F.col("props").alias("description"), F.lit(None).cast("string").alias("result"))
+    return tables.build_vote_events(rows, docs).select("utterance_id", F.concat(F.lit("O"), F.col("target_document_id").cast("string")).alias("target"))
+
+
+@query("e10_build_utterances", f"SELECT meeting_id, position_in_meeting, s_name IS NOT NULL AS has_actor FROM {UTTERANCES} u LEFT JOIN supplier ON s_suppkey = u.position_in_meeting + 1 WHERE trim(coalesce(text, '')) <> ''")
+def e10(s, d):
+    u = b.utterances(s, d).drop("speaker_affiliation", "id").join(b.actors(s, d).select((F.col("id") - 1).alias("position_in_meeting"), F.col("name").alias("speaker_affiliation")), "position_in_meeting", "left")
+    return tables.build_utterances(u, b.actors(s, d)).select("meeting_id", "position_in_meeting", F.col("speaker_actor_id").isNotNull().alias("has_actor"))
+
+
+@query("e11_link_utterances", f"SELECT u.id AS utterance_id, d.id AS document_id, CASE WHEN d.id % 2 = 0 OR u.position_in_meeting % 2 = 0 THEN 'mentioned' ELSE 'voting_on' END AS reference_type FROM {UTTERANCES} u JOIN {DOCS} d ON u.conv_id = d.custkey")
+def e11(s, d):
+    pairs = b.utterances(s, d).join(b.documents(s, d).select("symbol", F.col("id").alias("doc"), F.col("custkey").alias("conv_id")), "conv_id")
+    said = (F.col("doc") % 2 == 0) | (F.col("position_in_meeting") % 2 == 0)
+    ref = F.struct(F.when(F.col("doc") % 3 == 0, "").otherwise(F.lower("symbol")).alias("symbol"), F.concat(F.lit("on "), "symbol", F.lit(" now")).alias("context"))
+    u = pairs.groupBy("id").agg(F.collect_list(F.when(said, ref)).alias("documents"), F.collect_list("symbol").alias("voting_on"))
+    return tables.link_utterances(u, b.documents(s, d)).select("utterance_id", "document_id", "reference_type")
+
+
+@query("e12_meeting_edges", f"SELECT DISTINCT u.meeting_id AS source_id, l.document_id AS target_id, 'meeting_record_for' AS relationship_type FROM {LINKS} l JOIN {UTTERANCES} u ON u.id = l.utterance_id JOIN {DOCS} d ON d.id = l.document_id WHERE d.doc_type IN ('resolution', 'draft')")
+def e12(s, d):
+    return tables.meeting_edges(b.links(s, d), b.utterances(s, d), b.documents(s, d))
+
+
+@query("e13_build_sponsorships", f"SELECT document_id, actor_id, CASE WHEN max(CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END) = 1 THEN 'initial' ELSE 'additional' END AS sponsorship_type FROM {VOTES} GROUP BY 1, 2")
+def e13(s, d):
+    named = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
+    early = F.col("l_linenumber") <= 2
+    docs = named.groupBy(F.col("document_id").alias("id")).agg(F.collect_list(F.when(early, F.col("name"))).alias("authors"), F.concat(F.lit("Additional sponsors: "), F.array_join(F.collect_list(F.when(~early, F.col("name"))), ", "), F.lit(" (A/78/1)")).alias("notes"))
+    return tables.build_sponsorships(docs, b.actors(s, d))
+
+
+@query("e14_upsert_utterances", f"SELECT meeting_id, position_in_meeting, CASE WHEN position_in_meeting % 2 = 0 THEN text ELSE 'new ' || text END AS text FROM {UTTERANCES}")
+def e14(s, d):
+    u = b.utterances(s, d).select("meeting_id", "position_in_meeting", "text")
+    return tables.upsert_utterances(u.filter("position_in_meeting % 2 = 0"), u.withColumn("text", F.concat(F.lit("new "), "text")))
+
+
+@query("e15_purge_documents", f"SELECT count(*) AS documents, (SELECT count(*) FROM {VOTES} v JOIN {DOCS} x ON v.document_id = x.id WHERE x.doc_type <> 'meeting') AS votes FROM {DOCS} WHERE doc_type <> 'meeting'")
+def e15(s, d):
+    docs = b.documents(s, d)
+    out = tables.purge_documents({"documents": docs, "votes": b.votes(s, d)}, docs.filter("doc_type = 'meeting'"))
+    return out["documents"].agg(F.count(F.lit(1)).alias("documents")).crossJoin(out["votes"].agg(F.count(F.lit(1)).alias("votes")))
+
+
+@query("e16_load_stats", "SELECT CASE WHEN quality = 0 THEN 'errors' WHEN l.doc_id IS NULL THEN 'skipped' ELSE 'loaded' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def e16(s, d):
+    rows = b.table(s, d, "documents").join(b.table(s, d, "labels").select(F.col("doc_id").alias("k"), "quality"), F.col("doc_id") == F.col("k"), "left")
+    return tables.load_stats(rows.select(F.when(F.col("quality") == 0, "x").alias("_corrupt"), F.col("k").cast("string").alias("symbol")))
+
+
+# ---- scans (2.A)
+
+
+@query("a2_document_index", """WITH r AS (SELECT o_custkey, 'root/c' || CAST(o_custkey AS VARCHAR) || '_' || o_orderpriority || '.html' AS path, o_orderkey FROM orders)
+ SELECT upper('c' || CAST(o_custkey AS VARCHAR)) AS symbol_norm, max(path) AS path FROM r GROUP BY 1""")
+def a2(s, d):
+    o = b.table(s, d, "orders")
+    records = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("symbol"), F.concat(F.lit("root/c"), F.col("o_custkey").cast("string"), F.lit("_"), "o_orderpriority", F.lit(".html")).alias("path"), F.lit("resolutions").alias("kind"), F.lit(0).alias("root"))
+    return trajectories.document_index(records).select("symbol_norm", "path")
+
+
+@query("a5_page_links", """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="[^"]*"[^>]*>[^<]*</a>') AS l FROM pages), u AS (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos FROM a)
+ SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(a, '>([^<]*)</a>', 1) AS text, 'https://library.example.org' || regexp_extract(a, 'href="([^"]*)"', 1) AS url FROM u""")
+def a5(s, d):
+    return readers.page_links(b.table(s, d, "pages"), "https://library.example.org")
+
+
+@query("a5_page_titles", "SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title FROM pages")
+def a5b(s, d):
+    return readers.page_metadata(b.table(s, d, "pages")).select("page_id", "title")
+
+
+@query("a10_mermaid_lines", f"""SELECT '    ' || source_id || ' -->|' || relationship_type || '| ' || target_id AS line FROM {EDGES} UNION ALL SELECT '    ' || id || '["' || replace(coalesce(title, id), '"', '''') || '"]' FROM {NODES} UNION ALL SELECT 'graph LR'""")
+def a10(s, d):
+    e = b.edges(s, d).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relationship_type").alias("relation"))
+    return writers.graph_mermaid_lines(b.nodes(s, d), e).select("line")
+
+
+# ---- genealogies, trajectories, quality, episodes (2.J)
+
+
+def order_records(s, d):
+    """Orders as records: their lines as references, their priority as agenda item."""
+    v = b.table(s, d, "lineitem")
+    ref = lambda flag, p: F.collect_set(F.when(F.col("l_returnflag") == flag, F.struct(F.concat(F.lit(p), F.col("l_suppkey").cast("string")).alias("text"), F.concat(F.lit("https://library.example.org/record/"), F.col("l_suppkey").cast("string")).alias("url"))))
+    refs = v.groupBy(F.col("l_orderkey").alias("id")).agg(F.struct(ref("A", "S").alias("drafts"), ref("R", "S").alias("committee_reports"), ref("N", "X").alias("meeting_records")).alias("related_documents"))
+    docs = b.documents(s, d).withColumn("kind", F.when(F.col("doc_type") == "resolution", "resolutions").when(F.col("doc_type") == "draft", "drafts").otherwise("committee-reports"))
+    number = F.left("title", F.lit(1)).cast("int")
+    return docs.join(refs, "id").withColumn("agenda", F.array(F.struct(F.lit("A/78/251").alias("agenda_symbol"), number.alias("item_number"), F.lit(None).cast("string").alias("sub_item"))))
+
+
+def supplier_index(s, d):
+    return b.table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol_norm"), F.lit("p").alias("path"))
+
+
+REFS = f"(SELECT DISTINCT d.symbol, CASE l_returnflag WHEN 'A' THEN 'draft' WHEN 'R' THEN 'committee_report' ELSE 'meeting' END AS type, CASE l_returnflag WHEN 'N' THEN 'X' ELSE 'S' END || CAST(l_suppkey AS VARCHAR) AS ref_symbol, l_returnflag <> 'N' AS found FROM lineitem JOIN {DOCS} d ON l_orderkey = d.id UNION ALL SELECT symbol, 'agenda_item', 'A/78/251', false FROM {DOCS} WHERE id IN (SELECT l_orderkey FROM lineitem))"
+
+
+@query("j1_trace_backwards", f"SELECT symbol, type, ref_symbol, found FROM {REFS}")
+def j1(s, d):
+    return trajectories.trace_backwards(order_records(s, d), supplier_index(s, d)).select("symbol", "type", "ref_symbol", "found")
+
+
+@query("j3_trace_forwards", f"SELECT DISTINCT left(title, 1) AS label, symbol FROM {DOCS} WHERE id IN (SELECT l_orderkey FROM lineitem)")
+def j3(s, d):
+    targets = b.documents(s, d).select(F.lit("a/78/251").alias("agenda_symbol"), F.left("title", F.lit(1)).alias("label")).distinct()
+    return trajectories.trace_forwards(order_records(s, d), targets).select("label", "symbol")
+
+
+@query("j6_graph_nodes", f"SELECT id, bool_and(found) AS found FROM (SELECT DISTINCT symbol AS id, true AS found FROM {REFS} UNION ALL SELECT ref_symbol, found FROM {REFS}) GROUP BY 1")
+def j6(s, d):
+    r = order_records(s, d)
+    nodes, _ = trajectories.genealogy_graph(trajectories.trace_backwards(r, supplier_index(s, d)), r)
+    return nodes.select("id", "found")
+
+
+@query("j10_country_actions", f"SELECT document_id AS trajectory_id, name AS country, 'voted_' || vote_type AS action FROM {VOTES} v JOIN {ACTORS} a ON a.id = v.actor_id UNION ALL SELECT id, doc_type, 'submit_draft' FROM {DOCS} UNION ALL SELECT id, doc_type, 'co_sponsor' FROM {DOCS} UNION ALL SELECT id, title, 'co_sponsor' FROM {DOCS}")
+def j10(s, d):
+    v = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), F.col("name").alias("country")), "actor_id").select(F.col("document_id").alias("trajectory_id"), F.lit(0).alias("t"), "country", "vote_type")
+    sponsors = b.documents(s, d).select(F.col("id").alias("trajectory_id"), F.lit(0).alias("t"), F.array("doc_type", "title").alias("sponsors"))
+    return trajectories.country_actions(v, sponsors).drop("t")
+
+
+@query("j11_vote_shift", f"""WITH f AS (SELECT trajectory_id, arg_max(struct_pack(y := yes, n := no, a := abstain), t) FILTER (stage = 'view') AS a, arg_max(struct_pack(y := yes, n := no, a := abstain), t) FILTER (stage = 'purchase') AS b FROM {NUMBERED} GROUP BY 1)
+ SELECT trajectory_id, b.y - a.y AS yes_shift, b.n - a.n AS no_shift, b.a - a.a AS abstain_shift FROM f WHERE a IS NOT NULL AND b IS NOT NULL""")
+def j11(s, d):
+    return trajectories.vote_shift(numbered(s, d), first="view", last="purchase")
+
+
+@query("j12_availability", f"SELECT event_id, value IS NOT NULL AS has_value, props IS NOT NULL AS has_props FROM {STEPS}")
+def j12(s, d):
+    return trajectories.availability(b.steps(s, d), "event_id", "value", "props")
+
+
+@query("j13_trajectory_qa", f"SELECT symbol, type, count(*) AS expected, count(*) FILTER (found) AS found, coalesce(string_agg(CASE WHEN NOT found THEN ref_symbol END, ',' ORDER BY ref_symbol), '') AS missing, CASE WHEN bool_and(found) THEN 'complete' ELSE 'incomplete' END AS status FROM {REFS} GROUP BY 1, 2")
+def j13(s, d):
+    return trajectories.trajectory_qa(order_records(s, d), supplier_index(s, d)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("j13_labelled_qa", "SELECT lang, source, count(*) AS expected, count(l.doc_id) AS found, count(*) = count(l.doc_id) AS complete FROM (SELECT DISTINCT lang, source, doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1, 2")
+def j13b(s, d):
+    qa = trajectories.reference_qa(b.table(s, d, "documents"), b.table(s, d, "labels"), "lang", "source", "doc_id")
+    return qa.select("lang", "source", "expected", "found", (F.col("status") == "complete").alias("complete"))
+
+
+@query("j14_qa_summary", f"WITH q AS (SELECT symbol, bool_and(found) AS complete, count(*) AS e, count(*) FILTER (found) AS f FROM {REFS} WHERE type <> 'agenda_item' GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (complete) AS complete, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(f) AS BIGINT) AS found, round(count(*) FILTER (complete) / count(*), 4) AS rate, count(*) FILTER (complete) / count(*) >= 0.9 AS accepted FROM q")
+def j14(s, d):
+    qa = trajectories.trajectory_qa(order_records(s, d), supplier_index(s, d)).filter("type <> 'agenda_item'")
+    return trajectories.qa_summary(qa, "symbol")
+
+
+@query("j15_missing_with_url", f"SELECT ref_symbol AS symbol, type, CASE WHEN type = 'agenda_item' THEN 'https://docs.un.org/en/A/78/251' ELSE 'https://library.example.org/record/' || replace(ref_symbol, 'X', '') END AS url, CASE WHEN type <> 'agenda_item' THEN replace(ref_symbol, 'X', '') END AS record_id FROM (SELECT DISTINCT ref_symbol, type FROM {REFS} WHERE NOT found)")
+def j15(s, d):
+    r = order_records(s, d)
+    return trajectories.missing_with_url(trajectories.trajectory_qa(r, supplier_index(s, d)), trajectories.references(r))
+
+
+@query("j16_sample")
+def j16(s, d):
+    return trajectories.sample_rows(b.documents(s, d), "symbol", 20).select("symbol")
+
+
+TALLIED = f"(SELECT document_id, list(DISTINCT actor_id) FILTER (vote_type = 'in_favour') AS y, list(DISTINCT actor_id) FILTER (vote_type = 'against') AS n, list(DISTINCT actor_id) FILTER (vote_type = 'abstaining') AS a FROM {VOTES} GROUP BY 1)"
+
+
+def voted_trajectories(s, d):
+    """Documents with their voters; the actors that favour one sponsor it. Regions are the countries' bloc leaders."""
+    sets = F.struct(*[F.collect_set(F.when(F.col("vote_type") == k, F.col("actor_id").cast("string"))).alias(n) for k, n in (("in_favour", "yes"), ("against", "no"), ("abstaining", "abstain"))])
+    v = b.votes(s, d).groupBy(F.col("document_id").alias("id")).agg(sets.alias("v"))
+    docs = b.documents(s, d).join(v, "id")
+    outcome = F.when(F.col("doc_type") == "resolution", "adopted").otherwise("rejected")
+    return docs.select(F.col("id").alias("trajectory_id"), F.lit(0).alias("topic_id"), F.col("v.yes").alias("sponsors"), F.col("v").alias("committee"), F.col("v").alias("plenary"), outcome.alias("final_outcome"))
+
+
+@query("j18_episodes", f"""WITH c AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS c FROM region), e AS (SELECT document_id, c, d.doc_type, len(coalesce(y, [])) AS ny, len(coalesce(n, [])) AS nn, len(coalesce(a, [])) AS na, coalesce(list_contains(y, c), false) AS iy, coalesce(list_contains(n, c), false) AS ino FROM {TALLIED} JOIN {DOCS} d ON d.id = document_id, c),
+ s AS (SELECT *, unnest([0, 1, 2]) AS t FROM e) SELECT document_id AS trajectory_id, CAST(c AS VARCHAR) AS country, CAST(t AS INTEGER) AS t, CASE WHEN t = 0 THEN CASE WHEN iy THEN 1 ELSE 0 END WHEN iy THEN 2 WHEN ino THEN 3 ELSE 4 END AS action,
+ CASE WHEN t = 2 AND iy THEN CASE WHEN doc_type = 'resolution' THEN 1.0 ELSE -1.0 END ELSE 0.0 END AS reward, t = 2 AS done, CASE WHEN t = 2 THEN ny ELSE 0 END AS plenary_yes, CASE WHEN t >= 1 THEN nn ELSE 0 END AS committee_no FROM s""")
+def j18(s, d):
+    countries = b.table(s, d, "region").select((F.col("r_regionkey") + 1).cast("string").alias("country"))
+    e = episodes.episodes(voted_trajectories(s, d), countries)
+    return e.select("trajectory_id", "country", "t", "action", "reward", "done", F.col("next_state.plenary_yes").alias("plenary_yes"), F.col("next_state.committee_no").alias("committee_no"))
+
+
+STAGE = "(CASE stage WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END)"
+
+
+def event_states(s, d):
+    """Every event as a state; its type is the stage, and its numbers are the tallies."""
+    e = b.steps(s, d)
+    stage = F.when(F.col("stage") == "signup", 0).when(F.col("stage") == "view", 1).when(F.col("stage") == "click", 2).otherwise(3)
+    known = {"topic_id": F.col("abstain"), "sponsor_count": F.col("yes"), "agent_is_sponsor": F.col("no") > 3, "committee_yes": F.col("yes"), "committee_no": F.col("no"), "plenary_yes": F.col("no"), "t": F.col("abstain")}
+    st = F.struct(stage.alias("stage"), *[known.get(n, F.lit(0)).cast("int").alias(n) for n in episodes.SCALARS])
+    return e.withColumn("state", st).withColumn("action", (F.col("event_id") % 5).cast("int"))
+
+
+@query("j20_state_vectors", f"SELECT event_id, concat_ws(',', {', '.join(f'CAST(CASE WHEN {STAGE} = {k} THEN 1 ELSE 0 END AS VARCHAR)' for k in range(4))}, abstain, yes, CAST(no > 3 AS INTEGER), yes, no, 0, no, 0, 0, abstain) AS vector, {STAGE} AS stage, yes AS sponsor_count FROM {STEPS}")
+def j20(s, d):
+    v = event_states(s, d).select("event_id", episodes.state_vector(F.col("state")).alias("v"))
+    back = episodes.state_from_vector(F.col("v"))
+    return v.select("event_id", F.array_join(F.transform("v", lambda z: z.cast("int").cast("string")), ",").alias("vector"), back["stage"].alias("stage"), back["sponsor_count"].alias("sponsor_count"))
+
+
+@query("j21_valid_actions", f"SELECT event_id, CASE {STAGE} WHEN 0 THEN event_id % 5 IN (0, 1) WHEN 3 THEN event_id % 5 = 0 ELSE event_id % 5 IN (2, 3, 4) END AS valid FROM {STEPS}")
+def j21(s, d):
+    return event_states(s, d).select("event_id", episodes.valid_action(F.col("state.stage"), F.col("action")).alias("valid"))
+
+
+@query("j22_episode_stats", f"WITH e AS (SELECT trajectory_id, count(*) AS l, sum(value) AS r, bool_or(no > 3) AS s FROM {STEPS} GROUP BY 1) SELECT count(*) AS episodes, CAST(sum(l) AS BIGINT) AS transitions, round(avg(l), 6) AS mean_length, round(avg(r), 4) AS reward_mean, round(stddev_pop(r), 4) AS reward_std, count(*) FILTER (r > 0) AS positive, count(*) FILTER (r < 0) AS negative, round(avg(CAST(s AS INTEGER)), 6) AS sponsor_rate FROM e")
+def j22(s, d):
+    r = episodes.episode_stats(b.steps(s, d), ["trajectory_id"], value="value", is_sponsor=F.col("no") > 3)
+    return r.withColumns({"mean_length": F.round("mean_length", 6), "reward_mean": F.round("reward_mean", 4), "reward_std": F.round("reward_std", 4), "sponsor_rate": F.round("sponsor_rate", 6)})
+
+
+@query("j22_action_distribution", f"SELECT stage, count(*) AS n FROM {STEPS} GROUP BY 1")
+def j22b(s, d):
+    return episodes.action_distribution(b.steps(s, d), "stage")
+
+
+@query("j23_action_share", f"SELECT trajectory_id, stage, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY trajectory_id), 4) AS share FROM {STEPS} GROUP BY 1, 2")
+def j23(s, d):
+    return episodes.action_share(b.steps(s, d), "trajectory_id", "stage")
+
+
+@query("j24_compare_trajectories", f"""WITH a AS (SELECT trajectory_id AS episode, t, stage AS action, value AS reward FROM {NUMBERED}), b AS (SELECT episode, t, CASE WHEN t % 3 = 0 THEN 'x' ELSE action END AS action, reward - 50 AS reward FROM a WHERE t < 40),
+ l AS (SELECT episode, count(*) AS n, arg_max(reward, t) AS r FROM a GROUP BY 1), k AS (SELECT episode, count(*) AS n, arg_max(reward, t) AS r FROM b GROUP BY 1), q AS (SELECT episode, count(*) FILTER (a.action = b.action) AS e FROM a JOIN b USING (episode, t) GROUP BY 1)
+ SELECT episode, round(coalesce(e, 0) / l.n, 6) AS action_accuracy, (coalesce(l.r, 0) > 0) = (coalesce(k.r, 0) > 0) AS outcome_match, abs(l.n - k.n) AS length_diff FROM l JOIN k USING (episode) LEFT JOIN q USING (episode)""")
+def j24(s, d):
+    a = numbered(s, d).select(F.col("trajectory_id").alias("episode"), "t", F.col("stage").alias("action"), F.col("value").alias("reward"))
+    other = a.filter("t < 40").select("episode", "t", F.when(F.col("t") % 3 == 0, "x").otherwise(F.col("action")).alias("action"), (F.col("reward") - 50).alias("reward"))
+    return episodes.compare_trajectories(a, other).withColumn("action_accuracy", F.round("action_accuracy", 6))
+
+
+@query("j25_prediction_metrics", f"""WITH z AS (SELECT 0 AS dim, CAST(yes AS DOUBLE) AS p, CAST(no AS DOUBLE) AS q FROM {STEPS} UNION ALL SELECT 1, abstain + 0.4, abstain FROM {STEPS} UNION ALL SELECT 2, value, value + 1 FROM {STEPS} WHERE value IS NOT NULL),
+ d AS (SELECT dim, sum((p - q) * (p - q)) AS sq, count(*) AS n, count(DISTINCT q) AS v, avg(CASE WHEN round_even(p, 0) = round_even(q, 0) THEN 1 ELSE 0 END) AS acc FROM z GROUP BY 1) SELECT round(sum(sq) / sum(n), 6) AS mse, round(sqrt(sum(sq) / sum(n)), 6) AS rmse, round(avg(acc) FILTER (v < 10), 6) AS mean_accuracy, max(n) AS n FROM d""")
+def j25(s, d):
+    e = b.steps(s, d).filter("value is not null")
+    p = e.select(F.array(F.col("yes").cast("double"), F.col("abstain") + 0.4, F.col("value")).alias("p"), F.array(F.col("no").cast("double"), F.col("abstain").cast("double"), F.col("value") + 1).alias("q"))
+    return episodes.prediction_metrics(p, "p", "q").withColumns({k: F.round(k, 6) for k in ("mse", "rmse", "mean_accuracy")})
+
+
+@query("j26_policy_metrics", f"WITH e AS (SELECT trajectory_id, avg(CASE WHEN no = yes % 7 THEN 1 ELSE 0 END) AS acc, sum(value) AS r FROM {STEPS} GROUP BY 1) SELECT round(avg(acc), 6) AS accuracy_mean, round(stddev_pop(acc), 6) AS accuracy_std, round(avg(r), 4) AS return_mean, round(stddev_pop(r), 4) AS return_std, count(*) AS episodes FROM e")
+def j26(s, d):
+    e = b.steps(s, d).withColumn("guess", (F.col("yes") % 7).cast("int"))
+    r = episodes.policy_metrics(e, "trajectory_id", "guess", "no", "value")
+    return r.withColumns({"accuracy_mean": F.round("accuracy_mean", 6), "accuracy_std": F.round("accuracy_std", 6), "return_mean": F.round("return_mean", 4), "return_std": F.round("return_std", 4)})
+
+
+@query("j27_feature_expectations", f"SELECT round(avg(CAST(no > 3 AS INTEGER)), 6) AS is_sponsor, round(avg(yes), 6) AS sponsor_count, round(avg(yes - no), 6) AS committee_support, round(avg(no), 6) AS plenary_support, round(avg(CASE WHEN {STAGE} = 0 THEN 1 ELSE 0 END), 6) AS in_draft, round(avg(CASE WHEN {STAGE} = 1 THEN 1 ELSE 0 END), 6) AS in_committee, round(avg(CASE WHEN {STAGE} = 2 THEN 1 ELSE 0 END), 6) AS in_plenary FROM {STEPS}")
+def j27(s, d):
+    f = event_states(s, d).select(episodes.irl_features(episodes.state_vector(F.col("state"))).alias("features"))
+    return episodes.feature_expectations(f).select(*[F.round(n, 6).alias(n) for n in episodes.FEATURES])
+
+
+@query("j28_fit_reward")
+def j28(s, d):
+    f = event_states(s, d).filter("value is not null").select(episodes.irl_features(episodes.state_vector(F.col("state"))).alias("features"), F.col("value").alias("reward"))
+    weights = episodes.fit_reward(f)
+    return s.createDataFrame([(k, float(w)) for k, w in weights.items()], "feature string, weight double")
+
+
+@query("j29_holdout_last", f"SELECT event_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY t DESC) = 1 AS is_test FROM {NUMBERED}")
+def j29(s, d):
+    return episodes.holdout_last(numbered(s, d), ["trajectory_id"]).select("event_id", "is_test")
+
+
+VERSIONED = f"(SELECT id, 'A/' || CAST(custkey AS VARCHAR) || '/L.1' AS base, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/Rev.' || CAST(id % 9 AS VARCHAR) ELSE '/Add.' || CAST(id % 9 AS VARCHAR) END AS suffix, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS o, CASE id % 3 WHEN 0 THEN 0 ELSE id % 9 END AS n FROM {DOCS})"
+
+
+@query("j30_version_chains", f"SELECT base, string_agg(base || suffix, ',' ORDER BY o, n) AS versions FROM {VERSIONED} GROUP BY 1")
+def j30(s, d):
+    suffix = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.concat(F.lit("/Rev."), (F.col("id") % 9).cast("string"))).otherwise(F.concat(F.lit("/Add."), (F.col("id") % 9).cast("string")))
+    drafts = b.documents(s, d).select("id", F.concat(F.lit("A/"), F.col("custkey").cast("string"), F.lit("/L.1"), suffix).alias("symbol"))
+    e = drafts.select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit("draft_of").alias("relationship_type"))
+    return graph.version_chains(drafts, e, drafts).select("base", F.array_join("versions", ",").alias("versions"))
+
+
+@query("j31_stage_summary", f"SELECT count(*) AS n, count(DISTINCT trajectory_id) AS trajectories, count(*) FILTER (stage = 'resolution') AS resolutions FROM (SELECT DISTINCT symbol AS trajectory_id, 'resolution' AS stage, symbol FROM {REFS} UNION ALL SELECT symbol, type, ref_symbol FROM {REFS})")
+def j31(s, d):
+    r = order_records(s, d).withColumn("voting", F.struct(F.lit(1).alias("yes"), F.lit(2).alias("no"), F.lit(3).alias("abstain")))
+    none = s.createDataFrame([], "trajectory_id string, meeting string, statements long")
+    rows = trajectories.stage_summary(trajectories.trace_backwards(r, supplier_index(s, d)), r, none)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trajectory_id").alias("trajectories"), F.count_if(F.col("stage") == "resolution").alias("resolutions"))
+
+
+# ---- evidence (2.K)
+
+
+@query("k2_stringify", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props FROM events")
+def k2(s, d):
+    return evidence.stringify(b.table(s, d, "events").select("event_id", "user_id", "event_type", "props"))
+
+
+@query("k3_evidence_union", f"SELECT 'analysis' AS evidence, 0 AS priority, CAST(id AS VARCHAR) AS id, symbol, NULL AS text FROM {DOCS} UNION ALL SELECT 'utterance', 1, CAST(id AS VARCHAR), NULL, text FROM {UTTERANCES}")
+def k3(s, d):
+    return evidence.evidence_union(("analysis", b.documents(s, d).select("id", "symbol")), ("utterance", b.utterances(s, d).select("id", "text")))
+
+
+@query("k4_pick_text", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END, ' '), ''), nullif(trim(lang, ' '), '')) AS picked FROM documents")
+def k4(s, d):
+    docs = b.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"), F.col("lang").alias("title"))
+    return evidence.pick_text(docs, ["doc_id"], None).select("doc_id", "picked")
+
+
+@query("k5_evidence_text", "SELECT 'n_name: ' || n_name || chr(10) || 'n_nationkey: ' || CAST(n_nationkey AS VARCHAR) AS line FROM nation")
+def k5(s, d):
+    return evidence.evidence_text(b.table(s, d, "nation").select("n_name", "n_nationkey"), ["n_name"], 100)
+
+
+@query("k6_source_links", f"SELECT upper(symbol) AS symbol, 'https://docs.un.org/en/' || upper(symbol) AS url FROM {DOCS}")
+def k6(s, d):
+    docs = b.documents(s, d)
+    files = docs.select("symbol", F.array().cast("array<struct<language:string,url:string>>").alias("files"))
+    return evidence.source_links(docs.select("id", F.col("symbol").alias("document_symbol"), "title"), files)
