@@ -27,5 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Written to the shared folder in buckets of ``column``, as many as shuffles have partitions; later joins on the
+    column read it without a shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    table_name = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

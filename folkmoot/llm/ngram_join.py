@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.llm._common import stored
+from folkmoot.llm._common import bucketed, stored
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -130,13 +130,14 @@ def _sets(n: int, threshold: float, runs: int):
 def _children(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
-            for uid, parents, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, sizes, keys = [], [], []
+            for uid, n, parents, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 s = mixed(np.frombuffer(tokens, "<u4").astype(np.uint64))
                 got = np.unique(picked(s, np.array(parents, np.int64).view(np.uint64), threshold)[1].view(np.int64))
                 rows += [uid] * len(got)
+                sizes += [n] * len(got)
                 keys.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(rows, pa.int64())], names=["key", "uid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "uid", "n"])
 
     return run
 
@@ -239,25 +240,30 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     threshold, copies included), copy_of (smallest doc_id with the same set) and n_shingles."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.mapInArrow(_sets(n, threshold, runs_for(recall, depth)), "doc_id bigint, digest binary, n int, keys array<bigint>, tokens binary")
-    sets = stored(sets.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
+    # Dealt by uid once, and kept so: tokens are then joined to buckets again and again without another shuffle.
+    sets = bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.uid").alias("rep"), "copies"), "classes")
     reps = classes.select(F.col("rep").alias("uid"), "copies")
 
-    nodes = sets.select("uid", "keys").join(reps.select("uid"), "uid").select(F.explode("keys").alias("key"), "uid")
+    nodes = sets.select("uid", "n", "keys").join(reps.select("uid"), "uid").select(F.explode("keys").alias("key"), "uid", "n")
+    by_size = Window.partitionBy("key").orderBy("n", "uid")
+    near = (F.lag("n").over(by_size) >= threshold * F.col("n") - 1e-6) | (threshold * F.lead("n").over(by_size) - 1e-6 <= F.col("n"))
     leaves = None
     for level in range(1, depth + 1):
-        counts = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("who")).filter("size > 1")
-        counts = stored(counts, "buckets")
+        counts = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
         small = counts if level == depth else counts.filter(F.col("size") <= limit)
-        small = small.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", "size")
-        leaf = stored(nodes.join(small, "key"), "leaves")
+        # A set with no other of a fitting size in its bucket has no link there.
+        leaf = stored(nodes.join(small.select("key"), "key").withColumn("near", near).filter("near").drop("near"), "leaves")
+        sizes = leaf.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("who"))
+        once = sizes.groupBy("who", "size").agg(F.min("key").alias("key"))
+        leaf = stored(leaf.join(once.select("key", "size"), "key"), "leaves")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         big = counts.filter(F.col("size") > limit).select("key")
         if level == depth or big.isEmpty():
             break
-        parents = nodes.join(big, "key").groupBy("uid").agg(F.collect_list("key").alias("parents"))
-        nodes = parents.join(sets.select("uid", "tokens"), "uid").select("uid", "parents", "tokens").mapInArrow(_children(threshold), "key bigint, uid bigint")
+        parents = nodes.join(big, "key").groupBy("uid", "n").agg(F.collect_list("key").alias("parents"))
+        nodes = parents.join(sets.select("uid", "tokens"), "uid").select("uid", "n", "parents", "tokens").mapInArrow(_children(threshold), "key bigint, uid bigint, n int")
         nodes = stored(nodes, "paths")
 
     own = leaves.groupBy("uid").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
