@@ -173,8 +173,9 @@ def components(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes], keys: list[list[int]], side: np.ndarray, threshold: float) -> tuple[list[int], list[int], list[int]]:
-    """Brute force over one bucket, or over two blocks of one: uid, links first met here, and a uid of its component."""
+def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes], keys: list[list[int]], side: np.ndarray | None, threshold: float) -> tuple[list[int], list[int], list[int]]:
+    """Brute force over one block of a bucket, or between two, told apart by ``side``: uid, links first met here, and a
+    uid of its component."""
     sets = [np.frombuffer(t, "<u4") for t in tokens]
     size = np.array([len(s) for s in sets], np.float64)
     common = overlaps(sets).astype(np.float64)
@@ -183,7 +184,7 @@ def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes],
     if not linked.any():
         return [], [], []
     root = components(linked)
-    counted = linked & (side[:, None] != side[None, :]) if side.any() and not side.all() else linked
+    counted = linked if side is None else linked & (side[:, None] != side[None, :])
     earlier = [np.array([k for k in ks if k < key], np.int64) for ks in keys]
     counted = counted & (overlaps(earlier) == 0)
     links = counted @ copies
@@ -199,7 +200,7 @@ def _blocks(threshold: float):
         def close() -> None:
             if len(rows) > 1:
                 uids, copies, tokens, keys, side = zip(*rows)
-                for have, more in zip(found, compare(at[0], list(uids), np.array(copies, np.int64), list(tokens), list(keys), np.array(side), threshold)):
+                for have, more in zip(found, compare(at[0], list(uids), np.array(copies, np.int64), list(tokens), list(keys), np.array(side) if at[1] != at[2] else None, threshold)):
                     have += more
 
         for batch in batches:
