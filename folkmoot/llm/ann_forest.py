@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from folkmoot.llm._common import stored
 
 BLOCK_ROWS = 4096
+LEAST_REACHED = 20_000  # rows that a search reaches at least, or all of them
 BUFFERED = 200_000  # found pairs that a task holds before it keeps the best of each query
 
 
@@ -173,7 +174,7 @@ def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, depth: int = 6
     counts = np.zeros((trees, 1 << depth), np.int64)
     for r in routed.groupBy("tree", "leaf").count().collect():  # trees * 2**depth rows at most
         counts[r["tree"], r["leaf"]] = r["count"]
-    queries = v.filter(is_query(F.col("vec_id"))).mapInPandas(_reach(forest, counts, max(k + 1, int(search_share * total))), "tree int, leaf int, vec_id long, x array<double>")
+    queries = v.filter(is_query(F.col("vec_id"))).mapInPandas(_reach(forest, counts, max(int(search_share * total), min(trees * total, LEAST_REACHED))), "tree int, leaf int, vec_id long, x array<double>")
     blocks = df.sparkSession.createDataFrame([(t, n, -(-int(counts[t, n]) // BLOCK_ROWS)) for t in range(trees) for n in range(1 << depth) if counts[t, n]], "tree int, leaf int, blocks int")
     rows = routed.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("is_query", F.lit(False))
     asked = queries.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(True))
