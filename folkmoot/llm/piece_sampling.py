@@ -119,7 +119,7 @@ class PieceSampler:
             at = base[order[: np.searchsorted(falling, -j, side="right")]] + j
             reach = min(j, most)
             piece = ids[at, :reach]
-            sums = np.cumsum(forward[at[:, None] - np.arange(1, reach + 1)] * np.where(piece < 0, BYTE_WEIGHT, self.weight_of[piece]), axis=1)
+            sums = np.cumsum(forward[at[:, None] - np.arange(1, reach + 1)] * np.where(piece < 0, BYTE_WEIGHT, self.weight_of[np.maximum(piece, 0)]), axis=1)
             total = sums[:, -1]
             upto[at, :reach] = sums / total[:, None]
             forward[at] = total
