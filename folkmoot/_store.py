@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import broadcast
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -18,3 +19,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """A table that goes to every task: marked for broadcast once its rows are known to be at most ``most``."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows of {what}")
+    return broadcast(df)

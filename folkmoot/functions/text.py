@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import small
 from folkmoot.functions.columns import collapse_ws, extracted, parse_speaker
 
 # Fixed values of the record format: patterns, markers, starters and names.
@@ -172,9 +173,10 @@ def tagged(c: Column, names: Column) -> tuple[Column, Column]:
     return out["found"], out["text"]
 
 
-def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str) -> DataFrame:
+def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, most_names: int = 100_000) -> DataFrame:
     """(id, name). The dictionary is a dimension table (actors, subjects), gathered longest first into one row."""
-    ordered = names.select(F.col(name_col).alias("n")).distinct().agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("n")).alias("l"), "n"))), lambda x: x["n"]).alias("names"))
+    distinct = small(names.select(F.col(name_col).alias("n")).distinct(), most_names, "names")
+    ordered = distinct.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("n")).alias("l"), "n"))), lambda x: x["n"]).alias("names"))
     found, _ = tagged(F.col(text_col), F.col("names"))
     return df.select(id_col, text_col).crossJoin(F.broadcast(ordered)).select(id_col, F.explode(found).alias("name"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import small
+
 # Codes of stages and actions, and the order of a state's numbers.
 STAGE_NAMES = ["DRAFT", "COMMITTEE_VOTE", "PLENARY_VOTE", "ADOPTED"]
 ACTION_NAMES = ["NO_ACTION", "COSPONSOR", "VOTE_YES", "VOTE_NO", "VOTE_ABSTAIN"]
@@ -27,7 +29,7 @@ def state(stage: int, **known: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), *[known.get(c, F.lit(0)).cast("int").alias(c) for c in SCALARS])
 
 
-def episodes(trajectories: DataFrame, countries: DataFrame) -> DataFrame:
+def episodes(trajectories: DataFrame, countries: DataFrame, most_countries: int = 10_000) -> DataFrame:
     """(trajectory_id, country, t, state, action, next_state, reward, done): three steps per trajectory and country.
 
     trajectories: trajectory_id, topic_id, sponsors, committee and plenary structs of name arrays (yes, no, abstain),
@@ -35,7 +37,7 @@ def episodes(trajectories: DataFrame, countries: DataFrame) -> DataFrame:
     and every trajectory has an episode for each. A country that a vote does not list abstains.
     """
     whole = trajectories.filter("sponsors is not null and committee is not null and plenary is not null")
-    rows = whole.crossJoin(F.broadcast(countries.select("country").distinct()))
+    rows = whole.crossJoin(small(countries.select("country").distinct(), most_countries, "countries"))
     c = F.col("country")
     is_sponsor = F.array_contains("sponsors", c)
     n = lambda stage, k: F.size(F.col(f"{stage}.{k}"))

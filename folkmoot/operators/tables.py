@@ -24,7 +24,7 @@ def build_actors(names: DataFrame, existing: DataFrame | None = None, aliases: D
     """(id, name, actor_type) of names not yet among the existing actors, by exact name after optional aliases."""
     n = names.select(F.trim("name").alias("name")).filter("name <> ''")
     if aliases is not None:
-        n = n.join(F.broadcast(aliases), n["name"] == aliases["alias"], "left").select(F.coalesce(aliases["canonical"], n["name"]).alias("name"))
+        n = n.join(aliases, n["name"] == aliases["alias"], "left").select(F.coalesce(aliases["canonical"], n["name"]).alias("name"))
     n = n.distinct()
     if existing is not None:
         n = n.join(existing.select("name"), "name", "left_anti")
