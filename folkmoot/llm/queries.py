@@ -33,6 +33,22 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.parse(spark.read.parquet(path)))
 
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(replace(role, '\', '\\'), '(<|\[)(/?(?:s>|INST\]|<SYS>>|/?SYS>>|\|))', '\1\\\2', 'g')) AS r,
+         length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?(?:s>|INST\]|<SYS>>|/?SYS>>|\|))', '\1\\\2', 'g')) AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(10 + r + 9 + n + 5) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -99,4 +115,4 @@ QUERIES = {
     "op9_lang_id": op9_lang_id,
     "op10_nearest": op10_nearest,
 }
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_exact_dedup": OP4_SQL}
