@@ -960,3 +960,79 @@ def k6(s, d):
     docs = b.documents(s, d)
     files = docs.select("symbol", F.array().cast("array<struct<language:string,url:string>>").alias("files"))
     return evidence.source_links(docs.select("id", F.col("symbol").alias("document_symbol"), "title"), files)
+
+
+# ---- further operators over texts built from the tables
+
+
+@query("c3_cited_decisions", "SELECT p_partkey, '78/' || CAST(p_size AS VARCHAR) || ' A;78/' || CAST(p_size AS VARCHAR) || ' B;78/' || CAST(p_size AS VARCHAR) || ' C;79/' || CAST(p_size AS VARCHAR) AS cited FROM part")
+def c3(s, d):
+    t = F.format_string("%s (decisions 78/%d A to C, 79/%d)", "p_name", "p_size", "p_size")
+    return b.table(s, d, "part").select("p_partkey", F.array_join(x.cited_decisions(t), ";").alias("cited"))
+
+
+@query("c6_split_states", "SELECT document_id, string_agg(name || ' (' || vote_type || ', x)', ';' ORDER BY name, vote_type) AS states FROM " + VOTES + " v JOIN " + ACTORS + " a ON a.id = v.actor_id GROUP BY 1")
+def c6(s, d):
+    v = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "vote_type"))), lambda r: F.concat(r["name"], F.lit(" ("), r["vote_type"], F.lit(", x)"))), ",  ")
+    return v.groupBy("document_id").agg(said.alias("t")).select("document_id", F.array_join(x.split_states(F.concat("t", F.lit("."))), ";").alias("states"))
+
+
+@query("c13_utterance_facts", "SELECT l_orderkey, l_linenumber, 'II' AS ordinal, '78/' || CAST(l_partkey AS VARCHAR) AS number, 'A/RES/78/' || CAST(l_partkey AS VARCHAR) AS symbol, CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'adopted' END AS status, CAST(l_suppkey AS INTEGER) AS yes, CAST(l_linenumber AS INTEGER) AS no, CAST(l_quantity AS INTEGER) AS abstained, 'recorded_vote' AS kind FROM lineitem")
+def c13(s, d):
+    v = b.table(s, d, "lineitem")
+    how = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("adopted")
+    t = F.concat(F.lit("Draft resolution II was "), how, F.format_string(" by a vote of %d to %d, with %d abstentions (resolution 78/%d).", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"), "l_partkey"))
+    f = v.select("l_orderkey", "l_linenumber", x.utterance_facts(t).alias("f"))
+    return f.select("l_orderkey", "l_linenumber", F.col("f.draft_resolution_identifier").alias("ordinal"), F.col("f.resolution_number").alias("number"), F.col("f.resolution_symbol").alias("symbol"), F.col("f.adoption_status").alias("status"), F.col("f.vote_in_favor").alias("yes"), F.col("f.vote_against").alias("no"), F.col("f.vote_abstentions").alias("abstained"), F.col("f.vote_type").alias("kind"))
+
+
+@query("c10_agenda_items", "SELECT c_nationkey AS id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS item_no, CAST(c_custkey AS INTEGER) AS item_number, c_name || ' of ' || c_mktsegment AS text FROM customer")
+def c10(s, d):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))), lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(". "), r["c_name"], F.lit("\n  of "), r["c_mktsegment"]))
+    docs = b.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.array_join(lines, "\n").alias("t"))
+    return x.agenda_items(docs, "id", "t").select("id", "item_no", "item_number", "text")
+
+
+@query("c17_report_items", "SELECT o_custkey AS id, 'A/C.3/78/L.' || CAST(o_orderkey AS VARCHAR) AS draft_symbol, CAST(o_orderkey AS INTEGER) AS draft_number, o_orderpriority AS title, CASE o_orderstatus WHEN 'F' THEN 'without a vote' END AS vote_info, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS INTEGER) END AS in_favor, CASE WHEN o_orderstatus <> 'F' THEN 7 END AS abstentions FROM orders")
+def c17(s, d):
+    vote = F.when(F.col("o_orderstatus") == "F", "adopted without a vote").otherwise(F.format_string("adopted by a recorded vote of %d to 3, with 7 abstentions", "o_custkey"))
+    item = F.concat(F.format_string('B. Draft resolution A/C.3/78/L.%d\nsubmitted by Chile, entitled "%s", ', "o_orderkey", "o_orderpriority"), vote)
+    reports = b.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("Introduction\n"), F.array_join(F.collect_list(item), "\n")).alias("t"))
+    return x.report_items(reports, "id", "t").select("id", "draft_symbol", "draft_number", "title", "vote_info", "in_favor", "abstentions")
+
+
+@query("g18_record_stats", f"SELECT session, count(*) AS items, count(*) FILTER (y + n > 0) AS items_with_references, CAST(sum(y) AS BIGINT) AS total_resolutions, CAST(sum(n) AS BIGINT) AS total_decisions FROM (SELECT d.session, len(coalesce(y, [])) AS y, len(coalesce(n, [])) AS n FROM {DOCS} d LEFT JOIN {TALLIED} t ON t.document_id = d.id) GROUP BY 1")
+def g18(s, d):
+    v = b.votes(s, d).groupBy(F.col("document_id").alias("id")).agg(F.collect_set(F.when(F.col("vote_type") == "in_favour", F.col("actor_id"))).alias("resolutions"), F.collect_set(F.when(F.col("vote_type") == "against", F.col("actor_id"))).alias("decisions"))
+    return aggregates.record_stats(b.documents(s, d).join(v, "id", "left"), "session")
+
+
+@query("j4_trace_draft", f"SELECT symbol AS draft, 'agenda_item' AS type, 'A/78/251' AS ref_symbol, false AS found FROM {DOCS} WHERE doc_type = 'draft' AND id IN (SELECT l_orderkey FROM lineitem)")
+def j4(s, d):
+    return trajectories.trace_draft(order_records(s, d), supplier_index(s, d))
+
+
+@query("j17_country_actions", f"SELECT d.id, CASE WHEN d.doc_type = 'draft' THEN CASE WHEN list_contains(y, a.id) THEN 1 ELSE 0 END WHEN list_contains(y, a.id) THEN 2 WHEN list_contains(n, a.id) THEN 3 WHEN list_contains(t.a, a.id) THEN 4 END AS action, CASE WHEN NOT coalesce(list_contains(y, a.id), false) THEN 0.0 WHEN d.doc_type = 'resolution' THEN 1.0 ELSE -1.0 END AS reward FROM {DOCS} d JOIN {TALLIED} t ON t.document_id = d.id, (SELECT min(id) AS id FROM {ACTORS}) a")
+def j17(s, d):
+    who = b.actors(s, d).agg(F.min("id").cast("string").alias("who"))  # one row
+    t = voted_trajectories(s, d).join(b.documents(s, d).select(F.col("id").alias("trajectory_id"), "doc_type"), "trajectory_id").crossJoin(F.broadcast(who))
+    w = F.col("who")
+    action = episodes.country_action(F.col("sponsors"), F.col("plenary.yes"), F.col("plenary.no"), F.col("plenary.abstain"), w, F.col("doc_type") == "draft")
+    return t.select(F.col("trajectory_id").alias("id"), action.alias("action"), episodes.reward(F.array_contains("sponsors", w), F.col("final_outcome")).alias("reward"))
+
+
+@query("j7_trajectories")
+def j7(s, d):
+    """Steps of all orders as records; their votes stand for committee votes."""
+    r = order_records(s, d).withColumn("voting", F.struct(F.lit("recorded_vote").alias("vote_type"), F.lit(91).alias("yes"), F.lit(54).alias("no"), F.lit(6).alias("abstain")))
+    traces = trajectories.trace_backwards(r, supplier_index(s, d))
+    v = b.votes(s, d).groupBy(F.concat(F.lit("S"), F.col("actor_id").cast("string")).alias("draft_symbol")).agg(F.count_if(F.col("vote_type") == "in_favour").alias("in_favor"), F.count_if(F.col("vote_type") == "against").alias("against"), F.count_if(F.col("vote_type") == "abstaining").alias("abstentions"))
+    votes = v.withColumn("sponsors", F.array("draft_symbol"))
+    events = b.actors(s, d).select(F.concat(F.lit("X"), F.col("id").cast("string")).alias("meeting"), F.lit("S").alias("draft_id"), F.lit("motion_for_division").alias("event_type"))
+    drafts = traces.filter("type = 'draft'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("draft"))
+    held = traces.filter("type = 'meeting'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("meeting"))
+    said = b.actors(s, d).select(F.col("id").alias("utterance_id"), F.concat(F.lit("X"), F.col("id").cast("string")).alias("meeting"), F.concat(F.lit("on S"), F.col("id").cast("string")).alias("text"))
+    talk = trajectories.relevant_utterances(said, drafts.join(held, "trajectory_id"), ["peace"])
+    steps = trajectories.build_trajectories(traces, r, votes, events, talk)
+    return steps.groupBy("stage", "final_outcome").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("trajectory_id").alias("trajectories"))
