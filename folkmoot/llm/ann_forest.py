@@ -157,7 +157,7 @@ def _measure(k: int):
     return run
 
 
-def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, depth: int = 6, search_share: float = 0.9, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, depth: int = 6, search_share: float = 1.1, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest by Euclidean distance, ties to the smaller id.
 
     ``is_query`` makes a condition of the id column. ``search_share`` counts a row once for every tree it is reached in.
