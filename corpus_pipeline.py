@@ -29,9 +29,10 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity of 0.8 or more, the one with the smallest doc_id."""
-    classes = stored(ngram_join.ngram_join(docs), "classes")
+    classes = ngram_join.ngram_join(docs)
     gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # As many ids as near copies: joined by a shuffle at any size, never by sending them to every task.
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

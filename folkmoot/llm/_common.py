@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+@contextmanager
+def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
     """Written to the shared folder in buckets of ``column``, as many as shuffles have partitions; later joins on the
-    column read it without a shuffle."""
+    column read it without a shuffle. It is deleted at the end of the block, whose results are to be stored by then."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, name)
     table_name = f"{name}_{uuid.uuid4().hex[:12]}"
     df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(table_name)
-    return spark.table(table_name)
+    try:
+        yield spark.table(table_name)
+    finally:
+        spark.sql(f"DROP TABLE {table_name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

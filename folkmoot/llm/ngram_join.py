@@ -242,7 +242,11 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.mapInArrow(_sets(n, threshold, runs_for(recall, depth)), "doc_id bigint, digest binary, n int, keys array<bigint>, tokens binary")
     # Dealt by uid once, and kept so: tokens are then joined to buckets again and again without another shuffle.
-    sets = bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets")
+    with bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets") as dealt:
+        return stored(_joined(dealt, threshold, limit, depth), "similar")
+
+
+def _joined(sets: DataFrame, threshold: float, limit: int, depth: int) -> DataFrame:
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.uid").alias("rep"), "copies"), "classes")
     reps = classes.select(F.col("rep").alias("uid"), "copies")
@@ -253,9 +257,12 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     leaves = None
     for level in range(1, depth + 1):
         counts = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-        small = counts if level == depth else counts.filter(F.col("size") <= limit)
-        # A set with no other of a fitting size in its bucket has no link there.
-        leaf = stored(nodes.join(small.select("key"), "key").withColumn("near", near).filter("near").drop("near"), "leaves")
+        # In a small bucket, a set with no other of a fitting size has no link. A bucket that is still large is left to
+        # its blocks: no task sorts it whole.
+        leaf = nodes.join(counts.filter(F.col("size") <= limit).select("key"), "key").withColumn("near", near).filter("near").drop("near")
+        if level == depth:
+            leaf = leaf.unionByName(nodes.join(counts.filter(F.col("size") > limit).select("key"), "key"))
+        leaf = stored(leaf, "leaves")
         sizes = leaf.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("who"))
         once = sizes.groupBy("who", "size").agg(F.min("key").alias("key"))
         leaf = stored(leaf.join(once.select("key", "size"), "key"), "leaves")
