@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 MAGIC = b"DAC1"
 RANK_EVERY = 512  # bits of a bitmap to an entry of its rank directory
 SHARD_SCHEMA = "part int, seq int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, code binary"
+UINT32 = "I"
+MARKS = frozenset([b".", b","])
+LETTERS = frozenset(bytes([c]) for c in range(ord("a"), ord("z") + 1))
 ENCODE_SLICE = 1024  # words handed to the tokenizer at once
 CACHED_WORDS = 200_000  # words to a generation of a worker's cache; it has two
 
@@ -101,6 +106,29 @@ class DacReader:
         return out
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+ALPHABET = _alphabet()
+
+
+def spelling(word: bytes) -> str | None:
+    """A word of Latin letters only, as the normalizer and pre-tokenizer would hand it to the model: one run in lower
+    case, spelled in bytes. None for any other word, which goes through the whole tokenizer."""
+    text = word.decode("utf-8")
+    if not text.isalpha():
+        return None
+    if text.isascii():
+        return text.lower()
+    if max(text) >= "\u0250" or not (text := text.lower()).isalpha() or max(text) >= "\u0250":
+        return None
+    return text.encode("utf-8").decode("latin-1").translate(ALPHABET)
+
+
 class WordEncoder:
     """Encodes texts by their distinct words.
 
@@ -112,23 +140,45 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.marks = {m: array(UINT32, self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in MARKS}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [text.encode("utf-8").split() for text in texts]
+        # The normalizer lowers case anyway; lowering ASCII first makes fewer words. Not where a special token may hide.
+        raw = [text.encode("utf-8") for text in texts]
+        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
         if len(self.cache) > CACHED_WORDS:
             self.cache, self.older = {}, self.cache
-        missing = {w for doc in words for w in doc}.difference(self.cache)
-        known = missing & self.older.keys()
-        self.cache.update((w, self.older[w]) for w in known)
-        fresh = list(missing - known)
-        for k in range(0, len(fresh), ENCODE_SLICE):
-            some = fresh[k : k + ENCODE_SLICE]
+        missing = set(chain.from_iterable(words)).difference(self.cache)
+        fresh, ended = set(), []
+        for w in missing:
+            if (code := self.older.get(w)) is not None:
+                self.cache[w] = code
+            elif w[-1:] in MARKS and (core := w[:-1])[-1:] in LETTERS:
+                # A mark behind a letter is a token run of its own, so the word is encoded without it.
+                ended.append((w, core))
+                if core not in self.cache:
+                    if (code := self.older.get(core)) is not None:
+                        self.cache[core] = code
+                    else:
+                        fresh.add(core)
+            else:
+                fresh.add(w)
+        rest = []
+        for w in fresh:
+            if (spelled := spelling(w)) is None:
+                rest.append(w)
+            else:
+                self.cache[w] = array(UINT32, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        for k in range(0, len(rest), ENCODE_SLICE):
+            some = rest[k : k + ENCODE_SLICE]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, doc)) for doc in words]
+                self.cache[w] = array(UINT32, e.ids).tobytes()
+        for w, core in ended:
+            self.cache[w] = self.cache[core] + self.marks[w[-1:]]
+        return [b"".join(map(self.cache.__getitem__, doc)) for doc in words]
 
 
 def _shards(tokenizer_file: str, end_id: int, shard_tokens: int):
