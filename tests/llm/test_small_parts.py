@@ -29,7 +29,7 @@ def test_dac_gives_every_token(ids, data):
 
 def test_words_encode_as_whole_texts_do():
     e = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["", "Hello, World! don't 3.14", "É  ́b ǅ İ \x1c\x85a <|endoftext|> x<|ENDOFTEXT|>y", "ΑΣ ΑΣ. ß", "a" * 5000, "\t\n", "日本語 テキスト 🙂"]
+    texts = ["", "Hello, World! don't 3.14", "É  ́b ǅ İ \x1c\x85a <|endoftext|> x<|ENDOFTEXT|>y", "ΑΣ ΑΣ. ß", "a" * 5000, "\t\n", "日本語 テキスト 🙂", "Élève Übergrößen ñandú, ÑANDÚ. ŒUVRE ß ﬁ ǆ ǅ ſ ª º İi ŉ ȿ ɐ Größe.", "cafe\u0301 CAFE\u0301. l'été d'un"]
     whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(c, "<u4").tolist() for c in e.encode(texts)] == [w.ids for w in whole]
 
