@@ -1,10 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block; elements that never hold the article (menus, footers, adverts, forms,
-scripts and the like, by tag, role, or a word of the class or id) leave a gap of empty lines instead. Text lengths are
-summed over a sliding window of lines: the text surges where a window rises above ``surge`` characters and dives where
-one falls to nothing. Lines between a surge and its dive are kept, in page order, from every run that lies inside the
-page's article; on a page without an article element, from every run at least ``share`` as long as the longest one.
+Markup is stripped to lines, one per block. Each line weighs its characters outside of links, or nothing if most of them
+are links, and weights are summed over a sliding window of lines: the text surges where a window rises above ``surge``
+characters and dives where one falls to ``dive``. On a page of little text both are lower, in proportion to its fullest
+window. Lines between a surge and its dive are kept, but for short ones at either end that are no headings or sentences.
+Lines outside that belong to a kept run stay with it: what stands between two of its lines in one container, sentences
+and headings of the same container, and list items that follow it.
+
+Markup supports the windows. All lines of the page's article are kept. Elements that never hold it (menus, footers,
+adverts, forms, scripts and the like, by tag, role, or a word of the class or id) leave a gap of empty lines, but a word
+is overruled if its element holds more than half of the page's text outside of links and at least ``BULK`` characters.
 
 A null page is empty, a page without text gives the empty text, unclosed tags end with their parent, and an undecodable
 character reference stays as it is written. Repeated rows stay separate. Only the named columns are read.
@@ -15,12 +20,15 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+SURGE, DIVE = 120, 30
+BULK = 500
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>")
 BLOCKS = frozenset(
@@ -35,85 +43,152 @@ WORDS = frozenset(
 HEADED = frozenset("header masthead topbar toolbar".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 KEPT_ROOTS = frozenset(["html", "body", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre".split())
+ITEMS = frozenset("li dt dd td th".split())
+CONTAINERS = BLOCKS - HEADINGS - PARAGRAPHS - {"hr"}
+UNCLOSED = frozenset("li dt dd tr td th".split())  # the next of them ends one
+SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\u0964\u061f][\"'\u201d\u2019\u00bb)\]]*\Z")
+
+
+class Line(NamedTuple):
+    text: str
+    article: int  # which of the page's top-level article elements, 0 outside of them
+    linked: int = 0  # characters in links
+    place: int = 0  # container
+    tag: str = ""  # block that the line stands in
+
+    @property
+    def weight(self) -> int:
+        return 0 if 2 * self.linked > len(self.text) else len(self.text) - self.linked
+
+    @property
+    def prose(self) -> bool:
+        return self.tag in HEADINGS or (self.tag in PARAGRAPHS and bool(SENTENCE.search(self.text)))
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
+    """"never" by tag, role or visibility, "hint" by a word of the class or id, else empty."""
     if tag in NEVER or (tag in OUTSIDE and not inside):
-        return True
+        return "never"
     if not attributes or tag in KEPT_ROOTS:
-        return False
+        return ""
+    hint = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return "never"
         if name == "role" and value in ROLES:
-            return True
+            return "never"
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
             if words & WORDS or (not inside and words & HEADED):
-                return True
-    return False
+                hint = "hint"
+    return hint
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """(line, article) in page order: article counts the page's top-level article elements, 0 outside of them. An empty
-    line stands for a gap."""
+def _size(text: str) -> int:
+    return len(" ".join(references.unescape(text).split()))
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines in page order; an empty one stands for a gap."""
     page = RAW.sub(" ", page)
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in TAG.finditer(page, 0, page.rfind(">") + 1)]
-    lines: list[tuple[str, int]] = []
+    linking, since = [False] * (len(tags) + 1), None  # by tag: whether the text behind it is in a link
+    for k, (_, _, closing, tag, attributes) in enumerate(tags):
+        if tag == "a":
+            if closing and since is not None:  # a link without an end is none
+                linking[since:k] = [True] * (k - since)
+            since = None if closing or "href" not in attributes.lower() else k
+    outside = [0]  # characters outside of links before each tag
+    for k in range(len(tags)):
+        behind = page[tags[k][1] : tags[k + 1][0] if k + 1 < len(tags) else len(page)]
+        outside.append(outside[-1] + (0 if linking[k] else len(behind.strip())))
+    lines: list[Line] = []
     text: list[str] = []
-    at = k = number = depth = 0
+    stack: list[tuple[str, int]] = [("", 0)]
+    open_: dict[str, int] = {}  # containers on the stack, by tag
+    at = k = number = depth = linked = places = 0
+    block = ""
 
     def end_line() -> None:
+        nonlocal linked
         line = " ".join(references.unescape("".join(text)).split())
         if line:
-            lines.append((line, number if depth else 0))
+            lines.append(Line(line, number if depth else 0, linked, stack[-1][1], block or stack[-1][0]))
         text.clear()
+        linked = 0
 
     while k < len(tags):
         start, end, closing, tag, attributes = tags[k]
         text.append(page[at:start])
+        if k and linking[k - 1]:
+            linked += _size(text[-1])
         at, k = end, k + 1
         if tag == "br":
             text.append(" ")
             continue
-        skipped = not closing and not attributes.endswith("/") and _boilerplate(tag, attributes, depth > 0)
-        if tag in BLOCKS or skipped:
+        why = "" if closing or attributes.endswith("/") else _boilerplate(tag, attributes, depth > 0)
+        level, j = 1, k
+        while why and j < len(tags) and level:
+            level += 0 if tags[j][3] != tag else -1 if tags[j][2] else 1
+            j += 1
+        if why == "hint" and not level:
+            held = outside[j - 1] - outside[k - 1]
+            if held >= BULK and 2 * held > outside[-1]:
+                why = ""
+        if tag in BLOCKS or why:
             end_line()
-        if skipped:
-            level, j = 1, k
-            while j < len(tags) and level:
-                level += 0 if tags[j][3] != tag else -1 if tags[j][2] else 1
-                j += 1
+            block = tag if not closing and tag not in CONTAINERS else ""
+        if why:
+            block = ""
             if not level:  # an element without an end hides nothing but what comes before the next tag
                 at, k = tags[j - 1][1], j
             elif k < len(tags):
                 at = tags[k][0]
-            lines += [("", number if depth else 0)] * WINDOW
-        elif tag in ("article", "main"):
+            lines += [Line("", number if depth else 0)] * WINDOW
+            continue
+        if tag in ("article", "main"):
             if not closing:
                 number += depth == 0
                 depth += 1
             else:
                 depth = max(0, depth - 1)
-            lines += [("", number if depth else 0)]
+            lines += [Line("", number if depth else 0)]
+        if tag in CONTAINERS and closing and open_.get(tag):
+            while True:
+                name = stack.pop()[0]
+                open_[name] -= 1
+                if name == tag:
+                    break
+        elif tag in CONTAINERS and not closing and not attributes.endswith("/"):
+            if tag in UNCLOSED and stack[-1][0] == tag:
+                open_[stack.pop()[0]] -= 1
+            places += 1
+            stack.append((tag, places))
+            open_[tag] = open_.get(tag, 0) + 1
     text.append(page[at:])
     end_line()
     return lines
 
 
-def runs(lengths: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple[int, int]]:
-    """[from, to) of the lines between each surge (a window's sum rises above ``surge``) and dive (a sum of 0)."""
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """Sums over each line and those behind it."""
     sums, now = [], 0
-    for i in range(len(lengths) - 1, -1, -1):
-        now += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
+    for i in range(len(weights) - 1, -1, -1):
+        now += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
         sums.append(now)
-    sums.reverse()
+    return sums[::-1]
+
+
+def runs(lengths: list[int], window: int = WINDOW, surge: float = 0, dive: float = 0) -> list[tuple[int, int]]:
+    """[from, to) of the lines between each surge (a window's sum rises above ``surge``) and dive (one of ``dive`` or less)."""
     found, start = [], None
-    for i, s in enumerate(sums):
+    for i, s in enumerate(window_sums(lengths, window)):
         if start is None and s > surge:
             start = i
-        elif start is not None and s == 0:
+        elif start is not None and s <= dive:
             found.append((start, i))
             start = None
     if start is not None:
@@ -121,19 +196,47 @@ def runs(lengths: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple
     return found
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = 0, share: float = 0.1) -> str:
+def text_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[int]:
+    """Places in ``lines`` of those that the window sums keep, and of those that belong to them."""
+    weights = [line.weight for line in lines]
+    if not any(weights):  # nothing but links
+        weights = [len(line.text) for line in lines]
+    most = max(window_sums(weights, window), default=0)
+    surge = min(surge, most / 2)
+    dive = min(dive, surge / 4)
+    least = surge / window
+    solid = [w > least or (w > 0 and line.prose) for w, line in zip(weights, lines)]
+    kept = [False] * len(lines)
+    ends: dict[int, tuple[int, int]] = {}
+    for a, b in runs(weights, window, surge, dive):
+        sure = [i for i in range(a, b) if solid[i]]
+        for i in range(sure[0], sure[-1] + 1) if sure else ():
+            kept[i] = True
+        for i in sure:
+            place = lines[i].place
+            ends[place] = (ends.get(place, (i, i))[0], i)
+    inner = [0] * (len(lines) + 1)
+    for first, last in ends.values():
+        inner[first] += 1
+        inner[last + 1] -= 1
+    depth, behind = 0, False
+    for i, line in enumerate(lines):
+        depth += inner[i]
+        item = behind and line.tag in ITEMS
+        kept[i] = kept[i] or (weights[i] > 0 and (depth > 0 or item or (line.prose and line.place in ends)))
+        behind = kept[i]
+    return [i for i, line in enumerate(lines) if kept[i] and line.text]
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
     lines = page_lines(page or "")
     sizes: dict[int, int] = {}
-    for line, article in lines:
-        sizes[article] = sizes.get(article, 0) + len(line)
+    for line in lines:
+        sizes[line.article] = sizes.get(line.article, 0) + len(line.text)
     best = max((a for a in sizes if a), key=lambda a: (sizes[a], -a), default=0)
-    if sizes.get(best, 0) and best:
-        lines = [x for x in lines if x[1] == best]
-    spans = runs([len(line) for line, _ in lines], window, surge)
-    if not best and spans:
-        weight = [sum(len(line) for line, _ in lines[a:b]) for a, b in spans]
-        spans = [s for s, w in zip(spans, weight) if w >= share * max(weight)]
-    return "\n".join(line for a, b in spans for line, _ in lines[a:b] if line)
+    if best and sizes[best]:
+        return "\n".join(line.text for line in lines if line.article == best and line.text)
+    return "\n".join(lines[i].text for i in text_lines(lines, window, surge, dive))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,19 @@ def test_runs():
     assert html_main_text.runs([]) == [] and html_main_text.runs([0, 0]) == []
 
 
+def test_window_sums_decide():
+    long = ["A long text goes on. " * 25, "And on it goes here. " * 30]
+    body = "".join(f"<div>{t}</div>" for t in long)
+    text = "\n".join(t.strip() for t in long)
+    assert html_main_text.main_text("<div>Hom</div><div>Abo</div><div>New</div>" + body) == text  # no tell-tale tag or class
+    links = "".join(f'<div><a href="/{i}">A title of another page {i}</a></div>' for i in range(9))
+    assert html_main_text.main_text(links + body + links) == text
+    assert html_main_text.main_text("<h1>T</h1><p>" + long[0] + "</p><p>End.</p><ul><li>eggs<li>milk</ul>") == f"T\n{long[0].strip()}\nEnd.\neggs\nmilk"
+    assert html_main_text.main_text(f'<div class="page with-sidebar"><ul class="sidebar"><li>x y z</ul>{body}</div>') == text  # a word is overruled
+    assert html_main_text.main_text('<p><a href="/x">all</a><p><a href="/y">links</a>') == "all\nlinks"
+    assert html_main_text.runs([3, 3, 3, 500, 600, 5, 5, 5], 3, 120, 30) == [(1, 5)]
+
+
 def test_languages():
     rng = np.random.default_rng(0)
     words = {"xx": ["the", "thing", "and", "that"], "yy": ["der", "einheit", "und", "ung"]}
