@@ -10,6 +10,7 @@ and headings of the same container, and list items that follow it.
 Markup supports the windows. All lines of the page's article are kept. Elements that never hold it (menus, footers,
 adverts, forms, scripts and the like, by tag, role, or a word of the class or id) leave a gap of empty lines, but a word
 is overruled if its element holds more than half of the page's text outside of links and at least ``BULK`` characters.
+Attributes of inline and void elements hide nothing, nor do ids of an article's sections and headings.
 
 A null page is empty, a page without text gives the empty text, unclosed tags end with their parent, and an undecodable
 character reference stays as it is written. Repeated rows stay separate. Only the named columns are read.
@@ -41,7 +42,7 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar side widget menu navigation navbar nav breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus share sharing social related recommended pagination pager login signup search".split()
 )
 HEADED = frozenset("header masthead topbar toolbar".split())
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[^\s]")
 KEPT_ROOTS = frozenset(["html", "body", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre".split())
@@ -67,20 +68,29 @@ class Line(NamedTuple):
         return self.tag in HEADINGS or (self.tag in PARAGRAPHS and bool(SENTENCE.search(self.text)))
 
 
+def _pairs(attributes: str) -> Iterator[tuple[str, str]]:
+    """Whole name=value pairs in lower case, from the start of the string; the first of a name counts."""
+    seen = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name and name not in seen:
+            seen.add(name)
+            yield name, "".join(values).lower()
+
+
 def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
     """"never" by tag, role or visibility, "hint" by a word of the class or id, else empty."""
     if tag in NEVER or (tag in OUTSIDE and not inside):
         return "never"
-    if not attributes or tag in KEPT_ROOTS:
+    if not attributes or tag in KEPT_ROOTS or tag not in BLOCKS:
         return ""
     hint = ""
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
+    for name, value in _pairs(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return "never"
         if name == "role" and value in ROLES:
             return "never"
-        if name in ("class", "id"):
+        if name == "class" or (name == "id" and not (inside and (tag in HEADINGS or tag == "section"))):
             words = set(re.split(r"[^a-z]+", value))
             if words & WORDS or (not inside and words & HEADED):
                 hint = "hint"
@@ -100,7 +110,7 @@ def page_lines(page: str) -> list[Line]:
         if tag == "a":
             if closing and since is not None:  # a link without an end is none
                 linking[since:k] = [True] * (k - since)
-            since = None if closing or "href" not in attributes.lower() else k
+            since = None if closing or all(name != "href" for name, _ in _pairs(attributes)) else k
     outside = [0]  # characters outside of links before each tag
     for k in range(len(tags)):
         behind = page[tags[k][1] : tags[k + 1][0] if k + 1 < len(tags) else len(page)]

@@ -162,6 +162,15 @@ def test_window_sums_decide():
     assert html_main_text.runs([3, 3, 3, 500, 600, 5, 5, 5], 3, 120, 30) == [(1, 5)]
 
 
+def test_attributes_are_whole_pairs():
+    for kept in ('<a href="/hidden/valley">b</a>', '<a href="/q?id=search">b</a>', '<img alt="the hidden door">b', '<b class="share">b</b>', '<img hidden>b', "<a title='x id=menu' href=/class=nav>b</a>"):
+        assert html_main_text.main_text(f"<article><p>a {kept} c</p></article>") == "a b c"
+    for kept in ('<section id="social-policy"><p>b</p></section>', '<h2 id="related-work">b</h2>', '<div data-hidden="x" title="class=ad">b</div>', '<div data-class="ad">b</div>', '<p data-id=menu>b</p>'):
+        assert html_main_text.main_text(f"<article><p>a</p>{kept}<p>c</p></article>") == "a\nb\nc"
+    for gone in ("<div hidden>b</div>", "<div HIDDEN=''>b</div>", '<div a="x"class="ad">b</div>', "<p class=ad>b</p>", '<div style="display: none">b</div>', "<div aria-hidden=true>b</div>", "<div role=search>b</div>", '<div id="comments">b</div>'):
+        assert html_main_text.main_text(f"<article><p>a</p>{gone}<p>c</p></article>") == "a\nc"
+
+
 def test_languages():
     rng = np.random.default_rng(0)
     words = {"xx": ["the", "thing", "and", "that"], "yy": ["der", "einheit", "und", "ung"]}
