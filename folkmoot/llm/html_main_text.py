@@ -12,6 +12,9 @@ adverts, forms, scripts and the like, by tag, role, or a word of the class or id
 is overruled if its element holds more than half of the page's text outside of links and at least ``BULK`` characters.
 Attributes of inline and void elements hide nothing, nor do ids of an article's sections and headings.
 
+Comments, scripts, styles, drawings, frames, media and templates are no text; formulas and what an object holds are.
+Of these, elements that are self-closed or never closed hide nothing behind them.
+
 A null page is empty, a page without text gives the empty text, unclosed tags end with their parent, and an undecodable
 character reference stays as it is written. Repeated rows stay separate. Only the named columns are read.
 """
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE, DIVE = 120, 30
 BULK = 500
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>")
+INSIDE_TAG = r"(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>])*+)>"
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)" + INSIDE_TAG + r"|<![^>]*>|<\?[^>]*>", re.S | re.I)  # what they hold is no markup
+RAW_END = re.compile(r"</(script|style|noscript|iframe|textarea|title)\s*>", re.I)
+UNREAD = re.compile(r"<(/?)(svg|template|canvas|audio|video)" + INSIDE_TAG, re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -97,13 +103,59 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
     return hint
 
 
+def _without(page: str, cuts: list[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for start, end in cuts:
+        parts += [page[at:start], " "]
+        at = end
+    return "".join(parts) + page[at:]
+
+
+def read_part(page: str) -> str:
+    """The page without comments, scripts, drawings and the like. Of these elements a self-closed one is empty; one
+    without an end is, too, but for the text before the next tag where it holds no markup."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in reversed(list(RAW_END.finditer(page))):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    cuts, at = [], 0
+    while m := RAW.search(page, at):
+        start, at = m.span()
+        if m[1] and not m[2].endswith("/"):
+            left = ends.get(m[1].lower(), [])
+            while left and left[-1][0] < at:
+                left.pop()
+            if left:
+                at = left[-1][1]
+            else:
+                tag = TAG.search(page, at)
+                at = tag.start() if tag else len(page)
+        cuts.append((start, at))
+    page = _without(page, cuts)
+    opened: dict[str, list[tuple[int, int]]] = {}
+    whole: list[tuple[int, int]] = []
+    for m in UNREAD.finditer(page):
+        mine = opened.setdefault(m[2].lower(), [])
+        if m[1]:
+            whole.append((mine.pop()[0] if mine else m.start(), m.end()))
+        elif m[3].endswith("/"):
+            whole.append(m.span())
+        else:
+            mine.append(m.span())
+    cuts, at = [], 0
+    for start, end in sorted(whole + [span for mine in opened.values() for span in mine]):
+        if end > at:  # not inside of the one before
+            cuts.append((max(start, at), end))
+            at = end
+    return _without(page, cuts)
+
+
 def _size(text: str) -> int:
     return len(" ".join(references.unescape(text).split()))
 
 
 def page_lines(page: str) -> list[Line]:
     """Lines in page order; an empty one stands for a gap."""
-    page = RAW.sub(" ", page)
+    page = read_part(page)
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in TAG.finditer(page, 0, page.rfind(">") + 1)]
     linking, since = [False] * (len(tags) + 1), None  # by tag: whether the text behind it is in a link
     for k, (_, _, closing, tag, attributes) in enumerate(tags):

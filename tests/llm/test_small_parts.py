@@ -171,6 +171,16 @@ def test_attributes_are_whole_pairs():
         assert html_main_text.main_text(f"<article><p>a</p>{gone}<p>c</p></article>") == "a\nc"
 
 
+def test_unread_elements_hide_only_what_they_hold():
+    for tag in ("svg", "math", "iframe", "object", "canvas", "template", "audio", "video", "script", "style", "noscript", "textarea", "title"):
+        for empty in (f"<{tag}/>", f'<{tag} class="i" />', f"<{tag}>", f"<{tag}></{tag}>"):
+            assert html_main_text.main_text(f"<p>one</p>{empty}<p>two</p>") == "one\ntwo", empty
+    assert html_main_text.main_text("<p>one</p><svg class=i><p>two</p><svg><text>no</text><svg>no</svg>no</svg><p>three") == "one\ntwo\nthree"
+    assert html_main_text.main_text("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p><script>if (a<b) x") == "one\ntwo\nthree"
+    assert html_main_text.main_text('<p>a <math><mi>x</mi> = <mn>1</mn></math> b</p><object data="f"><p>instead</p></object>') == "a x = 1 b\ninstead"
+    assert html_main_text.main_text("<p>a</p><script>'<script><svg><!--'</script><p>b</p><video>no</video><!-- <svg> --><title-x>c</title-x>") == "a\nb\nc"
+
+
 def test_languages():
     rng = np.random.default_rng(0)
     words = {"xx": ["the", "thing", "and", "that"], "yy": ["der", "einheit", "und", "ung"]}
