@@ -5,9 +5,11 @@ are links, and weights are summed over a sliding window of lines: the text surge
 characters and dives where one falls to ``dive``. On a page of little text both are lower, in proportion to its fullest
 window. Lines between a surge and its dive are kept, but for short ones at either end that are no headings or sentences.
 Lines outside that belong to a kept run stay with it: what stands between two of its lines in one container, sentences
-and headings of the same container, and list items that follow it.
+and headings of the same container, and paragraphs of the container or list items that follow it, behind a gap, too.
 
-Markup supports the windows. All lines of the page's article are kept. Elements that never hold it (menus, footers,
+Markup supports the windows. All lines of the article that holds most text are kept, and of those beside it in the same
+container, or of at least ``LIKE`` times its characters a line, unless they are mostly links; if the runs outside hold
+more text than these, and at least ``BULK`` characters, the windows alone decide. Elements that never hold it (menus, footers,
 adverts, forms, scripts and the like, by tag, role, or a word of the class or id) leave a gap of empty lines, but a word
 is overruled if its element holds more than half of the page's text outside of links and at least ``BULK`` characters.
 Attributes of inline and void elements hide nothing, nor do ids of an article's sections and headings.
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE, DIVE = 120, 30
 BULK = 500
+LIKE = 0.5
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>")
 INSIDE_TAG = r"(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>])*+)>"
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)" + INSIDE_TAG + r"|<![^>]*>|<\?[^>]*>", re.S | re.I)  # what they hold is no markup
@@ -62,8 +65,9 @@ class Line(NamedTuple):
     text: str
     article: int  # which of the page's top-level article elements, 0 outside of them
     linked: int = 0  # characters in links
-    place: int = 0  # container
-    tag: str = ""  # block that the line stands in
+    place: int = 0  # container that holds the line's block
+    tag: str = ""  # that block
+    parent: int = 0  # container that holds the article
 
     @property
     def weight(self) -> int:
@@ -169,16 +173,17 @@ def page_lines(page: str) -> list[Line]:
         outside.append(outside[-1] + (0 if linking[k] else len(behind.strip())))
     lines: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container, the one around it
     open_: dict[str, int] = {}  # containers on the stack, by tag
-    at = k = number = depth = linked = places = 0
+    at = k = number = depth = linked = places = parent = 0
     block = ""
 
     def end_line() -> None:
         nonlocal linked
         line = " ".join(references.unescape("".join(text)).split())
         if line:
-            lines.append(Line(line, number if depth else 0, linked, stack[-1][1], block or stack[-1][0]))
+            tag, place, around = stack[-1]
+            lines.append(Line(line, number if depth else 0, linked, place if block else around, block or tag, parent))
         text.clear()
         linked = 0
 
@@ -213,7 +218,8 @@ def page_lines(page: str) -> list[Line]:
             continue
         if tag in ("article", "main"):
             if not closing:
-                number += depth == 0
+                if not depth:
+                    number, parent = number + 1, stack[-1][1]
                 depth += 1
             else:
                 depth = max(0, depth - 1)
@@ -228,7 +234,7 @@ def page_lines(page: str) -> list[Line]:
             if tag in UNCLOSED and stack[-1][0] == tag:
                 open_[stack.pop()[0]] -= 1
             places += 1
-            stack.append((tag, places))
+            stack.append((tag, places, stack[-1][1]))
             open_[tag] = open_.get(tag, 0) + 1
     text.append(page[at:])
     end_line()
@@ -284,21 +290,32 @@ def text_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE, di
     depth, behind = 0, False
     for i, line in enumerate(lines):
         depth += inner[i]
-        item = behind and line.tag in ITEMS
-        kept[i] = kept[i] or (weights[i] > 0 and (depth > 0 or item or (line.prose and line.place in ends)))
+        if not line.text:  # a gap parts nothing
+            continue
+        held = line.place in ends
+        follows = behind and (line.tag in ITEMS or (held and not line.linked and (line.tag in PARAGRAPHS or bool(SENTENCE.search(line.text)))))
+        kept[i] = kept[i] or (weights[i] > 0 and (depth > 0 or follows or (line.prose and held)))
         behind = kept[i]
     return [i for i, line in enumerate(lines) if kept[i] and line.text]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
     lines = page_lines(page or "")
-    sizes: dict[int, int] = {}
+    articles: dict[int, list[Line]] = {}
     for line in lines:
-        sizes[line.article] = sizes.get(line.article, 0) + len(line.text)
-    best = max((a for a in sizes if a), key=lambda a: (sizes[a], -a), default=0)
-    if best and sizes[best]:
-        return "\n".join(line.text for line in lines if line.article == best and line.text)
-    return "\n".join(lines[i].text for i in text_lines(lines, window, surge, dive))
+        if line.article and line.text:
+            articles.setdefault(line.article, []).append(line)
+    spread = text_lines(lines, window, surge, dive)
+    if articles:
+        weight = {a: sum(len(line.text) - line.linked for line in own) for a, own in articles.items()}
+        best = max(articles, key=lambda a: (weight[a], sum(len(line.text) for line in articles[a]), -a))
+        density = {a: weight[a] / len(own) for a, own in articles.items()}
+        near = {a for a, own in articles.items() if own[0].parent == articles[best][0].parent or density[a] >= LIKE * density[best]}
+        chosen = {a for a in near if 2 * weight[a] > sum(len(line.text) for line in articles[a])} | {best}
+        others = sum(lines[i].weight for i in spread if not lines[i].article)
+        if others < BULK or others <= sum(weight[a] for a in chosen):
+            return "\n".join(line.text for line in lines if line.article in chosen and line.text)
+    return "\n".join(lines[i].text for i in spread)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,6 +181,18 @@ def test_unread_elements_hide_only_what_they_hold():
     assert html_main_text.main_text("<p>a</p><script>'<script><svg><!--'</script><p>b</p><video>no</video><!-- <svg> --><title-x>c</title-x>") == "a\nb\nc"
 
 
+def test_articles_and_runs_are_compared():
+    long = ("A long text goes on. " * 30).strip()
+    cards = '<div><article><a href="/1">The title of another page</a></article><article><h3><a href="/2">One more</a></h3><p>Why.</p></article></div>'
+    assert html_main_text.main_text(f"<article><h2>A</h2><p>{long}</p></article><article><h2>B</h2><p>Short post.</p></article>{cards}") == f"A\n{long}\nB\nShort post."
+    assert html_main_text.main_text(f"<div><article><p>{long}</p></article></div><div><article><p>{long[:400]}</p></article></div>") == f"{long}\n{long[:400]}"
+    assert html_main_text.main_text(f"<div><article><p>Read this</p></article></div><div><p>{long}</p><p>End.</p></div>") == f"{long}\nEnd."
+    assert html_main_text.main_text(f"<article><p>{long}</p></article><div>{long[:300]}</div>") == long
+    for gap in ('<div class="ad">Buy it now, it is the best.</div>', "<form><p>Your name</p></form>"):
+        assert html_main_text.main_text(f"<div><p>{long * 3}</p>{gap}<p>Thanks to all</p></div>") == f"{long * 3}\nThanks to all"
+        assert html_main_text.main_text(f"<div>{long * 3}</div>{gap}<div>Thanks to all.</div>") == f"{long * 3}\nThanks to all."
+
+
 def test_languages():
     rng = np.random.default_rng(0)
     words = {"xx": ["the", "thing", "and", "that"], "yy": ["der", "einheit", "und", "ung"]}
