@@ -1,13 +1,12 @@
 """A corpus pipeline of five operators: language ID, exact dedup, n-gram join, mixing, piece encoding.
 
 Each stage works on all rows that the one before it kept, and all but the last return the columns of ``documents``.
-Rows that share a doc_id but not a text are told apart by the exact dedup; the two stages after it decide by doc_id, so
-such rows stay, go or repeat together.
+Rows that share a doc_id, or have none, are told apart by their text and source, so each stays, goes or repeats on its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folkmoot.llm import exact_dedup, lang_id, mixing, ngram_join, piece_sampling
@@ -15,6 +14,17 @@ from folkmoot.llm._common import stored, table
 from folkmoot.llm.queries import PIECE_MODEL, tokenizer_path
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a row_key of doc_id, source and text. Rows of one key are alike to all stages."""
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("source", F.col("source").isNull())), F.hex(F.xxhash64("text", F.col("text").isNull()))]
+    return docs.withColumn("row_key", F.concat_ws("/", *parts))
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """With the place of a row among those of its row_key."""
+    return rows.withColumn("alike", F.row_number().over(Window.partitionBy("row_key").orderBy(*order)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language a model trained on the labelled ones is sure of."""
     model = lang_id.fit(docs)
@@ -29,18 +39,25 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity of 0.8 or more, the one with the smallest doc_id."""
-    classes = ngram_join.ngram_join(docs)
-    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    # As many ids as near copies: joined by a shuffle at any size, never by sending them to every task.
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    classes = ngram_join.ngram_join(rows, key_col="row_key")
+    first = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    # More than one only for rows without shingles: each of them is a class of its own.
+    first = first.groupBy("row_key").agg(F.count(F.lit(1)).alias("stay"))
+    # As many keys as documents stay: joined by a shuffle at any size, never by sending them to every task.
+    rows = numbered(rows, *[F.col(c) for c in docs.columns if c in ("lang", "n_chars")] or [F.lit(0)])
+    return rows.join(first.hint("merge"), "row_key").filter(F.col("alike") <= F.col("stay")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("times"))
-    ids = docs.withColumn("id_or_none", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    taken = taken.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_or_none"), "times")
-    return ids.join(taken, "id_or_none").withColumn("nth", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    rows = keyed(docs)
+    # Rows of one source take two numbers of copies at most, so these say all of the rows of one key.
+    taken = mixing.mix(rows, key_col="row_key").groupBy("row_key", "copies").agg(F.count(F.lit(1)).alias("n"))
+    taken = taken.groupBy("row_key").agg(F.max(F.struct("copies", "n")).alias("most"), F.min("copies").alias("least"))
+    rows = numbered(rows, *[F.col(c) for c in docs.columns if c in ("lang", "n_chars")] or [F.lit(0)])
+    times = F.when(F.col("alike") <= F.col("most.n"), F.col("most.copies")).otherwise(F.col("least"))
+    return rows.join(taken, "row_key").withColumn("times", times.cast("int")).filter("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

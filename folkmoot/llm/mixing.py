@@ -97,14 +97,16 @@ def _fly(final: bool):
     return run
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 17, key_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and row_key with a ``key_col``.
 
     Sources in order of code points, null last, have ``weights`` in turn. The table of sources alone (one row each,
     as many as a mix has weights to set) is read by the driver; documents are dealt by source and block.
     """
     spark = docs.sparkSession
+    carried = [] if key_col is None else ["row_key"]
     rows = docs.select(
+        *([] if key_col is None else [F.col(key_col).cast("string").alias("row_key")]),
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size")
     )
     rows = stored(rows, "sizes")
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str
     facts = [(r["source"], s, t, t / s if s else 0.0, max(1, math.ceil(r["n"] / block_rows))) for r, s, t in zip(table, sizes, targets)]
     sources = spark.createDataFrame(facts, "source string, source_size long, target double, ratio double, blocks long")
     whole = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    twin = Window.partitionBy("doc_id").orderBy("source", "size")  # repeated ids get rows of their own
+    twin = Window.partitionBy("doc_id").orderBy("source", "size", *carried)  # repeated ids get rows of their own
     whole = whole.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.row_number().over(twin).cast("string")))
     whole = whole.withColumns({"base": F.floor("ratio"), "p": F.col("ratio") - F.floor("ratio"), "draw": F.xxhash64("row", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))})
     whole = stored(whole, "shares")
@@ -132,7 +134,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str
         now = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("blocks", F.ceil(2 * F.col("blocks") / block_rows).cast("long")).withColumn("draw", F.xxhash64("row", "draw").bitwiseAND(F.lit((1 << 62) - 1)))
         most = math.ceil(2 * most / block_rows)
     if decided is None:
-        return whole.select("doc_id", "source", "size", "source_size", "target", F.col("base").alias("copies"), F.col("base").alias("taken"))
+        return whole.select("doc_id", "source", "size", "source_size", "target", F.col("base").alias("copies"), F.col("base").alias("taken"), *carried)
     out = whole.join(decided.select("row", F.col("p").cast("long").alias("one_more")), "row", "left")
     copies = F.col("base") + F.coalesce("one_more", F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carried)

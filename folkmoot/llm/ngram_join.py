@@ -118,9 +118,10 @@ def _sets(n: int, threshold: float, runs: int):
                     sizes.append(len(small))
                     keys.append(np.unique(picked(s, seeds, threshold)[1].view(np.int64)) if len(s) else np.zeros(0, np.int64))
                     tokens.append(small.tobytes())
+                carried = [c.slice(at, to - at) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:to], pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
-                    names=["doc_id", "digest", "n", "keys", "tokens"],
+                    [pa.array(ids[at:to], pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary()), *carried],
+                    names=["doc_id", "digest", "n", "keys", "tokens", *batch.schema.names[2:]],
                 )
                 at = to
 
@@ -236,11 +237,13 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("uid", "label")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = 256, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = 256, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id that links reach), n_links (documents at or above the
-    threshold, copies included), copy_of (smallest doc_id with the same set) and n_shingles."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = texts.mapInArrow(_sets(n, threshold, runs_for(recall, depth)), "doc_id bigint, digest binary, n int, keys array<bigint>, tokens binary")
+    threshold, copies included), copy_of (smallest doc_id with the same set) and n_shingles. With a ``key_col`` also
+    row_key, a string carried along, and class_key, which tells classes apart where ids repeat or are null."""
+    carried = [] if key_col is None else [F.col(key_col).cast("string").alias("row_key")]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
+    sets = texts.mapInArrow(_sets(n, threshold, runs_for(recall, depth)), "doc_id bigint, digest binary, n int, keys array<bigint>, tokens binary" + (", row_key string" if carried else ""))
     # Dealt by uid once, and kept so: tokens are then joined to buckets again and again without another shuffle.
     with bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets") as dealt:
         return stored(_joined(dealt, threshold, limit, depth), "similar")
@@ -289,12 +292,14 @@ def _joined(sets: DataFrame, threshold: float, limit: int, depth: int) -> DataFr
     labels = connected(found.select("uid", "root").filter("uid <> root"))
     named = classes.join(labels.withColumnRenamed("uid", "rep"), "rep").join(links.withColumnRenamed("uid", "rep"), "rep", "left")
     heads = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    linked = named.join(heads, "label").select("digest", "class_id", "links")
-    out = sets.select("doc_id", "digest", "n").join(classes.join(linked, "digest", "left"), "digest", "left")
+    linked = named.join(heads, "label").select("digest", "class_id", "links", "label")
+    carried = [c for c in sets.columns if c == "row_key"]
+    out = sets.select("doc_id", "digest", "n", "uid", *carried).join(classes.join(linked, "digest", "left"), "digest", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.col("n").alias("n_shingles"),
+        *([*carried, F.coalesce("label", "rep", "uid").alias("class_key")] if carried else []),
     )

@@ -2,7 +2,7 @@
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -248,3 +248,27 @@ def test_pipeline(spark):
         smallest[c] = min(i, smallest.get(c, i))
     assert sorted(i for i, _ in local(seen["near_copies"])) == sorted(smallest.values())
     assert seen["pieces"].count() == seen["mixture"].count() and seen["pieces"].filter("not lossless").count() == 0
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+
+    near = text(1).split()
+    changed = [" ".join([*near[:-1], f"changed{i}"]) for i in range(6)]
+    rows = [(1, changed[0]), (2, changed[1]), (2, text(5)), (3, text(6)), (3, " ".join([*text(6).split()[:-1], "x"])), (None, changed[2]), (None, changed[3]), (None, text(7)), (None, text(8)), (None, " ".join([*text(8).split()[:-1], "x"])), (4, ""), (4, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, "").collect()]
+    alone = [(1, changed[0]), (2, text(5)), (None, text(7)), (4, ""), (4, ""), (5, None)]
+    assert all(got.count(x) == alone.count(x) for x in alone) and len(got) == len(alone) + 2
+    assert sum(i == 3 for i, _ in got) == 1 and sum(t is not None and t.startswith(text(8)[:200]) for _, t in got) == 1
+    rows = [(1, text(k, 5 + k), f"s{k % 2}") for k in range(30)] + [(None, text(40 + k, 5 + k), None) for k in range(9)] + [(7, text(9), "s0")] * 3
+    df = spark.createDataFrame([(i, t, "en", s, k) for k, (i, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = Counter(r.n_chars for r in corpus_pipeline.mixture(spark, df, "").collect())
+    told = mixing.mix(corpus_pipeline.keyed(df), key_col="row_key").collect()
+    keys = {r.n_chars: r.row_key for r in corpus_pipeline.keyed(df).collect()}
+    want, have = defaultdict(list), defaultdict(list)
+    for r in told:
+        want[r.row_key].append(r.copies)
+    for k in range(len(rows)):
+        have[keys[k]].append(got[k])
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()} and len({tuple(v) for v in have.values()}) > 1
