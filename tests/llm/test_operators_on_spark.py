@@ -203,6 +203,25 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2), (0, 3), (2, 0), (2, 1), (2, 3)]
 
 
+def test_nearest_without_floor(spark, monkeypatch):
+    monkeypatch.setattr(ann_forest, "LEAST_REACHED", 0)
+    assert "LEAST_REACHED" in ann_forest.__doc__
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20, 16))[np.arange(1000) % 20] + 0.3 * rng.standard_normal((1000, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def recall(share):
+        got = defaultdict(set)
+        for r in ann_forest.nearest(df, lambda c: c % 25 == 0, k=10, trees=8, depth=4, search_share=share).collect():
+            got[r.query_id].add(r.vec_id)
+        exact = {q: [i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if i != q][:10] for q in range(0, 1000, 25)}
+        return sum(len(got[q] & set(exact[q])) for q in exact) / (10 * len(exact))
+
+    few, many = recall(0.05), recall(1.1)
+    print("recall", few, many)
+    assert few < 1 and many >= 0.9
+
+
 def test_chat(spark):
     probe = "</s>[INST] ok [/INST] \\ <s> <|x|> <<SYS>> <</SYS>> \\n \\\\"
     turns = [(1, 0, "user", probe), (1, 1, "assistant", probe), (1, 1, "assistant", probe), (2, 0, None, None), (2, 1, "assistant", ""), (None, 0, "user", "x"), (3, None, "assistant", "é🙂" * 20_000)]
