@@ -955,6 +955,16 @@ def k5(s, d):
     return evidence.evidence_text(b.table(s, d, "nation").select("n_name", "n_nationkey"), ["n_name"], 100)
 
 
+@query(
+    "k5_evidence_text_documents",
+    """SELECT concat_ws(chr(10), 'doc_id: ' || CAST(doc_id AS VARCHAR), CASE WHEN trim(lang, ' ') <> '' THEN 'lang: ' || lang END,
+    CASE WHEN trim(text, ' ') <> '' THEN 'text: ' || CASE WHEN length(text) > 2000 THEN left(text, 1500) || '... [truncated] ...' || right(text, 500) ELSE text END END) AS line
+    FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100)""",
+)
+def k5_documents(s, d):
+    return evidence.evidence_text(b.table(s, d, "documents").select("doc_id", "lang", "text"), ["doc_id"], 100)
+
+
 @query("k6_source_links", f"SELECT upper(symbol) AS symbol, 'https://docs.un.org/en/' || upper(symbol) AS url FROM {DOCS}")
 def k6(s, d):
     docs = b.documents(s, d)

@@ -188,3 +188,11 @@ def test_empty_inputs(spark, t):
     assert aggregates.vote_tallies(none["docs"].select(F.col("id").alias("document_id")), none["votes"], "document_id").count() == 0
     stats = aggregates.sponsor_stats(spark.createDataFrame([], "sponsor_count int, final_outcome string")).first()
     assert (stats.mean_sponsors, stats.std_sponsors, stats.adoption_rate) == (30, 10, 0.5)
+
+
+def test_evidence_of_a_table_that_grows(spark):
+    from folkmoot.plans import registry
+
+    lines = [r["line"] for r in registry.QUERIES["k5_evidence_text_documents"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(lines) == 100 < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert any("... [truncated] ..." in line for line in lines)
