@@ -22,7 +22,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def semantic_search(df: DataFrame, query: list[float], vector: str, keep: list[str], id_col: str, condition: Column | None = None, min_similarity: float = 0.5, k: int = 10, text: str | None = None) -> DataFrame:
-    """Rows most similar to a query vector, ties by id; similarity rounded to 4 places."""
+    """Rows most similar to a query vector, ties by id; similarity rounded to 4 places."""
     rows = df if condition is None else df.filter(condition)
     q = F.array(*[F.lit(float(x)) for x in query])
     own = sum(float(x) ** 2 for x in query) ** 0.5
@@ -31,6 +31,18 @@ def semantic_search(df: DataFrame, query: list[float], vector: str, keep: list[s
     return scored.filter(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), id_col).limit(k).select(*keep, *shown, F.round("similarity", 4).alias("similarity"))
 
 
+def semantic_search_utterances(utterances: DataFrame, documents: DataFrame, query: list[float], vector: str = "text_embedding", speakers: list[str] | None = None, session: int | None = None, min_similarity: float = 0.5, k: int = 10) -> DataFrame:
+    """The utterances most similar to a query vector, with the symbol of their meeting. An affiliation has to hold one
+    of ``speakers`` in any case of letters, a meeting to be of the ``session``; none of them, or 0, asks for all."""
+    meetings = documents.select(F.col("id").alias("meeting_id"), F.col("symbol").alias("meeting_symbol"), F.col("session").alias("meeting_session"))
+    if session:
+        meetings = meetings.filter(F.col("meeting_session") == session)
+    if speakers:
+        utterances = utterances.filter(F.exists(F.array(*[F.lit(f"%{s}%") for s in speakers]), lambda like: F.call_function("like", F.lower("speaker_affiliation"), F.lower(like))))
+    found = semantic_search(utterances.join(meetings, "meeting_id"), query, vector, ["id", "speaker_affiliation", "speaker_name", "agenda_item_number", "meeting_symbol"], "id", min_similarity=min_similarity, k=k, text="text")
+    return found.withColumnsRenamed({"agenda_item_number": "agenda_item", "text": "text_preview"})
+
+
 def semantic_search_batch(df: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, queries_in_block: int = 256) -> DataFrame:
     """(query_id, rank, id, similarity) of each query's k best rows.
 

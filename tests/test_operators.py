@@ -196,3 +196,14 @@ def test_evidence_of_a_table_that_grows(spark):
     lines = [r["line"] for r in registry.QUERIES["k5_evidence_text_documents"](spark, "/root/testdata/sf0.001").collect()]
     assert len(lines) == 100 < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert any("... [truncated] ..." in line for line in lines)
+
+
+def test_search_of_utterances(spark):
+    said = [(1, 10, "FRANCE", "A", "1", "x" * 600, [1.0, 0.0]), (2, 10, "Chad", "B", None, "y", [1.0, 1.0]), (3, 11, "France", "C", None, "z", [1.0, 0.1]), (4, 99, "France", "D", None, "no meeting", [1.0, 0.0]), (5, 10, None, "E", None, "w", [1.0, 0.0]), (6, 10, "France", "F", None, "v", None)]
+    u = spark.createDataFrame(said, "id long, meeting_id long, speaker_affiliation string, speaker_name string, agenda_item_number string, text string, text_embedding array<double>")
+    m = spark.createDataFrame([(10, "A/78/PV.1", 78), (11, "A/77/PV.1", 77)], "id long, symbol string, session int")
+    ids = lambda **how: [r.id for r in vectors.semantic_search_utterances(u, m, [1.0, 0.0], **how).collect()]
+    assert ids() == [1, 5, 3, 2] and ids(speakers=["franc", "CHAD"]) == [1, 3, 2]
+    assert ids(session=78) == [1, 5, 2] and ids(session=77, speakers=["france"]) == [3]
+    first = vectors.semantic_search_utterances(u, m, [1.0, 0.0], speakers=["fr"], k=1).first()
+    assert first.asDict() == {"id": 1, "speaker_affiliation": "FRANCE", "speaker_name": "A", "agenda_item": "1", "meeting_symbol": "A/78/PV.1", "text_preview": "x" * 500, "similarity": 1.0}
