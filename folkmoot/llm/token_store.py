@@ -12,26 +12,35 @@ columns are read, so further columns never clash.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"DAC1"
 RANK_EVERY = 512  # bits of a bitmap to an entry of its rank directory
-SHARD_SCHEMA = "part int, seq int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, code binary"
-UINT32 = "I"
-MARKS = frozenset([b".", b","])
-LETTERS = frozenset(bytes([c]) for c in range(ord("a"), ord("z") + 1))
+SHARD_SCHEMA = "part int, seq int, before bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, code binary"
+MOST_PARTS = 2_000_000  # rows of (part, offset) that are sent to every task; more are joined by a shuffle
+#: The text rules under which a text may be encoded word by word. White space parts tokens, a run of
+#: letters is one piece and a run of marks another, so the ids of a text are those of its words, and the ids of a word
+#: are those of the marks and letters it is made of.
+WORDWISE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = "<|"  # how special tokens begin; a word that holds it is never cut or lowered
+MARKS = r"[!-&(-/:;=>?@\[-`{-~]*"  # of ASCII, without the apostrophe and what begins a special token
+WORD = f"^(?P<lead>{MARKS})(?P<core>[a-zÀ-ÖØ-öø-ÿ]+)(?P<rest>{MARKS})$"
 ENCODE_SLICE = 1024  # words handed to the tokenizer at once
-CACHED_WORDS = 200_000  # words to a generation of a worker's cache; it has two
+CACHED_WORDS = 300_000  # of a worker; beyond them the half used last stays
+SLICE_BYTES = 1 << 21  # of text encoded at once
+SPACE = re.compile(rb"[ \t\n\v\f\r]")
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -116,24 +125,43 @@ def _alphabet() -> dict[int, str]:
 ALPHABET = _alphabet()
 
 
-def spelling(word: bytes) -> str | None:
+def spelling(word: str) -> str | None:
     """A word of Latin letters only, as the normalizer and pre-tokenizer would hand it to the model: one run in lower
     case, spelled in bytes. None for any other word, which goes through the whole tokenizer."""
-    text = word.decode("utf-8")
-    if not text.isalpha():
+    if not word.isalpha():
         return None
-    if text.isascii():
-        return text.lower()
-    if max(text) >= "\u0250" or not (text := text.lower()).isalpha() or max(text) >= "\u0250":
+    if word.isascii():
+        return word.lower()
+    if max(word) >= "\u0250" or not (word := word.lower()).isalpha() or max(word) >= "\u0250":
         return None
-    return text.encode("utf-8").decode("latin-1").translate(ALPHABET)
+    return word.encode("utf-8").decode("latin-1").translate(ALPHABET)
+
+
+def wordwise(tokenizer_json: str) -> bool:
+    """Whether a tokenizer follows the rules under which texts may be encoded word by word."""
+    spec = json.loads(tokenizer_json)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": WORDWISE_SPLIT}, "behavior": "Removed", "invert": True}
+    return (
+        spec.get("normalizer") == WORDWISE_NORMALIZER
+        and len(steps) == 2 and steps[0] == split and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        and not any((spec.get(k) for k in ("truncation", "padding", "post_processor")))
+        and all(t["content"].startswith(SPECIAL) and not SPACE.search(t["content"].encode()) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+    )
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + length], one behind the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordEncoder:
-    """Encodes texts by their distinct words.
+    """Encodes slices of texts in Arrow: split at white space, make words distinct, and gather their ids.
 
-    White space never joins a token of this kind of vocabulary (the pre-tokenizer drops it and the normalizer works
-    on either side of it alone), so the ids of a text are those of its words, and a word is encoded once per cache.
+    Distinct words are cut into marks and letters, and only pieces that the cache lacks reach the tokenizer. The cache
+    is one Arrow array of pieces beside one array of ids with offsets. A tokenizer with other rules than ``wordwise``
+    asks for gets whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -141,79 +169,158 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.marks = {m: array(UINT32, self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in MARKS}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # The normalizer lowers case anyway; lowering ASCII first makes fewer words. Not where a special token may hide.
-        raw = [text.encode("utf-8") for text in texts]
-        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache, self.older = {}, self.cache
-        missing = set(chain.from_iterable(words)).difference(self.cache)
-        fresh, ended = set(), []
-        for w in missing:
-            if (code := self.older.get(w)) is not None:
-                self.cache[w] = code
-            elif w[-1:] in MARKS and (core := w[:-1])[-1:] in LETTERS:
-                # A mark behind a letter is a token run of its own, so the word is encoded without it.
-                ended.append((w, core))
-                if core not in self.cache:
-                    if (code := self.older.get(core)) is not None:
-                        self.cache[core] = code
-                    else:
-                        fresh.add(core)
-            else:
-                fresh.add(w)
-        rest = []
-        for w in fresh:
-            if (spelled := spelling(w)) is None:
-                rest.append(w)
-            else:
-                self.cache[w] = array(UINT32, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        for k in range(0, len(rest), ENCODE_SLICE):
-            some = rest[k : k + ENCODE_SLICE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.cache[w] = array(UINT32, e.ids).tobytes()
-        for w, core in ended:
-            self.cache[w] = self.cache[core] + self.marks[w[-1:]]
-        return [b"".join(map(self.cache.__getitem__, doc)) for doc in words]
-
-
-def _shards(tokenizer_file: str, end_id: int, shard_tokens: int):
-    end = np.array([end_id], "<u4").tobytes()
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.wordwise = wordwise(f.read())
+        self.pieces = pa.array([""], pa.large_string())
+        self.ids, self.starts, self.lengths, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.turn = 0
+
+    def _tokenize(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        odd: list[int] = []
+        for k, word in enumerate(words):
+            spelled = spelling(word)
+            out.append(None if spelled is None else [t.id for t in self.model.tokenize(spelled)])
+            if spelled is None:
+                odd.append(k)
+        for a in range(0, len(odd), ENCODE_SLICE):
+            some = odd[a : a + ENCODE_SLICE]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        encoder, ids, counts, parts, total = WordEncoder(tokenizer_file), [], [], [], 0
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the cache has each of these distinct pieces; those it lacks are encoded."""
+        self.turn += 1
+        if len(self.pieces) > CACHED_WORDS:
+            stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
+            self.pieces = self.pieces.take(pa.array(stay))
+            self.ids, self.lengths, self.used = ragged(self.ids, self.starts[stay], self.lengths[stay]), self.lengths[stay], self.used[stay]
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        at = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacking = at < 0
+        if lacking.any():
+            fresh = pieces.filter(pa.array(lacking))
+            coded = self._tokenize(fresh.to_pylist())
+            at[lacking] = len(self.pieces) + np.arange(len(fresh))
+            lengths = np.array([len(c) for c in coded], np.int64)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(lengths.sum()))])
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+        self.used[at] = self.turn
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each text."""
+        if not self.wordwise:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            lengths = np.array([len(c) for c in coded], np.int64)
+            return np.fromiter((i for c in coded for i in c), np.uint32, int(lengths.sum())), lengths
+        words = pc.ascii_split_whitespace(texts)
+        distinct = words.values.dictionary_encode()
+        names = distinct.dictionary
+        names = pc.if_else(pc.match_substring(names, SPECIAL), names, pc.ascii_lower(names))
+        cut = pc.extract_regex(names, WORD)
+        whole = cut.is_null()
+        none = pa.scalar("", names.type)
+        lead, core, rest = (pc.if_else(whole, other, cut.field(c)) for c, other in (("lead", none), ("core", names), ("rest", none)))
+        pieces = pa.concat_arrays([lead, core, rest]).dictionary_encode()
+        at = self._places(pieces.dictionary)[pieces.indices.to_numpy()].reshape(3, -1).T.ravel()
+        of_words, lengths = ragged(self.ids, self.starts[at], self.lengths[at]), self.lengths[at].reshape(-1, 3).sum(1)
+        which = distinct.indices.to_numpy()
+        starts, lengths = (np.cumsum(lengths) - lengths)[which], lengths[which]
+        before = np.concatenate([[0], np.cumsum(lengths)])[words.offsets.to_numpy()]
+        return ragged(of_words, starts, lengths), np.diff(before)
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, int, bool]]:
+    """(texts, number of documents that they end, whether the last one goes on): consecutive texts of about ``most``
+    bytes. A longer text is cut at white space, so that its words stay whole."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(texts):
+        if sizes[at] > 2 * most:
+            raw, a = texts[at].as_py().encode("utf-8"), 0
+            while a < len(raw):
+                cut = SPACE.search(raw, a + most)
+                z = cut.end() if cut else len(raw)
+                yield pa.array([raw[a:z].decode("utf-8")], pa.large_string()), int(z == len(raw)), z < len(raw)
+                a = z
+            at += 1
+        else:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            to = max(at + 1, to)
+            yield texts.slice(at, to - at), to - at, False
+            at = to
+
+
+class _Shards:
+    """Collects documents of a write task and gives out shards of about ``most`` tokens."""
+
+    def __init__(self, part: int, end_id: int, most: int):
+        self.part, self.end_id, self.most = part, np.uint32(end_id), most
+        self.seq = self.before = self.total = 0
+        self.doc_ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.parts: list[np.ndarray] = []
+        self.open = 0  # tokens so far of a document that goes on
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
+        if goes_on:
+            self.parts.append(ids)
+            self.open += len(ids)
+            return
+        ends = np.cumsum(counts)
+        at = 0  # documents of these that are dealt with
+        while at < len(counts):
+            # Up to and with the document that fills the shard.
+            full = int(np.searchsorted(ends - (ends[at - 1] if at else 0) + np.arange(1, len(counts) + 1) - at, self.most - self.total - self.open))
+            to = min(len(counts), max(full, at) + 1)
+            first = int(ends[at - 1]) if at else 0
+            own, n = ids[first : int(ends[to - 1])], counts[at:to]
+            with_ends = np.full(len(own) + len(n), self.end_id, np.uint32)
+            stays = np.ones(len(with_ends), bool)
+            stays[np.cumsum(n + 1) - 1] = False
+            with_ends[stays] = own
+            n = n + 1
+            n[0] += self.open
+            self.total, self.open = self.total + int(n.sum()), 0
+            self.parts.append(with_ends)
+            self.doc_ids += doc_ids[at:to]
+            self.counts += n.tolist()
+            at = to
+            if self.total >= self.most:
+                yield self.shard()
+
+    def shard(self) -> pa.RecordBatch:
+        code = dac_encode(np.concatenate(self.parts))
+        out = pa.RecordBatch.from_pydict(
+            {"part": pa.array([self.part], pa.int32()), "seq": pa.array([self.seq], pa.int32()), "before": pa.array([self.before], pa.int64()), "doc_ids": pa.array([self.doc_ids], pa.list_(pa.int64())),
+             "doc_tokens": pa.array([self.counts], pa.list_(pa.int64())), "n_tokens": pa.array([self.total], pa.int64()), "code": pa.array([code], pa.binary())}
+        )
+        self.seq, self.before, self.total = self.seq + 1, self.before + self.total, 0
+        self.doc_ids, self.counts, self.parts = [], [], []
+        return out
 
-        def shard() -> pa.RecordBatch:
-            code = dac_encode(np.frombuffer(b"".join(parts), "<u4"))
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                 "doc_tokens": pa.array([counts], pa.list_(pa.int64())), "n_tokens": pa.array([total], pa.int64()), "code": pa.array([code], pa.binary())}
-            )
 
+def _shards(tokenizer_file: str, end_id: int, shard_tokens: int, slice_bytes: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, shards = WordEncoder(tokenizer_file), _Shards(TaskContext.get().partitionId(), end_id, shard_tokens)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, code in zip(some.column(0).to_pylist(), encoder.encode(texts)):
-                    ids.append(doc_id)
-                    counts.append(len(code) // 4 + 1)
-                    parts += (code, end)
-                    total += counts[-1]
-                    if total >= shard_tokens:
-                        yield shard()
-                        seq, ids, counts, parts, total = seq + 1, [], [], [], 0
-        if ids:
-            yield shard()
+            ids, at = batch.column(0).to_pylist(), 0
+            for texts, n, goes_on in slices(batch.column(1).cast(pa.large_string()).fill_null(""), slice_bytes):
+                yield from shards.add(ids[at : at + n], *encoder.encode(texts), goes_on)
+                at += n
+        if shards.counts:
+            yield shards.shard()
 
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, slice_bytes: int = SLICE_BYTES) -> None:
     """Encode every whole text, append ``end_id`` and write the shards in ascending order of id.
 
     One range shuffle of (id, text) sorts the documents; shards are cut inside its partitions, so a task holds one
@@ -221,12 +328,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
     """
     by_id = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by_id = by_id.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    by_id.mapInArrow(_shards(tokenizer_file, end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
+    by_id.mapInArrow(_shards(tokenizer_file, end_id, shard_tokens, slice_bytes), SHARD_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # a shard at a time
+            row = batch.slice(k, 1).to_pylist()[0]
             reader, counts = DacReader(row["code"]), np.array(row["doc_tokens"], np.int64)
             ends = np.cumsum(counts)
             ids = reader.slice(0, len(reader)).astype("<u4")
@@ -239,16 +347,14 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the shards: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32.
 
-    Starts come from sums over whole shards: per part in a window over parts (as many rows as the write had tasks),
-    then over the shards of a part.
+    A shard knows the tokens before it in its part, so only the sums of whole parts (one row for each task of the write)
+    go through a window; they are sent to every task up to ``MOST_PARTS`` of them. Codes are not shuffled.
     """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    sizes = shards.select("part", "seq", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0)).alias("part_before"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("shard_before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
-    sizes = sizes.select("part", "seq", (F.col("part_before") + F.col("shard_before")).alias("before"))
-    whole = shards.join(sizes, ["part", "seq"]).select("before", "doc_ids", "doc_tokens", "code")
+    few = parts.limit(MOST_PARTS + 1).count() <= MOST_PARTS
+    whole = shards.join(F.broadcast(parts) if few else parts.hint("shuffle_hash"), "part")
+    whole = whole.select((F.col("part_before") + F.col("before")).alias("before"), "doc_ids", "doc_tokens", "code")
     return whole.mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,11 +28,36 @@ def test_dac_gives_every_token(ids, data):
         reader[len(ids)]
 
 
-def test_words_encode_as_whole_texts_do():
-    e = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["", "Hello, World! don't 3.14", "É  ́b ǅ İ \x1c\x85a <|endoftext|> x<|ENDOFTEXT|>y", "ΑΣ ΑΣ. ß", "a" * 5000, "\t\n", "日本語 テキスト 🙂", "Élève Übergrößen ñandú, ÑANDÚ. ŒUVRE ß ﬁ ǆ ǅ ſ ª º İi ŉ ȿ ɐ Größe.", "cafe\u0301 CAFE\u0301. l'été d'un"]
-    whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(c, "<u4").tolist() for c in e.encode(texts)] == [w.ids for w in whole]
+TEXTS = ["", "Hello, World! don't 3.14", "É  ́b ǅ İ \x1c\x85a <|endoftext|> x<|ENDOFTEXT|>y", "ΑΣ ΑΣ. ß", "a" * 5000, "\t\n", "日本語 テキスト 🙂", "Élève Übergrößen ñandú, ÑANDÚ. ŒUVRE ß ﬁ ǆ ǅ ſ ª º İi ŉ ȿ ɐ Größe.", "cafe\u0301 CAFE\u0301. l'été d'un", "(x) [y]; z&&& \"q\" a=\u0338 <b> x<", "\u00a0a\u2003b K"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_encode_as_whole_texts_do(name, monkeypatch):
+    e = token_store.WordEncoder(public_tokenizers.path(name))
+    assert e.wordwise == name.startswith("word")  # the other one gets whole texts
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 20)
+    rng = np.random.default_rng(0)
+    texts = TEXTS + ["".join(rng.choice(list("abÉß.,!'<|> 01\t\u0301\u00a0日&"), rng.integers(1, 12))) for _ in range(3000)]
+    whole = [w.ids for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for k in range(0, len(texts), 100):
+        ids, counts = e.encode(pa.array(texts[k : k + 100], pa.large_string()))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == whole
+
+
+def test_long_texts_are_cut_at_white_space():
+    texts = ["a bc", "", "x yz " * 40, "w" * 300, "é " * 100, "end"]
+    cut = list(token_store.slices(pa.array(texts, pa.large_string()), 50))
+    docs, now = [], ""
+    for some, n, goes_on in cut:
+        assert n == len(some) - goes_on
+        for k, t in enumerate(some.to_pylist()):
+            now += t
+            if k < n:
+                docs.append(now)
+                now = ""
+    assert docs == texts and any(goes_on for *_, goes_on in cut)
 
 
 @pytest.fixture(scope="module")
