@@ -2,23 +2,28 @@
 
 ``fit_forest`` splits a bounded sample (``sample_rows`` vectors, at most) at the median of its projection on a random
 direction, again and again, once per tree. Every row of the table is then routed to its leaf in each tree. A query walks
-all trees at once through one priority queue, nearest split planes first, until the leaves it has reached hold
-``search_share`` of all rows, but no less than ``LEAST_REACHED`` rows (a row counts once for every tree), or all rows
-in every tree of a small table: with 8 trees, up to 2,500 vectors are searched by brute force and up to about 18,000 more
-widely than ``search_share`` asks; only larger tables are searched by ``search_share`` alone. Rows meet the queries of their leaf in blocks, and the exact distances of the
-candidates to the query decide.
+all trees at once through one priority queue, nearest cells first (by the squared distances to the split planes that
+part it from them), until the leaves it has reached hold enough rows. Rows meet the queries of their leaf in blocks,
+and the exact distances of the candidates to the query decide.
 
-The numbers of trees and leaves are parameters that do not grow with the data, so the model and the leaf counts stay
-small enough to send to every task. A leaf with many rows, for instance copies of one vector, is dealt over several
-blocks, so a task holds one block of rows and one of queries.
+How many rows are enough is measured, not set: for ``probes`` rows of the table the exact neighbours among all rows are
+found in one pass, and the walk goes on as far as ``target_recall`` of them need. So the share that a search reaches
+falls as the data have more structure or more rows, at every size by the same rule.
+
+A leaf holds about ``LEAF_ROWS`` rows until the trees are ``MOST_DEPTH`` deep; the model and the leaf counts stay small
+enough to send to every task. A leaf with many rows, for instance copies of one vector, is dealt over several blocks, so
+a task holds one block of rows and one of queries.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows of
-one id count as one candidate at its nearest vector. A query never finds its own id. An empty table gives no rows.
+one id count as one candidate at its nearest vector, in every block and over all of them. A query never finds its own
+id. An id with very many rows is dealt by vector, too. A query that finds fewer than k candidates meets all rows. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,8 @@ from pyspark.sql import functions as F
 from folkmoot.llm._common import stored
 
 BLOCK_ROWS = 4096
-LEAST_REACHED = 20_000  # rows that a search reaches at least, or all of them
+LEAF_ROWS = 512
+LEAST_DEPTH, MOST_DEPTH = 4, 10
 BUFFERED = 200_000  # found pairs that a task holds before it keeps the best of each query
 
 
@@ -64,7 +70,8 @@ def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 11) -> li
 
 
 def search(forest: list[Tree], x: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs in the order of one shared queue over all trees, until their rows are enough."""
+    """(tree, leaf) pairs in the order of one shared queue over all trees, until their rows are enough. A cell's place in
+    the queue is the sum of squares of the distances to the planes that part it from the query."""
     margins = [t.direction @ x - t.cut for t in forest]
     queue = [(0.0, t, 0) for t in range(len(forest))]
     reached, seen = [], 0
@@ -73,7 +80,7 @@ def search(forest: list[Tree], x: np.ndarray, counts: np.ndarray, enough: int) -
         inner, m = forest[t].inner, margins[t]
         while k < inner:  # down to the nearest leaf; the other sides wait in the queue
             right = m[k] > 0
-            heapq.heappush(queue, (max(far, abs(float(m[k]))), t, 2 * k + 1 + (not right)))
+            heapq.heappush(queue, (far + float(m[k]) ** 2, t, 2 * k + 1 + (not right)))
             k = 2 * k + 1 + right
         reached.append((t, k - inner))
         seen += int(counts[t, k - inner])
@@ -125,12 +132,19 @@ def _measure(k: int):
         def flush() -> None:
             if rows and queries:
                 ids, x, q = np.array(rows, np.int64), np.array(xs, np.float64), np.array(qs, np.float64)
+                repeated = len(np.unique(ids)) < len(ids)
                 for who, one in zip(queries, q):
                     score = np.sqrt(((x - one) ** 2).sum(1))
-                    near = np.argpartition(score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
-                    near = np.flatnonzero(score <= score[near].max())  # with all ties
-                    near = near[ids[near] != who]
-                    near = near[np.lexsort((ids[near], score[near]))][:k]
+                    if repeated:
+                        near = np.flatnonzero(ids != who)
+                    else:  # its own id is one row at most
+                        near = np.argpartition(score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
+                        near = np.flatnonzero(score <= score[near].max())  # with all ties
+                        near = near[ids[near] != who]
+                    near = near[np.lexsort((ids[near], score[near]))]
+                    if repeated:  # of rows of one id the nearest
+                        near = near[np.sort(np.unique(ids[near], return_index=True)[1])]
+                    near = near[:k]
                     kept.append(pd.DataFrame({"query_id": who, "vec_id": ids[near], "score": score[near]}))
             queries.clear()
             qs.clear()
@@ -159,27 +173,82 @@ def _measure(k: int):
     return run
 
 
-def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, depth: int = 6, search_share: float = 1.1, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
+def _exact(forest: list[Tree], ids: np.ndarray, probes: np.ndarray, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k nearest rows of each probe in this task, as their leaves."""
+        score, leaves = np.zeros((len(ids), 0)), np.zeros((len(ids), 0, len(forest)), np.int32)
+        own = (probes**2).sum(1)
+        for f in frames:
+            if not len(f):
+                continue
+            x = np.array(f["x"].tolist(), np.float64)
+            d = own[:, None] - 2 * probes @ x.T + (x**2).sum(1)
+            d[ids[:, None] == f["vec_id"].to_numpy()[None, :]] = np.inf
+            of = np.broadcast_to(np.stack([t.leaves(x) for t in forest], 1).astype(np.int32), (len(ids), len(x), len(forest)))
+            some = np.argpartition(d, k, axis=1)[:, :k] if len(x) > k else np.broadcast_to(np.arange(len(x)), d.shape)
+            score = np.concatenate([score, np.take_along_axis(d, some, 1)], 1)
+            leaves = np.concatenate([leaves, np.take_along_axis(of, some[:, :, None], 1)], 1)
+            best = np.argsort(score, axis=1, kind="stable")[:, :k]
+            score, leaves = np.take_along_axis(score, best, 1), np.take_along_axis(leaves, best[:, :, None], 1)
+        which, rank = np.nonzero(np.isfinite(score))
+        yield pd.DataFrame({"probe": which, "score": score[which, rank], "leaves": list(leaves[which, rank])})
+
+    return run
+
+
+def enough_rows(v: DataFrame, forest: list[Tree], counts: np.ndarray, k: int, probes: int, target_recall: float, seed: int) -> int:
+    """Rows (counted once for every tree) that a walk has to reach for ``target_recall`` of the exact neighbours of
+    ``probes`` rows. The driver gets k rows a probe."""
+    picked = v.orderBy(F.xxhash64("vec_id", F.lit(seed + 1)), "vec_id").limit(probes).collect()
+    ids, x = np.array([r["vec_id"] for r in picked]), np.array([r["x"] for r in picked], np.float64)
+    found = v.mapInPandas(_exact(forest, ids, x, k), "probe int, score double, leaves array<int>")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "leaves"))
+    near: dict[int, list[list[int]]] = {}
+    for r in found.withColumn("rank", rank).filter(F.col("rank") <= k).collect():
+        near.setdefault(r["probe"], []).append(r["leaves"])
+    needs = []
+    for p, neighbours in near.items():
+        walk = search(forest, x[p], counts, int(counts.sum()) + 1)
+        reached = dict(zip(walk, np.cumsum([counts[leaf] for leaf in walk])))
+        needs += [min(int(reached[t, leaf]) for t, leaf in enumerate(own)) for own in neighbours]
+    return int(np.quantile(needs, target_recall, method="higher")) if needs else int(counts.sum())
+
+
+def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, target_recall: float = 0.97, probes: int = 128, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest by Euclidean distance, ties to the smaller id.
 
-    ``is_query`` makes a condition of the id column. ``search_share`` counts a row once for every tree it is reached in.
+    ``is_query`` makes a condition of the id column.
     """
     v = stored(usable(df, id_col, vector_col), "vectors")
     sample = [r["x"] for r in v.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).select("x").collect()]
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return df.sparkSession.createDataFrame([], schema)
+    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(v.count() / LEAF_ROWS))))
     forest = fit_forest(np.array(sample), trees, depth, seed)
-    total = v.count()
     routed = v.mapInPandas(_route(forest), "tree int, leaf int, vec_id long, x array<double>")
     routed = stored(routed.withColumn("x", F.col("x").cast("array<double>")), "leaves")
     counts = np.zeros((trees, 1 << depth), np.int64)
     for r in routed.groupBy("tree", "leaf").count().collect():  # trees * 2**depth rows at most
         counts[r["tree"], r["leaf"]] = r["count"]
-    queries = v.filter(is_query(F.col("vec_id"))).mapInPandas(_reach(forest, counts, max(int(search_share * total), min(trees * total, LEAST_REACHED))), "tree int, leaf int, vec_id long, x array<double>")
-    blocks = df.sparkSession.createDataFrame([(t, n, -(-int(counts[t, n]) // BLOCK_ROWS)) for t in range(trees) for n in range(1 << depth) if counts[t, n]], "tree int, leaf int, blocks int")
-    rows = routed.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("is_query", F.lit(False))
-    asked = queries.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(True))
+    queries = v.filter(is_query(F.col("vec_id")))
+    enough = enough_rows(v, forest, counts, k, probes, target_recall, seed)
+    found = stored(_search_rows(routed, queries, forest, counts, enough, k), "nearest")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = queries.join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found
+    # Few candidates, or many rows of few ids: these queries meet all rows.
+    rest = _search_rows(routed, short, forest, counts, int(counts.sum()), k)
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest)
+
+
+def _search_rows(routed: DataFrame, queries: DataFrame, forest: list[Tree], counts: np.ndarray, enough: int, k: int) -> DataFrame:
+    reached = queries.mapInPandas(_reach(forest, counts, enough), "tree int, leaf int, vec_id long, x array<double>")
+    sizes = [(t, n, -(-int(counts[t, n]) // BLOCK_ROWS)) for t in range(len(forest)) for n in range(counts.shape[1]) if counts[t, n]]
+    blocks = routed.sparkSession.createDataFrame(sizes, "tree int, leaf int, blocks int")
+    rows = routed.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), "blocks").cast("int")).withColumn("is_query", F.lit(False))
+    asked = reached.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(True))
     met = rows.unionByName(asked).drop("blocks").repartition("tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block", "is_query", "vec_id")
     found = met.mapInPandas(_measure(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -32,9 +32,10 @@ def local(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
-def test_token_store(spark, docs):
+@pytest.mark.parametrize("cut", [100, 1 << 21])
+def test_token_store(spark, docs, cut):
     path, file = scratch(spark, "t"), public_tokenizers.path("word_bpe_49k.json")
-    token_store.write_tokens(docs, path, file, 2, shard_tokens=100)
+    token_store.write_tokens(docs, path, file, 2, shard_tokens=100, slice_bytes=cut)
     got = token_store.read_tokens(spark, path).collect()
     tok = token_store.WordEncoder(file).tokenizer
     want = defaultdict(list)
@@ -188,7 +189,7 @@ def test_nearest(spark):
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [1.0], 1), (1004, [None] * 16, 1), (5, rows[5][1], 1), (100, rows[100][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = defaultdict(list)
-    for r in ann_forest.nearest(df, lambda c: c % 20 == 0, k=10, trees=8, depth=4, search_share=1.5).orderBy("query_id", "rank").collect():
+    for r in ann_forest.nearest(df, lambda c: c % 20 == 0, k=10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hit = 0
     for q in range(0, 600, 20):
@@ -203,23 +204,45 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2), (0, 3), (2, 0), (2, 1), (2, 3)]
 
 
-def test_nearest_without_floor(spark, monkeypatch):
-    monkeypatch.setattr(ann_forest, "LEAST_REACHED", 0)
-    assert "LEAST_REACHED" in ann_forest.__doc__
+def test_nearest_of_repeated_ids(spark):
+    """An id with many rows takes one place, and the rows of a query's own id none."""
+    rng = np.random.default_rng(4)
+    x = [1.0 + 0.1 * rng.standard_normal(8) for _ in range(40)]
+    near = [x[0] + 1e-4 * rng.standard_normal(8) for _ in range(12)]
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, v) for v in near] + [(7, v + 1e-4) for v in near]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = [(r.vec_id, r.score) for r in ann_forest.nearest(df, lambda c: c == 0, k=10).orderBy("rank").collect()]
+    own = [v for i, v in rows if i == 0]
+    assert len({i for i, _ in got}) == 10 and got[0][0] == 7 and 0 not in {i for i, _ in got}
+    assert all(min(abs(float(np.sqrt(((v - q) ** 2).sum())) - s) for j, v in rows if j == i for q in own) < 1e-12 for i, s in got)
+    # Many rows of few ids: all candidates.
+    crowd = df.filter("vec_id in (0, 7, 8)").unionByName(df.filter("vec_id = 7")).unionByName(df.filter("vec_id = 0"))
+    assert {(r.query_id, r.vec_id) for r in ann_forest.nearest(crowd, lambda c: c >= 0, k=10).collect()} == {(a, b) for a in (0, 7, 8) for b in (0, 7, 8) if a != b}
+
+
+@pytest.mark.parametrize(("spread", "most_reached"), [(0.3, 0.3), (3.0, 0.95)])
+def test_nearest_leaves_rows_out(spark, monkeypatch, spread, most_reached):
+    """Recall where a search reads a part of the rows only: few of clustered ones, more of spread ones."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((20, 16))[np.arange(1000) % 20] + 0.3 * rng.standard_normal((1000, 16))
+    x = rng.standard_normal((50, 16))[np.arange(6000) % 50] + spread * rng.standard_normal((6000, 16))
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-
-    def recall(share):
-        got = defaultdict(set)
-        for r in ann_forest.nearest(df, lambda c: c % 25 == 0, k=10, trees=8, depth=4, search_share=share).collect():
-            got[r.query_id].add(r.vec_id)
-        exact = {q: [i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if i != q][:10] for q in range(0, 1000, 25)}
-        return sum(len(got[q] & set(exact[q])) for q in exact) / (10 * len(exact))
-
-    few, many = recall(0.05), recall(1.1)
-    print("recall", few, many)
-    assert few < 1 and many >= 0.9
+    seen = {}
+    measured = ann_forest.enough_rows
+    monkeypatch.setattr(ann_forest, "enough_rows", lambda v, forest, counts, *a: seen.setdefault("walk", (forest, counts, measured(v, forest, counts, *a)))[2])
+    got = defaultdict(set)
+    for r in ann_forest.nearest(df, lambda c: c % 100 == 0, k=10).collect():
+        got[r.query_id].add(r.vec_id)
+    forest, counts, enough = seen["walk"]
+    leaves = [t.leaves(x) for t in forest]
+    shares, hit = [], 0
+    for q in range(0, 6000, 100):
+        reached = np.zeros(len(x), bool)
+        for t, leaf in ann_forest.search(forest, x[q], counts, enough):
+            reached |= leaves[t] == leaf
+        shares.append(reached.mean())
+        exact = [i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if i != q][:10]
+        hit += len(got[q] & set(exact))
+    assert np.mean(shares) < most_reached and hit >= 0.9 * 600, (np.mean(shares), hit)
 
 
 def test_chat(spark):
