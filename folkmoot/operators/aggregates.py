@@ -99,10 +99,14 @@ def parse_completeness(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def sponsor_stats(trajectories: DataFrame, sponsors: str = "sponsor_count", outcome: str = "final_outcome") -> DataFrame:
-    """Truncated mean and population deviation of sponsors, share adopted; 30, 10 and 0.5 where there is none."""
-    counted = F.when(F.col(sponsors) > 0, F.col(sponsors))
+    """Truncated mean and population deviation of sponsors, share adopted; 30, 10 and 0.5 where there is none.
+
+    The count is null where a trajectory has no draft, and then out of the mean; a draft without sponsors counts 0. An
+    outcome is read in any case of letters, and a missing one is adopted.
+    """
+    adopted = F.lower(F.coalesce(outcome, F.lit("adopted"))) == "adopted"
     return trajectories.agg(
-        F.coalesce(F.avg(counted).cast("int"), F.lit(30)).alias("mean_sponsors"), F.coalesce(F.stddev_pop(counted).cast("int"), F.lit(10)).alias("std_sponsors"), F.coalesce(F.avg((F.col(outcome) == "adopted").cast("int")), F.lit(0.5)).alias("adoption_rate")
+        F.coalesce(F.avg(sponsors).cast("int"), F.lit(30)).alias("mean_sponsors"), F.coalesce(F.stddev_pop(sponsors).cast("int"), F.lit(10)).alias("std_sponsors"), F.coalesce(F.avg(adopted.cast("int")), F.lit(0.5)).alias("adoption_rate")
     )
 
 

@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from folkmoot._store import small
 
-# Codes of stages and actions, and the order of a state's numbers.
-STAGE_NAMES = ["DRAFT", "COMMITTEE_VOTE", "PLENARY_VOTE", "ADOPTED"]
-ACTION_NAMES = ["NO_ACTION", "COSPONSOR", "VOTE_YES", "VOTE_NO", "VOTE_ABSTAIN"]
+# Codes of stages and actions, which actions a stage allows, and the order of a state's numbers.
+STAGE_NAMES = ["DRAFT", "COMMITTEE_VOTE", "PLENARY_VOTE", "TERMINAL"]
+ACTION_NAMES = ["COSPONSOR", "VOTE_YES", "VOTE_NO", "VOTE_ABSTAIN", "NO_ACTION"]
+COSPONSOR, VOTE_YES, VOTE_NO, VOTE_ABSTAIN, NO_ACTION = range(5)
 SCALARS = ["topic_id", "sponsor_count", "agent_is_sponsor", "committee_yes", "committee_no", "committee_abstain", "plenary_yes", "plenary_no", "plenary_abstain", "t"]
-VALID = {0: [0, 1], 1: [2, 3, 4], 2: [2, 3, 4], 3: [0]}
+VALID = {0: [COSPONSOR, NO_ACTION], 1: [VOTE_YES, VOTE_NO, VOTE_ABSTAIN], 2: [VOTE_YES, VOTE_NO, VOTE_ABSTAIN], 3: [NO_ACTION]}
+LISTS = {"yes": VOTE_YES, "no": VOTE_NO, "abstain": VOTE_ABSTAIN}
 
 
 def country_action(sponsors: Column, yes: Column, no: Column, abstain: Column, country: Column, draft_stage: Column) -> Column:
     """The code of what a country does at a step; null where a vote does not list it."""
     has = lambda a: F.coalesce(F.array_contains(a, country), F.lit(False))
-    return F.when(draft_stage, F.when(has(sponsors), 1).otherwise(0)).when(has(yes), 2).when(has(no), 3).when(has(abstain), 4)
+    return F.when(draft_stage, F.when(has(sponsors), COSPONSOR).otherwise(NO_ACTION)).when(has(yes), VOTE_YES).when(has(no), VOTE_NO).when(has(abstain), VOTE_ABSTAIN)
 
 
 def reward(is_sponsor: Column, outcome: Column) -> Column:
     """J19."""
-    return F.when(~is_sponsor, 0.0).when(outcome == "adopted", 1.0).otherwise(-1.0)
+    return F.when(~is_sponsor, 0.0).when(F.lower(outcome) == "adopted", 1.0).otherwise(-1.0)
 
 
 def state(stage: int, **known: Column) -> Column:
@@ -33,24 +35,35 @@ def episodes(trajectories: DataFrame, countries: DataFrame, most_countries: int
     """(trajectory_id, country, t, state, action, next_state, reward, done): three steps per trajectory and country.
 
     trajectories: trajectory_id, topic_id, sponsors, committee and plenary structs of name arrays (yes, no, abstain),
-    final_outcome; one without sponsors, committee or plenary vote gives no episode. Countries are a dimension table,
-    and every trajectory has an episode for each. A country that a vote does not list abstains.
+    final_outcome (null: adopted); one without sponsors, committee or plenary vote gives no episode. Countries are a
+    dimension table, and every trajectory has an episode for each. What countries do is joined in long form, one row for
+    each listed name; a country that a vote does not list abstains. Texts and titles stay with the trajectory.
+
+    The state of the draft stage is left twice: before and after sponsors join (t = 0 and 1). Each vote then shows in the
+    state behind it (t = 3 and 4); the state in which the committee votes (t = 2) is no result of a step.
     """
     whole = trajectories.filter("sponsors is not null and committee is not null and plenary is not null")
-    rows = whole.crossJoin(small(countries.select("country").distinct(), most_countries, "countries"))
-    c = F.col("country")
-    is_sponsor = F.array_contains("sponsors", c)
-    n = lambda stage, k: F.size(F.col(f"{stage}.{k}"))
-    base = {"topic_id": F.col("topic_id"), "sponsor_count": F.size("sponsors"), "agent_is_sponsor": is_sponsor}
-    committee = {f"committee_{k}": n("committee", k) for k in ("yes", "no", "abstain")}
-    plenary = {f"plenary_{k}": n("plenary", k) for k in ("yes", "no", "abstain")}
-    act = lambda s: F.coalesce(country_action(F.lit(None).cast("array<string>"), F.col(f"{s}.yes"), F.col(f"{s}.no"), F.col(f"{s}.abstain"), c, F.lit(False)), F.lit(4))
-    s0 = state(0, topic_id=F.col("topic_id"), t=F.lit(0))
-    s1 = state(1, **base, t=F.lit(1))
-    s3 = state(2, **base, **committee, t=F.lit(2))
-    s4 = state(3, **base, **committee, **plenary, t=F.lit(3))
-    first = F.when(is_sponsor, 1).otherwise(0)
-    steps = [(s0, first, s1, F.lit(0.0), False), (s1, act("committee"), s3, F.lit(0.0), False), (s3, act("plenary"), s4, reward(is_sponsor, F.col("final_outcome")), True)]
+    dimension = small(countries.select("country").distinct(), most_countries, "countries")
+    said = lambda a, at, code: F.transform(a, lambda x: F.struct(x.alias("country"), F.lit(at).alias("at"), F.lit(code).alias("action")))
+    names = [said(F.col("sponsors"), "sponsor", COSPONSOR)] + [said(F.col(f"{at}.{k}"), at, code) for at in ("committee", "plenary") for k, code in LISTS.items()]
+    empty = F.array().cast("array<struct<country:string,at:string,action:int>>")
+    told = whole.select("trajectory_id", F.explode(F.concat(*[F.coalesce(n, empty) for n in names])).alias("x")).select("trajectory_id", "x.*").join(dimension, "country", "left_semi")
+    # A country in several lists of one vote counts in the first of them.
+    did = told.groupBy("trajectory_id", "country").agg(F.bool_or(F.col("at") == "sponsor").alias("sponsor"), *[F.min(F.when(F.col("at") == at, F.col("action"))).alias(at) for at in ("committee", "plenary")])
+    n = lambda stage, k: F.coalesce(F.array_size(F.col(f"{stage}.{k}")), F.lit(0)).alias(f"{stage}_{k}")
+    facts = whole.select("trajectory_id", "topic_id", F.size("sponsors").alias("sponsor_count"), F.coalesce("final_outcome", F.lit("adopted")).alias("outcome"), *[n(s, k) for s in ("committee", "plenary") for k in LISTS])
+    rows = facts.crossJoin(dimension).join(did, ["trajectory_id", "country"], "left")
+    is_sponsor = F.coalesce("sponsor", F.lit(False))
+    base = {"topic_id": F.col("topic_id"), "sponsor_count": F.col("sponsor_count")}
+    joined = {**base, "agent_is_sponsor": is_sponsor}
+    committee, plenary = ({f"{s}_{k}": F.col(f"{s}_{k}") for k in LISTS} for s in ("committee", "plenary"))
+    s0 = state(0, **base, t=F.lit(0))
+    s1 = state(0, **joined, t=F.lit(1))
+    s3 = state(2, **joined, **committee, t=F.lit(3))
+    s4 = state(3, **joined, **committee, **plenary, t=F.lit(4))
+    first = F.when(is_sponsor, COSPONSOR).otherwise(NO_ACTION)
+    act = lambda at: F.coalesce(at, F.lit(VOTE_ABSTAIN))
+    steps = [(s0, first, s1, F.lit(0.0), False), (s1, act("committee"), s3, F.lit(0.0), False), (s3, act("plenary"), s4, reward(is_sponsor, F.col("outcome")), True)]
     made = F.array(*[F.struct(F.lit(t).alias("t"), a.alias("state"), b.alias("action"), d.alias("next_state"), r.alias("reward"), F.lit(e).alias("done")) for t, (a, b, d, r, e) in enumerate(steps)])
     return rows.select("trajectory_id", "country", F.explode(made).alias("s")).select("trajectory_id", "country", "s.*")
 
@@ -75,12 +88,19 @@ def valid_action(stage: Column, action: Column) -> Column:
     return out
 
 
-def episode_stats(steps: DataFrame, keys: list[str], action: str = "action", value: str = "reward", is_sponsor: Column | None = None) -> DataFrame:
-    """Over episodes: counts, mean length, mean and population deviation of final rewards, signs, sponsor rate."""
-    each = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"), F.sum(value).alias("total"), F.bool_or(F.coalesce(is_sponsor, F.lit(False)) if is_sponsor is not None else F.lit(False)).alias("sponsor"))
+def episode_stats(steps: DataFrame, keys: list[str], value: str = "reward", is_sponsor: Column | None = None) -> DataFrame:
+    """Episodes, transitions, mean length; mean, population deviation and signs of rewards over transitions; share of
+    episodes in which ``is_sponsor`` holds somewhere."""
+    r = F.col(value)
+    each = steps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("length"), F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"), F.count_if(r > 0).alias("up"), F.count_if(r < 0).alias("down"),
+        F.bool_or(F.coalesce(is_sponsor, F.lit(False)) if is_sponsor is not None else F.lit(False)).alias("sponsor"),
+    )
+    n = F.nullif(F.sum("n"), F.lit(0))
+    mean = F.sum("s") / n
     return each.agg(
-        F.count(F.lit(1)).alias("episodes"), F.sum("length").alias("transitions"), F.avg("length").alias("mean_length"), F.avg("total").alias("reward_mean"), F.stddev_pop("total").alias("reward_std"),
-        F.count_if(F.col("total") > 0).alias("positive"), F.count_if(F.col("total") < 0).alias("negative"), F.avg(F.col("sponsor").cast("int")).alias("sponsor_rate"),
+        F.count(F.lit(1)).alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("transitions"), F.avg("length").alias("mean_length"), mean.alias("reward_mean"),
+        F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))).alias("reward_std"), F.coalesce(F.sum("up"), F.lit(0)).alias("positive"), F.coalesce(F.sum("down"), F.lit(0)).alias("negative"), F.avg(F.col("sponsor").cast("int")).alias("sponsor_rate"),
     )
 
 
@@ -104,11 +124,12 @@ def compare_trajectories(real: DataFrame, simulated: DataFrame, key: str = "epis
 
 
 def prediction_metrics(df: DataFrame, pred: str, target: str, few: int = 10) -> DataFrame:
-    """Mse, rmse and n over all numbers; mean accuracy over dimensions with fewer than ten distinct targets."""
+    """Mse and rmse over all numbers, n of rows; mean over dimensions with fewer than ten distinct targets of the share of
+    rounded predictions that equal them (null where no dimension is such)."""
     z = df.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(target).alias("q"))).alias("dim", "x")).select("dim", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
-    per = z.groupBy("dim").agg(F.sum(F.pow(F.col("p") - F.col("q"), 2)).alias("sq"), F.count(F.lit(1)).alias("n"), F.countDistinct("q").alias("values"), F.avg((F.bround("p") == F.bround("q")).cast("int")).alias("accuracy"))
+    per = z.groupBy("dim").agg(F.sum(F.pow(F.col("p") - F.col("q"), 2)).alias("sq"), F.count(F.lit(1)).alias("n"), F.countDistinct("q").alias("values"), F.avg((F.bround("p") == F.col("q")).cast("int")).alias("accuracy"))
     mse = F.sum("sq") / F.sum("n")
-    return per.agg(mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.coalesce(F.avg(F.when(F.col("values") < few, F.col("accuracy"))), F.lit(0.0)).alias("mean_accuracy"), F.max("n").alias("n"))
+    return per.agg(mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.when(F.col("values") < few, F.col("accuracy"))).alias("mean_accuracy"), F.max("n").alias("n"))
 
 
 def policy_metrics(df: DataFrame, key: str = "episode", pred: str = "predicted", expert: str = "expert", value: str = "reward") -> DataFrame:

@@ -1,38 +1,41 @@
 """Traversal of the typed document graph (inventory F1 to F5), for many seeds at once.
 
 Every level is an equi-join of the frontier with the edges, made distinct at once, so paths never multiply. A join
-with ``source = x OR target = x`` is written as the union of both directions.
+with ``source = x OR target = x`` is written as both directions of each edge. Levels are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folkmoot._store import kept
 from folkmoot.functions.columns import relation_bucket
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(node, next, relationship_type) in both directions, without loops on a node."""
-    there = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "relationship_type")
-    back = edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("next"), "relationship_type")
-    return there.unionByName(back).filter("node <> next")
+def both_ways(edges: DataFrame, loops: bool = False) -> DataFrame:
+    """(node, next, relationship_type) in both directions, with loops on a node only where asked for."""
+    ends = F.array(F.struct(F.col("source_id").alias("node"), F.col("target_id").alias("next")), F.struct(F.col("target_id").alias("node"), F.col("source_id").alias("next")))
+    both = edges.select(F.explode(ends).alias("x"), "relationship_type").select("x.node", "x.next", "relationship_type")
+    return both if loops else both.filter("node <> next")
 
 
 def related_documents(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """(seed, symbol, doc_type, relationship_type, bucket), distinct.
 
-    The type is that of the last edge. Nodes are told apart per level by (node, type) only: the seed itself and nodes
-    of earlier levels come back when an edge leads to them.
+    The type is that of the last edge. The seed itself comes back when an edge leads to it, and so do nodes of earlier
+    levels with another type; but only distinct rows are asked for, so a node whose edges were followed once for a seed
+    is not followed again. Edges and levels are stored, so no level is computed twice.
     """
-    steps = both_ways(edges).distinct()
-    now = seeds.select("seed").distinct().withColumn("node", F.col("seed"))
-    found = None
-    for _ in range(max_depth):
-        level = now.join(steps, "node").select("seed", F.col("next").alias("node"), "relationship_type").distinct()
+    steps = kept(both_ways(edges).distinct(), "steps")
+    now = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
+    followed, found = now, None
+    for depth in range(max_depth):
+        level = kept(now.join(steps, "node").select("seed", F.col("next").alias("node"), "relationship_type").distinct(), "level")
         found = level if found is None else found.unionByName(level)
-        now = level.select("seed", "node").distinct()
+        if depth < max_depth - 1:
+            now = kept(level.select("seed", "node").distinct().join(followed, ["seed", "node"], "left_anti"), "level")
+            followed = followed.unionByName(now)
     named = found.distinct().join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node")
     out = named.select("seed", "symbol", "doc_type", "relationship_type").distinct()
     return out.withColumn("bucket", relation_bucket(F.col("relationship_type"), F.col("doc_type")))
@@ -60,32 +63,36 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_r
 
 
 def document_chain(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4, exclude: tuple[str, ...] = ("meeting", "committee_meeting")) -> DataFrame:
-    """(seed, id, symbol, doc_type, depth), distinct; documents of excluded types are never entered."""
-    open_ = docs.filter(~F.col("doc_type").isin(*exclude) | F.col("doc_type").isNull()).select("id", "symbol", "doc_type")
-    steps = both_ways(edges).select("node", "next").distinct().join(open_.select(F.col("id").alias("next")), "next", "left_semi")
-    now = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    """(seed, id, symbol, doc_type, depth), distinct; documents of excluded types, or of none, are never entered.
+
+    A loop on a document leads to itself one level deeper. Every level is wanted, so a document is followed on each level
+    that it is reached on; edges and levels are stored, so no level is computed twice.
+    """
+    open_ = docs.filter(~F.col("doc_type").isin(*exclude)).select(F.col("id").alias("next"))
+    steps = kept(both_ways(edges, loops=True).select("node", "next").distinct().join(open_, "next", "left_semi"), "steps")
+    now = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
     found = now.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        now = now.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
+        now = kept(now.join(steps, "node").select("seed", F.col("next").alias("node")).distinct(), "level")
         found = found.unionByName(now.withColumn("depth", F.lit(depth)))
     return found.join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node").select("seed", F.col("node").alias("id"), "symbol", "doc_type", "depth")
 
 
 def chain_meetings(docs: DataFrame, edges: DataFrame, utterances: DataFrame, links: DataFrame, chain: DataFrame) -> DataFrame:
-    """(seed, meeting_id) of meetings that record a document of the chain, or in which one is spoken of."""
+    """(seed, meeting_id) of documents of a meeting's type at the other end of a ``meeting_record_for`` edge, whichever
+    end that is, and of documents of any type in whose speeches one of the chain is named."""
     members = chain.select("seed", F.col("id").alias("document_id")).distinct()
-    recorded = edges.filter("relationship_type = 'meeting_record_for'").select(F.col("source_id").alias("meeting_id"), F.col("target_id").alias("document_id"))
-    by_edge = members.join(recorded, "document_id").select("seed", "meeting_id")
-    spoken = links.select("utterance_id", "document_id").join(utterances.select(F.col("id").alias("utterance_id"), "meeting_id"), "utterance_id").select("document_id", "meeting_id").distinct()
-    by_speech = members.join(spoken, "document_id").select("seed", "meeting_id")
+    records = both_ways(edges.filter("relationship_type = 'meeting_record_for'"), loops=True).select(F.col("node").alias("document_id"), F.col("next").alias("meeting_id")).distinct()
     meetings = docs.filter(F.col("doc_type").isin("meeting", "committee_meeting")).select(F.col("id").alias("meeting_id"))
-    return by_edge.unionByName(by_speech).distinct().join(meetings, "meeting_id", "left_semi")
-
+    by_edge = members.join(records, "document_id").select("seed", "meeting_id").join(meetings, "meeting_id", "left_semi")
+    spoken = links.select("utterance_id", "document_id").join(utterances.select(F.col("id").alias("utterance_id"), "meeting_id"), "utterance_id").select("document_id", "meeting_id").distinct()
+    by_speech = members.join(spoken, "document_id").select("seed", "meeting_id").join(docs.select(F.col("id").alias("meeting_id")), "meeting_id", "left_semi")
+    return by_edge.unionByName(by_speech).distinct()
 
-def chain_utterances(docs: DataFrame, utterances: DataFrame, links: DataFrame, chain: DataFrame, meetings: DataFrame, speakers: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """per seed, speeches of its meetings with no link, or with a link into the chain; ``truncated`` at the limit."""
-    from pyspark.sql import Window
 
+def chain_utterances(docs: DataFrame, utterances: DataFrame, links: DataFrame, chain: DataFrame, meetings: DataFrame, speakers: list[str] | None = None, limit: int = 100, full_text: bool = False) -> DataFrame:
+    """per seed, one row for each speech of its meetings that has no link, and for each link of a speech into the
+    chain, by date and position; ``truncated`` at the limit. Of texts the first 500 characters, unless all are asked for."""
     said = meetings.join(utterances.withColumnRenamed("id", "utterance_id"), "meeting_id").join(docs.select(F.col("id").alias("meeting_id"), F.col("symbol").alias("meeting_symbol"), "date"), "meeting_id")
     if speakers:
         cond = F.lit(False)
@@ -93,11 +100,14 @@ def chain_utterances(docs: DataFrame, utterances: DataFrame, links: DataFrame, c
             cond = cond | F.col("speaker_affiliation").ilike(f"%{s}%")
         said = said.filter(cond)
     members = chain.select("seed", F.col("id").alias("document_id"), F.col("symbol").alias("referenced")).distinct()
-    linked = said.join(links.select("utterance_id", "document_id").distinct(), "utterance_id", "left")
+    linked = said.join(links.select("utterance_id", "document_id", "reference_type"), "utterance_id", "left")
     rows = linked.join(members, ["seed", "document_id"], "left").filter("document_id is null or referenced is not null")
     order = Window.partitionBy("seed").orderBy(F.asc_nulls_last("date"), "position_in_meeting", "utterance_id", F.asc_nulls_first("referenced"))
     top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return top.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("seed")) >= limit).select("seed", "rank", "meeting_symbol", "date", "utterance_id", "position_in_meeting", "speaker_affiliation", "referenced", "truncated")
+    text = F.coalesce("text", F.lit("")) if not full_text else F.col("text")
+    return top.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("seed")) >= limit).select(
+        "seed", "rank", "meeting_symbol", "date", "utterance_id", "position_in_meeting", "speaker_name", "speaker_affiliation", F.col("agenda_item_number").alias("agenda_item"), (text if full_text else F.left(text, F.lit(500))).alias("text"), "referenced", "reference_type", "truncated"
+    )
 
 
 def version_chains(drafts: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:

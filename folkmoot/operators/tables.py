@@ -103,8 +103,9 @@ def _long(lists: Column) -> Column:
 
 
 def votes_from_records(records: DataFrame, docs: DataFrame, actors: DataFrame, context: str = "plenary") -> DataFrame:
-    """Votes of records (symbol, vote_lists); tallies that are numbers stay on the record and make no rows."""
-    v = records.select("symbol", _long(F.col("vote_lists")).alias("v")).select("symbol", "v.vote_type", F.explode("v.names").alias("name")).filter("trim(name) <> ''").distinct()
+    """Votes of records (symbol, vote_lists), a repeated name as often as it is listed; tallies that are numbers stay on
+    the record and make no rows."""
+    v = records.select("symbol", _long(F.col("vote_lists")).alias("v")).select("symbol", "v.vote_type", F.explode("v.names").alias("name")).filter("trim(name) <> ''")
     named = v.join(docs.select(F.col("id").alias("document_id"), "symbol"), "symbol").join(actors.select(F.col("id").alias("actor_id"), "name"), "name")
     return named.select("document_id", "actor_id", F.lit(None).cast("long").alias("vote_event_id"), "vote_type", F.lit(context).alias("vote_context"))
 
@@ -122,14 +123,18 @@ def votes_from_meetings(votes: DataFrame, actors: DataFrame, existing: DataFrame
 
 
 def build_vote_events(events: DataFrame, docs: DataFrame) -> DataFrame:
-    """Events (meeting_id, utterance_id, session, draft, resolution_symbol, ...) with their target by a ladder:
-    the full symbol, then ``A/<session>/L.n``, then the resolution."""
-    number = extracted(F.col("draft"), r"(?:^|L\.)(\d+)$")
-    rungs = {"k1": normalize_symbol(F.col("draft")), "k2": F.concat(F.lit("A/"), F.col("session").cast("string"), F.lit("/L."), number), "k3": normalize_symbol(F.col("resolution_symbol"))}
+    """Events (meeting_id, utterance_id, session, draft, resolution_symbol, ...) with their target by a ladder.
+
+    A draft id with a slash is a full symbol, and one that begins with ``L.<number>`` belongs to ``A/<session>/``; neither
+    is tried as the other. Where that finds no document, the resolution's symbol is tried.
+    """
+    draft = F.col("draft")
+    named = F.when(draft.contains("/"), normalize_symbol(draft)).when(draft.rlike(r"^L\.\d+"), F.concat(F.lit("A/"), F.col("session").cast("string"), F.lit("/"), draft))
+    rungs = {"by_draft": named, "by_resolution": normalize_symbol(F.col("resolution_symbol"))}
     e = events.withColumns(rungs)
     for k in rungs:
         e = e.join(docs.select(F.col("symbol").alias(k), F.col("id").alias(f"{k}_id")), k, "left")
-    target = F.coalesce("k1_id", "k2_id", "k3_id")
+    target = F.coalesce("by_draft_id", "by_resolution_id")
     return e.select(key_id(F.col("utterance_id"), F.col("event_type"), F.col("draft")).alias("id"), "meeting_id", "utterance_id", target.alias("target_document_id"), "event_type", "description", "result")
 
 

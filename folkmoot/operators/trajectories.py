@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.functions.columns import access_url, agenda_key, agenda_label, final_outcome, normalize_symbol, preview, record_id
+from folkmoot.functions.columns import access_url, agenda_label, final_outcome, normalize_symbol, preview, record_id
 from folkmoot.functions.text import SUMMARY_RECORD, first_mentions
 from folkmoot.operators.sequences import number_timesteps
 
@@ -21,13 +21,15 @@ STAGES = ["agenda_allocation", "draft_submission", "committee_deliberation", "co
 
 
 def references(records: DataFrame) -> DataFrame:
-    """(symbol, type, ref_symbol, url) of every reference of every record, agenda items included."""
-    parts = [
-        records.select("symbol", F.lit(kind).alias("type"), F.explode(f"related_documents.{field}").alias("r")).select("symbol", "type", normalize_symbol(F.col("r.text"), "index").alias("ref_symbol"), F.col("r.url").alias("url"))
-        for field, kind in KINDS.items()
-    ]
-    agenda = records.select("symbol", F.lit("agenda_item").alias("type"), F.explode("agenda").alias("a")).select("symbol", "type", normalize_symbol(F.col("a.agenda_symbol"), "index").alias("ref_symbol"), F.lit(None).cast("string").alias("url"))
-    return reduce(DataFrame.unionByName, [*parts, agenda]).filter("ref_symbol <> ''").distinct()
+    """(symbol, type, ref_symbol, url, pos) of every reference of every record, agenda items included, once each and as its
+    first mention in a list has it. All lists go through one pass over the records."""
+    kind = lambda field, name, text, url: F.transform(F.col(field), lambda r, i: F.struct(F.lit(name).alias("type"), i.alias("pos"), r[text].alias("text"), url(r).alias("url")))
+    lists = [kind(f"related_documents.{field}", name, "text", lambda r: r["url"]) for field, name in KINDS.items()]
+    lists.append(kind("agenda", "agenda_item", "agenda_symbol", lambda r: F.lit(None).cast("string")))
+    empty = F.array().cast("array<struct<type:string,pos:int,text:string,url:string>>")
+    every = records.select("symbol", F.explode(F.concat(*[F.coalesce(x, empty) for x in lists])).alias("r"))
+    named = every.select("symbol", "r.type", normalize_symbol(F.col("r.text"), "index").alias("ref_symbol"), "r.url", "r.pos").filter("ref_symbol <> ''")
+    return named.groupBy("symbol", "type", "ref_symbol").agg(F.min_by("url", F.struct("pos", F.col("url").isNull(), "url")).alias("url"), F.min("pos").alias("pos"))
 
 
 def document_index(records: DataFrame, symbol: str = "symbol", path: str = "path") -> DataFrame:
@@ -44,9 +46,9 @@ def document_index(records: DataFrame, symbol: str = "symbol", path: str = "path
 
 
 def trace_backwards(records: DataFrame, index: DataFrame) -> DataFrame:
-    """(symbol, type, ref_symbol, path, found) of each record's sources."""
-    r = references(records).select("symbol", "type", "ref_symbol")
-    return r.join(index.select(F.col("symbol_norm").alias("ref_symbol"), "path"), "ref_symbol", "left").select("symbol", "type", "ref_symbol", "path", F.col("path").isNotNull().alias("found"))
+    """(symbol, type, ref_symbol, path, found, pos) of each record's sources."""
+    r = references(records).select("symbol", "type", "ref_symbol", "pos")
+    return r.join(index.select(F.col("symbol_norm").alias("ref_symbol"), "path"), "ref_symbol", "left").select("symbol", "type", "ref_symbol", "path", F.col("path").isNotNull().alias("found"), "pos")
 
 
 def committee_deliberations(traces: DataFrame, reports: DataFrame, index: DataFrame) -> DataFrame:
@@ -91,43 +93,94 @@ def genealogy_graph(traces: DataFrame, titles: DataFrame) -> tuple[DataFrame, Da
     return nodes.join(shown, "id", "left"), edges
 
 
-def build_trajectories(traces: DataFrame, records: DataFrame, committee_votes: DataFrame, events: DataFrame, utterances: DataFrame) -> DataFrame:
-    """(trajectory_id, t, stage, date, action_type, actor, sponsors, yes, no, abstain, source, n_statements, final_outcome).
+def report_sponsors(drafts: DataFrame, reports: DataFrame, items: DataFrame) -> DataFrame:
+    """(trajectory_id, draft, sponsors): sorted names that the trajectory's reports give for a draft, taken from the
+    first item of each report that is the draft's own or names it in its text.
 
-    Steps come in the fixed order of stages, not by date. Inputs besides traces and records: committee_votes
-    (draft_symbol, sponsors, in_favor, against, abstentions), events (meeting, draft_id, event_type, adoption_status),
-    utterances (trajectory_id, meeting, statements) already found relevant (J8).
+    drafts and reports: (trajectory_id, draft) and (trajectory_id, report); items: (report, item_no, draft_symbol,
+    item_text, sponsors).
     """
-    ids = traces.filter(F.col("found") | ~F.col("found")).select(F.col("symbol").alias("trajectory_id"), "type", "ref_symbol")
-    info = records.select(normalize_symbol(F.col("symbol"), "index").alias("ref_symbol"), "title", "date")
-    step = lambda df, stage, action, **cols: df.select("trajectory_id", F.lit(STAGES.index(stage)).alias("stage_ord"), F.lit(stage).alias("stage"), "source", F.lit(action).alias("action_type"), *[v.alias(k) for k, v in cols.items()])
-    named = ids.join(info, "ref_symbol", "left").withColumn("source", F.col("ref_symbol"))
-    agenda = step(named.filter("type = 'agenda_item'"), "agenda_allocation", "allocate", date=F.col("date"))
-    sponsors = committee_votes.select(F.col("draft_symbol").alias("ref_symbol"), "sponsors", "in_favor", "against", "abstentions")
-    drafts = named.filter("type = 'draft'").join(sponsors, "ref_symbol", "left")
-    submitted = step(drafts, "draft_submission", "submit", date=F.col("date"), sponsors=F.col("sponsors"))
-    voted = step(drafts.filter("in_favor is not null"), "committee_vote", "vote", date=F.col("date"), yes=F.col("in_favor"), no=F.col("against"), abstain=F.col("abstentions"))
-    reports = step(named.filter("type = 'committee_report'"), "committee_deliberation", "deliberate", date=F.col("date"))
-    draft_ids = ids.filter("type = 'draft'").select("trajectory_id", F.col("ref_symbol").alias("draft"))
-    # An event belongs to a trajectory if its meeting does and its draft id is part of a draft's symbol.
-    held = ids.filter("type = 'meeting'").select("trajectory_id", F.col("ref_symbol").alias("meeting"))
-    procedural = events.join(held, "meeting").join(draft_ids, "trajectory_id").filter(F.col("draft").contains(F.col("draft_id"))).select("trajectory_id", F.col("meeting").alias("source"), "event_type").distinct()
-    motions = step(procedural, "plenary_procedural_vote", "procedural_vote")
-    debate = step(utterances.withColumn("source", F.col("meeting")), "plenary_discussion", "discuss", n_statements=F.col("statements"))
-    final = records.filter("kind = 'resolutions' and voting is not null").select(F.col("symbol").alias("trajectory_id"), F.col("symbol").alias("source"), "date", "voting").join(ids.select("trajectory_id").distinct(), "trajectory_id", "left_semi")
-    plenary = step(final, "plenary_vote", "vote", date=F.col("date"), yes=F.col("voting.yes"), no=F.col("voting.no"), abstain=F.col("voting.abstain"))
-    steps = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [agenda, submitted, reports, voted, motions, debate, plenary])
-    outcome = records.filter("kind = 'resolutions'").select(F.col("symbol").alias("trajectory_id"), final_outcome(F.col("voting.yes"), F.col("voting.no"), F.col("voting").isNotNull()).alias("final_outcome"))
-    return number_timesteps(steps, "trajectory_id", "stage_ord", "source").join(outcome, "trajectory_id", "left").drop("stage_ord")
-
-
-def relevant_utterances(utterances: DataFrame, drafts: DataFrame, keywords: list[str]) -> DataFrame:
-    """(trajectory_id, meeting, statements): speeches in a trajectory's meetings that name one of its drafts or hold
-    a keyword. drafts: (trajectory_id, meeting, draft); the join is on the meeting."""
-    said = utterances.join(drafts, "meeting")
-    hit = F.col("text").contains(F.col("draft"))
+    held = drafts.join(reports, "trajectory_id").join(items, "report")
+    own = held.filter((F.col("draft_symbol") == F.col("draft")) | F.contains("item_text", "draft"))
+    first = own.groupBy("trajectory_id", "draft", "report").agg(F.min_by("sponsors", "item_no").alias("sponsors"))
+    return first.groupBy("trajectory_id", "draft").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sponsors")))).alias("sponsors"))
+
+
+def build_trajectories(traces: DataFrame, records: DataFrame, deliberations: DataFrame, items: DataFrame, speeches: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """(trajectory_id, t, stage, date, action_type, actor, source, sponsors, yes, no, abstain, outcome, n_statements,
+    final_outcome), for all records of ``traces`` (J1) at once.
+
+    Steps come stage by stage, those of the plenary meeting by meeting, never by date. Documents that are not found give
+    no step. records: symbol, date, agenda, voting, and action_note, which goes before the date of a meeting. deliberations:
+    J2. items: those of committee reports, (report, item_no, draft_symbol, item_text, sponsors, in_favour, against,
+    abstaining, adoption_status). speeches of meetings and summary records: (meeting, utterance_id, position, text,
+    resolution_symbol, vote_details{in_favour, against, abstaining}, events[draft_id, event_type, adoption_status]).
+
+    * a draft's sponsors come from the reports of its trajectory; the first of them submits it
+    * a summary record, and a meeting, gives a step of statements if a speech in it is relevant (J8)
+    * a report votes on the first of its items that is about a draft of the trajectory
+    * an event of a meeting is a procedural vote if its draft id is part of a draft's symbol (J9)
+    * the plenary vote is what the last speech about the record's own symbol lists
+    """
+    size = lambda a: F.coalesce(F.array_size(a), F.lit(0))
+    ids = traces.select(F.col("symbol").alias("trajectory_id"), "type", "ref_symbol", "found", "pos")
+    has_note = F.coalesce("action_note", F.col("date").cast("string")) if "action_note" in records.columns else F.col("date").cast("string")
+    info = records.select(normalize_symbol(F.col("symbol"), "index").alias("ref_symbol"), F.col("date").cast("string").alias("date"), has_note.alias("note")).dropDuplicates(["ref_symbol"])
+    found = ids.filter("found").join(info, "ref_symbol", "left")
+    drafts = ids.filter("type = 'draft'").select("trajectory_id", F.col("ref_symbol").alias("draft"))
+
+    def step(df: DataFrame, stage: str, action: Column, **cols: Column) -> DataFrame:
+        known = {"date": F.lit(None).cast("string"), "place": F.lit(0), "within": F.lit(0), **cols}
+        return df.select("trajectory_id", F.lit(stage).alias("stage"), F.col("source"), action.alias("action_type"), *[v.alias(k) for k, v in known.items()])
+
+    entries = records.select(F.col("symbol").alias("trajectory_id"), F.posexplode("agenda").alias("place", "a")).select("trajectory_id", "place", normalize_symbol(F.col("a.agenda_symbol"), "index").alias("ref_symbol"))
+    listed = entries.join(found.filter("type = 'agenda_item'").select("trajectory_id", "ref_symbol", "date"), ["trajectory_id", "ref_symbol"]).withColumn("source", F.col("ref_symbol"))
+    agenda = step(listed, "agenda_allocation", F.lit("allocate_to_committee"), date=F.col("date"), actor=F.lit("General Assembly"), place=F.col("place"))
+
+    reports = found.filter("type = 'committee_report'").select("trajectory_id", F.col("ref_symbol").alias("report"), "date", "pos")
+    named = report_sponsors(drafts, reports.select("trajectory_id", "report"), items).withColumnRenamed("draft", "ref_symbol")
+    sent = found.filter("type = 'draft'").join(named, ["trajectory_id", "ref_symbol"], "left").withColumn("source", F.col("ref_symbol"))
+    sponsors = F.coalesce("sponsors", F.array().cast("array<string>"))
+    submitted = step(sent, "draft_submission", F.lit("submit_draft"), date=F.col("date"), place=F.col("pos"), sponsors=sponsors, actor=F.coalesce(F.try_element_at(sponsors, F.lit(1)), F.lit("Unknown")))
+
+    summaries = deliberations.filter("found").groupBy(F.col("symbol").alias("trajectory_id"), F.col("record").alias("meeting")).agg(F.min("report").alias("report"))
+    summaries = summaries.join(info.select(F.col("ref_symbol").alias("meeting"), "date"), "meeting", "left")
+    meetings = found.filter("type = 'meeting'").select("trajectory_id", F.col("ref_symbol").alias("meeting"), F.col("note").alias("date"), "pos")
+    both = summaries.select("trajectory_id", "meeting").unionByName(meetings.select("trajectory_id", "meeting")).distinct()
+    talk = relevant_utterances(speeches.select("meeting", "utterance_id", "text"), both.join(drafts.groupBy("trajectory_id").agg(F.collect_set("draft").alias("drafts")), "trajectory_id", "left"), keywords or [])
+    many = F.lit("Multiple delegations")
+    debated = step(summaries.join(talk, ["trajectory_id", "meeting"]).withColumn("source", F.col("meeting")), "committee_deliberation", F.lit("statements"), date=F.col("date"), actor=many, n_statements=F.col("statements"))
+
+    about = reports.join(items.select("report", "item_no", F.col("draft_symbol").alias("draft"), "in_favour", "against", "abstaining", "adoption_status"), "report").join(drafts, ["trajectory_id", "draft"])
+    lists = F.struct("in_favour", "against", "abstaining", "adoption_status")
+    first = about.groupBy("trajectory_id", "report", "date", "pos").agg(F.min_by(lists, "item_no").alias("v")).withColumn("source", F.col("report"))
+    voted = step(first, "committee_vote", F.lit("recorded_vote"), date=F.col("date"), place=F.col("pos"), yes=size(F.col("v.in_favour")), no=size(F.col("v.against")), abstain=size(F.col("v.abstaining")), outcome=F.col("v.adoption_status"))
+
+    happened = speeches.select("meeting", "position", F.posexplode("events").alias("n", "e")).join(meetings, "meeting").join(drafts, "trajectory_id").filter(F.contains("draft", "e.draft_id"))
+    motions = happened.select("trajectory_id", "meeting", "date", "pos", "position", "n", "e").dropDuplicates(["trajectory_id", "meeting", "position", "n"]).withColumn("source", F.col("meeting"))
+    motions = step(motions, "plenary_procedural_vote", F.col("e.event_type"), date=F.col("date"), actor=F.lit("General Assembly"), outcome=F.col("e.adoption_status"), place=F.col("pos"), within=F.col("position") * 1000 + F.col("n"))
+    discussed = step(meetings.join(talk, ["trajectory_id", "meeting"]).withColumn("source", F.col("meeting")), "plenary_discussion", F.lit("statements"), date=F.col("date"), actor=many, place=F.col("pos"), n_statements=F.col("statements"))
+    told = meetings.join(speeches.select("meeting", "position", F.col("resolution_symbol").alias("trajectory_id"), "vote_details"), ["meeting", "trajectory_id"])
+    last = told.groupBy("trajectory_id", "meeting", "date", "pos").agg(F.max_by("vote_details", "position").alias("v")).filter("v is not null").withColumn("source", F.col("meeting"))
+    yes, no = size(F.col("v.in_favour")), size(F.col("v.against"))
+    decided = step(last, "plenary_vote", F.lit("recorded_vote"), date=F.col("date"), actor=F.lit("General Assembly Members"), place=F.col("pos"), yes=yes, no=no, abstain=size(F.col("v.abstaining")), outcome=F.when(yes > no, "adopted").otherwise("rejected"))
+
+    steps = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [agenda, submitted, debated, voted, motions, discussed, decided])
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    plenary = F.col("stage").startswith("plenary")
+    steps = steps.withColumns({"part": F.when(plenary, 5).otherwise(stage), "after": stage})
+    outcome = records.select(F.col("symbol").alias("trajectory_id"), final_outcome(F.col("voting.yes"), F.col("voting.no"), F.col("voting").isNotNull()).alias("final_outcome")).dropDuplicates(["trajectory_id"])
+    return number_timesteps(steps, "trajectory_id", "part", "place", "source", "after", "within").join(outcome, "trajectory_id", "left").drop("part", "place", "after", "within")
+
+
+def relevant_utterances(utterances: DataFrame, held: DataFrame, keywords: list[str]) -> DataFrame:
+    """(trajectory_id, meeting, statements): speeches in a trajectory's meetings that name one of its drafts or hold a
+    keyword, in any case of letters. held: (trajectory_id, meeting, drafts), one row a pair; the join is on the meeting."""
+    said = utterances.join(held, "meeting")
+    text = F.lower("text")
+    hit = F.coalesce(F.exists("drafts", lambda d: F.contains(text, F.lower(d))), F.lit(False))
     for k in keywords:
-        hit = hit | F.lower("text").contains(k.lower())
+        hit = hit | F.coalesce(text.contains(k.lower()), F.lit(False))
     return said.filter(hit).groupBy("trajectory_id", "meeting").agg(F.countDistinct("utterance_id").alias("statements"))
 
 
@@ -161,21 +214,42 @@ def reference_qa(expected: DataFrame, found: DataFrame, key: str, kind: str, ref
     return out.withColumn("status", F.when(F.size("missing") == 0, "complete").otherwise("incomplete"))
 
 
-def trajectory_qa(records: DataFrame, index: DataFrame) -> DataFrame:
-    """J13 on records: (symbol, type, expected, found, missing, status)."""
-    return reference_qa(references(records), index.select(F.col("symbol_norm").alias("ref_symbol")), "symbol", "type", "ref_symbol")
+def trajectory_qa(records: DataFrame, index: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """J13 on records: (symbol, status, error, expected, found, missing, lost[type, ref_symbol]), one row a record.
+
+    A record is complete if nothing that it refers to is missing, whatever the type, so one without references is, too.
+    ``wanted`` (symbol) asks for certain records; one of them that is not among the records is an error.
+    """
+    have = index.select(F.col("symbol_norm").alias("ref_symbol")).distinct().withColumn("ok", F.lit(True))
+    rows = references(records).join(have, "ref_symbol", "left")
+    lost = F.array_sort(F.collect_list(F.when(F.col("ok").isNull(), F.struct("type", "ref_symbol"))))
+    per = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("expected"), F.count_if("ok").alias("found"), lost.alias("lost"))
+    every = records.select("symbol").distinct().withColumn("known", F.lit(True))
+    if wanted is not None:
+        every = wanted.select("symbol").distinct().join(every, "symbol", "left")
+    out = every.join(per, "symbol", "left")
+    missing = F.coalesce(F.array_size("lost"), F.lit(0))
+    status = F.when(F.col("known").isNull(), "error").when(missing == 0, "complete").otherwise("incomplete")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select("symbol", status.alias("status"), F.when(F.col("known").isNull(), "not found").alias("error"), zero("expected"), zero("found"), missing.alias("missing"), F.coalesce("lost", F.array().cast("array<struct<type:string,ref_symbol:string>>")).alias("lost"))
+
 
+def qa_summary(qa: DataFrame, accept: float = 0.9) -> DataFrame:
+    """Records by status, totals of references, the share of complete ones; accepted from a share of 0.9."""
+    rate = F.coalesce(F.count_if(F.col("status") == "complete") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
+    by = [F.count_if(F.col("status") == s).alias(n) for n, s in (("complete", "complete"), ("incomplete", "incomplete"), ("errors", "error"))]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return qa.agg(F.count(F.lit(1)).alias("total"), *by, total("expected"), total("found"), F.round(rate, 4).alias("rate"), (rate >= accept).alias("accepted"))
 
-def qa_summary(qa: DataFrame, key: str, accept: float = 0.9) -> DataFrame:
-    """Totals and rates over keys; accepted from a rate of 0.9."""
-    each = qa.groupBy(key).agg(F.bool_and(F.col("status") == "complete").alias("complete"), F.sum("expected").alias("e"), F.sum("found").alias("f"))
-    rate = F.coalesce(F.count_if("complete") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
-    return each.agg(F.count(F.lit(1)).alias("total"), F.count_if("complete").alias("complete"), F.sum("e").alias("expected"), F.sum("f").alias("found"), F.round(rate, 4).alias("rate"), (rate >= accept).alias("accepted"))
+
+def missing_by_type(qa: DataFrame) -> DataFrame:
+    """(type, missing) over incomplete records."""
+    return qa.filter("status = 'incomplete'").select(F.explode("lost").alias("x")).groupBy("x.type").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def missing_with_url(qa: DataFrame, refs: DataFrame) -> DataFrame:
     """(symbol, type, url, record_id) of each missing document, as its first referrer gives it; agenda items too."""
-    lost = qa.select("symbol", "type", F.explode("missing").alias("ref_symbol"))
+    lost = qa.select("symbol", F.explode("lost").alias("x")).select("symbol", "x.type", "x.ref_symbol")
     with_url = lost.join(refs.select("symbol", "type", "ref_symbol", "url"), ["symbol", "type", "ref_symbol"], "left")
     first = with_url.groupBy("ref_symbol", "type").agg(F.min_by("url", F.struct(F.col("url").isNull(), "symbol")).alias("url"))
     return first.select(F.col("ref_symbol").alias("symbol"), "type", F.coalesce("url", access_url(F.col("ref_symbol"))).alias("url"), record_id(F.col("url")).alias("record_id"))
@@ -193,8 +267,3 @@ def stage_summary(traces: DataFrame, records: DataFrame, statements: DataFrame)
     parts = traces.select(F.col("symbol").alias("trajectory_id"), F.col("type").alias("stage"), "ref_symbol")
     rows = own.unionByName(parts).join(r, "ref_symbol", "left").join(statements.select("trajectory_id", F.col("meeting").alias("ref_symbol"), "statements"), ["trajectory_id", "ref_symbol"], "left")
     return rows.select("trajectory_id", "stage", F.col("ref_symbol").alias("symbol"), "date", "title", "voting.yes", "voting.no", "voting.abstain", F.coalesce("statements", F.lit(0)).alias("statements"))
-
-
-def graph_nodes_key(symbol: Column, item: Column, sub: Column) -> Column:
-    """Key of an agenda node."""
-    return agenda_key(symbol, item, sub)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,11 +109,13 @@ def g14(s, d):
     return aggregates.parse_completeness(docs, docs.join(b.table(s, d, "labels").select(F.col("doc_id").alias("stem")), "stem", "left_semi"))
 
 
-@query("g15_sponsor_stats", """WITH t AS (SELECT o_orderkey, o_orderstatus, n FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
- SELECT CAST(trunc(avg(n)) AS INTEGER) AS mean_sponsors, CAST(trunc(stddev_pop(n)) AS INTEGER) AS std_sponsors, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS adoption_rate FROM t""")
+@query("g15_sponsor_stats", """WITH t AS (SELECT o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN coalesce(n, 0) END AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON o_orderkey = l_orderkey)
+ SELECT CAST(trunc(avg(n)) AS INTEGER) AS mean_sponsors, CAST(trunc(stddev_pop(n)) AS INTEGER) AS std_sponsors, round(avg(CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE 1.0 END), 6) AS adoption_rate FROM t""")
 def g15(s, d):
-    n = b.votes(s, d).groupBy(F.col("document_id").alias("id")).agg(F.countDistinct("actor_id").alias("sponsor_count"))
-    t = b.documents(s, d).join(n, "id").withColumn("final_outcome", F.when(F.col("doc_type") == "resolution", "adopted").otherwise("rejected"))
+    """Meetings have no draft, some drafts have no sponsor, and some outcomes are missing or in capitals."""
+    n = b.votes(s, d).filter("vote_type = 'in_favour'").groupBy(F.col("document_id").alias("id")).agg(F.countDistinct("actor_id").alias("n"))
+    t = b.documents(s, d).join(n, "id", "left").withColumn("sponsor_count", F.when(F.col("doc_type") != "meeting", F.coalesce("n", F.lit(0))))
+    t = t.withColumn("final_outcome", F.when(F.col("doc_type") == "resolution", "ADOPTED").when(F.col("doc_type") == "meeting", "rejected"))
     return aggregates.sponsor_stats(t).withColumn("adoption_rate", F.round("adoption_rate", 6))
 
 
@@ -260,45 +263,65 @@ def f2b(s, d):
     return graph.reachable(e, e.filter("relationship_type = 'agenda_item_for'").select(F.col("source_id").alias("seed")), "forward")
 
 
-CHAIN = f"""WITH RECURSIVE o AS (SELECT id, doc_type FROM {NODES} WHERE doc_type NOT IN ('meeting', 'committee_meeting')), b AS (SELECT DISTINCT node, next FROM {BOTH} x JOIN o ON o.id = x.next WHERE node <> next),
- w AS (SELECT seed, seed AS node, 0 AS depth FROM {NATIONS} UNION SELECT w.seed, b.next, w.depth + 1 FROM w JOIN b ON b.node = w.node WHERE w.depth < 4)"""
+# The graph with loops on some nodes, suppliers of no type, and meeting records at either end of their edges.
+CHAIN_NODES = f"(SELECT id, CASE WHEN NOT regexp_matches(id, '^S.*7$') THEN doc_type END AS doc_type FROM {NODES})"
+CHAIN_EDGES = f"(SELECT * FROM {EDGES} UNION ALL SELECT id, id, 'agenda_item_for' FROM {NODES} WHERE id LIKE 'R%' OR id LIKE 'C%5')"
 
 
-@query("f3_document_chain", f"{CHAIN} SELECT seed, w.node AS id, w.node AS symbol, doc_type, depth FROM w JOIN {NODES} n ON n.id = w.node")
-def f3(s, d):
-    return graph.document_chain(b.nodes(s, d), b.edges(s, d), nation_seeds(s, d))
+def chain_walk(nodes: str, edges: str, seeds: str) -> str:
+    """A walk over documents that are no meetings, as rows (seed, node, depth)."""
+    return f"""WITH RECURSIVE o AS (SELECT id FROM {nodes} WHERE doc_type NOT IN ('meeting', 'committee_meeting')),
+ b AS (SELECT DISTINCT node, next FROM (SELECT source_id AS node, target_id AS next FROM {edges} UNION ALL SELECT target_id, source_id FROM {edges}) x JOIN o ON o.id = x.next),
+ w AS (SELECT seed, seed AS node, 0 AS depth FROM {seeds} UNION SELECT w.seed, b.next, w.depth + 1 FROM w JOIN b ON b.node = w.node WHERE w.depth < 4)"""
 
 
-def meeting_docs(s, d):
-    """Customers count as meetings here, so that speeches have them."""
+@query("f3_document_chain", f"{chain_walk(CHAIN_NODES, CHAIN_EDGES, NATIONS)} SELECT seed, w.node AS id, w.node AS symbol, doc_type, depth FROM w JOIN {CHAIN_NODES} n ON n.id = w.node")
+def f3(s, d):
     n = b.nodes(s, d)
-    return n.withColumn("doc_type", F.when(F.col("id").startswith("C"), "meeting").otherwise(F.col("doc_type")))
+    loops = n.filter(F.col("id").startswith("R") | F.col("id").rlike("^C.*5$")).select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit("agenda_item_for").alias("relationship_type"))
+    untyped = n.withColumn("doc_type", F.when(~F.col("id").rlike("^S.*7$"), F.col("doc_type")))
+    return graph.document_chain(untyped, b.edges(s, d).unionByName(loops), nation_seeds(s, d))
 
 
-CHAIN2 = CHAIN.replace("FROM {NATIONS}", "").replace(NATIONS, "(SELECT DISTINCT document_id AS seed FROM (SELECT 'O' || CAST(document_id AS VARCHAR) AS document_id FROM " + LINKS + "))").replace("SELECT id, doc_type FROM " + NODES, "SELECT id, CASE WHEN id LIKE 'C%' THEN 'meeting' ELSE doc_type END AS doc_type FROM " + NODES)
-CHAIN2 = CHAIN2.replace("WHERE doc_type NOT IN ('meeting', 'committee_meeting')", "WHERE doc_type NOT IN ('meeting', 'committee_meeting') AND id NOT LIKE 'C%'")
+# Customers count as meetings here, so that speeches have them; of their orders' edges, some name the meeting as source,
+# some as target, and some are no meeting records. Every fifth speech of a conversation is linked to nothing.
+SPOKEN_NODES = f"(SELECT id, CASE WHEN id LIKE 'C%' THEN 'meeting' ELSE doc_type END AS doc_type FROM {NODES})"
+SPOKEN_EDGES = f"""(SELECT CASE WHEN k = 1 THEN target_id ELSE source_id END AS source_id, CASE WHEN k = 1 THEN source_id ELSE target_id END AS target_id, CASE WHEN k < 2 THEN 'meeting_record_for' ELSE relationship_type END AS relationship_type
+ FROM (SELECT *, CASE WHEN source_id LIKE 'O%' THEN CAST(substr(source_id, 2) AS BIGINT) % 3 ELSE 2 END AS k FROM {EDGES}) UNION ALL SELECT 'O' || CAST(id AS VARCHAR), 'O' || CAST(id + 1 AS VARCHAR), 'draft_of' FROM {DOCS} WHERE id % 4 = 0)"""
+SPOKEN_LINKS = f"(SELECT utterance_id, 'O' || CAST(document_id AS VARCHAR) AS document_id, reference_type FROM {LINKS} WHERE utterance_id % 5 <> 4)"
+SPOKEN_WALK = f"""{chain_walk(SPOKEN_NODES, SPOKEN_EDGES, "(SELECT DISTINCT document_id AS seed FROM " + SPOKEN_LINKS + ")")},
+ ids AS (SELECT DISTINCT seed, w.node FROM w JOIN {SPOKEN_NODES} n ON n.id = w.node),
+ m AS (SELECT seed, n.id AS meeting_id FROM ids JOIN {SPOKEN_EDGES} e ON (e.source_id = ids.node OR e.target_id = ids.node) AND e.relationship_type = 'meeting_record_for'
+   JOIN {SPOKEN_NODES} n ON n.id = CASE WHEN e.source_id = ids.node THEN e.target_id ELSE e.source_id END WHERE n.doc_type IN ('meeting', 'committee_meeting')
+  UNION SELECT seed, n.id FROM ids JOIN {SPOKEN_LINKS} l ON l.document_id = ids.node JOIN {UTTERANCES} u ON u.id = l.utterance_id JOIN {NODES} n ON n.id = u.meeting_id)"""
 
 
 def spoken_chain(s, d):
-    docs, e = meeting_docs(s, d), b.edges(s, d)
-    seeds = b.graph_links(s, d).select(F.col("document_id").alias("seed")).distinct()
-    return docs, e, graph.document_chain(docs, e, seeds)
+    n = b.nodes(s, d)
+    docs = n.withColumn("doc_type", F.when(F.col("id").startswith("C"), "meeting").otherwise(F.col("doc_type")))
+    e = b.edges(s, d)
+    k = F.when(F.col("source_id").startswith("O"), F.substring("source_id", 2, 20).cast("long") % 3).otherwise(2)
+    turned = e.select(F.when(k == 1, F.col("target_id")).otherwise(F.col("source_id")).alias("source_id"), F.when(k == 1, F.col("source_id")).otherwise(F.col("target_id")).alias("target_id"), F.when(k < 2, "meeting_record_for").otherwise(F.col("relationship_type")).alias("relationship_type"))
+    o = lambda c: F.concat(F.lit("O"), c.cast("string"))
+    drafts = b.documents(s, d).filter("id % 4 = 0").select(o(F.col("id")).alias("source_id"), o(F.col("id") + 1).alias("target_id"), F.lit("draft_of").alias("relationship_type"))
+    links = b.graph_links(s, d).filter("utterance_id % 5 <> 4")
+    edges = turned.unionByName(drafts)
+    return docs, edges, links, graph.document_chain(docs, edges, links.select(F.col("document_id").alias("seed")).distinct())
 
 
-@query("f4_chain_meetings", f"""{CHAIN2}, m AS (SELECT seed, u.meeting_id FROM w JOIN {LINKS} l ON 'O' || CAST(l.document_id AS VARCHAR) = w.node JOIN {UTTERANCES} u ON u.id = l.utterance_id)
- SELECT DISTINCT seed, meeting_id FROM m JOIN {NODES} n ON n.id = m.meeting_id""")
+@query("f4_chain_meetings", f"{SPOKEN_WALK} SELECT seed, meeting_id FROM m")
 def f4(s, d):
-    docs, e, chain = spoken_chain(s, d)
-    return graph.chain_meetings(docs, e, b.utterances(s, d), b.graph_links(s, d), chain)
+    docs, e, links, chain = spoken_chain(s, d)
+    return graph.chain_meetings(docs, e, b.utterances(s, d), links, chain)
 
 
-@query("f5_chain_utterances", f"""{CHAIN2}, m AS (SELECT DISTINCT seed, u.meeting_id FROM w JOIN {LINKS} l ON 'O' || CAST(l.document_id AS VARCHAR) = w.node JOIN {UTTERANCES} u ON u.id = l.utterance_id JOIN {NODES} n ON n.id = u.meeting_id),
- r AS (SELECT m.seed, m.meeting_id, u.id AS utterance_id, u.position_in_meeting, u.speaker_affiliation, w.node AS referenced FROM m JOIN {UTTERANCES} u ON u.meeting_id = m.meeting_id JOIN {LINKS} l ON l.utterance_id = u.id JOIN (SELECT DISTINCT seed, node FROM w) w ON w.seed = m.seed AND w.node = 'O' || CAST(l.document_id AS VARCHAR)),
- k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY position_in_meeting, utterance_id, referenced) AS rank FROM r), t AS (SELECT * FROM k WHERE rank <= 100)
- SELECT seed, CAST(rank AS INTEGER) AS rank, meeting_id AS meeting_symbol, CAST(NULL AS DATE) AS date, utterance_id, position_in_meeting, speaker_affiliation, referenced, count(*) OVER (PARTITION BY seed) >= 100 AS truncated FROM t""")
+@query("f5_chain_utterances", f"""{SPOKEN_WALK},
+ r AS (SELECT m.seed, m.meeting_id, u.id AS utterance_id, u.position_in_meeting, u.speaker_name, u.speaker_affiliation, u.agenda_item_number, u.text, l.document_id AS referenced, l.reference_type
+   FROM m JOIN {UTTERANCES} u ON u.meeting_id = m.meeting_id LEFT JOIN {SPOKEN_LINKS} l ON l.utterance_id = u.id WHERE l.document_id IS NULL OR EXISTS (SELECT 1 FROM ids WHERE ids.seed = m.seed AND ids.node = l.document_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY position_in_meeting, utterance_id, referenced NULLS FIRST) AS rank FROM r), t AS (SELECT * FROM k WHERE rank <= 100)
+ SELECT seed, CAST(rank AS INTEGER) AS rank, meeting_id AS meeting_symbol, CAST(NULL AS DATE) AS date, utterance_id, position_in_meeting, speaker_name, speaker_affiliation, agenda_item_number AS agenda_item, left(coalesce(text, ''), 500) AS text, referenced, reference_type, count(*) OVER (PARTITION BY seed) >= 100 AS truncated FROM t""")
 def f5(s, d):
-    docs, e, chain = spoken_chain(s, d)
-    links = b.graph_links(s, d)
+    docs, e, links, chain = spoken_chain(s, d)
     meetings = graph.chain_meetings(docs, e, b.utterances(s, d), links, chain)
     return graph.chain_utterances(docs, b.utterances(s, d), links, chain, meetings)
 
@@ -627,7 +650,7 @@ def e6(s, d):
     return tables.build_relationships(records, b.nodes(s, d)).select("source_id", "target_id", "relationship_type")
 
 
-@query("e7_votes_from_records", f"SELECT DISTINCT document_id, actor_id, vote_type, 'plenary' AS vote_context FROM {VOTES}")
+@query("e7_votes_from_records", f"SELECT document_id, actor_id, vote_type, 'plenary' AS vote_context FROM {VOTES}")
 def e7(s, d):
     named = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
     lists = F.struct(*[F.collect_list(F.when(F.col("vote_type") == k, F.col("name"))).alias(k) for k in aggregates.KINDS])
@@ -642,18 +665,24 @@ def e8(s, d):
     return tables.votes_from_meetings(named, b.actors(s, d), v.filter("l_linenumber = 1")).select("document_id", "actor_id", "vote_type")
 
 
-@query("e9_build_vote_events", f"SELECT event_id AS utterance_id, 'O' || CAST(coalesce(d.id, r.id) AS VARCHAR) AS target FROM events e LEFT JOIN {DOCS} d ON e.event_id = d.id AND e.event_id % 2 = 0 LEFT JOIN {DOCS} r ON e.user_id = r.id")
+@query("e9_build_vote_events", f"""WITH d AS (SELECT id, symbol FROM {DOCS} UNION ALL SELECT id + 1000000000, 'A/78/L.' || CAST(id AS VARCHAR) FROM {DOCS} WHERE id % 3 <> 0),
+ e AS (SELECT *, event_id % 5 AS k FROM events), n AS (SELECT e.*, CASE k WHEN 0 THEN o.symbol WHEN 1 THEN 'A/78/L.' || CAST(event_id AS VARCHAR) WHEN 3 THEN 'A/C.9/78/L.' || CAST(event_id AS VARCHAR) WHEN 4 THEN 'L.' || CAST(event_id AS VARCHAR) || '/REV.1' END AS draft_symbol FROM e LEFT JOIN {DOCS} o ON o.id = e.event_id)
+ SELECT event_id AS utterance_id, coalesce(t.id, r.id) AS target FROM n LEFT JOIN d t ON t.symbol = n.draft_symbol LEFT JOIN {DOCS} r ON r.id = n.user_id""")
 def e9(s, d):
-    docs = b.documents(s, d)
-    e = b.table(s, d, "events").join(docs.select(F.col("id").alias("event_id"), F.col("symbol").alias("own")), "event_id", "left").join(docs.select(F.col("id").alias("user_id"), F.col("symbol").alias("res")), "user_id", "left")
-    rows = e.select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("utterance_id"), F.lit(78).alias("session"), F.when(F.col("event_id") % 2 == 0, F.lower("own")).alias("draft"), F.col("res").alias("resolution_symbol"), "event_type", F.col("props").alias("description"), F.lit(None).cast("string").alias("result"))
-    return tables.build_vote_events(rows, docs).select("utterance_id", F.concat(F.lit("O"), F.col("target_document_id").cast("string")).alias("target"))
+    """Drafts as full symbols (own ones and some that are not loaded), as short forms, as bare numbers and as revisions."""
+    own = b.documents(s, d).select("id", "symbol")
+    docs = own.unionByName(own.filter("id % 3 <> 0").select((F.col("id") + 1000000000).alias("id"), F.concat(F.lit("A/78/L."), F.col("id").cast("string")).alias("symbol")))
+    e = b.table(s, d, "events").join(own.select(F.col("id").alias("event_id"), F.col("symbol").alias("own")), "event_id", "left").join(own.select(F.col("id").alias("user_id"), F.col("symbol").alias("res")), "user_id", "left")
+    n, k = F.col("event_id").cast("string"), F.col("event_id") % 5
+    draft = F.when(k == 0, F.lower("own")).when(k == 1, F.concat(F.lit("L."), n)).when(k == 2, n).when(k == 3, F.concat(F.lit("A/C.9/78/L."), n)).otherwise(F.concat(F.lit("L."), n, F.lit("/Rev.1")))
+    rows = e.select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("utterance_id"), F.lit(78).alias("session"), draft.alias("draft"), F.col("res").alias("resolution_symbol"), "event_type", F.col("props").alias("description"), F.lit(None).cast("string").alias("result"))
+    return tables.build_vote_events(rows, docs).select("utterance_id", F.col("target_document_id").alias("target"))
 
 
-@query("e10_build_utterances", f"SELECT meeting_id, position_in_meeting, s_name IS NOT NULL AS has_actor FROM {UTTERANCES} u LEFT JOIN supplier ON s_suppkey = u.position_in_meeting + 1 WHERE trim(coalesce(text, '')) <> ''")
+@query("e10_build_utterances", f"""SELECT meeting_id, position_in_meeting, s_suppkey AS speaker_actor_id, text, '{{"tags":"' || speaker_name || '"}}' AS utterance_metadata FROM {UTTERANCES} u LEFT JOIN supplier ON s_suppkey = u.position_in_meeting + 1 WHERE trim(coalesce(text, '')) <> ''""")
 def e10(s, d):
-    u = b.utterances(s, d).drop("speaker_affiliation", "id").join(b.actors(s, d).select((F.col("id") - 1).alias("position_in_meeting"), F.col("name").alias("speaker_affiliation")), "position_in_meeting", "left")
-    return tables.build_utterances(u, b.actors(s, d)).select("meeting_id", "position_in_meeting", F.col("speaker_actor_id").isNotNull().alias("has_actor"))
+    u = b.utterances(s, d).drop("speaker_affiliation", "id").join(b.actors(s, d).select((F.col("id") - 1).alias("position_in_meeting"), F.col("name").alias("speaker_affiliation")), "position_in_meeting", "left").withColumn("tags", F.col("speaker_name"))
+    return tables.build_utterances(u, b.actors(s, d)).select("meeting_id", "position_in_meeting", "speaker_actor_id", "text", "utterance_metadata")
 
 
 @query("e11_link_utterances", f"SELECT u.id AS utterance_id, d.id AS document_id, CASE WHEN d.id % 2 = 0 OR u.position_in_meeting % 2 = 0 THEN 'mentioned' ELSE 'voting_on' END AS reference_type FROM {UTTERANCES} u JOIN {DOCS} d ON u.conv_id = d.custkey")
@@ -684,11 +713,22 @@ def e14(s, d):
     return tables.upsert_utterances(u.filter("position_in_meeting % 2 = 0"), u.withColumn("text", F.concat(F.lit("new "), "text")))
 
 
-@query("e15_purge_documents", f"SELECT count(*) AS documents, (SELECT count(*) FROM {VOTES} v JOIN {DOCS} x ON v.document_id = x.id WHERE x.doc_type <> 'meeting') AS votes FROM {DOCS} WHERE doc_type <> 'meeting'")
+@query("e15_purge_documents", f"""WITH g AS (SELECT id FROM {DOCS} WHERE doc_type = 'meeting'), u AS (SELECT id FROM {UTTERANCES} WHERE conv_id NOT IN (SELECT id FROM g)),
+ v AS (SELECT event_id, user_id, CASE WHEN event_id NOT IN (SELECT id FROM g) THEN event_id END AS target FROM events WHERE user_id NOT IN (SELECT id FROM g))
+ SELECT 'documents' AS name, CAST(id AS VARCHAR) AS row FROM {DOCS} WHERE doc_type <> 'meeting' UNION ALL SELECT 'votes', CAST(document_id AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM {VOTES} WHERE document_id NOT IN (SELECT id FROM g)
+ UNION ALL SELECT 'utterances', CAST(id AS VARCHAR) FROM u UNION ALL SELECT 'vote_events', CAST(event_id AS VARCHAR) || '-' || coalesce(CAST(target AS VARCHAR), '') FROM v
+ UNION ALL SELECT 'utterance_documents', CAST(utterance_id AS VARCHAR) || '-' || CAST(document_id AS VARCHAR) FROM {LINKS} WHERE utterance_id IN (SELECT id FROM u) AND document_id NOT IN (SELECT id FROM g)""")
 def e15(s, d):
+    """Meetings leave with their votes, speeches, links and vote events; events on them lose their target."""
     docs = b.documents(s, d)
-    out = tables.purge_documents({"documents": docs, "votes": b.votes(s, d)}, docs.filter("doc_type = 'meeting'"))
-    return out["documents"].agg(F.count(F.lit(1)).alias("documents")).crossJoin(out["votes"].agg(F.count(F.lit(1)).alias("votes")))
+    u = b.utterances(s, d).select("id", F.col("conv_id").alias("meeting_id"))
+    events = b.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("meeting_id"), F.lit(None).cast("long").alias("utterance_id"), F.col("event_id").alias("target_document_id"))
+    held = {"documents": docs, "votes": b.votes(s, d), "utterances": u, "vote_events": events, "utterance_documents": b.links(s, d)}
+    out = tables.purge_documents(held, docs.filter("doc_type = 'meeting'"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shown = {"documents": ["id"], "votes": ["document_id", "l_linenumber"], "utterances": ["id"], "vote_events": ["id", "target_document_id"], "utterance_documents": ["utterance_id", "document_id"]}
+    parts = [out[n].select(F.lit(n).alias("name"), F.concat_ws("-", *map(text, c)).alias("row")) for n, c in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("e16_load_stats", "SELECT CASE WHEN quality = 0 THEN 'errors' WHEN l.doc_id IS NULL THEN 'skipped' ELSE 'loaded' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
@@ -731,7 +771,7 @@ def a10(s, d):
 def order_records(s, d):
     """Orders as records: their lines as references, their priority as agenda item."""
     v = b.table(s, d, "lineitem")
-    ref = lambda flag, p: F.collect_set(F.when(F.col("l_returnflag") == flag, F.struct(F.concat(F.lit(p), F.col("l_suppkey").cast("string")).alias("text"), F.concat(F.lit("https://library.example.org/record/"), F.col("l_suppkey").cast("string")).alias("url"))))
+    ref = lambda flag, p: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.struct(F.concat(F.lit(p), F.col("l_suppkey").cast("string")).alias("text"), F.concat(F.lit("https://library.example.org/record/"), F.col("l_suppkey").cast("string")).alias("url")))))
     refs = v.groupBy(F.col("l_orderkey").alias("id")).agg(F.struct(ref("A", "S").alias("drafts"), ref("R", "S").alias("committee_reports"), ref("N", "X").alias("meeting_records")).alias("related_documents"))
     docs = b.documents(s, d).withColumn("kind", F.when(F.col("doc_type") == "resolution", "resolutions").when(F.col("doc_type") == "draft", "drafts").otherwise("committee-reports"))
     number = F.left("title", F.lit(1)).cast("int")
@@ -756,11 +796,17 @@ def j3(s, d):
     return trajectories.trace_forwards(order_records(s, d), targets).select("label", "symbol")
 
 
-@query("j6_graph_nodes", f"SELECT id, bool_and(found) AS found FROM (SELECT DISTINCT symbol AS id, true AS found FROM {REFS} UNION ALL SELECT ref_symbol, found FROM {REFS}) GROUP BY 1")
+@query("j6_graph_nodes", f"SELECT id, bool_and(found) AS found, min(type) AS type, min(title) AS title FROM (SELECT DISTINCT symbol AS id, true AS found, 'resolution' AS type FROM {REFS} UNION ALL SELECT ref_symbol, found, type FROM {REFS}) LEFT JOIN (SELECT symbol, title FROM {DOCS}) ON symbol = id GROUP BY 1")
 def j6(s, d):
     r = order_records(s, d)
     nodes, _ = trajectories.genealogy_graph(trajectories.trace_backwards(r, supplier_index(s, d)), r)
-    return nodes.select("id", "found")
+    return nodes.select("id", "found", "type", "title")
+
+
+@query("j6_graph_edges", f"SELECT DISTINCT ref_symbol AS source, symbol AS target, type AS relation FROM {REFS}")
+def j6b(s, d):
+    r = order_records(s, d)
+    return trajectories.genealogy_graph(trajectories.trace_backwards(r, supplier_index(s, d)), r)[1]
 
 
 @query("j10_country_actions", f"SELECT document_id AS trajectory_id, name AS country, 'voted_' || vote_type AS action FROM {VOTES} v JOIN {ACTORS} a ON a.id = v.actor_id UNION ALL SELECT id, doc_type, 'submit_draft' FROM {DOCS} UNION ALL SELECT id, doc_type, 'co_sponsor' FROM {DOCS} UNION ALL SELECT id, title, 'co_sponsor' FROM {DOCS}")
@@ -781,9 +827,23 @@ def j12(s, d):
     return trajectories.availability(b.steps(s, d), "event_id", "value", "props")
 
 
-@query("j13_trajectory_qa", f"SELECT symbol, type, count(*) AS expected, count(*) FILTER (found) AS found, coalesce(string_agg(CASE WHEN NOT found THEN ref_symbol END, ',' ORDER BY ref_symbol), '') AS missing, CASE WHEN bool_and(found) THEN 'complete' ELSE 'incomplete' END AS status FROM {REFS} GROUP BY 1, 2")
+# Some records without agenda, some without other references, and some that are asked for but not there.
+QA_REFS = f"(SELECT r.* FROM {REFS} r JOIN {DOCS} d ON d.symbol = r.symbol WHERE CASE WHEN r.type = 'agenda_item' THEN d.id % 4 <> 0 ELSE d.id % 10 <> 0 END)"
+QA = f"""(SELECT w.symbol, CASE WHEN NOT known THEN 'error' WHEN coalesce(e - f, 0) = 0 THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN NOT known THEN 'not found' END AS error, coalesce(e, 0) AS expected, coalesce(f, 0) AS found, CAST(coalesce(e - f, 0) AS INTEGER) AS missing, coalesce(lost, '') AS lost
+ FROM (SELECT symbol, true AS known FROM {DOCS} WHERE id IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'X/' || symbol, false FROM {DOCS} WHERE id % 7 = 0) w
+ LEFT JOIN (SELECT symbol, count(*) AS e, count(*) FILTER (found) AS f, string_agg(CASE WHEN NOT found THEN type || ':' || ref_symbol END, ',' ORDER BY type, ref_symbol) AS lost FROM {QA_REFS} GROUP BY 1) q USING (symbol))"""
+
+
+def qa_of_orders(s, d):
+    r = order_records(s, d)
+    asked = r.select("symbol").unionByName(b.documents(s, d).filter("id % 7 = 0").select(F.concat(F.lit("X/"), "symbol").alias("symbol")))
+    r = r.withColumns({"related_documents": F.when(F.col("id") % 10 != 0, F.col("related_documents")), "agenda": F.when(F.col("id") % 4 != 0, F.col("agenda"))})
+    return trajectories.trajectory_qa(r, supplier_index(s, d), asked)
+
+
+@query("j13_trajectory_qa", f"SELECT * FROM {QA}")
 def j13(s, d):
-    return trajectories.trajectory_qa(order_records(s, d), supplier_index(s, d)).withColumn("missing", F.array_join("missing", ","))
+    return qa_of_orders(s, d).withColumn("lost", F.array_join(F.transform("lost", lambda x: F.concat_ws(":", x["type"], x["ref_symbol"])), ","))
 
 
 @query("j13_labelled_qa", "SELECT lang, source, count(*) AS expected, count(l.doc_id) AS found, count(*) = count(l.doc_id) AS complete FROM (SELECT DISTINCT lang, source, doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1, 2")
@@ -792,10 +852,14 @@ def j13b(s, d):
     return qa.select("lang", "source", "expected", "found", (F.col("status") == "complete").alias("complete"))
 
 
-@query("j14_qa_summary", f"WITH q AS (SELECT symbol, bool_and(found) AS complete, count(*) AS e, count(*) FILTER (found) AS f FROM {REFS} WHERE type <> 'agenda_item' GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (complete) AS complete, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(f) AS BIGINT) AS found, round(count(*) FILTER (complete) / count(*), 4) AS rate, count(*) FILTER (complete) / count(*) >= 0.9 AS accepted FROM q")
+@query("j14_qa_summary", f"SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'incomplete') AS incomplete, count(*) FILTER (status = 'error') AS errors, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(found) AS BIGINT) AS found, round(count(*) FILTER (status = 'complete') / count(*), 4) AS rate, count(*) FILTER (status = 'complete') / count(*) >= 0.9 AS accepted FROM {QA}")
 def j14(s, d):
-    qa = trajectories.trajectory_qa(order_records(s, d), supplier_index(s, d)).filter("type <> 'agenda_item'")
-    return trajectories.qa_summary(qa, "symbol")
+    return trajectories.qa_summary(qa_of_orders(s, d))
+
+
+@query("j14_missing_by_type", f"SELECT type, count(*) AS missing FROM {QA_REFS} WHERE NOT found GROUP BY 1")
+def j14b(s, d):
+    return trajectories.missing_by_type(qa_of_orders(s, d))
 
 
 @query("j15_missing_with_url", f"SELECT ref_symbol AS symbol, type, CASE WHEN type = 'agenda_item' THEN 'https://docs.un.org/en/A/78/251' ELSE 'https://library.example.org/record/' || replace(ref_symbol, 'X', '') END AS url, CASE WHEN type <> 'agenda_item' THEN replace(ref_symbol, 'X', '') END AS record_id FROM (SELECT DISTINCT ref_symbol, type FROM {REFS} WHERE NOT found)")
@@ -813,21 +877,48 @@ TALLIED = f"(SELECT document_id, list(DISTINCT actor_id) FILTER (vote_type = 'in
 
 
 def voted_trajectories(s, d):
-    """Documents with their voters; the actors that favour one sponsor it. Regions are the countries' bloc leaders."""
-    sets = F.struct(*[F.collect_set(F.when(F.col("vote_type") == k, F.col("actor_id").cast("string"))).alias(n) for k, n in (("in_favour", "yes"), ("against", "no"), ("abstaining", "abstain"))])
-    v = b.votes(s, d).groupBy(F.col("document_id").alias("id")).agg(sets.alias("v"))
-    docs = b.documents(s, d).join(v, "id")
-    outcome = F.when(F.col("doc_type") == "resolution", "adopted").otherwise("rejected")
-    return docs.select(F.col("id").alias("trajectory_id"), F.lit(0).alias("topic_id"), F.col("v.yes").alias("sponsors"), F.col("v").alias("committee"), F.col("v").alias("plenary"), outcome.alias("final_outcome"))
+    """Documents with the voters of their committee and plenary votes; who votes first sponsors. Some have no such vote."""
+    who = F.col("actor_id").cast("string")
+
+    def lists(context):
+        own = F.col("vote_context") == context
+        sets = F.struct(*[F.collect_set(F.when(own & (F.col("vote_type") == k), who)).alias(n) for k, n in (("in_favour", "yes"), ("against", "no"), ("abstaining", "abstain"))])
+        return F.when(F.count_if(own) > 0, sets)
+
+    v = b.votes(s, d).groupBy(F.col("document_id").alias("id")).agg(lists("committee").alias("committee"), lists("plenary").alias("plenary"), F.collect_set(F.when(F.col("l_linenumber") <= 2, who)).alias("sponsors"))
+    outcome = F.when(F.col("doc_type") == "resolution", "Adopted").when(F.col("doc_type") == "meeting", "rejected")
+    return b.documents(s, d).join(v, "id").select(F.col("id").alias("trajectory_id"), F.lit(0).alias("topic_id"), "sponsors", "committee", "plenary", outcome.alias("final_outcome"))
+
+
+def lists_sql(context: str, p: str) -> str:
+    kinds = {"yes": "in_favour", "no": "against", "abstain": "abstaining"}
+    return ", ".join(f"list(DISTINCT actor_id) FILTER (vote_context = '{context}' AND vote_type = '{v}') AS {p}_{k}" for k, v in kinds.items())
+
+
+VOTED = f"(SELECT document_id, list(DISTINCT actor_id) FILTER (l_linenumber <= 2) AS sponsors, {lists_sql('committee', 'c')}, {lists_sql('plenary', 'p')}, count(*) FILTER (vote_context = 'committee') AS nc, count(*) FILTER (vote_context = 'plenary') AS np FROM {VOTES} GROUP BY 1)"
 
 
-@query("j18_episodes", f"""WITH c AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS c FROM region), e AS (SELECT document_id, c, d.doc_type, len(coalesce(y, [])) AS ny, len(coalesce(n, [])) AS nn, len(coalesce(a, [])) AS na, coalesce(list_contains(y, c), false) AS iy, coalesce(list_contains(n, c), false) AS ino FROM {TALLIED} JOIN {DOCS} d ON d.id = document_id, c),
- s AS (SELECT *, unnest([0, 1, 2]) AS t FROM e) SELECT document_id AS trajectory_id, CAST(c AS VARCHAR) AS country, CAST(t AS INTEGER) AS t, CASE WHEN t = 0 THEN CASE WHEN iy THEN 1 ELSE 0 END WHEN iy THEN 2 WHEN ino THEN 3 ELSE 4 END AS action,
- CASE WHEN t = 2 AND iy THEN CASE WHEN doc_type = 'resolution' THEN 1.0 ELSE -1.0 END ELSE 0.0 END AS reward, t = 2 AS done, CASE WHEN t = 2 THEN ny ELSE 0 END AS plenary_yes, CASE WHEN t >= 1 THEN nn ELSE 0 END AS committee_no FROM s""")
+def state_sql() -> str:
+    """Every field of both states of a step t in 0, 1, 2, as the episodes of the record model have them."""
+    rows = {
+        "s_stage": "CASE WHEN t = 2 THEN 2 ELSE 0 END", "n_stage": "CASE t WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END", "s_topic_id": "0", "n_topic_id": "0", "s_sponsor_count": "n_sponsors", "n_sponsor_count": "n_sponsors",
+        "s_agent_is_sponsor": "CASE WHEN t > 0 AND sponsor THEN 1 ELSE 0 END", "n_agent_is_sponsor": "CASE WHEN sponsor THEN 1 ELSE 0 END", "s_t": "CASE t WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END", "n_t": "CASE t WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END",
+    }
+    for k in ("yes", "no", "abstain"):
+        rows |= {f"s_committee_{k}": f"CASE WHEN t = 2 THEN n_c_{k} ELSE 0 END", f"n_committee_{k}": f"CASE WHEN t >= 1 THEN n_c_{k} ELSE 0 END", f"s_plenary_{k}": "0", f"n_plenary_{k}": f"CASE WHEN t = 2 THEN n_p_{k} ELSE 0 END"}
+    return ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in rows.items())
+
+
+@query("j18_episodes", f"""WITH c AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS c FROM region), e AS (SELECT document_id, c, d.doc_type, len(coalesce(sponsors, [])) AS n_sponsors, coalesce(list_contains(sponsors, c), false) AS sponsor,
+ {', '.join(f"len(coalesce({p}_{k}, [])) AS n_{p}_{k}" for p in 'cp' for k in ('yes', 'no', 'abstain'))}, {', '.join(f"CASE WHEN list_contains({p}_yes, c) THEN 1 WHEN list_contains({p}_no, c) THEN 2 ELSE 3 END AS {p}_action" for p in 'cp')}
+ FROM {VOTED} JOIN {DOCS} d ON d.id = document_id, c WHERE nc > 0 AND np > 0), s AS (SELECT *, unnest([0, 1, 2]) AS t FROM e)
+ SELECT document_id AS trajectory_id, CAST(c AS VARCHAR) AS country, CAST(t AS INTEGER) AS t, CAST(CASE t WHEN 0 THEN CASE WHEN sponsor THEN 0 ELSE 4 END WHEN 1 THEN c_action ELSE p_action END AS INTEGER) AS action,
+ CASE WHEN t = 2 AND sponsor THEN CASE WHEN doc_type = 'meeting' THEN -1.0 ELSE 1.0 END ELSE 0.0 END AS reward, t = 2 AS done, {state_sql()} FROM s""")
 def j18(s, d):
     countries = b.table(s, d, "region").select((F.col("r_regionkey") + 1).cast("string").alias("country"))
     e = episodes.episodes(voted_trajectories(s, d), countries)
-    return e.select("trajectory_id", "country", "t", "action", "reward", "done", F.col("next_state.plenary_yes").alias("plenary_yes"), F.col("next_state.committee_no").alias("committee_no"))
+    fields = [F.col(f"{x}.{c}").alias(f"{p}_{c}") for p, x in (("s", "state"), ("n", "next_state")) for c in ("stage", *episodes.SCALARS)]
+    return e.select("trajectory_id", "country", "t", "action", "reward", "done", *fields)
 
 
 STAGE = "(CASE stage WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END)"
@@ -849,14 +940,14 @@ def j20(s, d):
     return v.select("event_id", F.array_join(F.transform("v", lambda z: z.cast("int").cast("string")), ",").alias("vector"), back["stage"].alias("stage"), back["sponsor_count"].alias("sponsor_count"))
 
 
-@query("j21_valid_actions", f"SELECT event_id, CASE {STAGE} WHEN 0 THEN event_id % 5 IN (0, 1) WHEN 3 THEN event_id % 5 = 0 ELSE event_id % 5 IN (2, 3, 4) END AS valid FROM {STEPS}")
+@query("j21_valid_actions", f"SELECT event_id, CASE {STAGE} WHEN 0 THEN event_id % 5 IN (0, 4) WHEN 3 THEN event_id % 5 = 4 ELSE event_id % 5 IN (1, 2, 3) END AS valid FROM {STEPS}")
 def j21(s, d):
     return event_states(s, d).select("event_id", episodes.valid_action(F.col("state.stage"), F.col("action")).alias("valid"))
 
 
-@query("j22_episode_stats", f"WITH e AS (SELECT trajectory_id, count(*) AS l, sum(value) AS r, bool_or(no > 3) AS s FROM {STEPS} GROUP BY 1) SELECT count(*) AS episodes, CAST(sum(l) AS BIGINT) AS transitions, round(avg(l), 6) AS mean_length, round(avg(r), 4) AS reward_mean, round(stddev_pop(r), 4) AS reward_std, count(*) FILTER (r > 0) AS positive, count(*) FILTER (r < 0) AS negative, round(avg(CAST(s AS INTEGER)), 6) AS sponsor_rate FROM e")
+@query("j22_episode_stats", f"WITH e AS (SELECT trajectory_id, count(*) AS l, bool_or(no > 3 AND yes > 90) AS s FROM {STEPS} GROUP BY 1), r AS (SELECT avg(value - 50) AS m, stddev_pop(value - 50) AS d, count(*) FILTER (value > 50) AS u, count(*) FILTER (value < 50) AS v FROM {STEPS}) SELECT count(*) AS episodes, CAST(sum(l) AS BIGINT) AS transitions, round(avg(l), 6) AS mean_length, round(any_value(m), 4) AS reward_mean, round(any_value(d), 4) AS reward_std, any_value(u) AS positive, any_value(v) AS negative, round(avg(CAST(s AS INTEGER)), 6) AS sponsor_rate FROM e, r")
 def j22(s, d):
-    r = episodes.episode_stats(b.steps(s, d), ["trajectory_id"], value="value", is_sponsor=F.col("no") > 3)
+    r = episodes.episode_stats(b.steps(s, d).withColumn("value", F.col("value") - 50), ["trajectory_id"], value="value", is_sponsor=(F.col("no") > 3) & (F.col("yes") > 90))
     return r.withColumns({"mean_length": F.round("mean_length", 6), "reward_mean": F.round("reward_mean", 4), "reward_std": F.round("reward_std", 4), "sponsor_rate": F.round("sponsor_rate", 6)})
 
 
@@ -880,7 +971,7 @@ def j24(s, d):
 
 
 @query("j25_prediction_metrics", f"""WITH z AS (SELECT 0 AS dim, CAST(yes AS DOUBLE) AS p, CAST(no AS DOUBLE) AS q FROM {STEPS} UNION ALL SELECT 1, abstain + 0.4, abstain FROM {STEPS} UNION ALL SELECT 2, value, value + 1 FROM {STEPS} WHERE value IS NOT NULL),
- d AS (SELECT dim, sum((p - q) * (p - q)) AS sq, count(*) AS n, count(DISTINCT q) AS v, avg(CASE WHEN round_even(p, 0) = round_even(q, 0) THEN 1 ELSE 0 END) AS acc FROM z GROUP BY 1) SELECT round(sum(sq) / sum(n), 6) AS mse, round(sqrt(sum(sq) / sum(n)), 6) AS rmse, round(avg(acc) FILTER (v < 10), 6) AS mean_accuracy, max(n) AS n FROM d""")
+ d AS (SELECT dim, sum((p - q) * (p - q)) AS sq, count(*) AS n, count(DISTINCT q) AS v, avg(CASE WHEN round_even(p, 0) = q THEN 1 ELSE 0 END) AS acc FROM z GROUP BY 1) SELECT round(sum(sq) / sum(n), 6) AS mse, round(sqrt(sum(sq) / sum(n)), 6) AS rmse, round(avg(acc) FILTER (v < 10), 6) AS mean_accuracy, max(n) AS n FROM d""")
 def j25(s, d):
     e = b.steps(s, d).filter("value is not null")
     p = e.select(F.array(F.col("yes").cast("double"), F.col("abstain") + 0.4, F.col("value")).alias("p"), F.array(F.col("no").cast("double"), F.col("abstain").cast("double"), F.col("value") + 1).alias("q"))
@@ -923,12 +1014,14 @@ def j30(s, d):
     return graph.version_chains(drafts, e, drafts).select("base", F.array_join("versions", ",").alias("versions"))
 
 
-@query("j31_stage_summary", f"SELECT count(*) AS n, count(DISTINCT trajectory_id) AS trajectories, count(*) FILTER (stage = 'resolution') AS resolutions FROM (SELECT DISTINCT symbol AS trajectory_id, 'resolution' AS stage, symbol FROM {REFS} UNION ALL SELECT symbol, type, ref_symbol FROM {REFS})")
+@query("j31_stage_summary", f"""WITH x AS (SELECT DISTINCT symbol AS trajectory_id, 'resolution' AS stage, symbol FROM {REFS} UNION ALL SELECT symbol, type, ref_symbol FROM {REFS})
+ SELECT x.trajectory_id, x.stage, x.symbol, d.date, d.title, CASE WHEN d.id IS NOT NULL THEN CAST(d.id % 9 AS INTEGER) END AS yes, CASE WHEN d.id IS NOT NULL THEN 2 END AS no, CASE WHEN d.id IS NOT NULL THEN 3 END AS abstain,
+ CASE WHEN x.stage = 'meeting' THEN CAST(substr(x.symbol, 2) AS BIGINT) % 5 ELSE 0 END AS statements FROM x LEFT JOIN {DOCS} d ON d.symbol = x.symbol""")
 def j31(s, d):
-    r = order_records(s, d).withColumn("voting", F.struct(F.lit(1).alias("yes"), F.lit(2).alias("no"), F.lit(3).alias("abstain")))
-    none = s.createDataFrame([], "trajectory_id string, meeting string, statements long")
-    rows = trajectories.stage_summary(trajectories.trace_backwards(r, supplier_index(s, d)), r, none)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trajectory_id").alias("trajectories"), F.count_if(F.col("stage") == "resolution").alias("resolutions"))
+    r = order_records(s, d).withColumn("voting", F.struct((F.col("id") % 9).cast("int").alias("yes"), F.lit(2).alias("no"), F.lit(3).alias("abstain")))
+    traces = trajectories.trace_backwards(r, supplier_index(s, d))
+    said = traces.filter("type = 'meeting'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("meeting"), (F.substring("ref_symbol", 2, 20).cast("long") % 5).alias("statements")).filter("statements > 0")
+    return trajectories.stage_summary(traces, r, said)
 
 
 # ---- evidence (2.K)
@@ -1018,31 +1111,86 @@ def g18(s, d):
     return aggregates.record_stats(b.documents(s, d).join(v, "id", "left"), "session")
 
 
-@query("j4_trace_draft", f"SELECT symbol AS draft, 'agenda_item' AS type, 'A/78/251' AS ref_symbol, false AS found FROM {DOCS} WHERE doc_type = 'draft' AND id IN (SELECT l_orderkey FROM lineitem)")
+@query("j4_trace_draft", f"""SELECT symbol AS draft, 'agenda_item' AS type, 'A/78/251' AS ref_symbol, false AS found FROM {DOCS} WHERE doc_type = 'draft' AND id IN (SELECT l_orderkey FROM lineitem)
+ UNION ALL SELECT symbol, CASE WHEN id % 2 = 0 THEN 'resolution' ELSE 'committee_report' END, 'T/' || CAST(id AS VARCHAR), id % 3 = 0 FROM {DOCS} WHERE doc_type = 'draft' AND id % 5 <> 0 AND id IN (SELECT l_orderkey FROM lineitem)""")
 def j4(s, d):
-    return trajectories.trace_draft(order_records(s, d), supplier_index(s, d))
+    """Most drafts are referred to by a text or by a report."""
+    r = order_records(s, d)
+    name = F.concat(F.lit("T/"), F.col("id").cast("string"))
+    none = F.array().cast("array<struct<text:string,url:string>>")
+    refs = F.struct(F.array(F.struct(F.lower("symbol").alias("text"), F.lit(None).cast("string").alias("url"))).alias("drafts"), none.alias("committee_reports"), none.alias("meeting_records"))
+    later = r.filter("doc_type = 'draft' and id % 5 <> 0").withColumns({"related_documents": refs, "agenda": F.expr("slice(agenda, 1, 0)"), "kind": F.when(F.col("id") % 2 == 0, "resolutions").otherwise("committee-reports")}).withColumn("symbol", name)
+    index = supplier_index(s, d).unionByName(later.filter("id % 3 = 0").select(F.col("symbol").alias("symbol_norm"), F.lit("p").alias("path")))
+    return trajectories.trace_draft(r.unionByName(later), index)
 
 
-@query("j17_country_actions", f"SELECT d.id, CASE WHEN d.doc_type = 'draft' THEN CASE WHEN list_contains(y, a.id) THEN 1 ELSE 0 END WHEN list_contains(y, a.id) THEN 2 WHEN list_contains(n, a.id) THEN 3 WHEN list_contains(t.a, a.id) THEN 4 END AS action, CASE WHEN NOT coalesce(list_contains(y, a.id), false) THEN 0.0 WHEN d.doc_type = 'resolution' THEN 1.0 ELSE -1.0 END AS reward FROM {DOCS} d JOIN {TALLIED} t ON t.document_id = d.id, (SELECT min(id) AS id FROM {ACTORS}) a")
+@query("j17_country_actions", f"SELECT d.id, CASE WHEN d.doc_type = 'draft' THEN CASE WHEN list_contains(sponsors, a.id) THEN 0 ELSE 4 END WHEN list_contains(p_yes, a.id) THEN 1 WHEN list_contains(p_no, a.id) THEN 2 WHEN list_contains(p_abstain, a.id) THEN 3 END AS action, CASE WHEN NOT coalesce(list_contains(sponsors, a.id), false) THEN 0.0 WHEN d.doc_type = 'resolution' THEN 1.0 ELSE -1.0 END AS reward FROM {DOCS} d JOIN {VOTED} t ON t.document_id = d.id, (SELECT min(id) AS id FROM {ACTORS}) a")
 def j17(s, d):
     who = b.actors(s, d).agg(F.min("id").cast("string").alias("who"))  # one row
     t = voted_trajectories(s, d).join(b.documents(s, d).select(F.col("id").alias("trajectory_id"), "doc_type"), "trajectory_id").crossJoin(F.broadcast(who))
     w = F.col("who")
     action = episodes.country_action(F.col("sponsors"), F.col("plenary.yes"), F.col("plenary.no"), F.col("plenary.abstain"), w, F.col("doc_type") == "draft")
-    return t.select(F.col("trajectory_id").alias("id"), action.alias("action"), episodes.reward(F.array_contains("sponsors", w), F.col("final_outcome")).alias("reward"))
-
-
-@query("j7_trajectories")
+    return t.select(F.col("trajectory_id").alias("id"), action.alias("action"), episodes.reward(F.array_contains("sponsors", w), F.coalesce("final_outcome", F.lit("none"))).alias("reward"))
+
+
+# ---- trajectories of all orders (J2, J7). Suppliers stand for drafts, reports (S), meetings (X) and summary records (SR).
+
+
+def dossier(s, d):
+    """(traces, records, deliberations, items, speeches): what is found, dated, voted and said follows from numbers."""
+    k = b.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    name = lambda p, n=F.col("k"): F.concat(F.lit(p), n.cast("string"))
+    sr = name("A/C.3/78/SR.")
+    index = k.filter("k % 5 <> 0").select(name("S").alias("symbol_norm"), F.lit("p").alias("path")).unionByName(k.filter("k % 2 = 0").select(name("X").alias("symbol_norm"), F.lit("p").alias("path"))).unionByName(k.filter("k % 3 <> 0").select(sr.alias("symbol_norm"), F.lit("p").alias("path")))
+    index = index.unionByName(k.filter("k = 1").select(F.lit("A/78/251").alias("symbol_norm"), F.lit("p").alias("path")))
+    orders = order_records(s, d).withColumn("voting", F.when(F.col("id") % 3 != 0, F.struct((F.col("id") % 4).cast("int").alias("yes"), F.lit(1).alias("no"))))
+    traces = trajectories.trace_backwards(orders, index)
+    day = F.make_date(F.lit(2024), F.lit(1), (F.col("k") % 9 + 1).cast("int"))
+    dated = k.select(name("S").alias("symbol"), day.alias("date"), F.lit(None).cast("string").alias("action_note")).unionByName(k.select(name("X").alias("symbol"), day.alias("date"), F.when(F.col("k") % 3 == 0, name("note ")).alias("action_note")))
+    records = orders.withColumn("action_note", F.lit(None).cast("string")).unionByName(dated, allowMissingColumns=True)
+    reports = k.select(name("S").alias("symbol"), F.concat(F.lit("It met ("), sr, F.lit(").")).alias("introduction"))
+    deliberations = trajectories.committee_deliberations(traces, reports, index)
+    some = lambda n: F.when(F.col("k") % n > 0, F.transform(F.sequence(F.lit(1), (F.col("k") % n).cast("int")), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    own = k.select(name("S").alias("report"), F.lit(0).alias("item_no"), name("S", F.col("k") + 1).alias("draft_symbol"), F.lit("").alias("item_text"), F.array(name("c"), F.lit("a")).alias("sponsors"), some(4).alias("in_favour"), some(3).alias("against"), some(2).alias("abstaining"), F.lit("adopted").alias("adoption_status"))
+    other = k.select(name("S").alias("report"), F.lit(1).alias("item_no"), F.lit(None).cast("string").alias("draft_symbol"), F.concat(F.lit("on "), name("S", F.col("k") + 2), F.lit(" now")).alias("item_text"), F.array(name("z")).alias("sponsors"), none.alias("in_favour"), none.alias("against"), none.alias("abstaining"), F.lit(None).cast("string").alias("adoption_status"))
+    about = b.table(s, d, "lineitem").filter("l_returnflag = 'N'").join(b.documents(s, d), F.col("l_orderkey") == F.col("id")).groupBy(F.col("l_suppkey").alias("k")).agg(F.min("symbol").alias("resolution_symbol"))
+    meetings = k.select("k", name("X").alias("meeting")).unionByName(k.select("k", sr.alias("meeting"))).join(about, "k", "left")
+    motion = F.array(F.struct(name("S", F.col("k") % 10).alias("draft_id"), F.lit("motion_for_division").alias("event_type"), F.lit("rejected").alias("adoption_status")))
+    lists = F.struct(some(5).alias("in_favour"), some(3).alias("against"), some(2).alias("abstaining"))
+    first = meetings.select("meeting", F.lit(1).alias("utterance_id"), F.lit(0).alias("position"), F.concat(F.lit("On "), name("s", F.col("k") + 1), F.lit(" we speak")).alias("text"), F.lit(None).cast("string").alias("resolution_symbol"), F.lit(None).cast(SPEECH_VOTES).alias("vote_details"), F.when(F.col("k") % 2 == 0, motion).alias("events"))
+    second = meetings.select("meeting", F.lit(2).alias("utterance_id"), F.lit(1).alias("position"), F.when(F.col("k") % 4 == 0, "World PEACE").otherwise("x").alias("text"), "resolution_symbol", F.when(F.col("k") % 3 != 0, lists).alias("vote_details"), F.lit(None).cast("array<struct<draft_id:string,event_type:string,adoption_status:string>>").alias("events"))
+    return traces, records, deliberations, own.unionByName(other), first.unionByName(second)
+
+
+SPEECH_VOTES = "struct<in_favour:array<string>,against:array<string>,abstaining:array<string>>"
+DOSSIER = f"""WITH r AS (SELECT symbol, type, ref_symbol, TRY_CAST(substr(ref_symbol, 2) AS BIGINT) AS k, row_number() OVER (PARTITION BY symbol, type ORDER BY ref_symbol) - 1 AS pos FROM {REFS}),
+ f AS (SELECT *, 'S' || CAST(k AS VARCHAR) AS s, CAST(make_date(2024, 1, CAST(k % 9 + 1 AS INTEGER)) AS VARCHAR) AS day FROM r WHERE CASE type WHEN 'agenda_item' THEN true WHEN 'meeting' THEN k % 2 = 0 ELSE k % 5 <> 0 END),
+ drafts AS (SELECT symbol, ref_symbol AS draft FROM r WHERE type = 'draft'), reports AS (SELECT symbol, k, pos, day FROM f WHERE type = 'committee_report'), meetings AS (SELECT symbol, k, pos, CASE WHEN k % 3 = 0 THEN 'note ' || CAST(k AS VARCHAR) ELSE day END AS day FROM f WHERE type = 'meeting'),
+ summaries AS (SELECT DISTINCT symbol, k FROM reports WHERE k % 3 <> 0),
+ said AS (SELECT s_suppkey AS k, 1 AS u, 'on s' || CAST(s_suppkey + 1 AS VARCHAR) || ' we speak' AS text FROM supplier UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey % 4 = 0 THEN 'world peace' ELSE 'x' END FROM supplier),
+ relevant AS (SELECT k, u, draft, contains(text, 'peace') AS kw FROM said LEFT JOIN (SELECT DISTINCT draft FROM drafts) ON contains(text, lower(draft))),
+ talk AS (SELECT q.symbol, q.k, count(DISTINCT u) AS statements FROM (SELECT symbol, k FROM summaries UNION SELECT symbol, k FROM meetings) q JOIN relevant v ON v.k = q.k WHERE v.kw OR EXISTS (SELECT 1 FROM drafts d WHERE d.symbol = q.symbol AND d.draft = v.draft) GROUP BY 1, 2),"""
+
+
+@query("j2_committee_deliberations", f"{DOSSIER} x AS (SELECT 1) SELECT symbol, 'S' || CAST(k AS VARCHAR) AS report, 'A/C.3/78/SR.' || CAST(k AS VARCHAR) AS record, k % 3 <> 0 AS found FROM reports")
+def j2(s, d):
+    return dossier(s, d)[2]
+
+
+@query("j7_trajectories", f"""{DOSSIER}
+ items AS (SELECT d.symbol, d.draft, p.k, CASE WHEN d.draft = 'S' || CAST(p.k + 1 AS VARCHAR) THEN ['c' || CAST(p.k AS VARCHAR), 'a'] ELSE ['z' || CAST(p.k AS VARCHAR)] END AS names FROM drafts d JOIN reports p ON p.symbol = d.symbol AND (d.draft = 'S' || CAST(p.k + 1 AS VARCHAR) OR contains('on S' || CAST(p.k + 2 AS VARCHAR) || ' now', d.draft))),
+ sponsors AS (SELECT symbol, draft, list_sort(list_distinct(flatten(list(names)))) AS names FROM items GROUP BY 1, 2),
+ about AS (SELECT l_suppkey AS k, min(symbol) AS symbol FROM lineitem JOIN {DOCS} ON id = l_orderkey WHERE l_returnflag = 'N' GROUP BY 1),
+ st AS (SELECT symbol, 1 AS part, 0 AS place, 1 AS after, 0 AS within, ref_symbol AS source, 'agenda_allocation' AS stage, NULL AS date, 'allocate_to_committee' AS action_type, 'General Assembly' AS actor, NULL AS sponsors, NULL AS yes, NULL AS no, NULL AS abstain, NULL AS outcome, NULL AS n_statements FROM f WHERE type = 'agenda_item'
+  UNION ALL SELECT f.symbol, 2, pos, 2, 0, ref_symbol, 'draft_submission', day, 'submit_draft', coalesce(p.names[1], 'Unknown'), array_to_string(coalesce(p.names, []), ','), NULL, NULL, NULL, NULL, NULL FROM f LEFT JOIN sponsors p ON p.symbol = f.symbol AND p.draft = f.ref_symbol WHERE type = 'draft'
+  UNION ALL SELECT symbol, 3, 0, 3, 0, 'A/C.3/78/SR.' || CAST(k AS VARCHAR), 'committee_deliberation', NULL, 'statements', 'Multiple delegations', NULL, NULL, NULL, NULL, NULL, statements FROM summaries JOIN talk USING (symbol, k)
+  UNION ALL SELECT p.symbol, 4, pos, 4, 0, 'S' || CAST(p.k AS VARCHAR), 'committee_vote', day, 'recorded_vote', NULL, NULL, p.k % 4, p.k % 3, p.k % 2, 'adopted', NULL FROM reports p JOIN drafts d ON d.symbol = p.symbol AND d.draft = 'S' || CAST(p.k + 1 AS VARCHAR)
+  UNION ALL SELECT m.symbol, 5, pos, 5, 0, 'X' || CAST(m.k AS VARCHAR), 'plenary_procedural_vote', day, 'motion_for_division', 'General Assembly', NULL, NULL, NULL, NULL, 'rejected', NULL FROM meetings m WHERE EXISTS (SELECT 1 FROM drafts d WHERE d.symbol = m.symbol AND contains(d.draft, 'S' || CAST(m.k % 10 AS VARCHAR)))
+  UNION ALL SELECT symbol, 5, pos, 6, 0, 'X' || CAST(k AS VARCHAR), 'plenary_discussion', day, 'statements', 'Multiple delegations', NULL, NULL, NULL, NULL, NULL, statements FROM meetings JOIN talk USING (symbol, k)
+  UNION ALL SELECT m.symbol, 5, pos, 7, 0, 'X' || CAST(m.k AS VARCHAR), 'plenary_vote', day, 'recorded_vote', 'General Assembly Members', NULL, m.k % 5, m.k % 3, m.k % 2, CASE WHEN m.k % 5 > m.k % 3 THEN 'adopted' ELSE 'rejected' END, NULL FROM meetings m JOIN about a ON a.k = m.k AND a.symbol = m.symbol WHERE m.k % 3 <> 0)
+ SELECT st.symbol AS trajectory_id, CAST(row_number() OVER (PARTITION BY st.symbol ORDER BY part, place, source, after) - 1 AS INTEGER) AS t, stage, st.date, action_type, actor, source, sponsors, CAST(yes AS INTEGER) AS yes, CAST(no AS INTEGER) AS no, CAST(abstain AS INTEGER) AS abstain, outcome, n_statements,
+ CASE WHEN d.id % 3 = 0 THEN 'unknown' WHEN d.id % 4 > 1 THEN 'adopted' ELSE 'rejected' END AS final_outcome FROM st JOIN {DOCS} d ON d.symbol = st.symbol""")
 def j7(s, d):
-    """Steps of all orders as records; their votes stand for committee votes."""
-    r = order_records(s, d).withColumn("voting", F.struct(F.lit("recorded_vote").alias("vote_type"), F.lit(91).alias("yes"), F.lit(54).alias("no"), F.lit(6).alias("abstain")))
-    traces = trajectories.trace_backwards(r, supplier_index(s, d))
-    v = b.votes(s, d).groupBy(F.concat(F.lit("S"), F.col("actor_id").cast("string")).alias("draft_symbol")).agg(F.count_if(F.col("vote_type") == "in_favour").alias("in_favor"), F.count_if(F.col("vote_type") == "against").alias("against"), F.count_if(F.col("vote_type") == "abstaining").alias("abstentions"))
-    votes = v.withColumn("sponsors", F.array("draft_symbol"))
-    events = b.actors(s, d).select(F.concat(F.lit("X"), F.col("id").cast("string")).alias("meeting"), F.lit("S").alias("draft_id"), F.lit("motion_for_division").alias("event_type"))
-    drafts = traces.filter("type = 'draft'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("draft"))
-    held = traces.filter("type = 'meeting'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("meeting"))
-    said = b.actors(s, d).select(F.col("id").alias("utterance_id"), F.concat(F.lit("X"), F.col("id").cast("string")).alias("meeting"), F.concat(F.lit("on S"), F.col("id").cast("string")).alias("text"))
-    talk = trajectories.relevant_utterances(said, drafts.join(held, "trajectory_id"), ["peace"])
-    steps = trajectories.build_trajectories(traces, r, votes, events, talk)
-    return steps.groupBy("stage", "final_outcome").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("trajectory_id").alias("trajectories"))
+    steps = trajectories.build_trajectories(*dossier(s, d), keywords=["Peace"])
+    return steps.select("trajectory_id", "t", "stage", "date", "action_type", "actor", "source", F.array_join("sponsors", ",").alias("sponsors"), "yes", "no", "abstain", "outcome", "n_statements", "final_outcome")

@@ -62,6 +62,32 @@ def test_chain(spark, t):
     assert [r.utterance_id for r in few] == [5] and few[0].truncated
 
 
+def test_chain_meetings_at_either_end(spark, t):
+    e = spark.createDataFrame([(1, 5, "meeting_record_for"), (6, 3, "meeting_record_for"), (3, 3, "x"), (1, 3, "x"), (1, 8, "x")], t["edges"].schema)
+    docs = t["docs"].unionByName(t["docs"].filter("id = 7").withColumns({"id": F.lit(8).cast("long"), "doc_type": F.lit(None).cast("string")}))
+    chain = graph.document_chain(docs, e, seeds(spark, 1), 2)
+    assert {(r.id, r.depth) for r in chain.collect()} == {(1, 0), (3, 1), (1, 2), (3, 2)}  # 3 loops on itself, 8 has no type
+    assert {r.meeting_id for r in graph.chain_meetings(docs, e, t["said"].limit(0), t["links"], chain).collect()} == {5, 6}
+    row = graph.chain_utterances(t["docs"], t["said"], t["links"], chain, graph.chain_meetings(docs, e, t["said"], t["links"], chain)).filter("rank = 1").first()
+    assert (row.speaker_name, row.agenda_item, row.text, row.reference_type) == ("x", "1", "words", "mentioned")
+
+
+def test_targets_of_vote_events(spark):
+    docs = spark.createDataFrame([(1, "A/78/L.19"), (2, "A/RES/78/1"), (3, "A/78/L.19/REV.1")], "id long, symbol string")
+    rows = [("a/78/l.19", None), ("L.19", "A/RES/78/1"), ("A/C.3/78/L.19", None), ("3", "A/RES/78/1"), ("L.19/Rev.1", None), (None, "A/RES/78/1"), ("A/C.3/78/L.19", "A/RES/78/1"), ("L.7", None)]
+    e = spark.createDataFrame([(i, i, 78, d, r, "x", None, None) for i, (d, r) in enumerate(rows)], "meeting_id long, utterance_id long, session int, draft string, resolution_symbol string, event_type string, description string, result string")
+    got = {r.utterance_id: r.target_document_id for r in tables.build_vote_events(e, docs).collect()}
+    assert [got[i] for i in range(8)] == [1, 1, None, 2, None, 2, 2, None]
+
+
+def test_predictions(spark):
+    p = spark.createDataFrame([([1.4, 0.2], [1.0, 0.5]), ([2.0, 7.0], [2.0, 7.0])], "p array<double>, q array<double>")
+    r = episodes.prediction_metrics(p, "p", "q").first()
+    assert r.n == 2 and abs(r.mean_accuracy - 0.75) < 1e-9  # a prediction is rounded, its target is not
+    many = spark.createDataFrame([([float(i)], [float(i)]) for i in range(12)], "p array<double>, q array<double>")
+    assert episodes.prediction_metrics(many, "p", "q").first().mean_accuracy is None
+
+
 def test_lookups(spark, t):
     assert lookups.votes_for(t["votes"], t["actors"], t["docs"], symbol="A/RES/78/300", vote_type="in_favour").count() == 4
     with pytest.raises(ValueError):
@@ -115,14 +141,22 @@ def test_episodes(spark):
     e = episodes.episodes(tr, spark.createDataFrame([("US",), ("CN",), ("BR",)], "country string"))
     rows = {(r.country, r.t): r for r in e.collect()}
     assert len(rows) == 9  # y has no committee vote
-    assert [rows["US", k].action for k in range(3)] == [1, 2, 2] and rows["US", 2].reward == 1.0 and rows["US", 2].done
-    assert [rows["CN", k].action for k in range(3)] == [0, 3, 4] and rows["CN", 2].reward == 0.0
-    assert rows["BR", 1].action == 4
+    assert [rows["US", k].action for k in range(3)] == [0, 1, 1] and rows["US", 2].reward == 1.0 and rows["US", 2].done
+    assert [rows["CN", k].action for k in range(3)] == [4, 2, 3] and rows["CN", 2].reward == 0.0
+    assert rows["BR", 1].action == 3
+    steps = [rows["US", k] for k in range(3)]
+    assert [(r.state.stage, r.next_state.stage) for r in steps] == [(0, 0), (0, 2), (2, 3)] and [(r.state.t, r.next_state.t) for r in steps] == [(0, 1), (1, 3), (3, 4)]
+    assert [(r.state.agent_is_sponsor, r.state.sponsor_count) for r in steps] == [(0, 2), (1, 2), (1, 2)]
+    assert [(r.next_state.committee_yes, r.next_state.plenary_yes) for r in steps] == [(0, 0), (1, 0), (1, 2)]
     v = e.filter("country = 'US' and t = 2").select(episodes.state_vector(F.col("next_state")).alias("v"))
-    assert v.first()["v"] == [0.0, 0.0, 0.0, 1.0, 1.0, 2.0, 1.0, 1.0, 1.0, 0.0, 2.0, 0.0, 1.0, 3.0]
+    assert v.first()["v"] == [0.0, 0.0, 0.0, 1.0, 1.0, 2.0, 1.0, 1.0, 1.0, 0.0, 2.0, 0.0, 1.0, 4.0]
     assert v.select(episodes.state_from_vector(F.col("v")).alias("s")).first()["s"]["stage"] == 3
-    stats = episodes.episode_stats(e.filter("country = 'US'"), ["trajectory_id", "country"], is_sponsor=F.col("next_state.agent_is_sponsor") == 1).first()
+    stats = episodes.episode_stats(e.filter("country = 'US'"), ["trajectory_id", "country"], is_sponsor=F.col("state.agent_is_sponsor") == 1).first()
     assert (stats.episodes, stats.transitions, stats.mean_length, stats.positive, stats.negative, stats.sponsor_rate) == (1, 3, 3.0, 1, 0, 1.0)
+    assert abs(stats.reward_mean - 1 / 3) < 1e-9 and abs(stats.reward_std - 0.4714045) < 1e-6
+    both = episodes.episode_stats(e.filter("country in ('US', 'BR')"), ["trajectory_id", "country"], is_sponsor=F.col("state.agent_is_sponsor") == 1).first()
+    assert (both.episodes, both.transitions, both.sponsor_rate) == (2, 6, 0.5)
+    assert episodes.episode_stats(e.limit(0), ["trajectory_id", "country"]).first().transitions == 0
     a = e.filter("country = 'US'").select(F.lit(1).alias("episode"), "t", "action", "reward")
     same = episodes.compare_trajectories(a, a).first()
     assert (same.action_accuracy, same.outcome_match, same.length_diff) == (1.0, True, 0)
@@ -161,14 +195,25 @@ def test_trajectories(spark):
     qa = trajectories.trajectory_qa(records, index)
     lost = {r.symbol: r for r in trajectories.missing_with_url(qa, trajectories.references(records)).collect()}
     assert lost["A/C.3/78/L.1"].record_id == "7" and lost["A/78/251"].url == "https://docs.un.org/en/A/78/251"
-    votes = spark.createDataFrame([("A/C.3/78/L.1", ["US"], 80, 29, 65)], "draft_symbol string, sponsors array<string>, in_favor int, against int, abstentions int")
-    events = spark.createDataFrame([("A/78/PV.1", "L.1", "motion_for_division")], "meeting string, draft_id string, event_type string")
-    talk = spark.createDataFrame([("A/RES/78/1", "A/78/PV.1", 17)], "trajectory_id string, meeting string, statements long")
-    steps = trajectories.build_trajectories(traces, records, votes, events, talk)
+    assert {r.symbol: (r.status, r.expected, r.found, r.missing) for r in trajectories.trajectory_qa(records, index, records.select("symbol").unionByName(spark.createDataFrame([("none",)], "symbol string"))).collect()} == {"A/RES/78/1": ("incomplete", 4, 1, 3), "A/78/481": ("complete", 0, 0, 0), "none": ("error", 0, 0, 0)}
+    assert {r.type: r.missing for r in trajectories.missing_by_type(qa).collect()} == {"draft": 1, "meeting": 1, "agenda_item": 1}
+    whole = index.unionByName(spark.createDataFrame([(x, "p") for x in ("A/C.3/78/L.1", "A/78/PV.1", "A/78/251")], index.schema))
+    traces = trajectories.trace_backwards(records, whole)
+    items = spark.createDataFrame([("A/78/481", 0, "A/C.3/78/L.9", "x", ["X"], [], [], [], None), ("A/78/481", 1, "A/C.3/78/L.1", "", ["US", "FR"], ["US"] * 80, ["CN"] * 29, ["BR"] * 65, "adopted")], "report string, item_no int, draft_symbol string, item_text string, sponsors array<string>, in_favour array<string>, against array<string>, abstaining array<string>, adoption_status string")
+    votes = (["US"] * 78, ["CN"] * 30, ["BR"] * 68)
+    said = [("A/78/PV.1", 1, 1, "on a/c.3/78/l.1", None, None, [("L.1", "motion_for_division", "rejected"), ("L.7", "x", None)]), ("A/78/PV.1", 2, 2, "World Peace", "A/RES/78/1", votes, None), ("A/78/PV.1", 3, 3, "nothing", None, None, None), ("A/C.3/78/SR.5", 4, 1, "peace", None, None, None)]
+    lists = "struct<in_favour:array<string>,against:array<string>,abstaining:array<string>>"
+    speeches = spark.createDataFrame(said, f"meeting string, utterance_id int, position int, text string, resolution_symbol string, vote_details {lists}, events array<struct<draft_id:string,event_type:string,adoption_status:string>>")
+    steps = trajectories.build_trajectories(traces, records, trajectories.committee_deliberations(traces, records, whole), items, speeches, ["peace"])
     got = steps.filter("trajectory_id = 'A/RES/78/1'").orderBy("t").collect()
-    assert [r.stage for r in got] == trajectories.STAGES and [r.t for r in got] == list(range(7)) and got[-1].yes == 91 and got[0].final_outcome == "adopted"
-    shift = trajectories.vote_shift(steps.withColumn("yes", F.when(F.col("stage") == "plenary_vote", 78).otherwise(F.col("yes"))).withColumn("no", F.when(F.col("stage") == "plenary_vote", 30).otherwise(F.col("no"))).withColumn("abstain", F.when(F.col("stage") == "plenary_vote", 68).otherwise(F.col("abstain")))).first()
+    assert [r.stage for r in got] == trajectories.STAGES and [r.t for r in got] == list(range(7)) and got[0].final_outcome == "adopted"
+    assert (got[1].sponsors, got[1].actor, got[2].n_statements, got[5].n_statements) == (["FR", "US"], "FR", 1, 2)
+    assert (got[3].yes, got[3].no, got[3].abstain, got[3].outcome) == (80, 29, 65, "adopted") and (got[4].action_type, got[4].outcome) == ("motion_for_division", "rejected")
+    shift = trajectories.vote_shift(steps).first()
     assert (shift.yes_shift, shift.no_shift, shift.abstain_shift) == (-2, 1, 3)
+    # Nothing that is not found gives a step.
+    few = trajectories.trace_backwards(records, index)
+    assert [r.stage for r in trajectories.build_trajectories(few, records, trajectories.committee_deliberations(few, records, index), items, speeches).orderBy("t").collect()] == ["committee_vote"]
 
 
 def test_evidence(spark, t):
@@ -188,6 +233,8 @@ def test_empty_inputs(spark, t):
     assert aggregates.vote_tallies(none["docs"].select(F.col("id").alias("document_id")), none["votes"], "document_id").count() == 0
     stats = aggregates.sponsor_stats(spark.createDataFrame([], "sponsor_count int, final_outcome string")).first()
     assert (stats.mean_sponsors, stats.std_sponsors, stats.adoption_rate) == (30, 10, 0.5)
+    stats = aggregates.sponsor_stats(spark.createDataFrame([(0, None), (8, "ADOPTED"), (None, "rejected"), (4, "adopted")], "sponsor_count int, final_outcome string")).first()
+    assert (stats.mean_sponsors, stats.std_sponsors, stats.adoption_rate) == (4, 3, 0.75)
 
 
 def test_evidence_of_a_table_that_grows(spark):
