@@ -12,7 +12,8 @@ container, or of at least ``LIKE`` times its characters a line, unless they are
 more text than these, and at least ``BULK`` characters, the windows alone decide. Elements that never hold it (menus, footers,
 adverts, forms, scripts and the like, by tag, role, or a word of the class or id) leave a gap of empty lines, but a word
 is overruled if its element holds more than half of the page's text outside of links and at least ``BULK`` characters.
-Attributes of inline and void elements hide nothing, nor do ids of an article's sections and headings.
+Attributes of inline and void elements hide nothing, nor do ids of an article's sections and of headings, paragraphs and
+list items; of these only a whole class name counts, and of headings none.
 
 Comments, scripts, styles, drawings, frames, media and templates are no text; formulas and what an object holds are.
 Of these, elements that are self-closed or never closed hide nothing behind them.
@@ -100,10 +101,12 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> str:
             return "never"
         if name == "role" and value in ROLES:
             return "never"
-        if name == "class" or (name == "id" and not (inside and (tag in HEADINGS or tag == "section"))):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & WORDS or (not inside and words & HEADED):
-                hint = "hint"
+        if tag in CONTAINERS - ITEMS:
+            words = set(re.split(r"[^a-z]+", value)) if name == "class" or (name == "id" and not (inside and tag == "section")) else set()
+        else:  # of a paragraph or list item only whole class names count, of a heading none
+            words = set(value.split()) if name == "class" and tag not in HEADINGS else set()
+        if words & WORDS or (not inside and words & HEADED):
+            hint = "hint"
     return hint
 
 
@@ -171,6 +174,13 @@ def page_lines(page: str) -> list[Line]:
     for k in range(len(tags)):
         behind = page[tags[k][1] : tags[k + 1][0] if k + 1 < len(tags) else len(page)]
         outside.append(outside[-1] + (0 if linking[k] else len(behind.strip())))
+    ends: dict[int, int] = {}  # the closing tag of each element that has one
+    started: dict[str, list[int]] = {}
+    for k, (_, _, closing, tag, attributes) in enumerate(tags):
+        if closing and started.get(tag):
+            ends[started[tag].pop()] = k
+        elif not closing and not attributes.endswith("/"):
+            started.setdefault(tag, []).append(k)
     lines: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container, the one around it
@@ -197,12 +207,9 @@ def page_lines(page: str) -> list[Line]:
             text.append(" ")
             continue
         why = "" if closing or attributes.endswith("/") else _boilerplate(tag, attributes, depth > 0)
-        level, j = 1, k
-        while why and j < len(tags) and level:
-            level += 0 if tags[j][3] != tag else -1 if tags[j][2] else 1
-            j += 1
-        if why == "hint" and not level:
-            held = outside[j - 1] - outside[k - 1]
+        j = ends.get(k - 1, -1)
+        if why == "hint" and j >= 0:
+            held = outside[j] - outside[k - 1]
             if held >= BULK and 2 * held > outside[-1]:
                 why = ""
         if tag in BLOCKS or why:
@@ -210,8 +217,8 @@ def page_lines(page: str) -> list[Line]:
             block = tag if not closing and tag not in CONTAINERS else ""
         if why:
             block = ""
-            if not level:  # an element without an end hides nothing but what comes before the next tag
-                at, k = tags[j - 1][1], j
+            if j >= 0:  # an element without an end hides nothing but what comes before the next tag
+                at, k = tags[j][1], j + 1
             elif k < len(tags):
                 at = tags[k][0]
             lines += [Line("", number if depth else 0)] * WINDOW
