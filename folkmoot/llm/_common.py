@@ -13,22 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is missing (local tests) a temporary folder is made and set for the session.
+    Where the setting is missing, a local session gets a temporary folder; on a cluster, whose executors share no local
+    folder, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives the loss of executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """Write to the shared folder (or to one ``within`` it) and read again: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name) if within is None else f"{within}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new shared folder for intermediate tables, deleted at the end of the block; its results are stored elsewhere by
+    then."""
+    path = scratch(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 @contextmanager
 def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
     """Written to the shared folder in buckets of ``column``, as many as shuffles have partitions; later joins on the
@@ -42,8 +61,7 @@ def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
         yield spark.table(table_name)
     finally:
         spark.sql(f"DROP TABLE {table_name}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.llm._common import stored
+from folkmoot.llm._common import stored, workspace
 
 BLOCK_ROWS = 4096
 LEAF_ROWS = 512
@@ -219,21 +219,26 @@ def nearest(df: DataFrame, is_query, k: int = 10, trees: int = 8, target_recall:
 
     ``is_query`` makes a condition of the id column.
     """
-    v = stored(usable(df, id_col, vector_col), "vectors")
+    with workspace(df.sparkSession, "forest") as folder:
+        return stored(_nearest(usable(df, id_col, vector_col), is_query, k, trees, target_recall, probes, sample_rows, seed, folder), "nearest")
+
+
+def _nearest(rows: DataFrame, is_query, k: int, trees: int, target_recall: float, probes: int, sample_rows: int, seed: int, folder: str) -> DataFrame:
+    v = stored(rows, "vectors", folder)
     sample = [r["x"] for r in v.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).select("x").collect()]
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
-        return df.sparkSession.createDataFrame([], schema)
+        return v.sparkSession.createDataFrame([], schema)
     depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(v.count() / LEAF_ROWS))))
     forest = fit_forest(np.array(sample), trees, depth, seed)
     routed = v.mapInPandas(_route(forest), "tree int, leaf int, vec_id long, x array<double>")
-    routed = stored(routed.withColumn("x", F.col("x").cast("array<double>")), "leaves")
+    routed = stored(routed.withColumn("x", F.col("x").cast("array<double>")), "leaves", folder)
     counts = np.zeros((trees, 1 << depth), np.int64)
     for r in routed.groupBy("tree", "leaf").count().collect():  # trees * 2**depth rows at most
         counts[r["tree"], r["leaf"]] = r["count"]
     queries = v.filter(is_query(F.col("vec_id")))
     enough = enough_rows(v, forest, counts, k, probes, target_recall, seed)
-    found = stored(_search_rows(routed, queries, forest, counts, enough, k), "nearest")
+    found = stored(_search_rows(routed, queries, forest, counts, enough, k), "found", folder)
     full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(full, "vec_id", "left_anti")
     if short.isEmpty():

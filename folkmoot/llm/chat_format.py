@@ -44,26 +44,38 @@ def fold_events(events: DataFrame, keep_deleted: bool = False) -> DataFrame:
         "conv_id", "message", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     key = ["conv_id", "message"]
-    order = ["seq", F.col("role"), F.col("text")]
-    after = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    # One order for all: sequence, role, text; a missing one comes first.
+    place = F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), "text")
+    e = e.withColumn("place", place)
+    after = Window.partitionBy(*key).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     starts = F.col("kind").isin(*STARTS_OVER)
-    first_role = F.min_by("role", F.struct("seq", "role")).over(Window.partitionBy(*key))
+    first_role = F.min_by("role", F.when(F.col("role").isNotNull(), F.col("place"))).over(Window.partitionBy(*key))
     live = (
         e.withColumn("replaced", F.coalesce(F.max(starts).over(after), F.lit(False)))
         .withColumn("role", F.coalesce(first_role, F.lit("")))
         .filter(~F.col("replaced"))
     )
-    said = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    said = F.array_sort(F.collect_list("place"))
     out = live.groupBy(*key, "role").agg(F.array_join(F.transform(said, lambda x: x["text"]), "").alias("text"), F.max(F.col("kind") == "delete").alias("deleted"))
     return (out if keep_deleted else out.filter(~F.col("deleted") | (F.col("text") != ""))).drop("deleted")
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log of one ``message`` event each."""
+    """A table of finished turns (conv_id, turn, role, text) as the log that led to them.
+
+    Half of a text comes with the message, the other half as a delta behind it. An assistant's first half is written
+    twice: as a message that was broken off, and again as its regeneration.
+    """
     order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
-        "conv_id", F.struct("turn", F.row_number().over(order).alias("copy")).alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = t.withColumns({"message": F.struct("turn", F.row_number().over(order).alias("copy")), "half": (F.length("text") / 2).cast("int")})
+    first, rest = F.col("text").substr(F.lit(1), F.col("half")), F.col("text").substr(F.col("half") + 1, F.length("text"))
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    nobody = F.lit(None).cast("string")
+    plain = F.array(event(0, "message", F.col("role"), first), event(3, "delta", nobody, rest))
+    again = F.array(event(0, "message", F.col("role"), first), event(1, "delta", nobody, F.lit("...")), event(2, "regenerate", nobody, first), event(3, "delta", nobody, rest))
+    log = t.select("conv_id", "message", F.explode(F.when(F.col("role") == "assistant", again).otherwise(plain)).alias("e"))
+    return log.select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

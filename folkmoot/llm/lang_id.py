@@ -12,8 +12,6 @@ Since both steps are linear, prediction adds up one row of logits per n-gram. Te
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +22,10 @@ from folkmoot.llm._bytes import batches_of, joined, per_text
 UNKNOWN = "und"
 GRAMS = 4
 REJECT = (0.45, 0.6)
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def buckets_of(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and whether it is rejected."""
-        seen = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool) & bool(self.languages)
+        seen = np.array([has_letter(t) for t in texts], bool) & bool(self.languages)
         labels, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         if seen.any():
             z = self.logits([t for t, s in zip(texts, seen) if s]) / self.temperature
@@ -79,7 +80,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     ``REJECT``: near chance always, and never a likely one. Temperatures below 1/2 are not tried: on a sample that is
     told apart without fault, they would only grow scores without end.
     """
-    usable = [(t, x) for t, x in zip(texts, labels) if t and LETTER.search(t)]
+    usable = [(t, x) for t, x in zip(texts, labels) if has_letter(t)]
     languages = sorted({x for _, x in usable})
     if not languages:
         return LanguageModel([], np.zeros((2, 0), np.float32), np.zeros(0))
@@ -133,12 +134,13 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
 
 
 def fit(labelled: DataFrame, sample_rows: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **how) -> LanguageModel:
-    """Train on at most ``sample_rows`` rows with a language, picked by a hash of their id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    """Train on at most ``sample_rows`` rows with a language, picked by a hash of their id and text; the order is total, so
+    reruns agree."""
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     total = rows.count()
     # The sampled share is a bit above the bound, which the limit then meets; so few rows are sorted.
     share = min(1.0, 1.2 * sample_rows / total) if total else 1.0
-    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("h").limit(sample_rows).select("text", "lang").collect()
+    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("h", "lang", "text").limit(sample_rows).select("text", "lang").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **how)
 
 

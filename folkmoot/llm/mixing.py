@@ -7,9 +7,13 @@ move along the null space of the two balancing equations until one of them lands
 source's rows; a block leaves two probabilities undecided at most, which go on to the next, smaller round, until one
 block per source is left and its last two land on the choice that misses the target least.
 
+The table of sources stays distributed, whatever their number: they are ranked by a range shuffle, and the level up to
+which weights are filled is found by sums over them, one row a round to the driver. Documents meet their source in a
+join, which Spark sends to every task only below its own size limit.
+
 Null texts have size 0. Null is a source of its own, which comes last. Repeated ids stay separate rows. A source of
 size 0 gets target 0 and nothing is taken. An empty table gives no rows. Columns other than id, text and source are
-not read. Every draw comes from row ids, so reruns agree.
+not read. Every draw comes from the ids, sources and texts of rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.llm._common import stored
+from folkmoot.llm._common import stored, workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 4096
@@ -30,21 +34,38 @@ MOST_COPIES = 3.0
 LANDED = 1e-9
 
 
-def fill_targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = MOST_COPIES) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is shared again by weight."""
-    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / whole > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / whole
-            break
-        for i in over:
-            targets[i] = most * sizes[i]
-        left -= sum(targets[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+def ranked_sources(sizes: DataFrame, weights: Sequence[float], folder: str) -> DataFrame:
+    """(source, n, source_size, weight) of sources in order of code points, null last, with the weights in turn.
+
+    Places are counted inside the partitions of a range shuffle; the counts of the partitions before are added.
+    """
+    ranges = sizes.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source").sortWithinPartitions("last", "source")
+    ranges = stored(ranges.withColumn("part", F.spark_partition_id()), "ranges", folder)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1
+    counts = ranges.groupBy("part").count()  # one row a partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.withColumn("inside", inside).join(counts.select("part", before.alias("before")), "part")
+    turn = F.pmod(F.col("before") + F.col("inside"), F.lit(len(weights))).cast("int")
+    return placed.select("source", "n", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1).alias("weight"))
+
+
+def fill_level(sources: DataFrame, most: float = MOST_COPIES) -> float:
+    """Words to a unit of weight, at which the sources' targets, none above ``most`` times its size, add up to all words.
+
+    Excess of full sources is shared again by weight, so the level rises round by round until no further source is full;
+    a round is one aggregation over the sources.
+    """
+    full = most * F.col("source_size")
+    total = sources.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    if not total["words"]:
+        return 0.0
+    level, filled = total["words"] / total["weight"], 0
+    while True:
+        over = F.col("weight") * F.lit(level) > full
+        r = sources.agg(F.count_if(over).alias("n"), F.sum(F.when(over, full)).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if r["n"] == filled or not r["open"]:
+            return level
+        level, filled = (total["words"] - r["given"]) / r["open"], r["n"]
 
 
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -100,39 +121,45 @@ def _fly(final: bool):
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 17, key_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, and row_key with a ``key_col``.
 
-    Sources in order of code points, null last, have ``weights`` in turn. The table of sources alone (one row each,
-    as many as a mix has weights to set) is read by the driver; documents are dealt by source and block.
+    Sources in order of code points, null last, have ``weights`` in turn. Documents are dealt by source and block.
     """
-    spark = docs.sparkSession
+    with workspace(docs.sparkSession, "mix") as folder:
+        return stored(_mixed(docs, weights, id_col, text_col, source_col, block_rows, seed, key_col, folder), "mixed")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str, source_col: str, block_rows: int, seed: int, key_col: str | None, folder: str) -> DataFrame:
     carried = [] if key_col is None else ["row_key"]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         *([] if key_col is None else [F.col(key_col).cast("string").alias("row_key")]),
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size")
-    )
-    rows = stored(rows, "sizes")
-    table = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes, shares = [int(r["size"]) for r in table], [float(weights[i % len(weights)]) for i in range(len(table))]
-    targets = fill_targets(sizes, shares, sum(sizes))
-    facts = [(r["source"], s, t, t / s if s else 0.0, max(1, math.ceil(r["n"] / block_rows))) for r, s, t in zip(table, sizes, targets)]
-    sources = spark.createDataFrame(facts, "source string, source_size long, target double, ratio double, blocks long")
-    whole = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    twin = Window.partitionBy("doc_id").orderBy("source", "size", *carried)  # repeated ids get rows of their own
-    whole = whole.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.row_number().over(twin).cast("string")))
-    whole = whole.withColumns({"base": F.floor("ratio"), "p": F.col("ratio") - F.floor("ratio"), "draw": F.xxhash64("row", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))})
-    whole = stored(whole, "shares")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("of_text"),
+    )
+    rows = stored(rows, "sizes", folder)
+    sources = stored(ranked_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, folder), "sources", folder)
+    target = F.least(F.col("weight") * F.lit(fill_level(sources)), MOST_COPIES * F.col("source_size"))
+    sources = sources.withColumn("target", target).withColumns({"ratio": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), "blocks": F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("long")})
+    blocks = sources.agg(F.max("blocks").alias("most")).first()["most"] or 0
+    whole = rows.join(sources.select(F.col("source").alias("of_source"), "source_size", "target", "ratio", "blocks"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    # Rows that are alike in all of this get numbers, which tell them apart; it does not matter which has which.
+    alike = ["doc_id", "source", "size", "of_text", *carried]
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0)))
+    known = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "size", "of_text", *carried)], F.hex(F.xxhash64("source")), number.cast("string"))
+    whole = whole.withColumn("row", known)
+    whole = whole.withColumns({"base": F.floor("ratio"), "p": F.col("ratio") - F.floor("ratio"), "draw": F.xxhash64("row", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))}).drop("of_text")
+    whole = stored(whole, "shares", folder)
     now = whole.select("row", "source", "size", "p", "draw", "blocks")
     schema = "row string, source string, size long, p double, draw long, blocks long"
-    most, decided = max((f[-1] for f in facts), default=0), None
-    while most:
-        flown = now.groupBy("source", F.pmod("draw", "blocks").alias("block")).applyInPandas(_fly(most == 1), schema)
-        flown = stored(flown, "flight")
+    decided = None
+    while blocks:
+        flown = now.groupBy("source", F.pmod("draw", "blocks").alias("block")).applyInPandas(_fly(blocks == 1), schema)
+        flown = stored(flown, "flight", folder)
         landed = flown.filter((F.col("p") == 0) | (F.col("p") == 1)).select("row", "p")
         decided = landed if decided is None else decided.unionByName(landed)
-        if most == 1:
+        if blocks == 1:
             break
         # Two rows a block go on at most.
         now = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("blocks", F.ceil(2 * F.col("blocks") / block_rows).cast("long")).withColumn("draw", F.xxhash64("row", "draw").bitwiseAND(F.lit((1 << 62) - 1)))
-        most = math.ceil(2 * most / block_rows)
+        blocks = math.ceil(2 * blocks / block_rows)
     if decided is None:
         return whole.select("doc_id", "source", "size", "source_size", "target", F.col("base").alias("copies"), F.col("base").alias("taken"), *carried)
     out = whole.join(decided.select("row", F.col("p").cast("long").alias("one_more")), "row", "left")

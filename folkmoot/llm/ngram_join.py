@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.llm._common import bucketed, stored
+from folkmoot.llm._common import bucketed, stored, workspace
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -219,19 +219,19 @@ def _blocks(threshold: float):
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(uid, label) of every vertex of edges (uid, root): the smallest uid of its component.
 
     Labels go to neighbours and then jump to their own labels, until none changes; each round is written out.
     """
     both = edges.select("uid", F.col("root").alias("other")).unionByName(edges.select(F.col("root").alias("uid"), F.col("uid").alias("other"))).distinct()
-    both = stored(both, "links")
-    labels = stored(both.groupBy("uid").agg(F.least(F.min("uid"), F.min("other")).alias("label")), "labels")
+    both = stored(both, "links", folder)
+    labels = stored(both.groupBy("uid").agg(F.least(F.min("uid"), F.min("other")).alias("label")), "labels", folder)
     while True:
         near = both.join(labels.select(F.col("uid").alias("other"), "label"), "other").groupBy("uid").agg(F.min("label").alias("near"))
         lower = labels.join(near, "uid").select("uid", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("uid").alias("label"), F.col("label").alias("jumped"))
-        new = stored(lower.join(jump, "label").select("uid", F.least("label", "jumped").alias("label"), "was"), "labels")
+        new = stored(lower.join(jump, "label").select("uid", F.least("label", "jumped").alias("label"), "was"), "labels", folder)
         if new.filter(F.col("label") != F.col("was")).isEmpty():
             return new.select("uid", "label")
         labels = new.select("uid", "label")
@@ -245,13 +245,13 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
     sets = texts.mapInArrow(_sets(n, threshold, runs_for(recall, depth)), "doc_id bigint, digest binary, n int, keys array<bigint>, tokens binary" + (", row_key string" if carried else ""))
     # Dealt by uid once, and kept so: tokens are then joined to buckets again and again without another shuffle.
-    with bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets") as dealt:
-        return stored(_joined(dealt, threshold, limit, depth), "similar")
+    with bucketed(sets.withColumn("uid", F.monotonically_increasing_id()), "uid", "shingle_sets") as dealt, workspace(docs.sparkSession, "ngram-join") as folder:
+        return stored(_joined(dealt, threshold, limit, depth, folder), "similar")
 
 
-def _joined(sets: DataFrame, threshold: float, limit: int, depth: int) -> DataFrame:
+def _joined(sets: DataFrame, threshold: float, limit: int, depth: int, folder: str) -> DataFrame:
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.uid").alias("rep"), "copies"), "classes")
+    classes = stored(classes.select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.uid").alias("rep"), "copies"), "classes", folder)
     reps = classes.select(F.col("rep").alias("uid"), "copies")
 
     nodes = sets.select("uid", "n", "keys").join(reps.select("uid"), "uid").select(F.explode("keys").alias("key"), "uid", "n")
@@ -259,23 +259,23 @@ def _joined(sets: DataFrame, threshold: float, limit: int, depth: int) -> DataFr
     near = (F.lag("n").over(by_size) >= threshold * F.col("n") - 1e-6) | (threshold * F.lead("n").over(by_size) - 1e-6 <= F.col("n"))
     leaves = None
     for level in range(1, depth + 1):
-        counts = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+        counts = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets", folder)
         # In a small bucket, a set with no other of a fitting size has no link. A bucket that is still large is left to
         # its blocks: no task sorts it whole.
         leaf = nodes.join(counts.filter(F.col("size") <= limit).select("key"), "key").withColumn("near", near).filter("near").drop("near")
         if level == depth:
             leaf = leaf.unionByName(nodes.join(counts.filter(F.col("size") > limit).select("key"), "key"))
-        leaf = stored(leaf, "leaves")
+        leaf = stored(leaf, "leaves", folder)
         sizes = leaf.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("who"))
         once = sizes.groupBy("who", "size").agg(F.min("key").alias("key"))
-        leaf = stored(leaf.join(once.select("key", "size"), "key"), "leaves")
+        leaf = stored(leaf.join(once.select("key", "size"), "key"), "leaves", folder)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         big = counts.filter(F.col("size") > limit).select("key")
         if level == depth or big.isEmpty():
             break
         parents = nodes.join(big, "key").groupBy("uid", "n").agg(F.collect_list("key").alias("parents"))
         nodes = parents.join(sets.select("uid", "tokens"), "uid").select("uid", "n", "parents", "tokens").mapInArrow(_children(threshold), "key bigint, uid bigint, n int")
-        nodes = stored(nodes, "paths")
+        nodes = stored(nodes, "paths", folder)
 
     own = leaves.groupBy("uid").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
     held = sets.select("uid", "tokens").join(own, "uid").join(reps, "uid")
@@ -287,14 +287,16 @@ def _joined(sets: DataFrame, threshold: float, limit: int, depth: int) -> DataFr
         F.col("bucket.key").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "uid", "copies", "tokens", "keys"
     )
     found = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(threshold), "uid bigint, links bigint, root bigint")
-    found = stored(found, "found")
+    found = stored(found, "found", folder)
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    labels = connected(found.select("uid", "root").filter("uid <> root"))
+    labels = connected(found.select("uid", "root").filter("uid <> root"), folder)
     named = classes.join(labels.withColumnRenamed("uid", "rep"), "rep").join(links.withColumnRenamed("uid", "rep"), "rep", "left")
     heads = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     linked = named.join(heads, "label").select("digest", "class_id", "links", "label")
     carried = [c for c in sets.columns if c == "row_key"]
-    out = sets.select("doc_id", "digest", "n", "uid", *carried).join(classes.join(linked, "digest", "left"), "digest", "left")
+    # Stored, so that the last join reads two plain shuffles, and a text with many copies is split by the adaptive plan.
+    described = stored(classes.join(linked, "digest", "left"), "described", folder)
+    out = sets.select("doc_id", "digest", "n", "uid", *carried).join(described, "digest", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"),

@@ -123,6 +123,42 @@ def test_ngram_join_with_repeated_and_null_ids(docs):
     assert [r.n_links for r in got if r.doc_id in (22, 23, 30)] == [0, 0, 0]
 
 
+def filled(sizes, weights):
+    """Targets by sharing what full sources leave, again and again."""
+    target, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
+    while open_:
+        share = [left * weights[i % len(weights)] / sum(weights[j % len(weights)] for j in open_) for i in open_]
+        full = [i for i, t in zip(open_, share) if t > 3 * sizes[i]]
+        for i, t in zip(open_, share):
+            target[i] = 3.0 * sizes[i] if i in full else t
+        if not full:
+            break
+        left -= sum(3.0 * sizes[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return target
+
+
+def test_mixing_of_many_sources(spark):
+    """Sizes and targets against plain counting, with sources that are full, empty, null, and told apart by code points."""
+    rng = np.random.default_rng(5)
+    names = [*[f"s{i:03d}" for i in range(200)], "é", "z", "Z", "", "\U0001f642", "\uffee", None]
+    rows = [(i, text(i, int(rng.integers(0, 30)) ** 2) if i % 50 else None, names[int(len(names) * rng.random() ** 3)]) for i in range(2000)] + [(9000 + i, "", "only empty") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(df, block_rows=64).collect()
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(order, filled([size[s] for s in order], [1.0, 2.0, 3.0])))
+    assert sorted((r.doc_id, r.source or "?", r.size) for r in got) == sorted((i, s or "?", len((t or "").split())) for i, t, s in rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == size[r.source] and abs(r.target - want[r.source]) <= 1e-6 * max(1.0, want[r.source]) and r.taken == r.copies * r.size <= 3 * r.size
+        taken[r.source] += r.taken
+    longest = {s: max(len((t or "").split()) for _, t, x in rows if x == s) for s in order}
+    assert all(abs(taken[s] - want[s]) <= longest[s] for s in order)
+
+
 def test_mixing(spark, docs):
     for block in (4, 4096):
         got = mixing.mix(docs, block_rows=block).collect()
@@ -307,10 +343,41 @@ def test_pipeline_decides_by_row(spark):
     df = spark.createDataFrame([(i, t, "en", s, k) for k, (i, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
     got = Counter(r.n_chars for r in corpus_pipeline.mixture(spark, df, "").collect())
     told = mixing.mix(corpus_pipeline.keyed(df), key_col="row_key").collect()
-    keys = {r.n_chars: r.row_key for r in corpus_pipeline.keyed(df).collect()}
+    keys = {r.row.n_chars: r.row_key for r in corpus_pipeline.keyed(df).collect()}
     want, have = defaultdict(list), defaultdict(list)
     for r in told:
         want[r.row_key].append(r.copies)
     for k in range(len(rows)):
         have[keys[k]].append(got[k])
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()} and len({tuple(v) for v in have.values()}) > 1
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, columns with clashing names, and empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, times string, nth int, alike string, row_key string, row string, stay long, copies long, hash long, `a.b` string"
+    base = [(1, text(1)), (1, text(1)), (2, text(1).upper()), (None, text(2)), (None, None), (None, None), (3, ""), (4, None), (5, text(3, 20_000)), (6, text(4)), (6, text(5)), (7, "12 34"), (8, text(6)), (8, " ".join([*text(6).split()[:-1], "x"]))]
+    rows = [(i, t, "en" if k % 3 else None, None if k % 4 == 0 else f"s{k % 2}", k, "t", k, "a", "k", None, 7, -1, 3, f"v{k}") for k, (i, t) in enumerate(base)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}  # rows come back as they were
+        assert stage(spark, docs.limit(0), "").count() == 0
+    told = corpus_pipeline.language(spark, docs, "").collect()
+    assert {r.n_chars for r in told}.isdisjoint(k for k, (_, t) in enumerate(base) if not any(map(str.isalpha, t or "")))
+    kept = Counter((r.text or "").lower() for r in corpus_pipeline.copies(spark, docs, "").collect())
+    assert set(kept) == {(t or "").lower() for _, t in base} and set(kept.values()) == {1}
+    near = corpus_pipeline.near_copies(spark, docs, "").collect()
+    same = {text(1).upper(): text(1), f"{text(6).rsplit(' ', 1)[0]} x": text(6)}  # by class, one row each
+    assert Counter(same.get(r.text, r.text) for r in near if r.text) == Counter(dict.fromkeys((same.get(t, t) for _, t in base if t), 1)) and sum(not r.text for r in near) == 4
+    out = corpus_pipeline.pieces(spark, docs, "")
+    assert out.count() == len(base) and out.filter("not lossless").count() == 0
+    assert corpus_pipeline.pieces(spark, docs.limit(0), "").count() == 0
+
+
+def test_letters_decide_what_has_a_language(spark, docs):
+    model = lang_id.fit(docs)
+    labels, _, rejected = model.predict(["½ ²", "①", "_", "٣", "ª", "日", "x"])
+    assert labels[:4] == ["und"] * 4 and all(rejected[:4]) and "und" not in labels[4:]

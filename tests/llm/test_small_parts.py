@@ -123,14 +123,6 @@ def test_inclusion_probabilities_hold_on_average():
     assert abs(mean - p).max() < 0.12
 
 
-def test_targets():
-    assert mixing.fill_targets([100, 100, 100], [1, 2, 3], 300) == [50, 100, 150]
-    t = mixing.fill_targets([10, 100, 1000], [1, 2, 3], 1110)
-    assert t[0] == 30 and t[1] == 300 and abs(sum(t) - 1110) < 1e-9
-    assert mixing.fill_targets([0, 5], [1, 2], 5) == [0, 5]
-    assert mixing.fill_targets([], [], 0) == []
-
-
 def test_shingles():
     sets = ngram_join.shingle_sets(["a b c d e f", " A b\tc  d e F\n", "a b", "", None, "x", "b c d e f"])
     assert (sets[0] == sets[1]).all() and len(sets[0]) == 2 and len(sets[2]) == 1 and len(sets[3]) == len(sets[4]) == 0
