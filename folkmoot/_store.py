@@ -10,10 +10,13 @@ from pyspark.sql.functions import broadcast
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written below ``spark.checkpoint.dir`` (a temporary folder where that is unset) and read again."""
+    """Written below ``spark.checkpoint.dir`` and read again. Where that is unset, a local session gets a temporary folder; on a
+    cluster, whose executors share no local folder, it is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
