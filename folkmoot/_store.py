@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written below ``spark.checkpoint.dir`` and read again. Where that is unset, a local session gets a temporary folder; on a
-    cluster, whose executors share no local folder, it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names. Where that is unset, a local session gets a temporary folder; on a cluster, whose
+    executors share no local folder, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int, what: str) -> DataFrame:

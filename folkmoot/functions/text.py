@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot._store import small
 from folkmoot.functions.columns import collapse_ws, extracted, parse_speaker
 
 # Fixed values of the record format: patterns, markers, starters and names.
@@ -48,6 +47,15 @@ VOTE_ENDS = {
 ADOPTION = [(r"(?i)was\s+adopted", "adopted"), (r"(?i)was\s+rejected", "rejected"), (r"(?i)was\s+not\s+adopted", "not_adopted"), (r"(?i)is\s+adopted", "adopted"), (r"(?i)adopted\s+without\s+a\s+vote", "adopted")]
 REPORT_ITEM = r"(?im)(?=^[A-Z]\.\s+Draft resolution\s)"
 REPORT_HEAD = r"(?i)^([A-Z])\.\s+Draft resolution\s+(A/C\.\d+/\d+/L\.\d+(?:/Rev\.\d+)?)"
+OUTER_COMMA = r",(?![^()]*\))"
+PAGE_MARK, DRAFT_TAIL, INITIAL = r"\s*\d+/\d+\s+A/\d+/[A-Z0-9.]+", r"(?i)\s+Draft\s+resolution.*$", r"\b[A-Z]\.$"
+NUMBERED = r"(?i)\(?resolution\s+([1-9]\d{0,2}/\d+)\)?"
+DIVISION, AMENDMENT, ORAL = r"(?i)motion\s+(?:for\s+division|to\s+divide)", "(?i)amendment", r"(?i)oral\s+amendment"
+WITHOUT_VOTE, BY_VOTE = r"(?i)without\s+a\s+vote", r"(?i)by\s+(?:a\s+)?vote\s+of\s+(\d+)\s+to\s+(\d+)"
+BY_RECORDED_VOTE, ABSTENTIONS = r"(?i)by\s+a\s+recorded\s+vote\s+of\s+(\d+)\s+to\s+(\d+)(?:,\s+with\s+(\d+)\s+abstention)?", r"(?i)(\d+)\s+abstention"
+SUBMITTED, JOINED = r"submitted by\s+([^.]+)", r"(?:Subsequently|At the same meeting|Also at the same meeting),\s+([^.]+?)\s+joined"
+SUBMITTER, PARAGRAPH = r"(?is)submitted by\s+(.+?)(?:\.|,|$)", r"(?i)see\s+para\.\s+(\d+),\s+draft resolution\s+([IVX]+|\d+)"
+DRAFT_PARTS = r"(?i)A/C\.(\d+)/(\d+)/L\.(\d+)(?:/Rev\.(\d+))?"
 QUOTED_TITLE = r'(?is)entitled\s+["\u201C\u201D](.+?)["\u201C\u201D]'
 
 
@@ -72,7 +80,7 @@ def sr_references(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def cited_resolutions(c: Column) -> Column:
     """Resolutions in parentheses, as an array."""
     lists = F.regexp_extract_all(c, F.lit(r"\(resolutions?\s+([\d/,\s]+(?:and\s+[\d/,\s]+)?)\)"), F.lit(1))
-    parts = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"[,\s]+and\s+|,\s*"), F.trim)))
+    parts = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"[,\s]+and\s+|,\s*"), lambda y: F.trim(y))))
     return F.filter(parts, lambda x: x.rlike(r"^\d+/"))
 
 
@@ -126,12 +134,12 @@ def segment_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def split_states(c: Column) -> Column:
     """Names between commas outside of parentheses, without page marks, draft titles and a last full stop."""
 
-    def clean(x: Column) -> Column:
-        x = F.regexp_replace(collapse_ws(x), r"\s*\d+/\d+\s+A/\d+/[A-Z0-9.]+", "")
-        x = F.regexp_replace(x, r"(?i)\s+Draft\s+resolution.*$", "")
-        return collapse_ws(F.when(x.rlike(r"\b[A-Z]\.$"), x).otherwise(F.regexp_replace(x, r"\.$", "")))
+    def clean(name: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(collapse_ws(name), PAGE_MARK, ""), DRAFT_TAIL, "")
+        stop = F.endswith(name, F.lit(".")) & ~name.rlike(INITIAL)
+        return collapse_ws(F.when(stop, F.left(name, F.length(name) - 1)).otherwise(name))
 
-    return F.filter(F.transform(F.split(c, r",(?![^()]*\))"), clean), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, OUTER_COMMA), clean), lambda x: x != "")
 
 
 def vote_lists(c: Column, style: str = "meeting") -> Column:
@@ -173,12 +181,19 @@ def tagged(c: Column, names: Column) -> tuple[Column, Column]:
     return out["found"], out["text"]
 
 
-def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, most_names: int = 100_000) -> DataFrame:
-    """(id, name). The dictionary is a dimension table (actors, subjects), gathered longest first into one row."""
-    distinct = small(names.select(F.col(name_col).alias("n")).distinct(), most_names, "names")
-    ordered = distinct.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("n")).alias("l"), "n"))), lambda x: x["n"]).alias("names"))
-    found, _ = tagged(F.col(text_col), F.col("names"))
-    return df.select(id_col, text_col).crossJoin(F.broadcast(ordered)).select(id_col, F.explode(found).alias("name"))
+def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str) -> DataFrame:
+    """(id, name). Names are tried longest first, each found one taken out of the text before the next.
+
+    A text meets the names whose beginning (up to three characters, none behind a space) it holds, by an equi-join; only
+    these are tried. What is taken out leaves a space, so a name that turns up only then begins in the text, too.
+    """
+    n = names.select(F.col(name_col).alias("n")).filter("n <> ''").distinct().withColumn("start", F.regexp_extract("n", "^[^ ]{0,3}", 0))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.array(*[F.col("text").substr(i, F.lit(w)) for w in (1, 2, 3)])))
+    starts = F.array_union(F.array(F.lit("")), F.when(F.length("text") > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>")))
+    met = texts.select("id", F.explode(starts).alias("start")).join(n, "start").groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("n")).alias("l"), "n"))).alias("some"))
+    found, _ = tagged(F.col("text"), F.transform("some", lambda x: x["n"]))
+    return texts.join(met, "id").select(F.col("id").alias(id_col), F.explode(found).alias("name"))
 
 
 def strip_page_noise(df: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
@@ -265,41 +280,49 @@ def parse_meetings(df: DataFrame, symbol_col: str, text_col: str) -> tuple[DataF
     return sections, utterances
 
 
+def short_title(quoted: Column) -> Column:
+    """A quoted title of bounded length: of a long one the first sentence, if that ends in time."""
+    end = F.regexp_instr(F.left(quoted, F.lit(200)), F.lit(r"\.(?:\s|$)"))
+    title = collapse_ws(F.when((F.length(quoted) > 200) & (end > 0), F.trim(F.substring(quoted, F.lit(1), end - 1))).otherwise(quoted))
+    stop = F.instr(F.left(title, F.lit(301)), ".")
+    return F.when((F.length(title) > 300) & (stop > 1), F.trim(F.substring(title, F.lit(1), stop - 1))).otherwise(title)
+
+
+def vote_counts(c: Column) -> Column:
+    """struct(type, info, yes, no, abstain) of how a text says that it was voted; all null where it does not."""
+    kind = F.when(c.rlike(WITHOUT_VOTE), "without").when(c.rlike(BY_VOTE), "plain").when(c.rlike(BY_RECORDED_VOTE), "recorded")
+    counted = lambda plain, recorded: F.when(kind == "plain", extracted(c, *plain)).when(kind == "recorded", extracted(c, *recorded)).cast("int")
+    yes, no = counted((BY_VOTE, 1), (BY_RECORDED_VOTE, 1)), counted((BY_VOTE, 2), (BY_RECORDED_VOTE, 2))
+    abstain = counted((ABSTENTIONS, 1), (BY_RECORDED_VOTE, 3))
+    told = F.concat_ws(" to ", yes.cast("string"), no.cast("string"))
+    extra = F.when(kind == "recorded", F.coalesce(F.concat(F.lit(", with "), abstain.cast("string"), F.lit(" abstentions")), F.lit(""))).otherwise("")
+    info = F.when(kind == "without", "without a vote").when(kind.isNotNull(), F.concat(told, extra))
+    return F.struct(F.when(kind == "without", "without_vote").when(kind.isNotNull(), "recorded_vote").alias("type"), info.alias("info"), yes.alias("yes"), no.alias("no"), abstain.alias("abstain"))
+
+
 def utterance_facts(c: Column) -> Column:
     """Struct of what a speech says on drafts, titles, numbers, adoption, procedure and votes."""
-    ordinal = F.upper(extracted(c, ORDINAL))
-    quoted = F.trim(extracted(c, QUOTED_TITLE))
-    title = F.when((F.length(quoted) > 200) & F.left(quoted, F.lit(200)).rlike(r"\.(?:\s|$)"), F.trim(F.split(F.left(quoted, F.lit(200)), r"\.(?:\s|$)", 2)[0])).otherwise(quoted)
-    title = collapse_ws(title)
-    title = F.when(F.length(title) > 300, F.coalesce(F.trim(extracted(title, r"^([^.]{1,300})(?:\.|$)")), title)).otherwise(title)
-    number = extracted(c, r"(?i)\(?resolution\s+([1-9]\d{0,2}/\d+)\)?")
-    adoption = F.when(F.lit(False), F.lit(""))
-    for pattern, status in ADOPTION:
-        adoption = adoption.when(c.rlike(pattern), status)
-    amended = c.rlike("(?i)amendment") & c.rlike("(?i)vote") & number.isNull()
-    procedure = F.when(c.rlike(r"(?i)motion\s+(?:for\s+division|to\s+divide)"), "motion_for_division").when(amended & c.rlike(r"(?i)oral\s+amendment"), "vote_on_oral_amendment").when(amended, "vote_on_amendment")
-    lists = vote_lists(c)
-    listed = (F.size(lists["in_favour"]) + F.size(lists["against"]) + F.size(lists["abstaining"])) > 0
-    without = c.rlike(r"(?i)without\s+a\s+vote")
-    plain, recorded = r"(?i)by\s+(?:a\s+)?vote\s+of\s+(\d+)\s+to\s+(\d+)", r"(?i)by\s+a\s+recorded\s+vote\s+of\s+(\d+)\s+to\s+(\d+)(?:,\s+with\s+(\d+)\s+abstention)?"
-    count = lambda g: F.when(~without, F.coalesce(extracted(c, plain, g), extracted(c, recorded, g)).cast("int"))
-    abstained = F.when(~without, F.when(c.rlike(plain), extracted(c, r"(?i)(\d+)\s+abstention")).otherwise(extracted(c, recorded, 3)).cast("int"))
-    kind = F.when(listed, "recorded_vote").when(without, "without_vote").when(c.rlike(plain) | c.rlike(recorded), "recorded_vote")
-    info = F.when(without, "without a vote").when(c.rlike(plain), F.concat_ws(" to ", count(1).cast("string"), count(2).cast("string"))).when(c.rlike(recorded), F.concat(count(1).cast("string"), F.lit(" to "), count(2).cast("string"), F.coalesce(F.concat(F.lit(", with "), abstained.cast("string"), F.lit(" abstentions")), F.lit(""))))
+    ordinal, number = F.upper(extracted(c, ORDINAL)), extracted(c, NUMBERED)
+    adoption = F.coalesce(*[F.when(c.rlike(pattern), status) for pattern, status in ADOPTION])
+    amends = c.rlike(AMENDMENT) & c.rlike("(?i)vote") & number.isNull()
+    procedure = F.coalesce(F.when(c.rlike(DIVISION), "motion_for_division"), F.when(amends & c.rlike(ORAL), "vote_on_oral_amendment"), F.when(amends, "vote_on_amendment"))
+    lists, votes = vote_lists(c), vote_counts(c)
+    listed = F.size(F.concat(*[lists[k] for k in VOTE_MARKS])) > 0
     drafts = F.filter(F.regexp_extract_all(c, F.lit(SYMBOL), F.lit(0)), lambda s: s.contains("/L."))
-    return F.struct(
-        F.when(procedure.isNotNull(), F.coalesce(ordinal, F.try_element_at(drafts, F.lit(1)))).otherwise(ordinal).alias("draft_resolution_identifier"), title.alias("resolution_title"), number.alias("resolution_number"),
-        F.concat(F.lit("A/RES/"), number).alias("resolution_symbol"), adoption.alias("adoption_status"), procedure.alias("procedural_type"), kind.alias("vote_type"), info.alias("vote_info"),
-        count(1).alias("vote_in_favor"), count(2).alias("vote_against"), abstained.alias("vote_abstentions"), lists.alias("vote_details"), draft_ordinals(c).alias("draft_mentions"), drafts.alias("related_documents"),
-    )
+    about = F.coalesce(ordinal, F.when(procedure.isNotNull(), F.try_element_at(drafts, F.lit(1))))
+    fields = {
+        "draft_resolution_identifier": about, "resolution_title": short_title(F.trim(extracted(c, QUOTED_TITLE))), "resolution_number": number, "resolution_symbol": F.concat(F.lit("A/RES/"), number),
+        "adoption_status": adoption, "procedural_type": procedure, "vote_type": F.when(listed, "recorded_vote").otherwise(votes["type"]), "vote_info": votes["info"], "vote_in_favor": votes["yes"],
+        "vote_against": votes["no"], "vote_abstentions": votes["abstain"], "vote_details": lists, "draft_mentions": draft_ordinals(c), "related_documents": drafts,
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
 def item_sponsors(c: Column) -> Column:
     """C14: sponsors named in a report item: who submitted it and who joined later; distinct and sorted."""
-    submitted = country_list(extracted(c, r"submitted by\s+([^.]+)"))
-    joined = F.regexp_extract_all(c, F.lit(r"(?:Subsequently|At the same meeting|Also at the same meeting),\s+([^.]+?)\s+joined"), F.lit(1))
-    later = F.flatten(F.transform(joined, lambda names: country_list(names)))
-    return F.array_sort(F.array_distinct(F.concat(F.coalesce(submitted, F.array().cast("array<string>")), F.coalesce(later, F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    later = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(JOINED), F.lit(1)), lambda names: country_list(names)))
+    return F.array_sort(F.array_union(F.coalesce(country_list(extracted(c, SUBMITTED)), none), F.coalesce(later, none)))
 
 
 def draft_sponsors(items: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -330,20 +353,18 @@ def report_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """C17: one row per item of a committee report, with title, submitter, outcome, counts, lists and text reference."""
     items = df.select(id_col, F.posexplode(F.split(text_col, REPORT_ITEM)).alias("item_no", "item_text")).filter(F.col("item_text").rlike(REPORT_HEAD))
     t = F.col("item_text")
-    recorded = r"(?i)adopted\s+by\s+a\s+recorded\s+vote\s+of\s+(\d+)\s+to\s+(\d+)(?:,\s+with\s+(\d+)\s+abstention)?"
-    without, by_vote = t.rlike(r"(?i)adopted\s+without\s+a\s+vote"), t.rlike(r"(?i)adopted\s+by\s+a\s+recorded\s+vote")
-    count = lambda g: F.when(~without & by_vote, extracted(t, recorded, g).cast("int"))
-    reference = r"(?i)see\s+para\.\s+(\d+),\s+draft resolution\s+([IVX]+|\d+)"
-    draft = r"(?i)A/C\.(\d+)/(\d+)/L\.(\d+)(?:/Rev\.(\d+))?"
     symbol = extracted(t, REPORT_HEAD, 2)
-    part = lambda g: extracted(symbol, draft, g).cast("int")
-    return items.select(
-        id_col, "item_no", extracted(t, REPORT_HEAD, 1).alias("section_letter"), symbol.alias("draft_symbol"), part(1).alias("draft_committee"), part(2).alias("draft_session"), part(3).alias("draft_number"), part(4).alias("draft_revision"),
-        collapse_ws(extracted(t, QUOTED_TITLE)).alias("title"), collapse_ws(extracted(t, r"(?is)submitted by\s+(.+?)(?:\.|,|$)")).alias("submission_info"),
-        F.when(without | by_vote | t.rlike(r"(?i)adopted\s+draft resolution"), "adopted").alias("adoption_status"), F.when(without, "without a vote").alias("vote_info"),
-        count(1).alias("in_favor"), count(2).alias("against"), F.when(count(1).isNotNull(), F.coalesce(count(3), F.lit(0))).alias("abstentions"),
-        extracted(t, reference, 1).cast("int").alias("paragraph"), extracted(t, reference, 2).alias("draft_ordinal"), vote_lists(t, "report").alias("vote_details"), "item_text",
-    )
+    adopted = lambda how: t.rlike(r"(?i)adopted\s+" + how.removeprefix("(?i)"))
+    without, recorded = adopted(WITHOUT_VOTE), adopted(r"by\s+a\s+recorded\s+vote")
+    count = lambda g: F.when(~without & recorded, extracted(t, r"(?i)adopted\s+" + BY_RECORDED_VOTE.removeprefix("(?i)"), g).cast("int"))
+    parts = {f"draft_{name}": extracted(symbol, DRAFT_PARTS, g).cast("int") for g, name in enumerate(("committee", "session", "number", "revision"), 1)}
+    fields = {
+        "section_letter": extracted(t, REPORT_HEAD, 1), "draft_symbol": symbol, **parts, "title": collapse_ws(extracted(t, QUOTED_TITLE)), "submission_info": collapse_ws(extracted(t, SUBMITTER)),
+        "adoption_status": F.when(without | recorded | adopted("draft resolution"), "adopted"), "vote_info": F.when(without, "without a vote"),
+        "in_favor": count(1), "against": count(2), "abstentions": F.when(count(1).isNotNull(), F.coalesce(count(3), F.lit(0))),
+        "paragraph": extracted(t, PARAGRAPH, 1).cast("int"), "draft_ordinal": extracted(t, PARAGRAPH, 2), "vote_details": vote_lists(t, "report"),
+    }
+    return items.select(id_col, "item_no", *[v.alias(k) for k, v in fields.items()], "item_text")
 
 
 def meeting_transcript(df: DataFrame, meeting_col: str, position_col: str, name_col: str, text_col: str, affiliation_col: str | None = None, preface_col: str | None = None) -> DataFrame:

@@ -1,10 +1,24 @@
-"""Coalitions of actors by the correlation of their votes (inventory 2.H)."""
+"""Coalitions of actors by the correlation of their votes (inventory 2.H).
+
+Sums of products over all pairs of actors are a matrix product of the votes with themselves. It is taken in blocks of
+actors: a task adds up one square of the matrix over the documents of its share, so no pair of votes becomes a row, and a
+document on which everybody votes is no heavier than its votes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folkmoot._store import small
+
+ACTORS_IN_BLOCK = 512
+SHARES = 32  # of the documents of one square
+
 
 def vote_scores(votes: DataFrame, order: Column) -> DataFrame:
     """H1: (actor_id, document_id, score): the first vote of a cell in ``order``; 1, -1, or 0 for anything else."""
@@ -12,27 +26,109 @@ def vote_scores(votes: DataFrame, order: Column) -> DataFrame:
     return first.select("actor_id", "document_id", F.when(F.col("v") == "in_favour", 1).when(F.col("v") == "against", -1).otherwise(0).alias("score"))
 
 
-def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7, k: int = 20) -> DataFrame:
+def _product(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(actors of side 0, actors of side 1, sums of products of their scores) over whole documents."""
+    side, doc, actor, score = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("side", "document", "actor_id", "score"))
+    _, doc = np.unique(doc, return_inverse=True)
+    sides = []
+    for k in (0, 1):
+        own = side == k
+        names, column = np.unique(actor[own], return_inverse=True)
+        matrix = np.zeros((doc.max() + 1, len(names)), np.float32)
+        matrix[doc[own], column] = score[own]
+        sides.append((names, matrix))
+    return sides[0][0], sides[1][0], (sides[0][1].T @ sides[1][1]).astype(np.int64)
+
+
+class _Square:
+    """Sums of products of one square of the matrix, with the actors of its rows and columns."""
+
+    def __init__(self, key: tuple[int, ...]):
+        self.key = key
+        self.names = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.sums = np.zeros((0, 0), np.int64)
+
+    def add(self, rows: list[pa.RecordBatch]) -> None:
+        *actors, p = _product(rows)
+        names = [np.union1d(old, new) for old, new in zip(self.names, actors)]
+        at = lambda some: np.ix_(*[np.searchsorted(n, s) for n, s in zip(names, some)])
+        sums = np.zeros((len(names[0]), len(names[1])), np.int64)
+        sums[at(self.names)] = self.sums
+        sums[at(actors)] += p
+        self.names, self.sums = names, sums
+
+    def pairs(self) -> pa.RecordBatch:
+        i, j = np.nonzero(self.sums)
+        a, b, p = self.names[0][i], self.names[1][j], self.sums[i, j]
+        if self.key[0] == self.key[1]:  # both halves are here
+            a, b, p = (x[a < b] for x in (a, b, p))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(p)], names=["ia", "ib", "p"])
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by square and document; what a batch holds of its last document waits for the next one."""
+    square, rest = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bi", "bj", "share")], 1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, z in zip([0, *edges], [*edges, batch.num_rows]):
+            if a == z:
+                continue
+            if square is None or tuple(keys[a]) != square.key:
+                if square is not None:
+                    square.add(rest)
+                    yield square.pairs()
+                square, rest = _Square(tuple(keys[a])), []
+            part = batch.slice(a, z - a)
+            docs = part.column("document").to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(docs, docs[-1]))  # documents are sorted inside a square
+            if rest and docs[0] != rest[-1].column("document")[0].as_py():
+                square.add(rest)
+                rest = []
+            if last:
+                square.add([*rest, part.slice(0, last)])
+                rest = []
+            rest.append(part.slice(last))
+    if square is not None:
+        square.add(rest)
+        yield square.pairs()
+
+
+def score_products(scores: DataFrame, actors: int) -> DataFrame:
+    """(ia, ib, p), ia < ib: sums over documents of the products of two actors' scores, where they are not 0."""
+    blocks = max(1, -(-actors // ACTORS_IN_BLOCK))
+    x = scores.filter("score <> 0").select(F.xxhash64("document_id").alias("document"), "document_id", F.col("actor_id").cast("long").alias("actor_id"), F.col("score").cast("int").alias("score"))
+    x = x.withColumn("own", F.pmod(F.xxhash64("actor_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first, second = F.col("own") <= F.col("other"), F.col("own") >= F.col("other")  # of its own square a vote is on both sides
+    x = x.withColumn("side", F.explode(F.filter(F.array(F.when(first, 0), F.when(second, 1)), lambda k: k.isNotNull())))
+    rows = x.select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.pmod("document", F.lit(SHARES)).cast("int").alias("share"), "document", "side", "actor_id", "score")
+    key = ["bi", "bj", "share"]
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "document")
+    return dealt.mapInArrow(_squares, "ia long, ib long, p long").groupBy("ia", "ib").agg(F.sum("p").alias("p")).filter("p <> 0")
+
+
+def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7, k: int = 20, most_actors: int = 20_000) -> DataFrame:
     """H2: (a, b, correlation, n_resolutions) of pairs of actors over all resolutions, best first, ties by name.
 
-    A missing vote counts as 0, so only non-zero scores enter the self-join on the resolution, and a pair that shares
-    no resolution keeps a sum of products of 0. Actors without variance have no correlation. All pairs of actors are the
-    result's own domain; their table is a dimension, and sums are exact integers.
+    A missing vote counts as 0. Pairs whose products add up to 0 stay apart: they correlate by their own sums alone, and
+    positively only if these have opposite signs. Actors without variance have no correlation. Actors are a dimension
+    table, whose size is checked; sums are exact integers.
     """
-    total = scores.agg(F.countDistinct("document_id").alias("n"))
+    n = scores.agg(F.countDistinct("document_id").alias("n")).first()["n"]
     sums = scores.groupBy("actor_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q"))
-    sums = sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id")
-    x = scores.filter("score <> 0")
-    pairs = x.select("document_id", F.col("actor_id").alias("ia"), F.col("score").alias("sa")).join(x.select("document_id", F.col("actor_id").alias("ib"), F.col("score").alias("sb")), "document_id").filter("ia < ib")
-    products = pairs.groupBy("ia", "ib").agg(F.sum(F.col("sa") * F.col("sb")).alias("p"))
+    sums = small(sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id"), most_actors, "actors")
+    products = score_products(scores.join(sums.select("actor_id"), "actor_id", "left_semi"), sums.count())
     left = sums.select(F.col("actor_id").alias("ia"), F.col("name").alias("na"), F.col("s").alias("s1"), F.col("q").alias("q1"))
     right = sums.select(F.col("actor_id").alias("ib"), F.col("name").alias("nb"), F.col("s").alias("s2"), F.col("q").alias("q2"))
-    every = left.join(right, F.col("ia") < F.col("ib")).join(products, ["ia", "ib"], "left").crossJoin(F.broadcast(total))
-    n = F.col("n")
-    spread = F.sqrt((n * F.col("q1") - F.col("s1") * F.col("s1")).cast("double")) * F.sqrt((n * F.col("q2") - F.col("s2") * F.col("s2")).cast("double"))
-    corr = (n * F.coalesce("p", F.lit(0)) - F.col("s1") * F.col("s2")).cast("double") / F.nullif(spread, F.lit(0.0))
+    together = products.join(left, "ia").join(right, "ib")
+    may = (F.col("ia") < F.col("ib")) if min_corr < 0 else (F.col("ia") < F.col("ib")) & (F.col("s1") * F.col("s2") < 0)
+    apart = left.join(F.broadcast(right), may).join(products.select("ia", "ib"), ["ia", "ib"], "left_anti").withColumn("p", F.lit(0).cast("long"))
+    every = together.unionByName(apart)
+    total = F.lit(n)
+    spread = F.sqrt((total * F.col("q1") - F.col("s1") * F.col("s1")).cast("double")) * F.sqrt((total * F.col("q2") - F.col("s2") * F.col("s2")).cast("double"))
+    corr = (total * F.col("p") - F.col("s1") * F.col("s2")).cast("double") / F.nullif(spread, F.lit(0.0))
     out = every.withColumn("c", corr).filter(F.col("c") > min_corr)
-    named = out.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.round("c", 3).alias("correlation"), F.col("n").alias("n_resolutions"))
+    named = out.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.round("c", 3).alias("correlation"), total.alias("n_resolutions"))
     return named.orderBy(F.desc("correlation"), "a", "b").limit(k)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folkmoot.functions.columns import extracted, normalize_symbol
-from folkmoot.functions.text import SYMBOL, additional_sponsors, split_states, tag_dictionary
+from folkmoot.functions.text import SYMBOL, additional_sponsors, tag_dictionary
 
 
 def key_id(*parts: Column) -> Column:
@@ -214,13 +214,3 @@ def load_stats(records: DataFrame, corrupt: str = "_corrupt", symbol: str = "sym
     """(status, n): records that could not be read, had no symbol, or were loaded."""
     status = F.when(F.col(corrupt).isNotNull(), "errors").when(F.coalesce(F.trim(symbol), F.lit("")) == "", "skipped").otherwise("loaded")
     return records.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def names_in(votes: DataFrame, column: str) -> DataFrame:
-    """Names of a comma list, for E1."""
-    return votes.select(F.explode(split_states(F.col(column))).alias("name"))
-
-
-def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

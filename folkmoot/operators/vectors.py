@@ -1,7 +1,11 @@
-"""Exact vector search by cosine similarity (inventory 2.I), inside the JVM."""
+"""Exact vector search by cosine similarity (inventory 2.I): one query inside the JVM, many as matrix products."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +20,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Null for vectors without length."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-
-
 def semantic_search(df: DataFrame, query: list[float], vector: str, keep: list[str], id_col: str, condition: Column | None = None, min_similarity: float = 0.5, k: int = 10, text: str | None = None) -> DataFrame:
     """Rows most similar to a query vector, ties by id; similarity rounded to 4 places."""
     rows = df if condition is None else df.filter(condition)
@@ -43,18 +42,72 @@ def semantic_search_utterances(utterances: DataFrame, documents: DataFrame, quer
     return found.withColumnsRenamed({"agenda_item_number": "agenda_item", "text": "text_preview"})
 
 
-def semantic_search_batch(df: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, queries_in_block: int = 256) -> DataFrame:
-    """(query_id, rank, id, similarity) of each query's k best rows.
-
-    Queries go out in blocks of a bounded number of vectors, and every row meets the blocks; rows never meet each other.
-    The best k per query are taken inside each partition's sort first (the window's group limit), then over all.
+def _best_of_blocks(k: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block of queries and share of rows, queries first; a matrix product scores a batch of rows."""
+        at, qs, best = None, [], None
+        matrix = np.zeros((0, 0))
+
+        def vectors(b: pa.RecordBatch) -> np.ndarray:
+            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            length = np.sqrt((flat**2).sum(1, keepdims=True))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return flat / length  # not a number where a vector has no length
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if best is not None and len(qs):
+                which, rank = np.nonzero(np.isfinite(best[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(qs[which], pa.int64()), pa.array(best[1][which, rank], pa.int64()), pa.array(best[0][which, rank])], names=["query_id", "id", "similarity"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share")], 1)
+            asks = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (asks[1:] != asks[:-1])) + 1
+            for a, z in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == z:
+                    continue
+                part = batch.slice(a, z - a)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                if tuple(keys[a]) != at:
+                    yield from told()
+                    at, qs, best = tuple(keys[a]), np.zeros(0, np.int64), None
+                if asks[a]:
+                    matrix = np.concatenate([matrix, vectors(part)]) if len(qs) else vectors(part)
+                    qs = np.concatenate([qs, ids])
+                    continue
+                if not len(qs):
+                    continue
+                score = matrix @ vectors(part).T
+                score[(qs[:, None] == ids[None, :]) | ~(score >= least)] = -np.inf
+                of = np.broadcast_to(ids, score.shape)
+                if best is not None:
+                    score, of = np.concatenate([best[0], score], 1), np.concatenate([best[1], of], 1)
+                order = np.lexsort((of, -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+        yield from told()
+
+    return run
+
+
+def semantic_search_batch(df: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, queries_in_block: int = 2048, rows_in_share: int = 65_536) -> DataFrame:
+    """(query_id, rank, id, similarity) of each query's k best rows, ties by id.
+
+    Queries are dealt to blocks and rows to shares, and every block meets every share; a task multiplies the matrix of one
+    block with its rows, batch by batch, and gives out k rows a query at most. Rows become no pairs. Vectors that are null
+    or of another length than most queries take no part, and those of length 0 are similar to nothing.
     """
-    q = queries.select(F.col(query_id), F.col(query_vector)).withColumn("query_norm", norm(F.col(query_vector)))
-    blocks = q.withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-queries.count() // queries_in_block)))))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct(query_id, query_vector, "query_norm")).alias("qs"))
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("row_norm", norm(F.col("v")))
-    met = rows.crossJoin(packed).select("id", "v", "row_norm", F.explode("qs").alias("q"))
-    scored = met.select(F.col(f"q.{query_id}").alias("query_id"), "id", (dot(F.col("v"), F.col(f"q.{query_vector}")) / F.nullif(F.col("row_norm") * F.col("q.query_norm"), F.lit(0.0))).alias("similarity"))
+    q = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
+    usual = q.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = usual["dim"] if usual else 0
+    fine = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull())
+    q = q.filter(fine)
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(fine)
+    blocks, shares = max(1, -(-q.count() // queries_in_block)), max(1, -(-rows.count() // rows_in_share))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(shares).alias("share"), F.lit(True).alias("is_query"), "id", "v")
+    met = rows.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"), F.lit(False).alias("is_query"), "id", "v").unionByName(asked)
+    dealt = met.repartition("block", "share").sortWithinPartitions("block", "share", F.desc("is_query"))
+    found = dealt.mapInArrow(_best_of_blocks(k, min_similarity), "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    top = scored.filter((F.col("similarity") >= min_similarity) & (F.col("id") != F.col("query_id"))).withColumn("rank", rank).filter(F.col("rank") <= k)
+    top = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return top.select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
 from folkmoot.functions import text as x
 from folkmoot.operators import aggregates, coalition, episodes, evidence, graph, lookups, sequences, tables, trajectories, vectors
@@ -513,7 +515,9 @@ def c18(s, d):
     return x.meeting_transcript(b.utterances(s, d), "conv_id", "position_in_meeting", "speaker_name", "text", "speaker_affiliation")
 
 
-@query("c11_meetings_parsed")
+@query("c11_meetings_parsed", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(regexp_replace(regexp_replace(text, '[\n:]', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM conversations)
+ SELECT 'C' || CAST(conv_id AS VARCHAR) || '_section_1_utterance_' || CAST(k AS VARCHAR) AS id, 'C' || CAST(conv_id AS VARCHAR) AS meeting_id, k AS position_in_section, upper(role[1]) || role[2:] AS name, role AS affiliation,
+ len(list_filter(string_split(said, ' '), lambda w: w <> '')) AS word_count FROM t""")
 def c11(s, d):
     """Transcripts of all conversations, parsed again into speeches."""
     u = b.utterances(s, d)
@@ -578,7 +582,11 @@ def d9(s, d):
     return sequences.preview_sample(b.steps(s, d), ["ts", "event_id"], ["trajectory_id"]).select("event_id", "place")
 
 
-@query("d3_contexts")
+@query("d3_contexts", f"""WITH u AS (SELECT *, position_in_meeting IN (0, 3) AS chair, CASE position_in_meeting WHEN 0 THEN 'I give the floor for an explanation of vote before the vote' WHEN 3 THEN 'We have heard the last speaker in explanation of vote' ELSE text END AS said FROM {UTTERANCES}),
+ m AS (SELECT *, CASE WHEN chair AND regexp_matches(said, '(?i)(\\d+|several|multiple|a number of)\\s+draft\\s+resolutions?') THEN NULL WHEN position_in_meeting = 0 THEN 'before_vote' WHEN position_in_meeting = 3 THEN 'CLOSE' END AS mark FROM u),
+ w AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY position_in_meeting ROWS UNBOUNDED PRECEDING) AS now FROM m)
+ SELECT id, CASE WHEN mark <> 'CLOSE' THEN mark END AS eov_section_announcement, coalesce(mark = 'CLOSE', false) AS eov_section_closed, CASE WHEN NOT chair AND now <> 'CLOSE' THEN now END AS speech_timing, coalesce(NOT chair AND now <> 'CLOSE', false) AS is_explanation_of_vote,
+ NOT chair AND regexp_matches(coalesce(said, ''), '(?i)\\bexplanation of (vote|position)\\b') AS self_declared_explanation FROM w""")
 def d3(s, d):
     """Every conversation as a debate that its first speech opens and its fourth closes."""
     u = b.utterances(s, d)
@@ -1194,3 +1202,229 @@ def j2(s, d):
 def j7(s, d):
     steps = trajectories.build_trajectories(*dossier(s, d), keywords=["Peace"])
     return steps.select("trajectory_id", "t", "stage", "date", "action_type", "actor", "source", F.array_join("sponsors", ",").alias("sponsors"), "yes", "no", "abstain", "outcome", "n_statements", "final_outcome")
+
+
+# ---- sources and sinks (2.A) over files that are written below the shared folder and read back
+
+
+def folder(s, name):
+    return f"{stored_below(s)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("a1_read_parsed", "SELECT symbol, draft_text, word_count, broken FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'A/78/L.' || CAST(doc_id AS VARCHAR) END AS symbol, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS draft_text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE length(text) END AS word_count, doc_id % 7 = 0 AS broken FROM documents)")
+def a1(s, d):
+    """Documents as JSON lines of parsed drafts; every seventh is cut short."""
+    record = F.to_json(F.struct(F.struct(F.concat(F.lit("A/78/L."), F.col("doc_id").cast("string")).alias("symbol")).alias("metadata"), F.col("text").alias("draft_text"), F.struct(F.length("text").alias("word_count")).alias("stats")))
+    path = folder(s, "parsed")
+    b.table(s, d, "documents").select(F.when(F.col("doc_id") % 7 == 0, F.lit('{"metadata": {"symbol"')).otherwise(record).alias("value")).write.text(path)
+    r = readers.read_parsed(s, path, "drafts", one_per_line=True)
+    return r.select("symbol", "draft_text", F.col("stats.word_count").cast("long").alias("word_count"), F.col("_corrupt").isNotNull().alias("broken"))
+
+
+def marc(tag, **codes):
+    """A field of a catalogue record; subfields whose value is null are left out."""
+    parts = F.filter(F.array(*[F.struct(v.cast("string").alias("_VALUE"), F.lit(k).alias("_code")) for k, v in codes.items()]), lambda p: p["_VALUE"].isNotNull())
+    return F.struct(F.lit(tag).alias("_tag"), F.lit(" ").alias("_ind1"), F.lit(" ").alias("_ind2"), parts.alias("subfield"))
+
+
+def write_catalogue(s, d):
+    """Orders as catalogue records, with their lines as a roll call and their type as a subject."""
+    v = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
+    sign = F.when(F.col("vote_type") == "in_favour", "Y").when(F.col("vote_type") == "against", "N")
+    calls = v.groupBy(F.col("document_id").alias("id")).agg(F.collect_list(marc("967", e=F.col("name"), d=sign)).alias("calls"), F.count_if(F.col("vote_type") == "in_favour").alias("yes"), F.count_if(F.col("vote_type") == "against").alias("no"))
+    docs = b.documents(s, d).join(calls, "id")
+    n = F.col("id").cast("string")
+    fields = F.array(
+        marc("191", a=F.col("symbol")), marc("245", a=F.col("title"), b=F.lit("part two")), marc("269", a=F.col("date")), marc("650", a=F.lit("PEACE")), marc("650", a=F.col("doc_type")), marc("710", a=F.concat(F.lit("C"), F.col("custkey").cast("string"))),
+        marc("856", y=F.lit("English"), s=n, u=F.concat(F.lit("http://x/"), n, F.lit("-en.pdf"))), marc("856", y=F.lit("French"), u=F.lit(None)), marc("996", b=F.col("yes"), c=F.col("no")),
+    )
+    path = folder(s, "catalogue")
+    control = F.array(F.struct(n.alias("_VALUE"), F.lit("001").alias("_tag")))
+    docs.select(control.alias("controlfield"), F.concat(fields, "calls").alias("datafield")).write.format("xml").option("rowTag", "record").option("rootTag", "collection").save(path)
+    return path
+
+
+LISTED = f"{DOCS} WHERE id IN (SELECT l_orderkey FROM lineitem)"
+
+
+@query("a3_catalogue_records", f"SELECT CAST(id AS VARCHAR) AS record_id, symbol, title || ' part two' AS title, CAST(date AS VARCHAR) AS date, 'PEACE,' || doc_type AS subjects, 'C' || CAST(custkey AS VARCHAR) AS authors, 'English ' || CAST(id AS VARCHAR) || ' http://x/' || CAST(id AS VARCHAR) || '-en.pdf' AS files FROM {LISTED}")
+def a3(s, d):
+    r = readers.read_marc_records(s, write_catalogue(s, d))
+    files = F.array_join(F.transform("files", lambda f: F.concat_ws(" ", f["language"], f["size"].cast("string"), f["url"])), ",")
+    return r.select("record_id", "symbol", "title", "date", F.array_join("subjects", ",").alias("subjects"), F.array_join("authors", ",").alias("authors"), files.alias("files"))
+
+
+@query("a4_roll_calls", f"SELECT 'vote_' || CAST(document_id AS VARCHAR) AS symbol, name AS country, CASE vote_type WHEN 'in_favour' THEN 'Y' WHEN 'against' THEN 'N' ELSE 'X' END AS vote FROM {VOTES} v JOIN {ACTORS} a ON a.id = v.actor_id JOIN {DOCS} d ON d.id = v.document_id")
+def a4(s, d):
+    return readers.explode_roll_call(readers.read_marc_votes(s, write_catalogue(s, d)))
+
+
+@query("a4_roll_call_counts", f"SELECT CAST(document_id AS VARCHAR) AS record_id, CAST(count(*) FILTER (vote_type = 'in_favour') AS INTEGER) AS yes, CAST(count(*) FILTER (vote_type = 'against') AS INTEGER) AS no, 0 AS abstain, 0 AS total FROM {VOTES} JOIN {DOCS} d ON d.id = document_id GROUP BY 1")
+def a4b(s, d):
+    return readers.read_marc_votes(s, write_catalogue(s, d)).select("record_id", "counts.yes", "counts.no", "counts.abstain", "counts.total")
+
+
+@query("a5_page_rows", "SELECT page_id, 'Title' AS label, 'v' || CAST(page_id AS VARCHAR) || ' b' AS value FROM pages UNION ALL SELECT page_id, 'Date', CAST(page_id % 28 + 1 AS VARCHAR) || ' May 2023' FROM pages")
+def a5c(s, d):
+    """Every page with two rows of metadata put in front."""
+    row = lambda label, value: F.concat(F.lit(f'<div class="metadata-row"><span class="title col">{label}</span>\n<span class="value"> '), value, F.lit(" </span></div>"))
+    n = F.col("page_id").cast("string")
+    html = F.concat(row("Title", F.concat(F.lit("v"), n, F.lit("<b> b</b>"))), row("Date", F.concat((F.col("page_id") % 28 + 1).cast("string"), F.lit(" May 2023"))), F.coalesce("html", F.lit("")))
+    m = readers.page_metadata(b.table(s, d, "pages").withColumn("html", html))
+    return m.select("page_id", F.explode("rows").alias("r")).select("page_id", "r.label", F.regexp_replace("r.value", r"\s+", " ").alias("value"))
+
+
+@query("a5_file_links", "SELECT page_id, 'FR' AS language, 'https://lib.org/' || CAST(page_id AS VARCHAR) || '.pdf' AS url FROM pages UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ES' ELSE 'EN' END, 'https://lib.org/x/' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '-es' ELSE '' END || '.pdf?a=1' FROM pages")
+def a5d(s, d):
+    """Links with either quote, with tags inside of their text, and twice the same."""
+    n = F.col("page_id").cast("string")
+    end = F.when(F.col("page_id") % 2 == 0, "-es").otherwise("")
+    html = F.concat(F.lit("<a class=x href='/"), n, F.lit(".pdf'><b>Français</b> </a><A HREF=\"/"), n, F.lit('.pdf">English</a><a href="/x/'), n, end, F.lit('.pdf?a=1">file</a><a href="/y">no</a>'))
+    return readers.file_links(readers.page_links(b.table(s, d, "pages").withColumn("html", html), "https://lib.org"))
+
+
+@query("a6_tables_as_views", f"SELECT a.name, count(*) AS n FROM {VOTES} v JOIN {ACTORS} a ON a.id = v.actor_id GROUP BY 1")
+def a6(s, d):
+    """Tables written, registered as views, and read by SQL."""
+    path = folder(s, "tables")
+    writers.write_tables({"actors": b.actors(s, d), "votes": b.votes(s, d)}, path)
+    readers.register_tables(s, path, ["actors", "votes"])
+    return s.sql("SELECT a.name, count(*) AS n FROM votes v JOIN actors a ON a.id = v.actor_id GROUP BY a.name")
+
+
+@query("a8_csv", f"SELECT id, symbol, title, CAST(date AS VARCHAR) AS date FROM (SELECT id, symbol, CASE WHEN id % 3 <> 0 THEN title || ', \"x\"' END AS title, date FROM {DOCS} ORDER BY id LIMIT 500)")
+def a8(s, d):
+    path = folder(s, "csv")
+    docs = b.documents(s, d).select("id", "symbol", F.when(F.col("id") % 3 != 0, F.concat("title", F.lit(', "x"'))).alias("title"), "date")
+    writers.write_csv(docs.orderBy("id"), path)
+    return s.read.option("header", True).option("escape", '"').schema("id long, symbol string, title string, date string").csv(path)
+
+
+@query("a9_json", "SELECT conv_id, turn, role, text FROM conversations")
+def a9(s, d):
+    path = folder(s, "json")
+    writers.write_json(b.table(s, d, "conversations").select("conv_id", "turn", "role", "text"), path)
+    return s.read.schema("conv_id long, turn long, role string, text string").json(path)
+
+
+@query("a10_mermaid_file", "SELECT line FROM (SELECT 'graph LR' AS line UNION ALL SELECT '    R' || CAST(r_regionkey AS VARCHAR) || '[\"' || r_name || '\"]' FROM region UNION ALL SELECT '    N' || CAST(n_nationkey AS VARCHAR) || '[\"' || n_name || '\"]' FROM nation UNION ALL SELECT '    S' || CAST(s_suppkey AS VARCHAR) || '[\"' || s_name || '\"]' FROM supplier UNION ALL SELECT '    N' || CAST(n_nationkey AS VARCHAR) || ' -->|meeting_record_for| R' || CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT '    S' || CAST(s_suppkey AS VARCHAR) || ' -->|agenda_item_for| N' || CAST(s_nationkey AS VARCHAR) FROM supplier)")
+def a10b(s, d):
+    path = folder(s, "mermaid")
+    nodes = b.nodes(s, d).filter(F.col("id").rlike("^[RNS]"))
+    e = b.edges(s, d).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relationship_type").alias("relation"))
+    writers.write_mermaid(nodes, e, path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+# ---- heads, bodies, titles and sponsors of texts built from the tables
+
+
+@query("b3_committee_names", f"SELECT id, CASE id % 3 WHEN 0 THEN 'Third Committee' WHEN 1 THEN ['First', 'Second', 'Third', 'Fourth', 'Fifth', 'Sixth'][CAST(custkey % 6 + 1 AS INTEGER)] || ' Committee' ELSE 'Special Political And Decolonization Committee' END AS name FROM {DOCS}")
+def b3(s, d):
+    said = F.when(F.col("id") % 3 == 0, "Report of the THIRD   Committee").when(F.col("id") % 3 == 1, "nothing").otherwise("Special Political and Decolonization Committee")
+    return b.documents(s, d).select("id", c.collapse_ws(c.committee_name(said, F.col("symbol"))).alias("name"))
+
+
+@query("b13_document_kinds", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'amendment' WHEN 1 THEN 'draft_decision' WHEN 2 THEN 'resolution' WHEN 3 THEN 'draft_resolution' END AS kind FROM part")
+def b13(s, d):
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 0, "Amendment to draft resolution").when(k == 1, "Draft Decision").when(k == 2, "Resolution adopted by the General Assembly").when(k == 3, "draft resolution").otherwise("none")
+    return b.table(s, d, "part").select("p_partkey", c.document_kind(F.concat("p_name", F.lit("\n"), said, F.lit("\nx"))).alias("kind"))
+
+
+@query("b15_symbols_of_stems", f"SELECT id, symbol FROM {DOCS}")
+def b15(s, d):
+    return b.documents(s, d).select("id", c.symbol_of_stem(c.symbol_filename(F.col("symbol"))).alias("symbol"))
+
+
+@query("b22_bodies", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN nullif(text, '') WHEN 1 THEN nullif(lang, '') WHEN 2 THEN nullif(source, '') ELSE concat_ws(chr(10) || chr(10), nullif(lang, ''), nullif(source, '')) END AS body FROM documents")
+def b22(s, d):
+    k = F.col("doc_id") % 4
+    record = F.struct(F.when(k == 0, F.col("text")).alias("introduction"), F.when(k == 1, F.col("lang")).otherwise("").alias("draft_text"), F.struct(F.when(k == 2, F.col("source")).alias("full_text")).alias("raw_text"), F.struct(F.when(k == 3, F.col("lang")).alias("preamble"), F.when(k == 3, F.col("source")).alias("operative")).alias("text_segments"))
+    return b.table(s, d, "documents").select("doc_id", F.nullif(c.body_text(record, "resolutions"), F.lit("")).alias("body"))
+
+
+@query("b23_draft_heads", "SELECT p_partkey, 'A/78/L.' || CAST(p_partkey AS VARCHAR) AS symbol, 'Limited' AS distribution, CAST(p_size AS VARCHAR) || ' May 2023' AS date, 'English' AS original_language, 'Seventy-eighth session' AS session_name, p_size AS agenda_item, 'Draft resolution on ' || p_type AS submission_type FROM part")
+def b23(s, d):
+    head = F.concat(F.lit("A\nUnited Nations /78/L."), F.col("p_partkey").cast("string"), F.lit("\nDistr.: Limited\n"), F.col("p_size").cast("string"), F.lit(" May 2023\nOriginal: English\nSeventy-eighth session\nAgenda item "), F.col("p_size").cast("string"), F.lit("\n"), "p_name", F.lit("\nDraft resolution on "), "p_type", F.lit("\nThe General Assembly"))
+    f = b.table(s, d, "part").select("p_partkey", c.header_fields(head, "draft").alias("f"))
+    return f.select("p_partkey", *[f"f.{k}" for k in ("symbol", "distribution", "date", "original_language", "session_name", "agenda_item", "submission_type")])
+
+
+@query("b23_meeting_heads", "SELECT s_suppkey, 'A/78/PV.' || CAST(s_suppkey AS VARCHAR) AS symbol, 'Seventy-eighth session' AS session, CAST(s_suppkey AS INTEGER) AS meeting_number, 'Geneva' AS location, 'Mr. ' || s_name AS president, '3 p' AS called_to_order_at FROM supplier")
+def b23b(s, d):
+    n = F.col("s_suppkey").cast("string")
+    head = F.concat(F.lit("United Nations A / 78 / PV."), n, F.lit("\nSeventy-eighth session\n"), n, F.lit("th plenary meeting\nTuesday, 9 January 2024, 10 a.m.\nGeneva\nPresident: Mr. "), "s_name", F.lit("\nThe meeting was called to order at 3 p.m.\n"))
+    f = b.table(s, d, "supplier").select("s_suppkey", c.header_fields(head, "meeting").alias("f"))
+    return f.select("s_suppkey", *[f"f.{k}" for k in ("symbol", "session", "meeting_number", "location", "president", "called_to_order_at")])
+
+
+@query("b24_draft_bodies", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Recalling ' || p_name || chr(10) || 'end' WHEN 1 THEN p_name || chr(10) || 'end' ELSE 'The General Assembly,' || chr(10) || p_name END AS body FROM part")
+def b24(s, d):
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat(F.lit("A\nUnited Nations\n  Recalling "), "p_name", F.lit("\nend"))).when(k == 1, F.concat(F.lit("Distr.\n" * 12), "p_name", F.lit("\nend"))).otherwise(F.concat(F.lit("A\nRecalling x\nThe General Assembly,\n"), "p_name"))
+    return b.table(s, d, "part").select("p_partkey", c.draft_body(t).alias("body"))
+
+
+@query("b25_titles", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN p_name || ' ' || p_brand WHEN 2 THEN p_name ELSE p_brand END AS title FROM part")
+def b25(s, d):
+    k = F.col("p_partkey") % 4
+    resolution = F.concat(F.lit("Agenda item 9\n\n"), "p_name", F.lit("\n"), "p_brand", F.lit("\n\nResolution adopted by the General Assembly\n"))
+    numbered = F.concat(F.lit("Resolution adopted by the General Assembly\n78/9. "), "p_name", F.lit("\nThe General Assembly"))
+    draft = F.concat(F.lit("x: draft resolution\n\n"), "p_brand", F.lit("\n\nThe General Assembly,\nRecalling"))
+    t = F.when(k == 1, resolution).when(k == 2, numbered).otherwise(draft)
+    return b.table(s, d, "part").select("p_partkey", c.title_of(t, F.when(k == 0, F.concat("p_type", F.lit(" : sponsors")))).alias("title"))
+
+
+@query("c2_summary_records", "SELECT s_suppkey, CAST(unnest([0, 1]) AS INTEGER) AS pos, 'A/C.' || CAST(unnest([3, 4]) AS VARCHAR) || '/78/SR.' || CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier")
+def c2b(s, d):
+    n = F.col("s_suppkey").cast("string")
+    t = F.concat(F.lit("see A/C.3/78/SR."), n, F.lit(" and (A/C.4/78/SR."), n, F.lit("), A/C.3/78/SR."), n, F.lit(" again, not A/78/PV.1"))
+    return x.sr_references(b.table(s, d, "supplier").select("s_suppkey", t.alias("t")), "s_suppkey", "t")
+
+
+@query("c5_resolution_paragraphs", """SELECT p_partkey, 'preamble' AS part, 1 AS ordinal, NULL AS sub, 'The General Assembly, ' || p_name AS text FROM part UNION ALL SELECT p_partkey, 'preamble', 2, NULL, 'Recalling ' || p_type FROM part
+ UNION ALL SELECT p_partkey, 'operative', 1, NULL, '1. Decides ' || p_brand || ':' FROM part UNION ALL SELECT p_partkey, 'sub', 1, 'a', '(a) To go; and' FROM part UNION ALL SELECT p_partkey, 'sub', 1, 'b', '(b) To stay.' FROM part UNION ALL SELECT p_partkey, 'operative', 2, NULL, '2. Requests ' || p_name || '.' FROM part""")
+def c5b(s, d):
+    t = F.concat(F.lit("The General Assembly,\n"), "p_name", F.lit("\nRecalling "), "p_type", F.lit("\n1. Decides "), "p_brand", F.lit(":\n(a) To go; and\n(b) To stay.\n2. Requests "), "p_name", F.lit(".\n"))
+    return x.segment_text(b.table(s, d, "part").select("p_partkey", t.alias("t")), "p_partkey", "t")
+
+
+@query("c14_draft_sponsors", "SELECT 'A/C.3/78/L.' || CAST(n_nationkey AS VARCHAR) AS draft_symbol, string_agg(DISTINCT name, ',' ORDER BY name) AS sponsors FROM (SELECT n_nationkey, s_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_nationkey, 'Chile' FROM nation JOIN supplier ON s_nationkey = n_nationkey) GROUP BY 1")
+def c14(s, d):
+    """Suppliers of a nation submit its draft in items of their own; Chile joins. Some items name the draft in the text only."""
+    v = b.table(s, d, "supplier")
+    draft = F.concat(F.lit("A/C.3/78/L."), F.col("s_nationkey").cast("string"))
+    named = F.col("s_suppkey") % 2 == 0
+    text = F.concat(F.when(named, "").otherwise(F.concat(F.lit("On "), draft, F.lit(" "))), F.lit("submitted by "), "s_name", F.lit(". Subsequently, Chile joined in sponsoring."))
+    items = v.select(F.when(named, draft).alias("draft_symbol"), text.alias("item_text"))
+    return x.draft_sponsors(items, v.select(draft.alias("draft_symbol"))).withColumn("sponsors", F.array_join("sponsors", ","))
+
+
+@query("c15_title_page_sponsors", "SELECT p_partkey, 'Austria,Belgium Brazil,Chile' AS sponsors, 'Denmark,' || p_brand AS later FROM part")
+def c15(s, d):
+    t = F.concat(F.lit("United Nations\nAgenda item 7\n"), F.lower("p_name"), F.lit("\nAustria, Belgium\nBrazil and Chile: draft resolution\n"), "p_type")
+    notes = F.concat(F.lit("Additional sponsors: Denmark and "), "p_brand", F.lit(" (A/78/1)"))
+    return b.table(s, d, "part").select("p_partkey", F.array_join(x.header_sponsors(t), ",").alias("sponsors"), F.array_join(x.additional_sponsors(notes), ",").alias("later"))
+
+
+@query("d2_active_draft", f"SELECT id, last_value(CASE WHEN position_in_meeting % 3 = 1 THEN 'A/78/L.' || CAST(position_in_meeting AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY position_in_meeting, id ROWS UNBOUNDED PRECEDING) AS active_draft FROM {UTTERANCES}")
+def d2b(s, d):
+    u = b.utterances(s, d)
+    named = F.when(F.col("position_in_meeting") % 3 == 1, F.array(F.lit("A/78/1"), F.concat(F.lit("A/78/L."), F.col("position_in_meeting").cast("string")))).otherwise(F.array(F.lit("A/78/1")))
+    return sequences.carry_active_draft(u.withColumn("documents", named), ["meeting_id"], ["position_in_meeting", "id"]).select("id", "active_draft")
+
+
+@query("j30_version_stats", f"WITH g AS (SELECT base, count(*) AS n, bool_or(o = 4) AS r, bool_or(o = 1) AS a FROM {VERSIONED} GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (n > 1) AS with_versions, count(*) FILTER (n = 1) AS single, round(avg(n), 6) AS mean_versions, count(*) FILTER (r) AS with_rev, count(*) FILTER (a) AS with_add FROM g")
+def j30b(s, d):
+    suffix = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.concat(F.lit("/Rev."), (F.col("id") % 9).cast("string"))).otherwise(F.concat(F.lit("/Add."), (F.col("id") % 9).cast("string")))
+    drafts = b.documents(s, d).select("id", F.concat(F.lit("A/"), F.col("custkey").cast("string"), F.lit("/L.1"), suffix).alias("symbol"))
+    none = b.edges(s, d).limit(0).select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"), "relationship_type")
+    t = graph.version_stats(graph.version_chains(drafts, none, drafts))
+    return t.select("total", "with_versions", "single", F.round("mean_versions", 6).alias("mean_versions"), "with_rev", "with_add")
+
+
+@query("k1_capped", "SELECT count(*) > 100 AS more, least(count(*), 100) AS shown FROM documents")
+def k1(s, d):
+    rows, more = evidence.capped(b.table(s, d, "documents").select("doc_id"), 100)
+    return rows.agg(F.lit(more).alias("more"), F.count(F.lit(1)).alias("shown"))

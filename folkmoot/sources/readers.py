@@ -22,10 +22,11 @@ LANGUAGES = {"english": "EN", "français": "FR", "french": "FR", "español": "ES
 TABLES = ["documents", "actors", "vote_events", "votes", "document_relationships", "utterances", "utterance_documents", "subjects", "document_subjects", "sponsorships"]
 
 
-def read_parsed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A1: records of one kind, with ``_corrupt`` set for files that are no JSON, ``path`` and ``symbol``."""
+def read_parsed(spark: SparkSession, path: str, kind: str, one_per_line: bool = False) -> DataFrame:
+    """A1: records of one kind, a file or a line each, with ``_corrupt`` set for those that are no JSON, ``path`` and
+    ``symbol``."""
     schema = RECORD_SCHEMAS[kind] + ", _corrupt string"
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = spark.read.schema(schema).option("multiLine", not one_per_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return df.select("*", F.col("_metadata.file_path").alias("path"), F.col("metadata.symbol").alias("symbol"))
 
 
@@ -88,11 +89,15 @@ def absolute_url(href: Column, base: str) -> Column:
     return F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit(root), href)).otherwise(F.concat(F.lit(root + "/"), href))
 
 
+# How a link is written; its address in either quote or in none, its text with any tags inside.
+ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
+
+
 def page_links(pages: DataFrame, base_url: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """A5: (page_id, pos, text, url) of every link, in page order, with absolute addresses."""
-    anchors = F.regexp_extract_all(html_col, F.lit(r"<a\s[^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>"), F.lit(0))
-    rows = pages.select(id_col, F.posexplode(anchors).alias("pos", "a"))
-    return rows.select(id_col, "pos", F.regexp_extract("a", r">([^<]*)</a>", 1).alias("text"), absolute_url(F.regexp_extract("a", r'href="([^"]*)"', 1), base_url).alias("url"))
+    rows = pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
+    href = F.regexp_replace(F.regexp_extract("a", ANCHOR, 1), "^[\"']|[\"']$", "")
+    return rows.select(id_col, "pos", F.trim(F.regexp_replace(F.regexp_extract("a", ANCHOR, 2), "<[^>]*>", "")).alias("text"), absolute_url(href, base_url).alias("url"))
 
 
 def page_metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

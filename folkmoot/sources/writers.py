@@ -13,8 +13,8 @@ def write_tables(tables: dict[str, DataFrame], directory: str, mode: str = "over
 
 
 def write_csv(df: DataFrame, path: str, max_rows: int = 500) -> None:
-    """With header; null is an empty cell; at most ``max_rows`` rows."""
-    df.limit(max_rows).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """With header; null is an empty cell, a quote inside of a cell is doubled; at most ``max_rows`` rows."""
+    df.limit(max_rows).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -254,3 +254,38 @@ def test_search_of_utterances(spark):
     assert ids(session=78) == [1, 5, 2] and ids(session=77, speakers=["france"]) == [3]
     first = vectors.semantic_search_utterances(u, m, [1.0, 0.0], speakers=["fr"], k=1).first()
     assert first.asDict() == {"id": 1, "speaker_affiliation": "FRANCE", "speaker_name": "A", "agenda_item": "1", "meeting_symbol": "A/78/PV.1", "text_preview": "x" * 500, "similarity": 1.0}
+
+
+def test_products_of_many_actors(spark, monkeypatch):
+    """Blocks and shares give the sums that plain counting gives, and pairs without common votes stay."""
+    import random
+
+    rng = random.Random(3)
+    cells = {(d, a): rng.choice([1, 1, -1, 0]) for d in range(60) for a in range(40) if rng.random() < (1.0 if d == 7 else 0.2)}
+    df = spark.createDataFrame([(a, d, s) for (d, a), s in cells.items()], "actor_id long, document_id long, score int").repartition(3)
+    want = {}
+    for (d, a), s in cells.items():
+        for b in range(a + 1, 40):
+            want[a, b] = want.get((a, b), 0) + s * cells.get((d, b), 0)
+    for actors in (40, 2000):  # one block, four blocks
+        assert {(r.ia, r.ib): r.p for r in coalition.score_products(df, actors).collect()} == {k: v for k, v in want.items() if v}
+    far = spark.createDataFrame([(1, 1, 1), (2, 2, -1), (3, 3, -1), (1, 4, 1), (2, 5, -1)], "actor_id long, document_id long, score int")
+    actors = spark.createDataFrame([(i, f"a{i}") for i in range(1, 4)], "id long, name string")
+    assert {(r.a, r.b): r.correlation for r in coalition.vote_correlation(far, actors, 0.0).collect()} == {("a1", "a2"): 0.667, ("a1", "a3"): 0.408}
+
+
+def test_dictionary_longest_first(spark):
+    from folkmoot.functions.text import tag_dictionary
+
+    texts = [(1, "Guinea-Bissau and Guinea"), (2, "the Guinean"), (3, "nothing"), (4, None), (5, ""), (6, "aXYZb"), (7, "Oman, Romania")]
+    names = ["Guinea", "Guinea-Bissau", "XYZ", "a b", "Oman", "", None, "a", "Romania"]
+    got = {}
+    for r in tag_dictionary(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame([(n,) for n in names], "name string"), "name").collect():
+        got.setdefault(r.id, []).append(r.name)
+    want = {}
+    for i, t in texts:
+        for n in sorted({n for n in names if n}, key=lambda n: (-len(n), n)):
+            if n in (t or ""):
+                t = t.replace(n, " ")
+                want.setdefault(i, []).append(n)
+    assert got == want

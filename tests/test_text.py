@@ -137,3 +137,12 @@ def test_transcript(spark):
     df = spark.createDataFrame([(1, 2, "B", "two", "Peru", "pre"), (1, 1, "A", "one", None, "pre")], "m int, p int, n string, t string, a string, f string")
     got = x.meeting_transcript(df, "m", "p", "n", "t", "a", "f").first()["transcript"]
     assert got == "pre\n\n" + "=" * 80 + "\nA:\n\none\n\n" + "=" * 80 + "\nB (Peru):\n\ntwo"
+
+
+def test_states_with_several_commas_in_parentheses(spark):
+    t = spark.createDataFrame([("Iran (Islamic Republic of), A (b, c, d), Q (open, R.",)], "t string")
+    assert t.select(x.split_states(F.col("t")).alias("r")).first()["r"] == ["Iran (Islamic Republic of)", "A (b, c, d)", "Q (open", "R."]
+
+
+def test_cited_resolutions_keep_their_digits(spark):
+    assert first(spark, x.cited_resolutions(F.col("v")), "(resolutions 78/0, 78/11 and 78/222)") == ["78/0", "78/11", "78/222"]
