@@ -9,6 +9,10 @@ there without changing the distribution. Forward sums and backward draws of all
 the sums once for each distinct part. A character without a piece becomes its UTF-8 bytes. A
 literal U+2581, which stands for a space inside the vocabulary, becomes bytes too, so decoding is lossless.
 
+A part without any such place, of more than ``WINDOW`` characters, is filtered window by window: the sums at the end of a
+window are carried into the next, and sampling goes back over the windows, filtering each once more. A text of more than
+``BATCH_CHARS`` characters goes through in runs of parts. So what a task holds beside a text does not grow with it.
+
 Null and empty texts give no pieces and decode to the empty text. Any row key is fine, null and repeated ones too
 (equal key and text are cut equally). An empty table gives no rows. Only the id and text columns are read.
 """
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 PARTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 BATCH_CHARS = 1 << 20
+WINDOW = 1 << 16
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 GAIN = 24.0  # per character, the same for every path: keeps sums near 1
 BYTE_WEIGHT = 1e-6
@@ -83,10 +88,11 @@ class PieceSampler:
         self.hashes = np.array(hashes, np.uint64)[order]
         self.hashed_ids = np.array([i for i, _ in self.weights.values()], np.int32)[order]
 
-    def _lattice(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(base, ids, upto): character j of part k is node base[k] + j; ids[node, m] is the piece of m + 1 characters
+    def _lattice(self, parts: list[str], given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(base, ids, upto, forward): character j of part k is node base[k] + j; ids[node, m] is the piece of m + 1 characters
         that ends there (0: none; below 0: -1 - code point of a character without a piece), and upto[node, m] the
-        share of the paths to the node whose last piece is no longer than that."""
+        share of the paths to the node whose last piece is no longer than that. ``given`` are the sums at the first nodes
+        of a single part that is a window of a longer one."""
         size = np.array([len(p) for p in parts])
         base = np.cumsum(size + 1) - (size + 1)
         code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -112,10 +118,14 @@ class PieceSampler:
         ids[node[bare], 0] = -1 - code[bare].astype(np.int64)
         forward = np.zeros(len(ids))
         forward[base] = 1.0
+        known = 0
+        if given is not None:
+            known = len(given) - 1
+            forward[: known + 1] = given
         upto = np.zeros(ids.shape, np.float32)
         order = np.argsort(-size, kind="stable")
         falling = -size[order]
-        for j in range(1, int(size.max()) + 1):
+        for j in range(known + 1, int(size.max()) + 1):
             at = base[order[: np.searchsorted(falling, -j, side="right")]] + j
             reach = min(j, most)
             piece = ids[at, :reach]
@@ -125,35 +135,82 @@ class PieceSampler:
             forward[at] = total
             far = ~((total > 1e-100) & (total < 1e100))
             if far.any():  # only ratios matter: bring what later sums still use near 1
-                for m in range(min(j, most) + 1):
+                for m in range(min(j, self.longest) + 1):
                     forward[at[far] - m] /= total[far]
-        return base, ids, upto
+        return base, ids, upto, forward
+
+    def _draws(self, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """A number from 0 to 1 for a row's place."""
+        return (_mixed(seeds + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
+    def _sample_long(self, part: str, seed: np.uint64, inner: int) -> list[tuple[int, int]]:
+        """(first character, code) of the pieces drawn for one part, window by window."""
+        windows, given = [], np.ones(1)
+        for a in range(0, len(part), WINDOW):
+            first, b = a - min(a, self.longest), min(len(part), a + WINDOW)
+            windows.append((first, a, b, given))
+            forward = self._lattice([part[first:b]], given)[3]
+            given = forward[-min(b, self.longest) - 1 :].copy()
+        drawn, j = [], len(part)
+        for first, a, b, given in reversed(windows):
+            if j <= a:
+                continue
+            _, pieces, upto, _ = self._lattice([part[first:b]], given)
+            u = self._draws(np.full(b - a, seed), inner + np.arange(a + 1, b + 1))
+            while j > a:
+                m = int((upto[j - first] > u[j - a - 1]).argmax())
+                drawn.append((j - m - 1, int(pieces[j - first, m])))
+                j -= m + 1
+        return drawn
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text, drawn by key."""
         # No piece holds a plain space, so a literal mark that becomes one goes to bytes.
         swap = str.maketrans({" ": SPACE, SPACE: " "})
-        split = [PARTS.findall(SPACE + (t.translate(swap) if SPACE in t else t.replace(" ", SPACE))) if t else [] for t in texts]
+        marked = [SPACE + (t.translate(swap) if SPACE in t else t.replace(" ", SPACE)) if t else "" for t in texts]
+        if all(len(t) <= 2 * BATCH_CHARS for t in marked):
+            return self._encode_parts(keys, [PARTS.findall(t) for t in marked], 0)
+        out = []
+        for key, text in zip(keys, marked):
+            ids, parts, size, done = [], [], 0, 0
+            for m in PARTS.finditer(text):
+                parts.append(m[0])
+                size += len(m[0])
+                if size >= BATCH_CHARS:
+                    ids += self._encode_parts([key], [parts], done)
+                    parts, size, done = [], 0, done + size
+            ids += self._encode_parts([key], [parts], done)
+            out.append(np.concatenate(ids))
+        return out
+
+    def _encode_parts(self, keys: list, split: list[list[str]], done: int) -> list[np.ndarray]:
+        """Piece ids of texts in parts, of which ``done`` characters came before."""
         names = list({p for doc in split for p in doc})
         if not names:
-            return [np.zeros(0, np.int32) for _ in texts]
+            return [np.zeros(0, np.int32) for _ in split]
         place = dict(zip(names, range(len(names))))
-        base, pieces, upto = self._lattice(names)
         sizes = np.array([len(p) for p in names])
+        short = np.flatnonzero(sizes <= WINDOW)
+        base = np.zeros(len(names), np.int64)
+        if len(short):
+            base[short], pieces, upto, _ = self._lattice([names[k] for k in short])
         which = np.fromiter((place[p] for doc in split for p in doc), np.int64, sum(map(len, split)))
-        doc = np.repeat(np.arange(len(texts)), [len(d) for d in split])
+        doc = np.repeat(np.arange(len(split)), [len(d) for d in split])
         left = sizes[which]
         ends = np.cumsum(left)  # places in the text of the batch
         starts = ends - left
-        doc_chars = np.bincount(doc, weights=left, minlength=len(texts)).astype(np.int64)
+        doc_chars = np.bincount(doc, weights=left, minlength=len(split)).astype(np.int64)
         doc_start = np.cumsum(doc_chars) - doc_chars
         row_seed = _mixed(np.array([zlib.crc32(str(k).encode()) for k in keys], np.uint64) ^ (self.seed << np.uint64(32)))
         out = np.zeros(int(ends[-1]), np.int64)  # at the first character of a drawn piece: its id, or a code below 0
-        base, row_seed, inner = base[which], row_seed[doc], starts - doc_start[doc]
-        at = np.arange(len(which))
+        base, row_seed, inner = base[which], row_seed[doc], starts - doc_start[doc] + done
+        for k in np.flatnonzero(left > WINDOW):
+            for j, code in self._sample_long(names[which[k]], row_seed[k], int(inner[k])):
+                out[starts[k] + j] = code
+        at = np.flatnonzero(left <= WINDOW)
         while len(at):
             j = left[at]
-            u = (_mixed(row_seed[at] + (inner[at] + j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            u = self._draws(row_seed[at], inner[at] + j)
             node = base[at] + j
             m = (upto[node] > u[:, None]).argmax(1)
             j = j - m - 1

@@ -89,6 +89,20 @@ def test_pieces_of_any_text(sampler, text, key):
     assert (sampler.encode([key, key], ["other words", text])[1] == ids).all()  # no matter what else is in the batch
 
 
+def test_long_parts_are_cut_as_short_ones_are(sampler, monkeypatch):
+    """Windows and runs of parts change nothing."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdeén日🙂"), 5000)), "x" * 3000, " ".join(["then and", "ñ" * 700, "ab\n\ncd"] * 40), "\u2581 " * 300, "ab" * 100_000]
+    whole = sampler.encode([1, 2, 3, 4, 5], texts[:4] + ["ab"])
+    for window, batch in ((64, 1 << 20), (1 << 16, 200), (50, 100)):
+        monkeypatch.setattr(piece_sampling, "WINDOW", window)
+        monkeypatch.setattr(piece_sampling, "BATCH_CHARS", batch)
+        got = sampler.encode([1, 2, 3, 4, 5], texts[:4] + ["ab"])
+        assert all((a == b).all() for a, b in zip(got, whole))
+    monkeypatch.undo()
+    assert sampler.decode(sampler.encode([5], texts[4:])[0]) == texts[4]
+
+
 def test_pieces_follow_their_weights(sampler):
     def paths(s):
         if not s:
