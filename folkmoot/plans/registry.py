@@ -366,6 +366,19 @@ def i2(s, d):
     return vectors.semantic_search(e, first["embedding"] if first else [1.0], "embedding", ["vec_id", "label"], "vec_id", F.col("label").isin(1, 2, 3), min_similarity=0.0, k=10)
 
 
+@query("i2_semantic_search_utterances", f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), m AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS id, c_nationkey % 5 + 76 AS session FROM customer),
+ r AS (SELECT u.id, speaker_affiliation, speaker_name, agenda_item_number AS agenda_item, m.id AS meeting_symbol, left(text, 500) AS text_preview, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS similarity
+  FROM {UTTERANCES} u JOIN embeddings e ON e.vec_id = (u.conv_id * 31 + u.position_in_meeting) % 500 JOIN m ON m.id = u.meeting_id, q WHERE m.session = 78 AND (speaker_affiliation ILIKE '%ASSIST%' OR speaker_affiliation ILIKE '%use%'))
+ SELECT * REPLACE (round(similarity, 4) AS similarity) FROM r WHERE similarity >= -0.5 ORDER BY r.similarity DESC, id LIMIT 10""")
+def i2b(s, d):
+    """Speeches with the embedding of a numbered vector, in meetings of one session, by users and assistants."""
+    e = b.table(s, d, "embeddings")
+    first = e.filter("vec_id = 0").select("embedding").first()
+    u = b.utterances(s, d).withColumn("vec_id", (F.col("conv_id") * 31 + F.col("position_in_meeting")) % 500).join(e.select("vec_id", F.col("embedding").alias("text_embedding")), "vec_id")
+    meetings = b.table(s, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_nationkey") % 5 + 76).alias("session")).withColumn("symbol", F.col("id"))
+    return vectors.semantic_search_utterances(u, meetings, first["embedding"] if first else [1.0], speakers=["ASSIST", "use"], session=78, min_similarity=-0.5, k=10)
+
+
 @query("i3_semantic_search_batch", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS similarity FROM embeddings, q WHERE vec_id <> query_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(similarity, 4) AS similarity FROM k WHERE rank <= 10""")
 def i3(s, d):
