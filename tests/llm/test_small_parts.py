@@ -328,3 +328,62 @@ def test_forest_search_reaches_every_leaf():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def plain_features(text):
+    """The shares one by one, in plain Python."""
+    body = text or ""
+    data = body.encode("utf-8", "surrogatepass")
+    words, lines = data.split(), data.split(b"\n")
+    chars, n = max(1, len(b"".join(data.split()))), max(1, len(words))
+    letters = sum(chr(c).isalpha() for c in data if c < 128)
+    share = lambda test: sum(map(test, data))
+    return {
+        0: np.log1p(len(words)), 1: np.log1p(len(lines)), 2: chars / n, 3: share(lambda c: c in b"#$%&*+/<=>@[\\]^_`{}~") / chars, 4: data.count(b"!") / chars,
+        5: share(lambda c: 65 <= c <= 90) / max(1, letters), 6: share(lambda c: 48 <= c <= 57) / chars, 9: sum(a == b for a, b in zip(words, words[1:])) / n, 10: sum(a == b for a, b in zip(words, words[2:])) / n,
+        11: len(set(words)) / n, 12: 1 - len(set(lines)) / len(lines), 13: sum(len(w) <= 2 for w in words) / n, 14: sum(len(w) > 15 for w in words) / n, 15: share(lambda c: c >= 0xC0) / chars, 16: len(words) / len(lines), 17: sum(97 <= w[0] <= 122 for w in words) / n,
+    }
+
+
+def test_quality_features_one_by_one():
+    texts = ["One two two two THREE!! 4 5", "a\nb\na\nb", "é É ñandú $$ | | x", "word " * 300, "x" * 40 + " y", "a b a b a b\n\nc", "|a |b c|"]
+    got = quality_rank.features(texts)
+    for t, row in zip(texts, got):
+        for f, v in plain_features(t).items():
+            assert abs(row[f] - v) < 1e-9, (t, f, row[f], v)
+
+
+def test_pairs_are_ranked_by_logistic_loss():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["lorem", "ipsum###", "dolor$$$", "sit"], 40, p=p)) for p in ([0.45, 0.05, 0.05, 0.45], [0.3, 0.2, 0.2, 0.3]) for _ in range(150)]
+    labels = [1] * 150 + [0] * 150
+
+    def loss(model):
+        m = model.margin(texts)
+        return float(np.mean(np.log1p(np.exp(-(m[:150, None] - m[None, 150:])))))
+
+    few, many = (quality_rank.train(texts, labels, rounds=r) for r in (1, 300))
+    assert loss(many) < 0.5 * loss(few) < np.log(2)
+    # A margin is the sum of the weights of a text's bins, one feature at a time.
+    x = quality_rank.features(texts[:5])
+    plain = [sum(many.weights[f * quality_rank.BINS + sum(e <= row[f] for e in many.edges[f])] for f in range(quality_rank.FEATURES)) for row in x]
+    assert np.allclose(many.margin(texts[:5]), plain)
+    assert abs(np.mean(many.margin(texts) < many.cut) - 0.5) < 0.02  # the cut is the quantile of the share of label 0
+
+
+def test_language_logits_are_sums_over_ngrams():
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((1 << 8, 3)).astype(np.float32)
+    table[0] = 0
+    model = lang_id.LanguageModel(["a", "b", "c"], table, np.array([0.1, 0.2, 0.3]))
+    texts = ["Ab c", "é", "x\ty  z", "long " * 50]
+    for t, z in zip(texts, model.logits(texts)):
+        data = (" " + " ".join(t.lower().split()) + " ").encode()
+        total, count = np.zeros(3), 0
+        for n in range(1, lang_id.GRAMS + 1):
+            for i in range(len(data) - n + 1):
+                h = sum((data[i + n - 1 - k] + 1) * pow(0x01000193, k + 1, 1 << 32) for k in range(n)) % (1 << 32)
+                mixed = (h ^ (h >> 15)) * (0x2C1B3C6D + 2 * (n - 1)) % (1 << 32)
+                total += table[1 + (mixed >> 8) % 255]
+                count += 1
+        assert np.allclose(z, total / count + model.bias, atol=1e-5), t
