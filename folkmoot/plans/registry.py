@@ -435,13 +435,13 @@ def b_vote_summaries(s, d):
 
 
 @query("b_agenda_refs", """SELECT p_partkey, 'A/78/251_item_' || CAST(p_size AS VARCHAR) || CASE p_partkey % 3 WHEN 2 THEN 'i' ELSE '' END AS id, 'A/78/251' AS agenda_symbol, CAST(p_size AS INTEGER) AS item_number,
- CASE WHEN p_partkey % 3 = 2 THEN 'i' END AS sub_item, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE p_name || '. ' || p_type END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS subjects FROM part""")
+ CASE WHEN p_partkey % 3 = 2 THEN 'i' END AS sub_item, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE p_name || '. ' || p_type END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS subjects, 'A/78/251|' || CAST(p_size AS VARCHAR) || '|' || CASE p_partkey % 3 WHEN 2 THEN 'i' ELSE '' END AS node_key FROM part""")
 def b_agenda_refs(s, d):
     p = b.table(s, d, "part")
     size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
     item = F.when(k == 0, size).when(k == 1, F.concat(F.lit("["), size, F.lit("]"))).otherwise(F.concat(size, F.lit("i")))
     ref = F.concat(F.lit("A/78/251 "), item, F.lit(" "), "p_name", F.lit(". "), "p_type")
-    return p.select("p_partkey", c.parse_agenda_ref(ref).alias("a")).select("p_partkey", "a.*")
+    return p.select("p_partkey", c.parse_agenda_ref(ref).alias("a")).select("p_partkey", "a.*", c.agenda_key(F.col("a.agenda_symbol"), F.col("a.item_number"), F.col("a.sub_item")).alias("node_key"))
 
 
 @query("b_speakers", """SELECT s_suppkey, 'Mr. ' || s_name || ' (' || n_name || ')' AS raw, n_name AS affiliation, CAST(NULL AS VARCHAR) AS role, 'Mr.' AS honorific, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
@@ -1111,11 +1111,31 @@ def c13(s, d):
     return f.select("l_orderkey", "l_linenumber", F.col("f.draft_resolution_identifier").alias("ordinal"), F.col("f.resolution_number").alias("number"), F.col("f.resolution_symbol").alias("symbol"), F.col("f.adoption_status").alias("status"), F.col("f.vote_in_favor").alias("yes"), F.col("f.vote_against").alias("no"), F.col("f.vote_abstentions").alias("abstained"), F.col("f.vote_type").alias("kind"))
 
 
-@query("c10_agenda_items", "SELECT c_nationkey AS id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS item_no, CAST(c_custkey AS INTEGER) AS item_number, c_name || ' of ' || c_mktsegment AS text FROM customer")
+@query("c10_agenda_items", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), n AS (SELECT c_nationkey, 3 * max(r) AS last FROM c GROUP BY 1)
+ SELECT c_nationkey AS id, 1 AS item_no, 'committee_header' AS type, NULL AS item_number, NULL AS sub_item, NULL AS section_letter, 'Third Committee' AS committee, 'Third Committee' AS title, 'Third Committee' AS text, '' AS resolutions, '' AS decisions FROM n
+ UNION ALL SELECT c_nationkey, 2, 'section', NULL, NULL, 'B', 'Third Committee', 'Promotion of justice', 'Promotion of justice', '', '' FROM n
+ UNION ALL SELECT c_nationkey, 1 + 2 * r, 'main', CAST(c_custkey AS INTEGER), NULL, 'B', 'Third Committee', c_name, c_name || ' of ' || c_mktsegment || ' (resolutions 78/' || CAST(c_custkey AS VARCHAR) || ' and 78/7)', '78/' || CAST(c_custkey AS VARCHAR) || ',78/7', '' FROM c
+ UNION ALL SELECT c_nationkey, 2 + 2 * r, 'sub', CAST(c_custkey AS INTEGER), 'a', 'B', 'Third Committee', 'Follow-up (decision 78/9 A and B)', 'Follow-up (decision 78/9 A and B)', '', '78/9 A,78/9 B' FROM c""")
 def c10(s, d):
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))), lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(". "), r["c_name"], F.lit("\n  of "), r["c_mktsegment"]))
-    docs = b.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.array_join(lines, "\n").alias("t"))
-    return x.agenda_items(docs, "id", "t").select("id", "item_no", "item_number", "text")
+    item = lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(". "), r["c_name"], F.lit("\n  of "), r["c_mktsegment"], F.lit(" (resolutions 78/"), r["c_custkey"].cast("string"), F.lit(" and 78/7)\n(a) Follow-up (decision 78/9 A and B)"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))), item)
+    docs = b.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.concat(F.lit("Preface\nThird Committee\nB. Promotion of justice\n"), F.array_join(lines, "\n")).alias("t"))
+    rows = x.agenda_items(docs, "id", "t")
+    return rows.select("id", "item_no", "type", "item_number", "sub_item", "section_letter", "committee", "title", "text", F.array_join("resolutions", ",").alias("resolutions"), F.array_join("decisions", ",").alias("decisions"))
+
+
+@query("c8_country_lists_by_space", "SELECT p_partkey, 'New Zealand;Chile;' || replace(p_name, ' ', ';') AS names FROM part")
+def c8b(s, d):
+    t = F.concat(F.lit("Chile "), "p_name", F.lit(" New Zealand"))
+    return b.table(s, d, "part").select("p_partkey", F.array_join(x.country_list(t, "space"), ";").alias("names"))
+
+
+@query("b14_lenient_outcomes", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'unknown' WHEN l_returnflag = 'N' OR l_partkey > l_suppkey THEN 'adopted' ELSE 'rejected' END AS outcome FROM lineitem")
+def b14(s, d):
+    v = b.table(s, d, "lineitem")
+    counted = F.col("l_returnflag") == "A"
+    return v.select("l_orderkey", "l_linenumber", c.final_outcome(F.when(counted, F.col("l_partkey")), F.when(counted, F.col("l_suppkey")), F.col("l_returnflag") != "R", F.col("l_returnflag") == "N", strict=False).alias("outcome"))
+
 
 
 @query("c17_report_items", "SELECT o_custkey AS id, 'A/C.3/78/L.' || CAST(o_orderkey AS VARCHAR) AS draft_symbol, CAST(o_orderkey AS INTEGER) AS draft_number, o_orderpriority AS title, CASE o_orderstatus WHEN 'F' THEN 'without a vote' END AS vote_info, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS INTEGER) END AS in_favor, CASE WHEN o_orderstatus <> 'F' THEN 7 END AS abstentions FROM orders")
