@@ -181,21 +181,31 @@ def tagged(c: Column, names: Column) -> tuple[Column, Column]:
     return out["found"], out["text"]
 
 
-def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str) -> DataFrame:
+def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, key_chars: int = 8) -> DataFrame:
     """(id, name). Names are tried longest first, each found one taken out of the text before the next.
 
-    A text meets the names whose beginning (up to three characters, none behind a space) it holds, by an equi-join; only
-    these are tried. What is taken out leaves a space, so a name that turns up only then begins in the text, too.
+    A text meets the names whose first word it may hold by an equi-join: on the last ``key_chars`` characters of that
+    word, or all of a shorter one. Only these are tried. What is taken out leaves a space, so the first word of a name that
+    turns up only then is in the text, too. Rows without an id are left out.
     """
-    n = names.select(F.col(name_col).alias("n")).filter("n <> ''").distinct().withColumn("start", F.regexp_extract("n", "^[^ ]{0,3}", 0))
+    first = F.split_part("n", F.lit(" "), F.lit(1))
+    n = names.select(F.col(name_col).alias("n")).filter("n <> ''").distinct().withColumn("part", F.right(first, F.least(F.length(first), F.lit(key_chars))))
+    widths = [r["w"] for r in n.select(F.length("part").alias("w")).distinct().collect()]  # key_chars + 1 at most
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.array(*[F.col("text").substr(i, F.lit(w)) for w in (1, 2, 3)])))
-    starts = F.array_union(F.array(F.lit("")), F.when(F.length("text") > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>")))
-    met = texts.select("id", F.explode(starts).alias("start")).join(n, "start").groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("n")).alias("l"), "n"))).alias("some"))
+    none = F.array().cast("array<string>")
+    windows = []
+    for w in widths:
+        windows.append(F.array(F.lit("")) if w == 0 else F.when(F.length("text") >= w, _windows("text", w)).otherwise(none))
+    held = F.array_distinct(F.concat(*windows)) if windows else none
+    met = texts.select("id", F.explode(held).alias("part")).join(n, "part").groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("n")).alias("l"), "n"))).alias("some"))
     found, _ = tagged(F.col("text"), F.transform("some", lambda x: x["n"]))
     return texts.join(met, "id").select(F.col("id").alias(id_col), F.explode(found).alias("name"))
 
 
+def _windows(column: str, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(column) - width + 1), lambda i: F.col(column).substr(i, F.lit(width)))
+
+
 def strip_page_noise(df: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
     """Lines of footers, and of the symbol on top of later pages, taken out."""
     noise = lambda line: [F.trim(line).rlike(p) for p in FOOTERS]
