@@ -257,7 +257,7 @@ def missing_with_url(qa: DataFrame, refs: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows by a hash of key and seed; the same rows every time."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary")), key).limit(n)
 
 
 def stage_summary(traces: DataFrame, records: DataFrame, statements: DataFrame) -> DataFrame:

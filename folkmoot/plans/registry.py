@@ -889,7 +889,7 @@ def j15(s, d):
     return trajectories.missing_with_url(trajectories.trajectory_qa(r, supplier_index(s, d)), trajectories.references(r))
 
 
-@query("j16_sample")
+@query("j16_sample", f"SELECT symbol FROM {DOCS} ORDER BY md5(symbol || '/42'), symbol LIMIT 20")
 def j16(s, d):
     return trajectories.sample_rows(b.documents(s, d), "symbol", 20).select("symbol")
 
