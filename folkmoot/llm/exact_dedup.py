@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from folkmoot.llm._common import stored
 
 SPLIT_CHARS = 32  # of the text in a splitter, so that samples stay small however long texts are
-HOT_SHARE = 10_000
+HOT_SHARE = 100_000
 
 
 def ascii_lower(text: Column) -> Column:
