@@ -6,7 +6,14 @@ runs, a set goes to a bucket for every one of its tokens that a hash of the run
 1 / (threshold * size): about as many buckets survive for a pair at the threshold as are spent on it. A bucket of more
 than ``limit`` sets is split again in the same way by further tokens, down to ``depth``; the others, and those still
 large at the last depth, are compared by brute force in blocks of ``limit`` sets, so no task ever holds more than two
-blocks. The number of runs follows from the target recall of a pair exactly at the threshold.
+blocks.
+
+What stays large are sets that are nearly the same. There each set is first compared with one pivot of its bucket. Sets
+that are nearer to a pivot than half of the threshold's distance are linked with each other, as Jaccard distances obey
+the triangle inequality: they form a kernel, whose links are counted by its size, and no blocks of one kernel meet. So
+copies of copies cost a comparison each, and only sets outside of a kernel are met by all blocks of their bucket.
+
+The number of runs follows from the target recall of a pair exactly at the threshold.
 
 A pair that meets in several buckets counts in the first of them (by key) only: every set carries the keys of its
 buckets. Buckets with the same members are compared once. Pairs are counted and their components joined inside the
@@ -33,6 +40,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PIECE_BYTES = 1 << 20  # of text hashed at once
 COLUMNS = 4096  # of a membership matrix at once
+KERNEL_BLOCKS = 4  # of a bucket, beyond which near copies in it are looked for
+KERNEL_ROUNDS = 2  # pivots that a set is compared with at most
+PIVOT_SALTS = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -174,9 +184,9 @@ def components(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes], keys: list[list[int]], side: np.ndarray | None, threshold: float) -> tuple[list[int], list[int], list[int]]:
+def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes], keys: list[list[int]], side: np.ndarray | None, threshold: float, kernels: np.ndarray | None = None) -> tuple[list[int], list[int], list[int]]:
     """Brute force over one block of a bucket, or between two, told apart by ``side``: uid, links first met here, and a
-    uid of its component."""
+    uid of its component. Links inside of a kernel (a number from 0) are counted elsewhere."""
     sets = [np.frombuffer(t, "<u4") for t in tokens]
     size = np.array([len(s) for s in sets], np.float64)
     common = overlaps(sets).astype(np.float64)
@@ -188,6 +198,8 @@ def compare(key: int, uids: list[int], copies: np.ndarray, tokens: list[bytes],
     counted = linked if side is None else linked & (side[:, None] != side[None, :])
     earlier = [np.array([k for k in ks if k < key], np.int64) for ks in keys]
     counted = counted & (overlaps(earlier) == 0)
+    if kernels is not None:
+        counted = counted & ~((kernels[:, None] == kernels[None, :]) & (kernels[:, None] >= 0))
     links = counted @ copies
     told = np.flatnonzero((links > 0) | (root != np.arange(len(root))))
     return [uids[i] for i in told], links[told].tolist(), [uids[root[i]] for i in told]
@@ -200,16 +212,16 @@ def _blocks(threshold: float):
 
         def close() -> None:
             if len(rows) > 1:
-                uids, copies, tokens, keys, side = zip(*rows)
-                for have, more in zip(found, compare(at[0], list(uids), np.array(copies, np.int64), list(tokens), list(keys), np.array(side) if at[1] != at[2] else None, threshold)):
+                uids, copies, tokens, keys, side, kernels = zip(*rows)
+                for have, more in zip(found, compare(at[0], list(uids), np.array(copies, np.int64), list(tokens), list(keys), np.array(side) if at[1] != at[2] else None, threshold, np.array(kernels, np.int64))):
                     have += more
 
         for batch in batches:
-            for key, i, j, side, uid, copies, tokens, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, side, uid, copies, tokens, keys, kernel in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != at:
                     close()
                     at, rows = (key, i, j), []
-                rows.append((uid, copies, tokens, keys, side))
+                rows.append((uid, copies, tokens, keys, side, kernel))
             if len(found[0]) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["uid", "links", "root"])
                 found = ([], [], [])
@@ -219,6 +231,47 @@ def _blocks(threshold: float):
     return run
 
 
+def _near(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(uid, kernel) of the sets whose similarity to their pivot is at least ``least``."""
+        for batch in batches:
+            near = []
+            for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
+                near.append(len(np.intersect1d(a, b, assume_unique=True)) * (1 + least) >= least * (len(a) + len(b)) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["uid", "kernel"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def find_kernels(sets: DataFrame, reps: DataFrame, big: DataFrame, threshold: float, least: int, folder: str) -> DataFrame | None:
+    """(uid, kernel) of sets in buckets (key, uid) of more than ``least`` sets that lie near one pivot; None where no bucket
+    is so large.
+
+    The pivot of a bucket is that of its sets which is in most large buckets, and of these the one with most copies: it
+    differs least from the rest. A set asks one pivot a round, so a round is linear in the sets; its pivot's tokens are
+    dealt over ``PIVOT_SALTS`` tasks.
+    """
+    kernels, left, tokens = None, big, None
+    for _ in range(KERNEL_ROUNDS):
+        known = left.groupBy("uid").agg(F.count(F.lit(1)).alias("buckets")).join(reps.select("uid", "copies"), "uid")
+        ranked = left.join(known, "uid").withColumn("rank", F.struct("buckets", "copies", (-F.col("uid")).alias("uid")))
+        pivots = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("rank").alias("rank")).filter(F.col("size") > least).select("key", "rank")
+        asked = stored(left.join(pivots, "key").groupBy("uid").agg((-F.max("rank")["uid"]).alias("pivot")), "asked", folder)
+        if asked.isEmpty():
+            break
+        if tokens is None:  # of these sets alone
+            tokens = stored(sets.select("uid", "tokens").join(asked.select("uid"), "uid"), "tokens", folder)
+        own = tokens.join(asked, "uid").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(PIVOT_SALTS)))
+        other = tokens.select(F.col("uid").alias("pivot"), F.col("tokens").alias("pivot_tokens")).join(asked.select("pivot").distinct(), "pivot")
+        other = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PIVOT_SALTS - 1).cast("long"))))
+        near = own.join(other, ["pivot", "salt"]).select("uid", "pivot", "tokens", "pivot_tokens").mapInArrow(_near((1 + threshold) / 2), "uid bigint, kernel bigint")
+        near = stored(near, "kernels", folder)
+        kernels = near if kernels is None else kernels.unionByName(near)
+        left = left.join(near.select("uid"), "uid", "left_anti")
+    return kernels
+
+
 def connected(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(uid, label) of every vertex of edges (uid, root): the smallest uid of its component.
 
@@ -277,17 +330,43 @@ def _joined(sets: DataFrame, threshold: float, limit: int, depth: int, folder: s
         nodes = parents.join(sets.select("uid", "tokens"), "uid").select("uid", "n", "parents", "tokens").mapInArrow(_children(threshold), "key bigint, uid bigint, n int")
         nodes = stored(nodes, "paths", folder)
 
-    own = leaves.groupBy("uid").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
+    small, big = leaves.filter(F.col("size") <= limit), leaves.filter(F.col("size") > limit).select("key", "uid")
+    kernels = find_kernels(sets, reps, leaves.filter(F.col("size") > KERNEL_BLOCKS * limit).select("key", "uid"), threshold, KERNEL_BLOCKS * limit, folder)
+    # A bucket's sets are dealt into parts: one for a small bucket; of a large one some for each kernel with many of its
+    # sets, and some for all others. A part of a kernel meets the parts of the rest only, other parts meet all.
+    placed = small.select("uid", "key", *[F.lit(x).alias(c) for c, x in (("mine", 0), ("own_from", -1), ("own_to", -1), ("total", 1))])
+    inside = None
+    if kernels is None:
+        reps = reps.withColumn("kernel", F.lit(-1).cast("long"))
+        parts = F.ceil(F.col("size") / limit).cast("int")
+        several = leaves.filter(F.col("size") > limit)
+        placed = placed.unionByName(several.select("uid", "key", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("mine"), F.lit(-1).alias("own_from"), F.lit(-1).alias("own_to"), parts.alias("total")))
+    else:
+        reps = reps.join(kernels, "uid", "left").fillna(-1, ["kernel"])
+        members = big.join(kernels, "uid", "left").fillna(-1, ["kernel"])
+        families = members.groupBy("key", "kernel").agg(F.count(F.lit(1)).alias("n")).withColumn("family", F.when((F.col("kernel") >= 0) & (F.col("n") >= limit), F.col("kernel")).otherwise(-1))
+        parts = F.ceil(F.sum("n") / limit).cast("int")
+        families = families.groupBy("key", "family").agg(parts.alias("parts"))
+        before = Window.partitionBy("key").orderBy("family").rowsBetween(Window.unboundedPreceding, -1)
+        families = families.withColumns({"own_from": F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("int"), "total": F.sum("parts").over(Window.partitionBy("key")).cast("int")})
+        families = stored(families.withColumn("own_to", F.col("own_from") + F.col("parts")), "families", folder)
+        large = members.join(families.filter("family >= 0").select("key", F.col("family").alias("kernel"), F.lit(True).alias("of_kernel")), ["key", "kernel"], "left")
+        large = large.select("uid", "key", F.when(F.col("of_kernel"), F.col("kernel")).otherwise(-1).alias("family")).join(families, ["key", "family"])
+        mine = (F.col("own_from") + F.pmod(F.xxhash64("uid"), F.col("parts"))).cast("int")
+        span = lambda c: F.when(F.col("family") >= 0, F.col(c)).otherwise(-1).alias(c)
+        placed = placed.unionByName(large.select("uid", "key", mine.alias("mine"), span("own_from"), span("own_to"), "total"))
+        of_kernel = reps.filter("kernel >= 0")
+        totals = of_kernel.groupBy("kernel").agg(F.sum("copies").alias("all"), F.min("uid").alias("root"))
+        inside = of_kernel.join(totals, "kernel").select("uid", (F.col("all") - F.col("copies")).alias("links"), "root")
+
+    own = placed.groupBy("uid").agg(F.collect_list(F.struct("key", "mine", "own_from", "own_to", "total")).alias("buckets"))
     held = sets.select("uid", "tokens").join(own, "uid").join(reps, "uid")
-    held = held.withColumn("keys", F.transform("buckets", lambda b: b["key"])).select("uid", "copies", "tokens", "keys", F.explode("buckets").alias("bucket"))
-    parts = F.ceil(F.col("bucket.size") / limit).cast("int")
-    held = held.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select(
-        F.col("bucket.key").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "uid", "copies", "tokens", "keys"
-    )
+    held = held.withColumn("keys", F.transform("buckets", lambda b: b["key"])).select("uid", "copies", "tokens", "keys", "kernel", F.explode("buckets").alias("b")).select("uid", "copies", "tokens", "keys", "kernel", "b.*")
+    outside = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda k: (k < F.col("own_from")) | (k >= F.col("own_to")))
+    held = held.withColumn("other", F.explode(outside))
+    held = held.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "uid", "copies", "tokens", "keys", "kernel")
     found = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(threshold), "uid bigint, links bigint, root bigint")
-    found = stored(found, "found", folder)
+    found = stored(found if inside is None else found.unionByName(inside), "found", folder)
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     labels = connected(found.select("uid", "root").filter("uid <> root"), folder)
     named = classes.join(labels.withColumnRenamed("uid", "rep"), "rep").join(links.withColumnRenamed("uid", "rep"), "rep", "left")

@@ -116,6 +116,36 @@ def test_ngram_join(spark, docs, limit):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Hundreds of near copies, some of them at the threshold, in kernels and outside of them; few rows meet in blocks."""
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    base = rng.choice(vocabulary, 260)
+    rows = []
+    for i in range(420):
+        words = base.copy()
+        for at in rng.choice(260, rng.integers(0, 3) if i % 4 else rng.integers(3, 9), replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary, 80))) for i in range(40)] + [(2000 + i, rows[i][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found, kernels = [], ngram_join.find_kernels
+
+    def watched(*a):
+        out = kernels(*a)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "find_kernels", watched)
+    got = {r.doc_id: r for r in ngram_join.ngram_join(df, limit=32, recall=0.9999).collect()}
+    links, label = brute(rows)
+    first = defaultdict(list)
+    for (i, _), c in zip(rows, label):
+        first[c].append(i)
+    assert {i: (r.n_links, r.class_id) for i, r in got.items()} == {i: (n, min(first[c])) for (i, _), n, c in zip(rows, links, label)}
+    assert found[0] > 200
+
+
 def test_ngram_join_with_repeated_and_null_ids(docs):
     got = ngram_join.ngram_join(docs).collect()
     assert len(got) == docs.count()
@@ -208,13 +238,16 @@ def test_models_on_tables(spark, docs):
 
 
 def test_quality_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     from folkmoot.llm.queries import op8_quality_rank, op9_lang_id
 
     q = op8_quality_rank(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null"), "doc_id")
-    assert q.filter("predicted = quality").count() > 0.9 * q.count()
-    n = op9_lang_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    assert n.filter("lang_pred = lang").count() > 0.98 * n.count()
+    hits = {r.quality: (r.hits, r.n) for r in q.groupBy("quality").agg(F.count_if(F.col("predicted") == F.col("quality")).alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
+    # Most documents have label 1, so each label counts on its own.
+    assert set(hits) == {0, 1} and all(h > 0.95 * n and n > 50 for h, n in hits.values()), hits
+    n = op9_lang_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang is not null")
+    by = {r.lang: (r.hits, r.n) for r in n.groupBy("lang").agg(F.count_if(F.col("lang_pred") == F.col("lang")).alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
+    assert len(by) > 3 and all(h > 0.97 * n for h, n in by.values()), by
 
 
 def test_nearest(spark):
