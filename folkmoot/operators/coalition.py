@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folkmoot._store import small
+from folkmoot._store import kept, small
 
 ACTORS_IN_BLOCK = 512
 SHARES = 32  # of the documents of one square
@@ -27,17 +27,37 @@ def vote_scores(votes: DataFrame, order: Column) -> DataFrame:
 
 
 def _product(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(actors of side 0, actors of side 1, sums of products of their scores) over whole documents."""
+    """(actors of side 0, actors of side 1, sums of products of their scores) over whole documents.
+
+    Documents with few votes add up their pairs by place in the square; where there are many, matrices are multiplied.
+    """
     side, doc, actor, score = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("side", "document", "actor_id", "score"))
     _, doc = np.unique(doc, return_inverse=True)
-    sides = []
+    docs = int(doc.max()) + 1
+    names, columns, at, scores = [], [], [], []
+    for k in (0, 1):
+        own = np.flatnonzero(side == k)
+        own = own[np.argsort(doc[own], kind="stable")]
+        known, column = np.unique(actor[own], return_inverse=True)
+        names.append(known)
+        columns.append(column)
+        at.append(doc[own])
+        scores.append(score[own].astype(np.int64))
+    shape = (len(names[0]), len(names[1]))
+    many = np.bincount(at[1], minlength=docs)
+    met = many[at[0]]  # votes of side 1 that each of side 0 meets
+    if int(met.sum()) < docs * shape[0] * shape[1] // 64:
+        first = np.repeat(np.arange(len(met)), met)
+        ends = np.cumsum(met)
+        second = np.arange(len(first)) - np.repeat(ends - met, met) + np.repeat((np.cumsum(many) - many)[at[0]], met)
+        sums = np.bincount(columns[0][first] * shape[1] + columns[1][second], weights=scores[0][first] * scores[1][second], minlength=shape[0] * shape[1])
+        return names[0], names[1], sums.astype(np.int64).reshape(shape)
+    matrices = []
     for k in (0, 1):
-        own = side == k
-        names, column = np.unique(actor[own], return_inverse=True)
-        matrix = np.zeros((doc.max() + 1, len(names)), np.float32)
-        matrix[doc[own], column] = score[own]
-        sides.append((names, matrix))
-    return sides[0][0], sides[1][0], (sides[0][1].T @ sides[1][1]).astype(np.int64)
+        matrix = np.zeros((docs, shape[k]), np.float32)
+        matrix[at[k], columns[k]] = scores[k]
+        matrices.append(matrix)
+    return names[0], names[1], (matrices[0].T @ matrices[1]).astype(np.int64)
 
 
 class _Square:
@@ -114,9 +134,10 @@ def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7
     positively only if these have opposite signs. Actors without variance have no correlation. Actors are a dimension
     table, whose size is checked; sums are exact integers.
     """
+    scores = kept(scores.select("actor_id", "document_id", "score"), "scores")
     n = scores.agg(F.countDistinct("document_id").alias("n")).first()["n"]
     sums = scores.groupBy("actor_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q"))
-    sums = small(sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id"), most_actors, "actors")
+    sums = small(kept(sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id"), "actors"), most_actors, "actors")
     products = score_products(scores.join(sums.select("actor_id"), "actor_id", "left_semi"), sums.count())
     left = sums.select(F.col("actor_id").alias("ia"), F.col("name").alias("na"), F.col("s").alias("s1"), F.col("q").alias("q1"))
     right = sums.select(F.col("actor_id").alias("ib"), F.col("name").alias("nb"), F.col("s").alias("s2"), F.col("q").alias("q2"))

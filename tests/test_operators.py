@@ -269,6 +269,13 @@ def test_products_of_many_actors(spark, monkeypatch):
             want[a, b] = want.get((a, b), 0) + s * cells.get((d, b), 0)
     for actors in (40, 2000):  # one block, four blocks
         assert {(r.ia, r.ib): r.p for r in coalition.score_products(df, actors).collect()} == {k: v for k, v in want.items() if v}
+    few = {(d, a): 1 - 2 * ((d + a) % 2) for d in range(300) for a in (d % 40, (7 * d + 1) % 40)}
+    want = {}
+    for (d, a), s in few.items():
+        for b in range(a + 1, 40):
+            want[a, b] = want.get((a, b), 0) + s * few.get((d, b), 0)
+    sparse = spark.createDataFrame([(a, d, s) for (d, a), s in few.items()], "actor_id long, document_id long, score int")
+    assert {(r.ia, r.ib): r.p for r in coalition.score_products(sparse, 40).collect()} == {k: v for k, v in want.items() if v}
     far = spark.createDataFrame([(1, 1, 1), (2, 2, -1), (3, 3, -1), (1, 4, 1), (2, 5, -1)], "actor_id long, document_id long, score int")
     actors = spark.createDataFrame([(i, f"a{i}") for i in range(1, 4)], "id long, name string")
     assert {(r.a, r.b): r.correlation for r in coalition.vote_correlation(far, actors, 0.0).collect()} == {("a1", "a2"): 0.667, ("a1", "a3"): 0.408}
