@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,15 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+def kept(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """Written to the shared folder (or to one ``within`` it) and read again."""
+    path = f"{within or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int, what: str) -> DataFrame:
-    """A table that goes to every task: marked for broadcast once its rows are known to be at most ``most``."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows of {what}")
-    return broadcast(df)
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new shared folder for intermediate tables, deleted at the end of the block; what is to outlive it is kept elsewhere by
+    then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether there are at most ``most`` rows; reads no more of them than it has to."""
+    return df.limit(most + 1).count() <= most
