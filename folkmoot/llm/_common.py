@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000  # fewer than so many groups can hold more than one row in HOT_SHARE, at any size
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -64,5 +67,17 @@ def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
         delete(spark, path)
 
 
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """``rows`` with the other columns of the group of their ``key``, of which each has one; ``size`` counts its rows.
+
+    A group of more than one row in ``HOT_SHARE`` is told to every task, so its rows are not shuffled; there are fewer than
+    ``HOT_SHARE`` of these. The rest is joined by a shuffle. ``groups`` has to be stored, as it is read three times.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = F.col(size) > total // HOT_SHARE
+    few, others = F.broadcast(groups.filter(hot)), groups.filter(~hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(groups.filter(hot).select(*key)), key, "left_anti").join(others.hint("merge"), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

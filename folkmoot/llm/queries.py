@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folkmoot.llm import ann_forest, chat_format, exact_dedup, html_main_text, lang_id, mixing, ngram_join, piece_sampling, quality_rank, token_store
+from folkmoot.llm import ann_forest, chat_format, exact_dedup, html_main_text, lang_id, lexical_rank, mixing, ngram_join, piece_sampling, quality_rank, simhash_near, token_store, whitening
 from folkmoot.llm._common import scratch, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -103,6 +103,29 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near.simhash_near(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+ s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+ t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+ e AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l)))) AS BIGINT) AS score FROM t JOIN v USING (term) JOIN q USING (term), s GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM e WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_chat_format": op2_chat_format,
@@ -114,5 +137,8 @@ QUERIES = {
     "op8_quality_rank": op8_quality_rank,
     "op9_lang_id": op9_lang_id,
     "op10_nearest": op10_nearest,
+    "op11_whitening": op11_whitening,
+    "op12_simhash_near": op12_simhash_near,
+    "op13_lexical_rank": op13_lexical_rank,
 }
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op13_lexical_rank": OP13_SQL}
