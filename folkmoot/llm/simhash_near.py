@@ -12,7 +12,8 @@ that this table keeps: no link is missed, at any size. In a table, fingerprints
 Only distinct fingerprints are dealt, so copies cost one row. A bucket of up to ``MOST`` of them is flooded in one task:
 each fingerprint is linked to one that it was reached from, so a bucket gives fewer edges than it has fingerprints, and
 never its pairs. A larger bucket is dealt again, by the same construction over the bits that its path does not keep yet,
-until those are so few that a bucket cannot be large: 10 free bits make 1,024 fingerprints at most. Components of the
+until those are so few that a bucket cannot be large: 10 free bits make 1,024 fingerprints at most. For a radius of 2
+that takes three tables at most, whose masks are constants of the query. Components of the
 edges are found by star contraction.
 
 Null texts count as empty. Rows of one id, or without one, are rows of their own; a component is named by the smallest id
@@ -152,7 +153,7 @@ def links(marks: DataFrame, radius: int, most: int, folder: str) -> DataFrame:
         dealt = rows.select("path", "fingerprint", F.posexplode(masks[F.col("path")]).alias("v", "mask"))
         dealt = stored(dealt.select((F.col("path") * (tables + 1) + F.col("v") + 1).alias("path"), F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint"), "buckets", folder)
         sizes = stored(dealt.groupBy("path", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes", folder)
-        bounded = [p for p, path in children.items() if 1 << len(free_bits(path, radius)) <= most]
+        bounded = [p for p, path in children.items() if 1 << len(free_bits(path, radius)) <= max(most, MOST)]
         large = sizes.filter((F.col("size") > most) & ~F.col("path").isin(bounded)).select("path", "key")
         n_large = large.limit(BROADCAST_BUCKETS + 1).count()
         told = F.broadcast(large) if n_large <= BROADCAST_BUCKETS else large.hint("merge")
