@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,10 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
-    """Written to the shared folder (or to one ``within`` it) and read again."""
-    path = f"{within or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    """Written to the shared folder (or to one ``within`` it) and read again. It is deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{within or shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if within is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -48,3 +53,10 @@ def workspace(spark: SparkSession, name: str) -> Iterator[str]:
 def few(df: DataFrame, most: int) -> bool:
     """Whether there are at most ``most`` rows; reads no more of them than it has to."""
     return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """A table that goes to every task: marked for broadcast once its rows are known to be at most ``most``."""
+    if not few(df, most):
+        raise ValueError(f"more than {most} rows of {what}")
+    return broadcast(df)

@@ -1,31 +1,29 @@
-"""Ordered-sequence operators (inventory 2.D), as windows over positions."""
+"""Ordered-sequence operators (inventory 2.D), as segmented scans and windows over positions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folkmoot.operators.scans import SEGMENT_ROWS, row_number, running
 
-def _so_far(keys: list[str], order: list, last: int = 0):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
-
-def with_positions(utterances: DataFrame, meeting: str, section: str, position: str, text: str = "text") -> DataFrame:
+def with_positions(utterances: DataFrame, meeting: str, section: str, position: str, text: str = "text", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """1-based positions in the meeting and in the section, counted before speeches without text are dropped."""
-    in_meeting, in_section = Window.partitionBy(meeting).orderBy(section, position), Window.partitionBy(meeting, section).orderBy(position)
-    rows = utterances.withColumns({"position_in_meeting": F.row_number().over(in_meeting), "position_in_section": F.row_number().over(in_section)})
+    rows = row_number(utterances, [meeting], [section, position], "position_in_meeting", segment_rows)
+    rows = row_number(rows, [meeting, section], [position], "position_in_section", segment_rows)
     return rows.filter(F.coalesce(F.trim(text), F.lit("")) != "")
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """The latest value so far that is not null, the row's own included."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(_so_far(keys, order)))
+    return running(df, keys, order, carried={name: value}, segment_rows=segment_rows)
 
 
-def carry_active_draft(utterances: DataFrame, keys: list[str], order: list, documents: str = "documents") -> DataFrame:
+def carry_active_draft(utterances: DataFrame, keys: list[str], order: list[str], documents: str = "documents", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """active_draft: the first draft of the latest speech so far in the section that names one."""
     draft = F.try_element_at(F.filter(F.col(documents), lambda d: d.contains("/L.")), F.lit(1))
-    return carry_forward(utterances, keys, order, draft, "active_draft")
+    return carry_forward(utterances, keys, order, draft, "active_draft", segment_rows)
 
 
 # What a chair says to open and close the contexts below.
@@ -37,7 +35,7 @@ SEVERAL = r"(?i)(\d+|several|multiple|a number of)\s+draft\s+resolutions?"
 DECIDES = r"(?i)we will now take a decision|we turn (first|now) to|draft resolution [IVX]+ is entitled"
 
 
-def tag_contexts(utterances: DataFrame, keys: list[str], order: list, speaker: str = "speaker_raw", text: str = "text", mentions: str = "draft_mentions") -> DataFrame:
+def tag_contexts(utterances: DataFrame, keys: list[str], order: list[str], speaker: str = "speaker_raw", text: str = "text", mentions: str = "draft_mentions", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Tags of explanations of vote and of debates on several drafts.
 
     A chair's speech that announces several drafts is read no further: it neither opens, closes nor decides anything
@@ -49,11 +47,8 @@ def tag_contexts(utterances: DataFrame, keys: list[str], order: list, speaker: s
     eov = F.when(acts & t.rlike(EOV_BEFORE), "before_vote").when(acts & t.rlike(EOV_AFTER), "after_vote").when(acts & t.rlike(EOV_CLOSE), "CLOSE")
     several = F.when(announces, True).when(acts & t.rlike(DECIDES), False)
     rows = utterances.withColumns({"eov_mark": eov, "several_mark": several, "announces": announces, "chair": chair})
-    now, before = _so_far(keys, order), _so_far(keys, order, -1)
-    rows = rows.withColumns({
-        "eov_now": F.last("eov_mark", ignorenulls=True).over(now), "eov_before": F.last("eov_mark", ignorenulls=True).over(before),
-        "several_now": F.coalesce(F.last("several_mark", ignorenulls=True).over(now), F.lit(False)),
-    })
+    rows = running(rows, keys, order, carried={"eov_now": F.col("eov_mark"), "several_now": F.col("several_mark")}, segment_rows=segment_rows)
+    rows = rows.withColumn("several_now", F.coalesce("several_now", F.lit(False)))
     open_ = F.when(F.col("eov_now") != "CLOSE", F.col("eov_now"))
     own = ~F.col("chair") & t.rlike(EOV_OWN)
     own_timing = F.when(own & open_.isNull() & t.rlike(r"(?i)explanation.*before"), "before_vote").when(own & open_.isNull() & t.rlike(r"(?i)explanation.*after"), "after_vote")
@@ -62,12 +57,12 @@ def tag_contexts(utterances: DataFrame, keys: list[str], order: list, speaker: s
     return rows.withColumns({
         "eov_section_announcement": F.when(F.col("eov_mark") != "CLOSE", F.col("eov_mark")), "eov_section_closed": F.coalesce(F.col("eov_mark") == "CLOSE", F.lit(False)),
         "speech_timing": timing, "is_explanation_of_vote": timing.isNotNull(), "self_declared_explanation": own, "mentioned_resolutions": F.when(inside, F.col(mentions)),
-    }).drop("eov_mark", "several_mark", "announces", "chair", "eov_now", "eov_before", "several_now")
+    }).drop("eov_mark", "several_mark", "announces", "chair", "eov_now", "several_now")
 
 
-def number_timesteps(steps: DataFrame, key: str, *order: str) -> DataFrame:
+def number_timesteps(steps: DataFrame, key: str, *order: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """T from 0 in the order of stages, then of the source; dates play no part."""
-    return steps.withColumn("t", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    return row_number(steps, [key], list(order), "t", segment_rows).withColumn("t", F.col("t") - 1)
 
 
 def first_of_stage(steps: DataFrame, key: str, stage: str, value: str, t: str = "t") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folkmoot.functions.columns import access_url, agenda_label, final_outcome, normalize_symbol, preview, record_id
 from folkmoot.functions.text import SUMMARY_RECORD, first_mentions
+from folkmoot._store import kept
 from folkmoot.operators.sequences import number_timesteps
 
 # Kinds of reference, the stage of each, and the order of stages in a trajectory.
@@ -168,7 +169,7 @@ def build_trajectories(traces: DataFrame, records: DataFrame, deliberations: Dat
     steps = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [agenda, submitted, debated, voted, motions, discussed, decided])
     stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
     plenary = F.col("stage").startswith("plenary")
-    steps = steps.withColumns({"part": F.when(plenary, 5).otherwise(stage), "after": stage})
+    steps = kept(steps.withColumns({"part": F.when(plenary, 5).otherwise(stage), "after": stage}), "steps")  # read twice to number them
     outcome = records.select(F.col("symbol").alias("trajectory_id"), final_outcome(F.col("voting.yes"), F.col("voting.no"), F.col("voting").isNotNull()).alias("final_outcome")).dropDuplicates(["trajectory_id"])
     return number_timesteps(steps, "trajectory_id", "part", "place", "source", "after", "within").join(outcome, "trajectory_id", "left").drop("part", "place", "after", "within")
 
