@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folkmoot.functions.columns import collapse_ws, extracted, parse_speaker
+from folkmoot.functions.automaton import SHARD_NAMES, tagged_by_shards
+from folkmoot.operators.scans import SEGMENT_ROWS, running
 
 # Fixed values of the record format: patterns, markers, starters and names.
 SYMBOL = r"\b[A-Z]/[\dA-Z.]+(?:/\s*[A-Za-z0-9.\-]+)+\b"
@@ -181,29 +183,15 @@ def tagged(c: Column, names: Column) -> tuple[Column, Column]:
     return out["found"], out["text"]
 
 
-def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, key_chars: int = 8) -> DataFrame:
-    """(id, name). Names are tried longest first, each found one taken out of the text before the next.
+def tag_dictionary(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, names_in_shard: int = SHARD_NAMES) -> DataFrame:
+    """(id, name). Names are tried longest first, each found one taken out of the text before the next; what is taken
+    out leaves a space, across which a name that comes later may be found. Rows without an id are left out.
 
-    A text meets the names whose first word it may hold by an equi-join: on the last ``key_chars`` characters of that
-    word, or all of a shorter one. Only these are tried. What is taken out leaves a space, so the first word of a name that
-    turns up only then is in the text, too. Rows without an id are left out.
+    An automaton reads a text once, whatever the number of names. The dictionary is cut into shards of ``names_in_shard``
+    in the order in which names are tried; texts go from shard to shard with what is left of them.
     """
-    first = F.split_part("n", F.lit(" "), F.lit(1))
-    n = names.select(F.col(name_col).alias("n")).filter("n <> ''").distinct().withColumn("part", F.right(first, F.least(F.length(first), F.lit(key_chars))))
-    widths = [r["w"] for r in n.select(F.length("part").alias("w")).distinct().collect()]  # key_chars + 1 at most
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    none = F.array().cast("array<string>")
-    windows = []
-    for w in widths:
-        windows.append(F.array(F.lit("")) if w == 0 else F.when(F.length("text") >= w, _windows("text", w)).otherwise(none))
-    held = F.array_distinct(F.concat(*windows)) if windows else none
-    met = texts.select("id", F.explode(held).alias("part")).join(n, "part").groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("n")).alias("l"), "n"))).alias("some"))
-    found, _ = tagged(F.col("text"), F.transform("some", lambda x: x["n"]))
-    return texts.join(met, "id").select(F.col("id").alias(id_col), F.explode(found).alias("name"))
-
-
-def _windows(column: str, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(column) - width + 1), lambda i: F.col(column).substr(i, F.lit(width)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    return tagged_by_shards(rows, names.select(F.col(name_col).cast("string").alias("name")), names_in_shard).select(F.col("id").alias(id_col), "name")
 
 
 def strip_page_noise(df: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
@@ -219,20 +207,18 @@ def strip_page_noise(df: DataFrame, id_col: str, page_col: str, text_col: str) -
     return df.select(id_col, page_col, F.array_join(F.filter(F.split(text_col, "\n"), keep), "\n").alias("text"))
 
 
-def agenda_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def agenda_items(df: DataFrame, id_col: str, text_col: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """(id, item_no, type, item_number, sub_item, section_letter, committee, title, text, resolutions, decisions)."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
     line = F.col("line")
     kind = F.when(line.rlike(COMMITTEE_LINE), "committee_header").when(line.rlike(r"^[A-Z]\.\s+.+$"), "section").when(line.rlike(r"^\d+\.\s+.+$"), "main").when(line.rlike(r"^\([a-z]{1,2}\)\s+.+$"), "sub")
-    so_far = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    carry = lambda c: F.last(c, ignorenulls=True).over(so_far)
     name = F.when(line.rlike("(?i)^Plenary"), "Plenary").when(line.rlike("(?i)^Special"), "Fourth Committee").otherwise(F.initcap(F.lower(F.regexp_extract(line, COMMITTEE_LINE, 1))))
-    marked = lines.withColumn("type", kind).withColumns({
-        "item_no": F.sum(F.col("type").isNotNull().cast("int")).over(so_far),
-        "committee": carry(F.when(F.col("type") == "committee_header", name)),
-        "section_letter": carry(F.when(F.col("type") == "section", F.left("line", F.lit(1)))),
-        "item_number": carry(F.when(F.col("type") == "main", extracted(line, r"^(\d+)\.").cast("int"))),
-    })
+    lines = lines.withColumn("type", kind)
+    last = {
+        "committee": F.when(F.col("type") == "committee_header", name), "section_letter": F.when(F.col("type") == "section", F.left("line", F.lit(1))),
+        "item_number": F.when(F.col("type") == "main", extracted(line, r"^(\d+)\.").cast("int")),
+    }
+    marked = running(lines, [id_col], ["pos"], carried=last, summed={"item_no": F.col("type").isNotNull().cast("int")}, segment_rows=segment_rows)
     body = F.regexp_replace(line, r"^(?:\d+\.|[A-Z]\.|\([a-z]{1,2}\))\s+", "")
     first = lambda c: F.min_by(c, "pos")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("type").isNotNull(), body).otherwise(line).alias("t")))), lambda x: x["t"]), " ")
@@ -256,7 +242,7 @@ def expand_agenda_range(c: Column) -> Column:
     return F.struct(F.concat_ws("-", a, b).alias("label"), numbers.alias("numbers"))
 
 
-def parse_meetings(df: DataFrame, symbol_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def parse_meetings(df: DataFrame, symbol_col: str, text_col: str, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
     """C11: (sections, utterances) of transcripts.
 
     An agenda line opens a section, a speaker line an utterance. Lines before the first section are the preface
@@ -265,11 +251,9 @@ def parse_meetings(df: DataFrame, symbol_col: str, text_col: str) -> tuple[DataF
     """
     lines = df.select(symbol_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", collapse_ws(F.col("line"))).filter("line <> ''")
     line = F.col("line")
-    whole = Window.partitionBy(symbol_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("opens", line.rlike(AGENDA_LINE)).withColumn("section", F.sum(F.col("opens").cast("int")).over(whole))
-    inside = Window.partitionBy(symbol_col, "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = running(lines.withColumn("opens", line.rlike(AGENDA_LINE)), [symbol_col], ["pos"], summed={"section": F.col("opens").cast("int")}, segment_rows=segment_rows)
     speaks = ~F.col("opens") & (F.col("section") > 0) & line.rlike(SPEAKER_LINE)
-    lines = lines.withColumn("speaks", speaks).withColumn("turn", F.sum(F.col("speaks").cast("int")).over(inside))
+    lines = running(lines.withColumn("speaks", speaks), [symbol_col, "section"], ["pos"], summed={"turn": F.col("speaks").cast("int")}, segment_rows=segment_rows)
     text_of = lambda cond, t: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", t.alias("t"))))), lambda x: x["t"]), " ")
     preamble = (F.col("turn") == 0) & ~F.col("opens")
     formula = F.lit(False)

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from folkmoot._store import kept, workspace
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, folder: str) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(smallest.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    smallest = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest", folder)
+    return both.filter("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    smallest = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = e.join(smallest.hint("merge"), "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+def _small_star(e: DataFrame, folder: str) -> DataFrame:
+    smallest = kept(e.groupBy("hi").agg(F.min("lo").alias("m")), "smallest", folder)
+    moved = e.join(smallest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -44,7 +44,8 @@ def components(edges: DataFrame, source: str = "source_id", target: str = "targe
         alone = ends.filter("hi = lo").select(F.col("hi").alias("node"))
         stars, was = ends.filter("hi > lo"), None
         for _ in range(max_turns):
-            stars = kept(_small_star(_large_star(stars)), "stars", folder)
+            linked = kept(_large_star(stars, folder), "linked", folder)
+            stars = kept(_small_star(linked, folder), "stars", folder)
             now = _state(stars)
             if now == was:
                 named = stars.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

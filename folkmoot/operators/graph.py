@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folkmoot._store import kept
 from folkmoot.functions.columns import relation_bucket
+from folkmoot.operators.components import components
 
 
 def both_ways(edges: DataFrame, loops: bool = False) -> DataFrame:
@@ -44,10 +45,15 @@ def related_documents(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_d
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_rounds: int = 1000) -> DataFrame:
     """(seed, node) reached by any number of edges, the seed included.
 
-    Each round joins only the nodes that the last one found; rounds are written out, and end when none is new.
+    Both ways, that is the component of the seed, found by star contraction. Forward, each round joins only the nodes that
+    the last one found; rounds are written out, and end when none is new.
     """
-    steps = both_ways(edges).select("node", "next").distinct() if direction == "both" else edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
-    steps = kept(steps, "steps")
+    if direction == "both":
+        members = components(edges)
+        own = seeds.select("seed").distinct().join(members.select(F.col("node").alias("seed"), "component"), "seed", "left")
+        reached = own.filter("component is not null").join(members, "component").select("seed", "node")
+        return reached.unionByName(own.filter("component is null").select("seed", F.col("seed").alias("node")))
+    steps = kept(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct(), "steps")
     fresh = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "reached")
     rounds = [fresh]
     for _ in range(max_rounds):
@@ -62,6 +68,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_r
     raise RuntimeError("max_rounds reached")
 
 
+def component_sizes(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component, size) of every document: the smallest id that it is linked to by any number of edges, and how many
+    documents are; one without edges is alone. A representative and its members, never all pairs of a component."""
+    named = docs.select("id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return named.join(sizes, "component").select("id", "component", "size")
+
+
 def document_chain(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4, exclude: tuple[str, ...] = ("meeting", "committee_meeting")) -> DataFrame:
     """(seed, id, symbol, doc_type, depth), distinct; documents of excluded types, or of none, are never entered.
 

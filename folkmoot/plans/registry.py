@@ -259,6 +259,24 @@ def f2(s, d):
     return graph.reachable(b.edges(s, d), b.table(s, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("seed")))
 
 
+# Line items as links between suppliers and the customers of their orders, in components of one nation and one half-year each.
+TRADE = """(SELECT 'S' || CAST(l_suppkey AS VARCHAR) || g AS source_id, 'C' || CAST(o_custkey AS VARCHAR) || g AS target_id FROM (SELECT l_suppkey, o_custkey, '/' || CAST(s_nationkey AS VARCHAR) || '/' || CAST(year(o_orderdate) * 2 + month(o_orderdate) // 7 AS VARCHAR) AS g
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey = c_nationkey))"""
+
+
+@query("f2_components", f"""WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM {TRADE}), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node),
+ n AS (SELECT node, min(root) AS component FROM r GROUP BY 1) SELECT node AS id, component, count(*) OVER (PARTITION BY component) AS size FROM n""")
+def f2c(s, d):
+    """Groups of suppliers and customers that traded, however indirectly, within a nation and half a year."""
+    o, c_ = b.table(s, d, "orders"), b.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    su = b.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    half = F.year("o_orderdate") * 2 + (F.month("o_orderdate") / 7).cast("int")
+    rows = b.table(s, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(su, "l_suppkey").join(c_, "o_custkey").filter("s_nationkey = c_nationkey")
+    group = F.concat(F.lit("/"), F.col("s_nationkey").cast("string"), F.lit("/"), half.cast("string"))
+    edges = rows.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), group).alias("source_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), group).alias("target_id"))
+    return graph.component_sizes(edges, edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct())
+
+
 @query("f2_reachable_forward", f"""WITH RECURSIVE w AS (SELECT source_id AS seed, source_id AS node FROM {EDGES} WHERE relationship_type = 'agenda_item_for' UNION SELECT w.seed, e.target_id FROM w JOIN {EDGES} e ON e.source_id = w.node) SELECT seed, node FROM w""")
 def f2b(s, d):
     e = b.edges(s, d)
@@ -528,7 +546,7 @@ def c18(s, d):
     return x.meeting_transcript(b.utterances(s, d), "conv_id", "position_in_meeting", "speaker_name", "text", "speaker_affiliation")
 
 
-@query("c11_meetings_parsed", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(regexp_replace(regexp_replace(text, '[\n:]', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM conversations)
+@query("c11_meetings_parsed", r"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(regexp_replace(regexp_replace(text, '[\n:]', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM conversations)
  SELECT 'C' || CAST(conv_id AS VARCHAR) || '_section_1_utterance_' || CAST(k AS VARCHAR) AS id, 'C' || CAST(conv_id AS VARCHAR) AS meeting_id, k AS position_in_section, upper(role[1]) || role[2:] AS name, role AS affiliation,
  len(list_filter(string_split(said, ' '), lambda w: w <> '')) AS word_count FROM t""")
 def c11(s, d):
