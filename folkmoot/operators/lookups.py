@@ -1,4 +1,8 @@
-"""Look-ups over the record tables (inventory F6 to F21). Arguments left out add no condition."""
+"""Look-ups over the record tables (inventory F6 to F21). Arguments left out add no condition.
+
+Those that look for words inside texts take the trigram postings of that column (``postings.index``, by the id column),
+and scan the column where there are none.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folkmoot.functions.columns import json_title, preview, relation_bucket
+from folkmoot.operators.postings import Postings
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -50,16 +55,22 @@ def vote_events(events: DataFrame, docs: DataFrame, votes: DataFrame, target_sym
     return out
 
 
-def utterances_of(utterances: DataFrame, docs: DataFrame, meetings: list[str] | None = None, countries: list[str] | None = None, full_text: bool = False) -> DataFrame:
-    """F8: speeches of meetings, by position; the text or its first 500 characters."""
+def utterances_of(utterances: DataFrame, docs: DataFrame, meetings: list[str] | None = None, countries: list[str] | None = None, full_text: bool = False, index: Postings | None = None) -> DataFrame:
+    """F8: speeches of meetings, by position; the text or its first 500 characters. ``index``: of speaker_affiliation."""
+    if countries and index is not None:
+        utterances = index.holding(utterances, "id", "speaker_affiliation", countries)
     u = utterances.join(docs.select(F.col("id").alias("meeting_id"), F.col("symbol").alias("meeting")), "meeting_id")
     u = optional(u, None if not meetings else F.col("meeting").isin(*meetings), None if not countries else any_of([F.col("speaker_affiliation").ilike(f"%{c}%") for c in countries]))
     text = F.col("text") if full_text else preview(F.col("text"), 500)
     return u.select("meeting", "position_in_meeting", "speaker_name", "speaker_affiliation", text.alias("text")).orderBy("meeting", "position_in_meeting")
 
 
-def related_utterances(utterances: DataFrame, docs: DataFrame, links: DataFrame, symbols: list[str] | None = None, reference_type: str | None = None, country: str | None = None, limit: int = 200) -> DataFrame:
-    """speeches that refer to documents, by symbol, date and position."""
+def related_utterances(utterances: DataFrame, docs: DataFrame, links: DataFrame, symbols: list[str] | None = None, reference_type: str | None = None, country: str | None = None, limit: int = 200, index: tuple[Postings, Postings] | None = None) -> DataFrame:
+    """speeches that refer to documents, by symbol, date and position. ``index``: of speaker_affiliation and speaker_name."""
+    if country is not None and index is not None:
+        named = [i.matches(utterances, "id", c, utterances.sparkSession.createDataFrame([(country,)], "pattern string")) for i, c in zip(index, ("speaker_affiliation", "speaker_name"))]
+        hits = named[0].unionByName(named[1]).select(F.col("key").alias("id")).distinct()
+        utterances = utterances.join(hits, "id", "left_semi")
     rows = optional(links, None if reference_type is None else F.col("reference_type") == reference_type)
     rows = rows.join(docs.select(F.col("id").alias("document_id"), "symbol"), "document_id")
     rows = optional(rows, None if symbols is None else F.col("symbol").isin(*symbols))
@@ -88,14 +99,18 @@ def link_report(docs: DataFrame, edges: DataFrame, symbol: Column) -> DataFrame:
     return rows.unionByName(incoming.select("target", "relationship_type", "symbol", "doc_type", "title"))
 
 
-def search_titles(docs: DataFrame, words: str, doc_type: str | None = None, limit: int = 10) -> DataFrame:
-    """F13."""
+def search_titles(docs: DataFrame, words: str, doc_type: str | None = None, limit: int = 10, index: Postings | None = None) -> DataFrame:
+    """F13. ``index``: of title."""
+    if index is not None:
+        docs = index.holding(docs, "id", "title", [words])
     found = optional(docs.filter(F.col("title").ilike(f"%{words}%")), None if doc_type is None else F.col("doc_type") == doc_type)
     return found.orderBy(F.desc_nulls_last("date"), "symbol").limit(limit).select("symbol", "doc_type", "title", "date")
 
 
-def actor_vote(votes: DataFrame, actors: DataFrame, docs: DataFrame, name: str, symbol: str | None = None) -> DataFrame:
-    """F14."""
+def actor_vote(votes: DataFrame, actors: DataFrame, docs: DataFrame, name: str, symbol: str | None = None, index: Postings | None = None) -> DataFrame:
+    """F14. ``index``: of the actors' name."""
+    if index is not None:
+        actors = index.holding(actors, "id", "name", [name])
     who = actors.filter(F.col("name").ilike(f"%{name}%")).select(F.col("id").alias("actor_id"), F.col("name").alias("actor"))
     v = votes.join(who, "actor_id").join(docs.select(F.col("id").alias("document_id"), "symbol"), "document_id")
     return optional(v, None if symbol is None else F.col("symbol") == symbol).select("actor", "symbol", "vote_type", "vote_context")

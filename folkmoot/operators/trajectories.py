@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folkmoot._store import kept
 from folkmoot.functions.columns import access_url, agenda_label, final_outcome, normalize_symbol, preview, record_id
 from folkmoot.functions.text import SUMMARY_RECORD, first_mentions
+from folkmoot.operators.postings import Postings
 from folkmoot.operators.sequences import number_timesteps
 
 # Kinds of reference, the stage of each, and the order of stages in a trajectory.
@@ -174,15 +175,24 @@ def build_trajectories(traces: DataFrame, records: DataFrame, deliberations: Dat
     return number_timesteps(steps, "trajectory_id", "part", "place", "source", "after", "within").join(outcome, "trajectory_id", "left").drop("part", "place", "after", "within")
 
 
-def relevant_utterances(utterances: DataFrame, held: DataFrame, keywords: list[str]) -> DataFrame:
+def relevant_utterances(utterances: DataFrame, held: DataFrame, keywords: list[str], index: Postings | None = None) -> DataFrame:
     """(trajectory_id, meeting, statements): speeches in a trajectory's meetings that name one of its drafts or hold a
-    keyword, in any case of letters. held: (trajectory_id, meeting, drafts), one row a pair; the join is on the meeting."""
-    said = utterances.join(held, "meeting")
-    text = F.lower("text")
-    hit = F.coalesce(F.exists("drafts", lambda d: F.contains(text, F.lower(d))), F.lit(False))
-    for k in keywords:
-        hit = hit | F.coalesce(text.contains(k.lower()), F.lit(False))
-    return said.filter(hit).groupBy("trajectory_id", "meeting").agg(F.countDistinct("utterance_id").alias("statements"))
+    keyword, in any case of letters. held: (trajectory_id, meeting, drafts), one row a pair; the join is on the meeting.
+    With an ``index`` of the texts by utterance_id, drafts and keywords are looked up instead of tried on every speech."""
+    if index is None:
+        said = utterances.join(held, "meeting")
+        text = F.lower("text")
+        hit = F.coalesce(F.exists("drafts", lambda d: F.contains(text, F.lower(d))), F.lit(False))
+        for k in keywords:
+            hit = hit | F.coalesce(text.contains(k.lower()), F.lit(False))
+        return said.filter(hit).groupBy("trajectory_id", "meeting").agg(F.countDistinct("utterance_id").alias("statements"))
+    words = utterances.sparkSession.createDataFrame([(k,) for k in keywords], "pattern string")
+    drafts = held.select("trajectory_id", "meeting", F.explode("drafts").alias("pattern"))
+    hits = kept(index.matches(utterances, "utterance_id", "text", drafts.select("pattern").unionByName(words), literal=True), "hits")
+    said = hits.join(utterances.select(F.col("utterance_id").alias("key"), "meeting"), "key")
+    by_draft = said.join(drafts, ["meeting", "pattern"]).select("trajectory_id", "meeting", "key")
+    by_word = said.join(F.broadcast(words), "pattern", "left_semi").join(held, "meeting").select("trajectory_id", "meeting", "key")
+    return by_draft.unionByName(by_word).groupBy("trajectory_id", "meeting").agg(F.countDistinct("key").alias("statements"))
 
 
 def country_actions(votes: DataFrame, sponsors: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
 from folkmoot.functions import text as x
-from folkmoot.operators import aggregates, coalition, episodes, evidence, graph, lookups, sequences, tables, trajectories, vectors
+from folkmoot.operators import aggregates, coalition, episodes, evidence, graph, lookups, postings, sequences, tables, trajectories, vectors
 from folkmoot.plans import bindings as b
 from folkmoot.plans.bindings import ACTORS, BOTH, DOCS, EDGES, LINKS, NODES, STEPS, UTTERANCES, VOTES
 from folkmoot.sources import readers, writers
@@ -208,6 +208,45 @@ def f15(s, d):
     return lookups.drafts_to_resolutions(b.nodes(s, d), b.edges(s, d))
 
 
+# The same look-ups by trigram postings, which give the same rows.
+
+
+@query("f8_utterances_by_postings", SQL["f8_utterances_of"])
+def f8b(s, d):
+    u = b.utterances(s, d)
+    return lookups.utterances_of(u, b.nodes(s, d), countries=["assist"], index=postings.index(u, "id", "speaker_affiliation"))
+
+
+@query("f9_related_by_postings", SQL["f9_related_utterances"].replace("WHERE reference_type = 'voting_on'", "WHERE speaker_affiliation ILIKE '%ser%' OR speaker_name ILIKE '%ser%'"))
+def f9b(s, d):
+    docs = b.documents(s, d).select(F.concat(F.lit("O"), F.col("id").cast("string")).alias("id"), "symbol", F.lit(None).cast("date").alias("date"))
+    u, meetings = b.utterances(s, d), b.nodes(s, d).filter(~F.col("id").startswith("O")).select("id", "symbol", "date")
+    return lookups.related_utterances(u, docs.unionByName(meetings), b.graph_links(s, d), country="ser", index=(postings.index(u, "id", "speaker_affiliation"), postings.index(u, "id", "speaker_name")))
+
+
+@query("f13_titles_by_postings", SQL["f13_search_titles"])
+def f13b(s, d):
+    docs = b.documents(s, d)
+    return lookups.search_titles(docs, "urgent", "resolution", 10, index=postings.index(docs, "id", "title"))
+
+
+@query("f14_actor_by_postings", SQL["f14_actor_vote"])
+def f14b(s, d):
+    a = b.actors(s, d)
+    return lookups.actor_vote(b.votes(s, d), a, b.documents(s, d), "000001", index=postings.index(a, "id", "name"))
+
+
+@query("j8_relevant_by_postings", """WITH h AS (SELECT 'T' || CAST(item_id AS VARCHAR) AS trajectory_id, lower(left(text, 16)) AS draft FROM benchmark)
+ SELECT trajectory_id, coalesce(source, '-') AS meeting, count(DISTINCT doc_id) AS statements FROM documents, h WHERE contains(lower(text), draft) OR contains(lower(text), ' thion ') GROUP BY 1, 2""")
+def j8(s, d):
+    """Documents that hold the beginning of a benchmark item, or a keyword, by source; each item a trajectory, each source a
+    meeting."""
+    docs = b.table(s, d, "documents").select(F.col("doc_id").alias("utterance_id"), F.coalesce("source", F.lit("-")).alias("meeting"), "text")
+    items = b.table(s, d, "benchmark").select(F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("trajectory_id"), F.array(F.left("text", F.lit(16))).alias("drafts"))
+    held = docs.select("meeting").distinct().withColumn("one", F.lit(1)).join(items.withColumn("one", F.lit(1)), "one").drop("one")
+    return trajectories.relevant_utterances(docs, held, [" thion "], index=postings.index(docs, "utterance_id", "text"))
+
+
 @query("f16_divergent_votes", f"""SELECT DISTINCT d.symbol FROM {VOTES} a JOIN {VOTES} b ON a.document_id = b.document_id JOIN {DOCS} d ON d.id = a.document_id
  WHERE a.vote_type = 'in_favour' AND b.vote_type = 'against' AND a.actor_id = (SELECT id FROM {ACTORS} ORDER BY name LIMIT 1) AND b.actor_id <> a.actor_id AND b.actor_id = (SELECT id FROM {ACTORS} ORDER BY name LIMIT 1 OFFSET 1)""")
 def f16(s, d):
