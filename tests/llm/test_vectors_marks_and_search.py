@@ -218,20 +218,41 @@ def test_ranked_search_by_shuffles(library, monkeypatch):
         assert lexical_rank.ranked_search(d, q).count() == 0
 
 
-def test_documents_leave_and_queries_close(library, spark, monkeypatch):
-    """Postings of which one document leads: others are dropped on the way, and the rest is still exact."""
+def test_documents_leave_and_bands_stay_unread(spark, monkeypatch):
+    """Documents with a rare term lead, so those with the common one alone are told apart without their last bands."""
     from folkmoot.llm._common import stored, workspace
 
-    with workspace(spark, "t") as folder:
-        postings = [(0, 1, 1, 100)] + [(1, 1, key, 50 - key) for key in range(2, 40)] + [(2, 2, key, 1) for key in range(1, 60)]
-        table = spark.createDataFrame(postings, "band int, t int, key long, c long")
-        tops = spark.createDataFrame([(1, 0, 100), (1, 1, 48), (2, 2, 1)], "t int, band int, top long")
-        asked = spark.createDataFrame([(7, 1, 1), (7, 2, 1), (8, 2, 3)], "g long, t int, times long")
-        sizes = []
-        monkeypatch.setattr(lexical_rank, "stored", lambda df, name, within=None: (lambda out: sizes.append((name, out.count())) or out)(stored(df, name, within)))
-        got = {(r.g, r.key, r.score) for r in lexical_rank.nra(table, tops, 3, asked, 1, folder).collect()}
-    assert (7, 1, 101) in got and {g for g in got if g[0] == 7} == {(7, 1, 101)} and {g[2] for g in got if g[0] == 8} == {3}
-    assert [n for name, n in sizes if name == "state"][0] == 1  # after the first band the leader alone is left
+    rows = [(i, "rare rare " * (i + 1) + "common " * 3) for i in range(5)] + [(10 + i, "common " * (1 + i % 7) + f"other{i}") for i in range(300)]
+    monkeypatch.setattr(lexical_rank, "FIRST_BAND", 0.1)
+    sizes, read = [], []
+    left, best = lexical_rank._left, lexical_rank._best
+    monkeypatch.setattr(lexical_rank, "stored", lambda df, name, within=None: (lambda out: sizes.append((name, out.count())) or out)(stored(df, name, within)))
+    monkeypatch.setattr(lexical_rank, "_left", lambda block, n, *a: read.append(("left", n)) or left(block, n, *a))
+    monkeypatch.setattr(lexical_rank, "_best", lambda block, n, *a: read.append(("best", n)) or best(block, n, *a))
+    items = [(1, "rare common"), (2, "rare")]
+    got = lexical_rank.ranked_search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=3)
+    assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in got.collect()) == plain_search(rows, items, 3)
+    first = next(n for name, n in sizes if name == "left")
+    assert first < 20 and next(n for what, n in read if what == "left") < max(n for _, n in read)  # the hundreds left before the last band was read
+
+
+@pytest.mark.parametrize("most", [1 << 20, 5])
+def test_blocks_of_queries_and_small_tables_of_intervals(library, monkeypatch, most):
+    monkeypatch.setattr(lexical_rank, "BLOCK_QUERIES", 6)
+    monkeypatch.setattr(lexical_rank, "INTERVALS", most)
+    docs, items, rows, queries = library
+    got = lexical_rank.ranked_search(rows, queries, k=4).collect()
+    assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == plain_search(docs, items, 4)
+
+
+def test_bands_hold_falling_impacts():
+    cuts = lexical_rank.cuts_of([(16 * k, 4**k) for k in range(8)], 0)  # few large impacts, many small ones
+    assert cuts == sorted(cuts, reverse=True) and len(cuts) <= lexical_rank.MOST_BANDS - 1
+    steps = [(k, 1000) for k in range(400, 500)]
+    cuts = lexical_rank.cuts_of(steps, 2000)
+    held = [sum(n for s, n in steps if 2 ** ((s + 0.5) / 16) > c) for c in cuts]
+    assert held == sorted(held) and 1000 <= held[0] <= 8000 and lexical_rank.cuts_of([], 1) == []
+    assert lexical_rank._band(np.array([100, 50, 49, 7]), [50, 20]).tolist() == [0, 1, 1, 2]
 
 
 def test_terms_in_slices():
