@@ -8,16 +8,19 @@ document on which everybody votes is no heavier than its votes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folkmoot._store import kept, small
+from folkmoot._store import kept
+from folkmoot.operators.scans import row_number
 
 ACTORS_IN_BLOCK = 512
-SHARES = 32  # of the documents of one square
+SHARES = 32  # of the documents of one square, at most
+BROADCAST_SQUARES = 100_000
 
 
 def vote_scores(votes: DataFrame, order: Column) -> DataFrame:
@@ -77,12 +80,13 @@ class _Square:
         sums[at(actors)] += p
         self.names, self.sums = names, sums
 
-    def pairs(self) -> pa.RecordBatch:
+    def told(self) -> pa.RecordBatch:
+        """What is not 0 of the square; of a square of a block with itself, each pair once."""
         i, j = np.nonzero(self.sums)
         a, b, p = self.names[0][i], self.names[1][j], self.sums[i, j]
-        if self.key[0] == self.key[1]:  # both halves are here
+        if self.key[0] == self.key[1]:
             a, b, p = (x[a < b] for x in (a, b, p))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(p)], names=["ia", "ib", "p"])
+        return pa.RecordBatch.from_arrays([*[pa.array(np.full(len(p), k), pa.int32()) for k in self.key[:2]], pa.array(a), pa.array(b), pa.array(p)], names=["bi", "bj", "ia", "ib", "p"])
 
 
 def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +101,7 @@ def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if square is None or tuple(keys[a]) != square.key:
                 if square is not None:
                     square.add(rest)
-                    yield square.pairs()
+                    yield square.told()
                 square, rest = _Square(tuple(keys[a])), []
             part = batch.slice(a, z - a)
             docs = part.column("document").to_numpy(zero_copy_only=False)
@@ -111,46 +115,155 @@ def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest.append(part.slice(last))
     if square is not None:
         square.add(rest)
-        yield square.pairs()
+        yield square.told()
 
 
-def score_products(scores: DataFrame, actors: int) -> DataFrame:
-    """(ia, ib, p), ia < ib: sums over documents of the products of two actors' scores, where they are not 0."""
-    blocks = max(1, -(-actors // ACTORS_IN_BLOCK))
-    x = scores.filter("score <> 0").select(F.xxhash64("document_id").alias("document"), "document_id", F.col("actor_id").cast("long").alias("actor_id"), F.col("score").cast("int").alias("score"))
-    x = x.withColumn("own", F.pmod(F.xxhash64("actor_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first, second = F.col("own") <= F.col("other"), F.col("own") >= F.col("other")  # of its own square a vote is on both sides
-    x = x.withColumn("side", F.explode(F.filter(F.array(F.when(first, 0), F.when(second, 1)), lambda k: k.isNotNull())))
-    rows = x.select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.pmod("document", F.lit(SHARES)).cast("int").alias("share"), "document", "side", "actor_id", "score")
+SQUARE_SUMS = "bi int, bj int, ia long, ib long, p long"
+
+
+def square_sums(scores: DataFrame, blocks: DataFrame, squares: DataFrame, n_squares: int) -> DataFrame:
+    """(bi, bj, ia, ib, p): sums over a share of the documents, where they are not 0, for pairs of actors in ``squares``
+    (bi, bj). ``blocks`` (actor_id, block) places the actors. There are as many shares as keep all tasks busy."""
+    shares = max(1, min(SHARES, -(-scores.sparkSession.sparkContext.defaultParallelism // max(1, n_squares))))
+    sent = F.broadcast if n_squares <= BROADCAST_SQUARES else lambda df: df
+    x = scores.filter("score <> 0").join(blocks.select("actor_id", "block"), "actor_id")
+    x = x.select("block", F.xxhash64("document_id").alias("document"), F.col("actor_id").cast("long").alias("actor_id"), F.col("score").cast("int").alias("score"))
+    sides = [x.join(sent(squares.select(F.col(own).alias("block"), *["bi", "bj"])), "block").withColumn("side", F.lit(k)) for k, own in enumerate(("bi", "bj"))]
+    rows = sides[0].unionByName(sides[1]).select("bi", "bj", F.pmod("document", F.lit(shares)).cast("int").alias("share"), "document", "side", "actor_id", "score")
     key = ["bi", "bj", "share"]
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "document")
-    return dealt.mapInArrow(_squares, "ia long, ib long, p long").groupBy("ia", "ib").agg(F.sum("p").alias("p")).filter("p <> 0")
+    return rows.repartition(*key).sortWithinPartitions(*key, "document").mapInArrow(_squares, SQUARE_SUMS)
+
+
+def in_blocks(actors: DataFrame, order: list[str]) -> DataFrame:
+    """``actors`` with the number of their block, by ``order``."""
+    placed = row_number(actors.withColumn("whole", F.lit(0)), ["whole"], order, "place").drop("whole")
+    return placed.withColumn("block", ((F.col("place") - 1) / ACTORS_IN_BLOCK).cast("int")).drop("place")
+
+
+def every_square(blocks: DataFrame) -> DataFrame:
+    """(bi, bj), bi <= bj, of the blocks of ``blocks``."""
+    last = F.lit((blocks.agg(F.max("block").alias("last")).first()["last"] or 0))
+    return blocks.select(F.col("block").alias("bi")).distinct().withColumn("bj", F.explode(F.sequence("bi", last)))
+
+
+def score_products(scores: DataFrame) -> DataFrame:
+    """(ia, ib, p), ia < ib: sums over documents of the products of two actors' scores, where they are not 0."""
+    blocks = kept(in_blocks(scores.filter("score <> 0").select("actor_id").distinct(), ["actor_id"]), "blocks")
+    squares = kept(every_square(blocks), "squares")
+    sums = square_sums(scores, blocks, squares, squares.count())
+    return sums.groupBy(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).agg(F.sum("p").alias("p")).filter("p <> 0")
+
+
+class _Whole:
+    """All pairs of one square: its actors, then its sums."""
+
+    def __init__(self, key: tuple[int, int]):
+        self.key = key
+        self.actors: list[list] = [[], []]  # of each side: arrays of ids, names, sums, and sums of squares
+        self.sums = None
+
+    def add(self, side: int, part: pa.RecordBatch) -> None:
+        ids, s = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s"))
+        if side < 2:
+            self.actors[side].append((ids, part.column("name").to_numpy(zero_copy_only=False), s, part.column("q").to_numpy(zero_copy_only=False)))
+            return
+        if self.sums is None:
+            self.order()
+        np.add.at(self.sums, (np.searchsorted(self.sides[0][0], ids), np.searchsorted(self.sides[1][0], part.column("b").to_numpy(zero_copy_only=False))), s)
+
+    def order(self) -> None:
+        whole = [[np.concatenate(x) for x in zip(*side)] for side in self.actors]
+        self.sides = [[x[np.argsort(side[0])] for x in side] for side in whole]
+        self.sums = np.zeros([len(side[0]) for side in self.sides], np.int64)
+
+    def best(self, total: int, min_corr: float, k: int) -> list[tuple]:
+        """(a, b, correlation) of the k best pairs above the bound."""
+        if self.sums is None:
+            self.order()
+        (id1, name1, s1, q1), (id2, name2, s2, q2) = self.sides
+        spread = [np.sqrt((total * q - s * s).astype(np.float64)) for s, q in ((s1, q1), (s2, q2))]
+        corr = (total * self.sums - s1[:, None] * s2[None, :]).astype(np.float64) / (spread[0][:, None] * spread[1][None, :])
+        fine = corr > min_corr
+        if self.key[0] == self.key[1]:
+            fine &= id1[:, None] < id2[None, :]
+        i, j = np.nonzero(fine)
+        c = corr[i, j]
+        if len(c) > k:  # rounded values tie, so all that may round to the k-th stay
+            stay = c >= np.partition(c, len(c) - k)[len(c) - k] - 0.002
+            i, j, c = i[stay], j[stay], c[stay]
+        rounded = {x: Decimal(repr(x)).quantize(Decimal("0.001"), ROUND_HALF_UP) for x in set(c.tolist())}  # as Spark rounds
+        ranked = sorted((-rounded[x], *sorted((name1[p], name2[q])), x) for p, q, x in zip(i, j, c.tolist()))
+        return [(a, b, x) for _, a, b, x in ranked[:k]]
+
+
+def _correlated(total: int, min_corr: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by square, the actors of its two sides first."""
+        square = None
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*square.best(total, min_corr, k))) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "c"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bi", "bj", "side")], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for p, q in zip([0, *edges], [*edges, batch.num_rows]):
+                if p == q:
+                    continue
+                bi, bj, side = keys[p].tolist()
+                if square is None or square.key != (bi, bj):
+                    if square is not None:
+                        yield told()
+                    square = _Whole((bi, bj))
+                square.add(side, batch.slice(p, q - p))
+        if square is not None:
+            yield told()
+
+    return run
+
+
+def possible_squares(blocks: DataFrame, total: int, min_corr: float) -> DataFrame:
+    """(bi, bj) of squares that may hold a pair above ``min_corr``.
+
+    A product of two scores is not above 0 for more documents than either actor votes on, so a correlation is at most
+    n * q1 / (spread1 * spread2), with either's q, less the product of both s / spread. Of each factor the blocks' extremes
+    count. Blocks are in the order of q, so each is narrow in it.
+    """
+    spread = F.sqrt((F.lit(total) * F.col("q") - F.col("s") * F.col("s")).cast("double"))
+    tilt = F.col("s") / spread
+    of = blocks.groupBy("block").agg(F.max(F.col("q") / spread).alias("most"), F.min(tilt).alias("low"), F.max(tilt).alias("high"), F.min(spread).alias("spread"))
+    of = kept(of, "norms")
+    side = lambda k: of.select(F.col("block").alias(f"b{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("most", "low", "high", "spread")])
+    pairs = every_square(blocks).join(side("i"), "bi").join(side("j"), "bj")
+    together = total * F.least(F.col("most_i") / F.col("spread_j"), F.col("most_j") / F.col("spread_i"))
+    bound = together - F.least(*[F.col(f"{x}_i") * F.col(f"{y}_j") for x in ("low", "high") for y in ("low", "high")])
+    return pairs.filter(bound > min_corr - 1e-9).select("bi", "bj")
 
 
-def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7, k: int = 20, most_actors: int = 20_000) -> DataFrame:
+def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7, k: int = 20) -> DataFrame:
     """H2: (a, b, correlation, n_resolutions) of pairs of actors over all resolutions, best first, ties by name.
 
-    A missing vote counts as 0. Pairs whose products add up to 0 stay apart: they correlate by their own sums alone, and
-    positively only if these have opposite signs. Actors without variance have no correlation. Actors are a dimension
-    table, whose size is checked; sums are exact integers.
+    A missing vote counts as 0. Actors without variance have no correlation. Sums are exact integers. Actors are dealt into
+    blocks by the number of their votes; a square of two blocks that cannot hold a pair above ``min_corr`` is not
+    multiplied. The task that adds up a square has all of its pairs at hand, also those whose products add up to 0, and
+    gives out the k best.
     """
     scores = kept(scores.select("actor_id", "document_id", "score"), "scores")
-    n = scores.agg(F.countDistinct("document_id").alias("n")).first()["n"]
-    sums = scores.groupBy("actor_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q"))
-    sums = small(kept(sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id"), "actors"), most_actors, "actors")
-    products = score_products(scores.join(sums.select("actor_id"), "actor_id", "left_semi"), sums.count())
-    left = sums.select(F.col("actor_id").alias("ia"), F.col("name").alias("na"), F.col("s").alias("s1"), F.col("q").alias("q1"))
-    right = sums.select(F.col("actor_id").alias("ib"), F.col("name").alias("nb"), F.col("s").alias("s2"), F.col("q").alias("q2"))
-    together = products.join(left, "ia").join(right, "ib")
-    may = (F.col("ia") < F.col("ib")) if min_corr < 0 else (F.col("ia") < F.col("ib")) & (F.col("s1") * F.col("s2") < 0)
-    apart = left.join(F.broadcast(right), may).join(products.select("ia", "ib"), ["ia", "ib"], "left_anti").withColumn("p", F.lit(0).cast("long"))
-    every = together.unionByName(apart)
-    total = F.lit(n)
-    spread = F.sqrt((total * F.col("q1") - F.col("s1") * F.col("s1")).cast("double")) * F.sqrt((total * F.col("q2") - F.col("s2") * F.col("s2")).cast("double"))
-    corr = (total * F.col("p") - F.col("s1") * F.col("s2")).cast("double") / F.nullif(spread, F.lit(0.0))
-    out = every.withColumn("c", corr).filter(F.col("c") > min_corr)
-    named = out.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.round("c", 3).alias("correlation"), total.alias("n_resolutions"))
-    return named.orderBy(F.desc("correlation"), "a", "b").limit(k)
+    n = scores.select("document_id").distinct().count()
+    sums = scores.groupBy("actor_id").agg(F.sum("score").cast("long").alias("s"), F.sum(F.col("score") * F.col("score")).cast("long").alias("q"))
+    sums = sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id").filter(F.lit(n) * F.col("q") - F.col("s") * F.col("s") > 0)
+    blocks = kept(in_blocks(kept(sums, "actors"), ["q", "s", "actor_id"]), "blocks")
+    squares = kept(possible_squares(blocks, n, min_corr), "squares")
+    n_squares = squares.count()
+    sent = F.broadcast if n_squares <= BROADCAST_SQUARES else lambda df: df
+    found = square_sums(scores, blocks, squares, n_squares).select("bi", "bj", F.lit(2).alias("side"), F.col("ia").alias("a"), F.col("ib").alias("b"), F.col("p").alias("s"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("string").alias("name"))
+    for k_, own in enumerate(("bi", "bj")):
+        side = blocks.join(sent(squares.select(F.col(own).alias("block"), "bi", "bj")), "block")
+        found = found.unionByName(side.select("bi", "bj", F.lit(k_).alias("side"), F.col("actor_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "s", "q", "name"))
+    met = found.repartition("bi", "bj").sortWithinPartitions("bi", "bj", "side")
+    best = met.mapInArrow(_correlated(n, min_corr, k), "a string, b string, c double")
+    return best.select("a", "b", F.round("c", 3).alias("correlation"), F.lit(n).alias("n_resolutions")).orderBy(F.desc("correlation"), "a", "b").limit(k)
 
 
 def require_resolutions(scores: DataFrame, least: int = 5) -> DataFrame:

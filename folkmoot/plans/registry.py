@@ -399,10 +399,14 @@ def h1(s, d):
     return scores(s, d)
 
 
-@query("h2_vote_correlation", f"""WITH x AS (SELECT * FROM {SCORES}), n AS (SELECT count(DISTINCT document_id) AS n FROM x), u AS (SELECT actor_id, name, CAST(sum(score) AS BIGINT) AS s, CAST(sum(score * score) AS BIGINT) AS q FROM x JOIN {ACTORS} a ON a.id = x.actor_id GROUP BY 1, 2),
+def correlation_sql(scores: str, above: float, k: int) -> str:
+    return f"""WITH x AS (SELECT * FROM {scores}), n AS (SELECT count(DISTINCT document_id) AS n FROM x), u AS (SELECT actor_id, name, CAST(sum(score) AS BIGINT) AS s, CAST(sum(score * score) AS BIGINT) AS q FROM x JOIN {ACTORS} a ON a.id = x.actor_id GROUP BY 1, 2),
  p AS (SELECT a.actor_id AS ia, b.actor_id AS ib, CAST(sum(a.score * b.score) AS BIGINT) AS p FROM x a JOIN x b ON a.document_id = b.document_id AND a.actor_id < b.actor_id WHERE a.score <> 0 AND b.score <> 0 GROUP BY 1, 2),
  r AS (SELECT least(a.name, b.name) AS a, greatest(a.name, b.name) AS b, CAST(n * coalesce(p, 0) - a.s * b.s AS DOUBLE) / nullif(sqrt(CAST(n * a.q - a.s * a.s AS DOUBLE)) * sqrt(CAST(n * b.q - b.s * b.s AS DOUBLE)), 0) AS c, n AS n_resolutions
- FROM u a JOIN u b ON a.actor_id < b.actor_id LEFT JOIN p ON ia = a.actor_id AND ib = b.actor_id CROSS JOIN n) SELECT a, b, round(c, 3) AS correlation, n_resolutions FROM r WHERE c > -1 ORDER BY correlation DESC, a, b LIMIT 20""")
+ FROM u a JOIN u b ON a.actor_id < b.actor_id LEFT JOIN p ON ia = a.actor_id AND ib = b.actor_id CROSS JOIN n) SELECT a, b, round(c, 3) AS correlation, n_resolutions FROM r WHERE c > {above} ORDER BY correlation DESC, a, b LIMIT {k}"""
+
+
+@query("h2_vote_correlation", correlation_sql(SCORES, -1, 20))
 def h2(s, d):
     return coalition.vote_correlation(coalition.require_resolutions(scores(s, d)), b.actors(s, d), min_corr=-1.0, k=20)
 
@@ -415,6 +419,22 @@ def i1(s, d):
     return vectors.semantic_search(e, first["embedding"] if first else [1.0], "embedding", ["vec_id", "label"], "vec_id", min_similarity=0.1, k=10)
 
 
+# Each supplier says in every month that it delivers for whether its nation's turn has come; its first line decides.
+TURNS = """(SELECT actor_id, document_id, CASE arg_min(vote_type, struct_pack(a := l_orderkey, b := l_linenumber)) WHEN 'in_favour' THEN 1 ELSE -1 END AS score FROM
+ (SELECT l_suppkey AS actor_id, year(o_orderdate) * 12 + month(o_orderdate) AS document_id, l_orderkey, l_linenumber, CASE WHEN (year(o_orderdate) - 1992) * 12 + month(o_orderdate) + 3 * l_linenumber > 12 * (s_nationkey % 5) + 10 THEN 'in_favour' ELSE 'against' END AS vote_type
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey) GROUP BY 1, 2)"""
+
+
+@query("h2_coalitions", correlation_sql(TURNS, 0.75, 30))
+def h2b(s, d):
+    """Coalitions above 0.75, the best 30, by the first of repeated votes."""
+    rows = b.table(s, d, "lineitem").join(b.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(b.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    turn = month - 1992 * 12 + 3 * F.col("l_linenumber") > 12 * (F.col("s_nationkey") % 5) + 10
+    votes = rows.select(month.alias("document_id"), F.col("l_suppkey").alias("actor_id"), F.when(turn, "in_favour").otherwise("against").alias("vote_type"), "l_orderkey", "l_linenumber")
+    return coalition.vote_correlation(coalition.require_resolutions(coalition.vote_scores(votes, F.struct("l_orderkey", "l_linenumber"))), b.actors(s, d), min_corr=0.75, k=30)
+
+
 @query("i2_semantic_search_filtered", """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), r AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3))
  SELECT vec_id, label, round(similarity, 4) AS similarity FROM r WHERE similarity >= 0.0 ORDER BY r.similarity DESC, vec_id LIMIT 10""")
 def i2(s, d):

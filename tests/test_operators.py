@@ -267,15 +267,16 @@ def test_products_of_many_actors(spark, monkeypatch):
     for (d, a), s in cells.items():
         for b in range(a + 1, 40):
             want[a, b] = want.get((a, b), 0) + s * cells.get((d, b), 0)
-    for actors in (40, 2000):  # one block, four blocks
-        assert {(r.ia, r.ib): r.p for r in coalition.score_products(df, actors).collect()} == {k: v for k, v in want.items() if v}
+    for in_block in (512, 10):  # one block, four blocks
+        monkeypatch.setattr(coalition, "ACTORS_IN_BLOCK", in_block)
+        assert {(r.ia, r.ib): r.p for r in coalition.score_products(df).collect()} == {k: v for k, v in want.items() if v}
     few = {(d, a): 1 - 2 * ((d + a) % 2) for d in range(300) for a in (d % 40, (7 * d + 1) % 40)}
     want = {}
     for (d, a), s in few.items():
         for b in range(a + 1, 40):
             want[a, b] = want.get((a, b), 0) + s * few.get((d, b), 0)
     sparse = spark.createDataFrame([(a, d, s) for (d, a), s in few.items()], "actor_id long, document_id long, score int")
-    assert {(r.ia, r.ib): r.p for r in coalition.score_products(sparse, 40).collect()} == {k: v for k, v in want.items() if v}
+    assert {(r.ia, r.ib): r.p for r in coalition.score_products(sparse).collect()} == {k: v for k, v in want.items() if v}
     far = spark.createDataFrame([(1, 1, 1), (2, 2, -1), (3, 3, -1), (1, 4, 1), (2, 5, -1)], "actor_id long, document_id long, score int")
     actors = spark.createDataFrame([(i, f"a{i}") for i in range(1, 4)], "id long, name string")
     assert {(r.a, r.b): r.correlation for r in coalition.vote_correlation(far, actors, 0.0).collect()} == {("a1", "a2"): 0.667, ("a1", "a3"): 0.408}
@@ -296,3 +297,42 @@ def test_dictionary_longest_first(spark):
                 t = t.replace(n, " ")
                 want.setdefault(i, []).append(n)
     assert got == want
+
+
+@pytest.mark.parametrize("least, in_block", [(0.7, 16), (0.3, 16), (-1.0, 16), (0.7, 512)])
+def test_correlation_in_squares(spark, monkeypatch, least, in_block):
+    """Against plain matrices, with pairs that pass, pairs without common votes, and actors of no variance."""
+    import numpy as np
+
+    monkeypatch.setattr(coalition, "ACTORS_IN_BLOCK", in_block)
+    rng = np.random.default_rng(5)
+    n, docs = 90, 120
+    x = rng.choice([-1, 0, 1], (n, docs)) * (rng.random((n, docs)) < np.linspace(0.02, 1, n)[:, None])
+    for a in range(0, 60, 4):
+        x[a + 1] = np.where(rng.random(docs) < 0.1, x[a + 1], x[a])  # a pair that votes together
+    x[88] = 1
+    cells = [(int(a), int(d), int(x[a, d])) for a in range(n) for d in range(docs) if x[a, d] or (a + d) % 7 == 0]
+    scores = spark.createDataFrame(cells, "actor_id long, document_id long, score int").repartition(3)
+    actors = spark.createDataFrame([(a, f"actor {n - a:03d}") for a in range(n)], "id long, name string")
+    x = np.zeros((n, docs))
+    for a, d, v in cells:
+        x[a, d] = v
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.corrcoef(x)
+    want = sorted((-round(float(c[a, b]), 3), *sorted((f"actor {n - a:03d}", f"actor {n - b:03d}"))) for a in range(n) for b in range(a) if c[a, b] > least)[:25]
+    got = coalition.vote_correlation(scores, actors, least, 25)
+    assert [(-r.correlation, r.a, r.b) for r in got.collect()] == want and want
+    if least == 0.7 and in_block == 16:
+        sums = scores.groupBy("actor_id").agg(F.sum("score").cast("long").alias("s"), F.sum(F.col("score") * F.col("score")).cast("long").alias("q")).filter(docs * F.col("q") > F.col("s") * F.col("s"))
+        assert coalition.possible_squares(coalition.in_blocks(sums, ["q", "s", "actor_id"]), docs, least).count() < 21  # of 6 blocks
+
+
+def test_correlation_of_fifty_thousand_actors(spark):
+    """Far more than one block; squares of actors with few votes and actors with many are not multiplied."""
+    rows = spark.range(50_000).select(F.col("id").alias("actor_id"), F.explode(F.sequence(F.lit(0), 1 + (F.col("id") / 5000).cast("int"))).alias("k"))
+    scores = rows.select("actor_id", F.pmod(F.xxhash64(F.col("actor_id") - F.when(F.col("actor_id") % 1000 == 1, 1).otherwise(0), "k"), F.lit(3000)).alias("document_id")).distinct().withColumn("score", F.lit(1))
+    actors = spark.range(50_000).select("id", F.concat(F.lit("a"), F.format_string("%05d", "id")).alias("name"))
+    top = coalition.vote_correlation(scores, actors, 0.95, 1000)
+    assert "NestedLoop" not in top._jdf.queryExecution().executedPlan().toString()
+    pairs = {(r.a, r.b) for r in top.collect()}
+    assert {(f"a{a:05d}", f"a{a + 1:05d}") for a in range(20_000, 50_000, 1000)} <= pairs
