@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,10 +52,3 @@ def workspace(spark: SparkSession, name: str) -> Iterator[str]:
 def few(df: DataFrame, most: int) -> bool:
     """Whether there are at most ``most`` rows; reads no more of them than it has to."""
     return df.limit(most + 1).count() <= most
-
-
-def small(df: DataFrame, most: int, what: str) -> DataFrame:
-    """A table that goes to every task: marked for broadcast once its rows are known to be at most ``most``."""
-    if not few(df, most):
-        raise ValueError(f"more than {most} rows of {what}")
-    return broadcast(df)

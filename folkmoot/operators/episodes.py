@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot._store import small
+from folkmoot._store import few, kept
+from folkmoot.operators.scans import row_number
+
+BROADCAST_COUNTRIES = 10_000
+COUNTRIES_IN_LIST, SHARES = 1000, 64  # of a longer table of countries, and of the trajectories that meet a list
 
 # Codes of stages and actions, which actions a stage allows, and the order of a state's numbers.
 STAGE_NAMES = ["DRAFT", "COMMITTEE_VOTE", "PLENARY_VOTE", "TERMINAL"]
@@ -31,19 +35,32 @@ def state(stage: int, **known: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), *[known.get(c, F.lit(0)).cast("int").alias(c) for c in SCALARS])
 
 
-def episodes(trajectories: DataFrame, countries: DataFrame, most_countries: int = 10_000) -> DataFrame:
+def for_each_country(facts: DataFrame, countries: DataFrame) -> DataFrame:
+    """Every row of ``facts`` with every ``country``, as asked. A short table of countries is told to every task; a longer
+    one is cut into lists, which meet shares of the facts by an equi-join."""
+    if few(countries, BROADCAST_COUNTRIES):
+        return facts.crossJoin(F.broadcast(countries))
+    placed = row_number(countries.withColumn("whole", F.lit(0)), ["whole"], ["country"], "place")
+    lists = kept(placed.groupBy(F.floor((F.col("place") - 1) / COUNTRIES_IN_LIST).cast("int").alias("list")).agg(F.collect_list("country").alias("names")), "countries")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = facts.withColumn("share", F.pmod(F.xxhash64("trajectory_id"), F.lit(SHARES)).cast("int")).withColumn("list", every(lists.count()))
+    met = dealt.join(lists.withColumn("share", every(SHARES)), ["list", "share"])
+    return met.withColumn("country", F.explode("names")).drop("list", "share", "names")
+
+
+def episodes(trajectories: DataFrame, countries: DataFrame) -> DataFrame:
     """(trajectory_id, country, t, state, action, next_state, reward, done): three steps per trajectory and country.
 
     trajectories: trajectory_id, topic_id, sponsors, committee and plenary structs of name arrays (yes, no, abstain),
-    final_outcome (null: adopted); one without sponsors, committee or plenary vote gives no episode. Countries are a
-    dimension table, and every trajectory has an episode for each. What countries do is joined in long form, one row for
+    final_outcome (null: adopted); one without sponsors, committee or plenary vote gives no episode. Every trajectory has
+    an episode for each country, however many there are. What countries do is joined in long form, one row for
     each listed name; a country that a vote does not list abstains. Texts and titles stay with the trajectory.
 
     The state of the draft stage is left twice: before and after sponsors join (t = 0 and 1). Each vote then shows in the
     state behind it (t = 3 and 4); the state in which the committee votes (t = 2) is no result of a step.
     """
     whole = trajectories.filter("sponsors is not null and committee is not null and plenary is not null")
-    dimension = small(countries.select("country").distinct(), most_countries, "countries")
+    dimension = kept(countries.select("country").filter("country is not null").distinct(), "countries")
     said = lambda a, at, code: F.transform(a, lambda x: F.struct(x.alias("country"), F.lit(at).alias("at"), F.lit(code).alias("action")))
     names = [said(F.col("sponsors"), "sponsor", COSPONSOR)] + [said(F.col(f"{at}.{k}"), at, code) for at in ("committee", "plenary") for k, code in LISTS.items()]
     empty = F.array().cast("array<struct<country:string,at:string,action:int>>")
@@ -52,7 +69,7 @@ def episodes(trajectories: DataFrame, countries: DataFrame, most_countries: int
     did = told.groupBy("trajectory_id", "country").agg(F.bool_or(F.col("at") == "sponsor").alias("sponsor"), *[F.min(F.when(F.col("at") == at, F.col("action"))).alias(at) for at in ("committee", "plenary")])
     n = lambda stage, k: F.coalesce(F.array_size(F.col(f"{stage}.{k}")), F.lit(0)).alias(f"{stage}_{k}")
     facts = whole.select("trajectory_id", "topic_id", F.size("sponsors").alias("sponsor_count"), F.coalesce("final_outcome", F.lit("adopted")).alias("outcome"), *[n(s, k) for s in ("committee", "plenary") for k in LISTS])
-    rows = facts.crossJoin(dimension).join(did, ["trajectory_id", "country"], "left")
+    rows = for_each_country(facts, dimension).join(did, ["trajectory_id", "country"], "left")
     is_sponsor = F.coalesce("sponsor", F.lit(False))
     base = {"topic_id": F.col("topic_id"), "sponsor_count": F.col("sponsor_count")}
     joined = {**base, "agent_is_sponsor": is_sponsor}

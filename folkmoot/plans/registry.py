@@ -259,6 +259,17 @@ def f17(s, d):
     return lookups.utterances_by_agenda(b.utterances(s, d), b.nodes(s, d), "1")
 
 
+@query("f16_divergent_customers", f"""SELECT DISTINCT c_name AS symbol FROM {VOTES} a JOIN orders p ON a.document_id = p.o_orderkey JOIN customer ON c_custkey = p.o_custkey JOIN orders q ON q.o_custkey = p.o_custkey JOIN {VOTES} b ON b.document_id = q.o_orderkey
+ WHERE a.vote_type = 'in_favour' AND b.vote_type = 'against' AND a.actor_id = (SELECT id FROM {ACTORS} ORDER BY name LIMIT 1) AND b.actor_id = (SELECT id FROM {ACTORS} ORDER BY name LIMIT 1 OFFSET 1)""")
+def f16b(s, d):
+    """Customers as documents, so that two suppliers meet: in favour by the first, against by the second."""
+    two = [r["name"] for r in b.actors(s, d).orderBy("name").limit(2).collect()] + ["", ""]
+    orders = b.table(s, d, "orders").select(F.col("o_orderkey").alias("document_id"), "o_custkey")
+    votes = b.votes(s, d).join(orders, "document_id").drop("document_id").withColumnRenamed("o_custkey", "document_id")
+    docs = b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("symbol"))
+    return lookups.divergent_votes(votes, b.actors(s, d), docs, two[0], "in_favour", two[1], "against")
+
+
 @query("f19_documents_by_subject", f"SELECT symbol, doc_type, upper(trim(title)) AS subject FROM {DOCS}")
 def f19(s, d):
     docs = b.documents(s, d)
@@ -445,13 +456,13 @@ def i2(s, d):
 
 @query("i2_semantic_search_utterances", f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), m AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS id, c_nationkey % 5 + 76 AS session FROM customer),
  r AS (SELECT u.id, speaker_affiliation, speaker_name, agenda_item_number AS agenda_item, m.id AS meeting_symbol, left(text, 500) AS text_preview, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS similarity
-  FROM {UTTERANCES} u JOIN embeddings e ON e.vec_id = (u.conv_id * 31 + u.position_in_meeting) % 500 JOIN m ON m.id = u.meeting_id, q WHERE m.session = 78 AND (speaker_affiliation ILIKE '%ASSIST%' OR speaker_affiliation ILIKE '%use%'))
+  FROM {UTTERANCES} u JOIN embeddings e ON e.vec_id = (u.conv_id * 31 + u.position_in_meeting) % (SELECT count(*) FROM embeddings) JOIN m ON m.id = u.meeting_id, q WHERE m.session = 78 AND (speaker_affiliation ILIKE '%ASSIST%' OR speaker_affiliation ILIKE '%use%'))
  SELECT * REPLACE (round(similarity, 4) AS similarity) FROM r WHERE similarity >= -0.5 ORDER BY r.similarity DESC, id LIMIT 10""")
 def i2b(s, d):
     """Speeches with the embedding of a numbered vector, in meetings of one session, by users and assistants."""
     e = b.table(s, d, "embeddings")
     first = e.filter("vec_id = 0").select("embedding").first()
-    u = b.utterances(s, d).withColumn("vec_id", (F.col("conv_id") * 31 + F.col("position_in_meeting")) % 500).join(e.select("vec_id", F.col("embedding").alias("text_embedding")), "vec_id")
+    u = b.utterances(s, d).withColumn("vec_id", (F.col("conv_id") * 31 + F.col("position_in_meeting")) % max(1, e.count())).join(e.select("vec_id", F.col("embedding").alias("text_embedding")), "vec_id")
     meetings = b.table(s, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_nationkey") % 5 + 76).alias("session")).withColumn("symbol", F.col("id"))
     return vectors.semantic_search_utterances(u, meetings, first["embedding"] if first else [1.0], speakers=["ASSIST", "use"], session=78, min_similarity=-0.5, k=10)
 
@@ -728,6 +739,15 @@ def e3c(s, d):
     return tables.placeholders(docs, b.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_linestatus").alias("doc_type"))).select("symbol", "doc_type")
 
 
+@query("e3_placeholders_of_late_parts", "SELECT 'P' || CAST(l_partkey AS VARCHAR) AS symbol, min(l_linestatus) AS doc_type FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1")
+def e3d(s, d):
+    """Of parts, the small ones are loaded; line items refer to all."""
+    named = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    docs = b.table(s, d, "part").filter("p_size <= 25").select(named.alias("symbol"))
+    referred = b.table(s, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"), F.col("l_linestatus").alias("doc_type"))
+    return tables.placeholders(docs, referred).select("symbol", "doc_type")
+
+
 @query("e4_refresh_body", "WITH b AS (SELECT source, arg_max(text, struct_pack(a := length(text), b := encode(text))) AS new_text FROM documents GROUP BY 1) SELECT doc_id, CASE WHEN length(new_text) > length(coalesce(text, '')) THEN new_text ELSE text END AS body_text FROM documents d LEFT JOIN b ON d.source = b.source")
 def e4(s, d):
     docs = b.table(s, d, "documents").select("doc_id", F.col("source").alias("symbol"), F.col("text").alias("body_text"))

@@ -336,3 +336,17 @@ def test_correlation_of_fifty_thousand_actors(spark):
     assert "NestedLoop" not in top._jdf.queryExecution().executedPlan().toString()
     pairs = {(r.a, r.b) for r in top.collect()}
     assert {(f"a{a:05d}", f"a{a + 1:05d}") for a in range(20_000, 50_000, 1000)} <= pairs
+
+
+def test_episodes_of_many_countries(spark, monkeypatch):
+    """A table of countries that is too long to be told to every task gives the same episodes."""
+    rows = [(f"t{k}", k, [f"c{k}", "c1"], {"yes": ["c1"], "no": [f"c{k + 1}"], "abstain": []}, {"yes": ["c2"], "no": None, "abstain": ["c1"]}, "adopted" if k % 2 else "rejected") for k in range(6)] + [("t9", 1, None, None, None, None)]
+    vote = "struct<yes:array<string>,no:array<string>,abstain:array<string>>"
+    told = spark.createDataFrame(rows, f"trajectory_id string, topic_id int, sponsors array<string>, committee {vote}, plenary {vote}, final_outcome string")
+    countries = spark.createDataFrame([(f"c{k}",) for k in range(40)] * 2 + [(None,)], "country string")
+    want = sorted(map(str, episodes.episodes(told, countries).collect()))
+    monkeypatch.setattr(episodes, "BROADCAST_COUNTRIES", 10)
+    monkeypatch.setattr(episodes, "COUNTRIES_IN_LIST", 7)
+    got = episodes.episodes(told, countries)
+    assert sorted(map(str, got.collect())) == want and len(want) == 6 * 40 * 3
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
