@@ -7,6 +7,9 @@ window. Lines between a surge and its dive are kept, but for short ones at eithe
 Lines outside that belong to a kept run stay with it: what stands between two of its lines in one container, sentences
 and headings of the same container, and paragraphs of the container or list items that follow it, behind a gap, too.
 
+Where one container holds more than half of the weight of all lines, what the windows keep outside of it stays only in
+stretches that are fuller than ``surge``, and than ``BESIDE`` of what they keep inside. That needs no name of a tag or class.
+
 Markup supports the windows. All lines of the article that holds most text are kept, and of those beside it in the same
 container, or of at least ``LIKE`` times its characters a line, unless they are mostly links; if the runs outside hold
 more text than these, and at least ``BULK`` characters, the windows alone decide. Elements that never hold it (menus, footers,
@@ -37,6 +40,7 @@ WINDOW = 3
 SURGE, DIVE = 120, 30
 BULK = 500
 LIKE = 0.5
+BESIDE = 0.1
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>")
 INSIDE_TAG = r"(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>])*+)>"
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)" + INSIDE_TAG + r"|<![^>]*>|<\?[^>]*>", re.S | re.I)  # what they hold is no markup
@@ -160,8 +164,10 @@ def _size(text: str) -> int:
     return len(" ".join(references.unescape(text).split()))
 
 
-def page_lines(page: str) -> list[Line]:
-    """Lines in page order; an empty one stands for a gap."""
+def page_lines(page: str, parents: list[int] | None = None) -> list[Line]:
+    """Lines in page order; an empty one stands for a gap. ``parents`` gets the container around each, by number."""
+    parents = [] if parents is None else parents
+    parents[:] = [-1]
     page = read_part(page)
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in TAG.finditer(page, 0, page.rfind(">") + 1)]
     linking, since = [False] * (len(tags) + 1), None  # by tag: whether the text behind it is in a link
@@ -241,6 +247,7 @@ def page_lines(page: str) -> list[Line]:
             if tag in UNCLOSED and stack[-1][0] == tag:
                 open_[stack.pop()[0]] -= 1
             places += 1
+            parents.append(stack[-1][1])
             stack.append((tag, places, stack[-1][1]))
             open_[tag] = open_.get(tag, 0) + 1
     text.append(page[at:])
@@ -271,12 +278,33 @@ def runs(lengths: list[int], window: int = WINDOW, surge: float = 0, dive: float
     return found
 
 
-def text_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[int]:
-    """Places in ``lines`` of those that the window sums keep, and of those that belong to them."""
+def main_container(lines: list[Line], parents: list[int], weights: list[int]) -> list[bool]:
+    """Of every container, whether it is the innermost one with more than half of all weight, or inside of that."""
+    held = [0] * len(parents)
+    for line, w in zip(lines, weights):
+        held[line.place] += w
+    total = sum(held)
+    for place in range(len(parents) - 1, 0, -1):  # containers are numbered as they open
+        held[parents[place]] += held[place]
+    main = max(place for place, w in enumerate(held) if 2 * w > total or place == 0)
+    inside = [False] * len(parents)
+    for place in range(len(parents)):
+        inside[place] = place == main or (place > 0 and inside[parents[place]])
+    return inside
+
+
+def text_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE, parents: list[int] | None = None) -> list[int]:
+    """Places in ``lines`` of those that the window sums keep, and of those that belong to them.
+
+    Where one container holds more than half of the page's weight, lines outside of it stay only in stretches that are
+    themselves fuller than ``surge`` and than ``BESIDE`` of what is kept inside; so a short notice beside the text goes,
+    whatever it is called.
+    """
     weights = [line.weight for line in lines]
     if not any(weights):  # nothing but links
         weights = [len(line.text) for line in lines]
     most = max(window_sums(weights, window), default=0)
+    bulk = surge
     surge = min(surge, most / 2)
     dive = min(dive, surge / 4)
     least = surge / window
@@ -303,16 +331,29 @@ def text_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE, di
         follows = behind and (line.tag in ITEMS or (held and not line.linked and (line.tag in PARAGRAPHS or bool(SENTENCE.search(line.text)))))
         kept[i] = kept[i] or (weights[i] > 0 and (depth > 0 or follows or (line.prose and held)))
         behind = kept[i]
+    if parents is not None and len(parents) > 1:
+        inside = main_container(lines, parents, weights)
+        least = max(bulk, BESIDE * sum(w for line, w, k in zip(lines, weights, kept) if k and inside[line.place]))
+        stretch: list[int] = []
+        for i in range(len(lines) + 1):
+            if i < len(lines) and (not lines[i].text or not inside[lines[i].place]):
+                stretch.append(i)
+                continue
+            if sum(weights[j] for j in stretch if kept[j]) < least:
+                for j in stretch:
+                    kept[j] = False
+            stretch = []
     return [i for i, line in enumerate(lines) if kept[i] and line.text]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
-    lines = page_lines(page or "")
+    parents: list[int] = []
+    lines = page_lines(page or "", parents)
     articles: dict[int, list[Line]] = {}
     for line in lines:
         if line.article and line.text:
             articles.setdefault(line.article, []).append(line)
-    spread = text_lines(lines, window, surge, dive)
+    spread = text_lines(lines, window, surge, dive, parents)
     if articles:
         weight = {a: sum(len(line.text) - line.linked for line in own) for a, own in articles.items()}
         best = max(articles, key=lambda a: (weight[a], sum(len(line.text) for line in articles[a]), -a))

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import re
 import time
 from collections import Counter
 from html.parser import HTMLParser
@@ -271,6 +272,35 @@ def test_given_pages_as_a_plain_reader_has_them():
     assert hit > 0.97 * total, (hit, total)
 
 
+def test_windows_find_the_article_without_names(monkeypatch):
+    """With article, structural tags and class names made anonymous, only the windows are left."""
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+
+    def measured():
+        kept = whole = left = boilerplate = 0
+        for page in pages:
+            want = Counter(html_main_text.main_text(page).split("\n"))
+            bare = re.sub(r' (?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|main|aside|section)\b", r"<\1div", page))
+            got, every = Counter(html_main_text.main_text(bare).split("\n")), Counter(line.text for line in html_main_text.page_lines(bare) if line.text)
+            size = lambda lines: sum(len(t) * n for t, n in lines.items())
+            kept, whole, left, boilerplate = kept + size(want & got), whole + size(want), left + size(got - want), boilerplate + size(every - want)
+        return kept / whole, left / boilerplate
+
+    kept, left = measured()
+    assert kept >= 0.95 and left <= 0.1, (kept, left)
+    off = lambda lines, *a, **k: [i for i, line in enumerate(lines) if line.text]
+    monkeypatch.setattr(html_main_text, "text_lines", off)
+    assert measured()[1] > 0.9  # all of it stays without them
+
+
+def test_stretches_beside_the_main_container():
+    long = ("A long text goes on. " * 40).strip()
+    notice, story = "Buy it now, it is the best.", ("Another part of the story. " * 12).strip()
+    page = f"<body><div><p>{notice}</p></div><div><h1>Title</h1><p>{long}</p><div><p>{long}</p></div></div>%s</body>"
+    assert html_main_text.main_text(page % f"<div><p>{notice}</p></div>") == f"Title\n{long}\n{long}"
+    assert html_main_text.main_text(page % f"<div><p>{story}</p></div>") == f"Title\n{long}\n{long}\n{story}"
+
+
 def test_unread_elements_hide_only_what_they_hold():
     for tag in ("svg", "math", "iframe", "object", "canvas", "template", "audio", "video", "script", "style", "noscript", "textarea", "title"):
         for empty in (f"<{tag}/>", f'<{tag} class="i" />', f"<{tag}>", f"<{tag}></{tag}>"):
