@@ -40,7 +40,9 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, keep: str, hot_rows: int
     rows = rows.withColumn("hash", F.xxhash64(F.lower(text)))  # equal normalised texts are equal in lower case
     least = max(hot_rows, docs.count() // HOT_SHARE)
     hot = stored(rows.groupBy("hash").count().filter(F.col("count") > least).select("hash", F.lit(True).alias("hot")), "hot-texts")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(-1))
+    # By partition as well as by id, as copies may share an id or have none. A task that runs again has the same rows, so they
+    # get the same salts.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts))).otherwise(F.lit(-1))
     dealt = rows.join(F.broadcast(hot), "hash", "left").withColumns({"salt": salt, "head": F.lower(F.substring(text, 1, SPLIT_CHARS))})
     ranged = dealt.select("row", "doc_id", "hash", "salt", "head").repartitionByRange("head", "hash", "salt")
     same = Window.partitionBy("head", "hash", "salt", "norm")

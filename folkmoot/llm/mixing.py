@@ -31,6 +31,7 @@ from folkmoot.llm._common import stored, workspace
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 4096
 MOST_COPIES = 3.0
+ALIKE_SHARE = 1000
 LANDED = 1e-9
 
 
@@ -118,6 +119,25 @@ def _fly(final: bool):
     return run
 
 
+def numbered(rows: DataFrame, alike: list[str], folder: str) -> DataFrame:
+    """With a ``number`` from 1 among the rows that agree in ``alike``. They are the same to the mix, so it does not matter which
+    has which, and the numbers do not depend on partitions.
+
+    Where more than one row in ``ALIKE_SHARE`` agree, say empty texts without an id, rows are numbered for each ``part`` that
+    they came from, behind the counts of the parts before it.
+    """
+    total, kind = rows.count(), F.xxhash64(*alike)
+    hot = stored(rows.groupBy(kind.alias("kind")).count().filter(F.col("count") > max(1, total // ALIKE_SHARE)).select("kind", F.lit(True).alias("hot")), "alike", folder)
+    dealt = rows.withColumn("kind", kind).join(F.broadcast(hot), "kind", "left").withColumn("of_part", F.when(F.col("hot"), F.col("part")).otherwise(-1)).drop("hot")
+    counts = dealt.filter("of_part >= 0").groupBy("kind", *alike, "of_part").count()  # a row for each kind and part
+    earlier = F.sum("count").over(Window.partitionBy("kind", *alike).orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = stored(counts.select("kind", F.struct(*alike).alias("same"), "of_part", F.coalesce(earlier, F.lit(0)).alias("before")), "before", folder)
+    inside = dealt.withColumn("number", F.row_number().over(Window.partitionBy("kind", *alike, "of_part").orderBy(F.lit(0))))
+    of = before.select(F.col("kind").alias("b_kind"), "same", F.col("of_part").alias("b_part"), "before")
+    met = inside.join(of, (F.col("kind") == F.col("b_kind")) & (F.col("of_part") == F.col("b_part")) & F.struct(*alike).eqNullSafe(F.col("same")), "left")
+    return met.withColumn("number", F.col("number") + F.coalesce("before", F.lit(0))).drop("kind", "of_part", "b_kind", "b_part", "same", "before")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 17, key_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, and row_key with a ``key_col``.
 
@@ -132,7 +152,7 @@ def _mixed(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         *([] if key_col is None else [F.col(key_col).cast("string").alias("row_key")]),
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("of_text"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("of_text"), F.spark_partition_id().alias("part"),
     )
     rows = stored(rows, "sizes", folder)
     sources = stored(ranked_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, folder), "sources", folder)
@@ -140,12 +160,11 @@ def _mixed(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str
     sources = sources.withColumn("target", target).withColumns({"ratio": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), "blocks": F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("long")})
     blocks = sources.agg(F.max("blocks").alias("most")).first()["most"] or 0
     whole = rows.join(sources.select(F.col("source").alias("of_source"), "source_size", "target", "ratio", "blocks"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    # Rows that are alike in all of this get numbers, which tell them apart; it does not matter which has which.
     alike = ["doc_id", "source", "size", "of_text", *carried]
-    number = F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0)))
-    known = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "size", "of_text", *carried)], F.hex(F.xxhash64("source")), number.cast("string"))
+    whole = numbered(whole, alike, folder)
+    known = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "size", "of_text", *carried)], F.hex(F.xxhash64("source")), F.col("number").cast("string"))
     whole = whole.withColumn("row", known)
-    whole = whole.withColumns({"base": F.floor("ratio"), "p": F.col("ratio") - F.floor("ratio"), "draw": F.xxhash64("row", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))}).drop("of_text")
+    whole = whole.withColumns({"base": F.floor("ratio"), "p": F.col("ratio") - F.floor("ratio"), "draw": F.xxhash64("row", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))}).drop("of_text", "part", "number")
     whole = stored(whole, "shares", folder)
     now = whole.select("row", "source", "size", "p", "draw", "blocks")
     schema = "row string, source string, size long, p double, draw long, blocks long"

@@ -324,10 +324,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
     """Encode every whole text, append ``end_id`` and write the shards in ascending order of id.
 
     One range shuffle of (id, text) sorts the documents; shards are cut inside its partitions, so a task holds one
-    shard of ``shard_tokens`` and the longest document at most.
+    shard of ``shard_tokens`` and the longest document at most. Rows of one id, or without one, are told apart by the
+    partition that they come from, so very many of them are several ranges; their order among themselves is that.
     """
-    by_id = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    by_id = by_id.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by_id = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    by_id = by_id.repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part").select("doc_id", "text")
     by_id.mapInArrow(_shards(tokenizer_file, end_id, shard_tokens, slice_bytes), SHARD_SCHEMA).write.parquet(path)
 
 

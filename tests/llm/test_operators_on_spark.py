@@ -414,3 +414,50 @@ def test_letters_decide_what_has_a_language(spark, docs):
     model = lang_id.fit(docs)
     labels, _, rejected = model.predict(["½ ²", "①", "_", "٣", "ª", "日", "x"])
     assert labels[:4] == ["und"] * 4 and all(rejected[:4]) and "und" not in labels[4:]
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """A third of the rows has no id and one text, another part has one id and one text."""
+    rows = [(None, "the same text"), (7, "one id")] * 2000 + [(100 + i, f"text {i} of many words") for i in range(2000)]
+    rng = np.random.default_rng(3)
+    return spark.createDataFrame([(rows[i][0], rows[i][1], "ab"[i % 2]) for i in rng.permutation(len(rows)).tolist()], "doc_id long, text string, source string").repartition(8)
+
+
+def test_copies_without_ids_are_dealt(spark, hot):
+    dealt = exact_dedup._dealt(hot, "doc_id", "text", "max", 100, 64)
+    for text_ in ("the same text", "one id"):
+        of_text = dealt.filter(F.col("text_sha256") == hashlib.sha256(text_.encode()).hexdigest())
+        most = max(r["count"] for r in of_text.groupBy("salt").count().collect())
+        assert most <= 2 * 2000 / 6  # eight partitions, so as many salts but for a few that coincide
+    got = exact_dedup.exact_groups(hot, keep="max", hot_rows=100).collect()
+    sizes = Counter((r.keep_id, r.group_size) for r in got)
+    assert len(got) == 6000 and sizes[None, 2000] == 2000 and sizes[7, 2000] == 2000 and sum(r.kept for r in got) == 2002
+
+
+def test_tokens_of_rows_without_ids(spark, hot):
+    path, file = scratch(spark, "t"), public_tokenizers.path("word_bpe_49k.json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    token_store.write_tokens(hot, path, file, 2, shard_tokens=200)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(path).filter(F.array_contains(F.transform("doc_ids", lambda x: x.isNull()), True)).select("part").distinct().count()
+    assert parts > 1
+    got = token_store.read_tokens(spark, path).orderBy("start").collect()
+    assert len(got) == 6000 and [r.doc_id for r in got] == [None] * 2000 + [7] * 2000 + list(range(100, 2100))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
+def test_numbers_of_alike_rows(spark, hot):
+    from folkmoot.llm._common import workspace
+
+    with workspace(spark, "t") as folder:
+        rows = hot.withColumn("part", F.spark_partition_id())
+        for cut in (rows, rows.repartition(3).withColumn("part", F.spark_partition_id()), rows.withColumn("part", F.lit(0))):
+            got = mixing.numbered(cut, ["doc_id", "text", "source"], folder)
+            assert got.columns == [*cut.columns, "number"]
+            by = defaultdict(list)
+            for r in got.collect():
+                by[r.doc_id, r.text, r.source].append(r.number)
+            assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values()) and sum(map(len, by.values())) == 6000
+    same = [Counter((r.doc_id, r.source, r.taken) for r in mixing.mix(d, block_rows=64).collect()) for d in (hot, hot.repartition(5))]
+    assert same[0] == same[1]  # however the rows are dealt
