@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
 from folkmoot.functions import text as x
-from folkmoot.operators import aggregates, coalition, episodes, evidence, graph, lookups, postings, sequences, tables, trajectories, vectors
+from folkmoot.operators import aggregates, cells, coalition, episodes, evidence, graph, lookups, postings, sequences, tables, trajectories, vectors
 from folkmoot.plans import bindings as b
 from folkmoot.plans.bindings import ACTORS, BOTH, DOCS, EDGES, LINKS, NODES, STEPS, UTTERANCES, VOTES
 from folkmoot.sources import readers, writers
@@ -474,6 +474,25 @@ def i3(s, d):
     return vectors.semantic_search_batch(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "vec_id", "embedding")
 
 
+@query("i1_semantic_search_cells", """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), r AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) AS similarity FROM embeddings, q)
+ SELECT vec_id, label, round(similarity, 4) AS similarity FROM r WHERE similarity >= 0.25 ORDER BY r.similarity DESC, vec_id LIMIT 10""")
+def i1c(s, d):
+    """From the cells of a stored index that can reach the similarity; the others are not read."""
+    e = b.table(s, d, "embeddings")
+    first = e.filter("vec_id = 0").select("embedding").first()
+    query_vector = first["embedding"] if first else [1.0]
+    index = cells.build(e, "vec_id", "embedding")
+    near = index.near(query_vector, min_similarity=0.25).select(F.col("id").alias("vec_id"), "v").join(e.select("vec_id", "label"), "vec_id")
+    return vectors.semantic_search(near, query_vector, "v", ["vec_id", "label"], "vec_id", min_similarity=0.25, k=10)
+
+
+@query("i3_semantic_search_cells", SQL["i3_semantic_search_batch"].replace("WHERE rank <= 10", "WHERE rank <= 10 AND similarity >= 0.2"))
+def i3c(s, d):
+    e = b.table(s, d, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return cells.build(e, "vec_id", "embedding").search(asked, min_similarity=0.2, exact=True)
+
+
 # ---- scalar projections (2.B)
 
 
