@@ -181,6 +181,24 @@ def upsert_utterances(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(existing.columns))
 
 
+def reload_utterances(existing: DataFrame, incoming: DataFrame, links: DataFrame, docs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """E14 in full: (utterances, links, edges) after speeches come again.
+
+    Speeches are told by (meeting_id, position_in_meeting); those that exist stay as they are. The references of every
+    incoming speech, known or new, are resolved again: a document that has come since is linked now, a pair that is linked
+    keeps its link, and meetings get their edges to what is linked. incoming: also ``documents`` and ``voting_on`` (E11).
+    """
+    key = ["meeting_id", "position_in_meeting"]
+    fresh = incoming.dropDuplicates(key)
+    after = upsert_utterances(existing, fresh.drop("documents", "voting_on"))
+    said = fresh.select(*key, "documents", "voting_on").join(after.select("id", *key), key)
+    found = link_utterances(said, docs)
+    new = found.join(links.select("utterance_id", "document_id"), ["utterance_id", "document_id"], "left_anti")
+    whole = links.unionByName(new.select(links.columns))
+    kept_edges = edges.select("source_id", "target_id", "relationship_type")
+    return after, whole, kept_edges.unionByName(meeting_edges(whole, after, docs, kept_edges))
+
+
 CHILDREN = {"votes": ["document_id", "vote_event_id"], "document_relationships": ["source_id", "target_id"], "utterances": ["meeting_id"], "utterance_documents": ["document_id", "utterance_id"], "document_subjects": ["document_id"], "sponsorships": ["document_id"]}
 
 

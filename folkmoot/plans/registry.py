@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import kept as stored
 from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
 from folkmoot.functions import text as x
-from folkmoot.operators import aggregates, cells, coalition, episodes, evidence, graph, lookups, postings, sequences, tables, trajectories, vectors
+from folkmoot.operators import aggregates, cells, coalition, episodes, evidence, graph, keyed, lookups, postings, sequences, tables, trajectories, vectors
 from folkmoot.plans import bindings as b
 from folkmoot.plans.bindings import ACTORS, BOTH, DOCS, EDGES, LINKS, NODES, STEPS, UTTERANCES, VOTES
 from folkmoot.sources import readers, writers
@@ -752,6 +753,17 @@ def e3b(s, d):
     return tables.merge_documents(*halves(s, d), "overwrite").select("symbol", "doc_type", "title", "body_text")
 
 
+@query("e3_merge_by_buckets", MERGED)
+def e3e(s, d):
+    """Documents in a table of buckets, into which the others are merged twice."""
+    columns = ["id", "symbol", "doc_type", "title", "date", "session", "body_text", "doc_metadata"]
+    old, new = halves(s, d)
+    at = keyed.KeyedTable.create(old.select(columns), f"{stored_below(s)}/documents-{uuid.uuid4().hex[:12]}", ["symbol"], 16)
+    for _ in range(2):
+        at.merge(new, lambda old_, new_: tables.merge_documents(old_, new_, "fill", keep_resolutions=True))
+    return at.rows().select("symbol", "doc_type", "title", "body_text")
+
+
 @query("e3_placeholders", "SELECT CAST(l_partkey AS VARCHAR) AS symbol, min(l_linestatus) AS doc_type FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def e3c(s, d):
     docs = b.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("symbol"))
@@ -850,6 +862,27 @@ def e14(s, d):
     return tables.upsert_utterances(u.filter("position_in_meeting % 2 = 0"), u.withColumn("text", F.concat(F.lit("new "), "text")))
 
 
+@query("e14_relinked", f"""SELECT 'link' AS kind, CAST(utterance_id AS VARCHAR) AS a, CAST(document_id AS VARCHAR) AS b, reference_type AS c, document_id % 2 = 1 AS late FROM {LINKS}
+ UNION ALL SELECT 'edge', 'C' || CAST(conv_id AS VARCHAR), CAST(d.id AS VARCHAR), 'meeting_record_for', d.id % 2 = 1 FROM (SELECT DISTINCT conv_id FROM conversations) u JOIN {DOCS} d ON u.conv_id = d.custkey WHERE doc_type IN ('resolution', 'draft')""")
+def e14b(s, d):
+    """Speeches loaded while only documents of even numbers were there, and loaded again when all are."""
+    u, docs = b.utterances(s, d), b.documents(s, d)
+    said = u.select("id", "meeting_id", "position_in_meeting", "text")
+    named = b.links(s, d).join(docs.select(F.col("id").alias("document_id"), "symbol"), "document_id").groupBy(F.col("utterance_id").alias("id")).agg(
+        F.collect_list(F.when(F.col("reference_type") == "mentioned", F.struct("symbol", F.lit(None).cast("string").alias("context")))).alias("documents"), F.collect_list(F.when(F.col("reference_type") == "voting_on", F.col("symbol"))).alias("voting_on")
+    )
+    incoming = said.join(named, "id", "left")
+    early = docs.filter("id % 2 = 0")
+    none = s.createDataFrame([], "utterance_id long, document_id long, reference_type string, context string")
+    no_edges = s.createDataFrame([], "source_id string, target_id long, relationship_type string")
+    _, links, edges = tables.reload_utterances(said.limit(0), incoming, none, early, no_edges)
+    links, edges = stored(links, "links"), stored(edges, "edges")
+    _, after, edges_after = tables.reload_utterances(said, incoming, links, docs, edges)
+    late = F.col("document_id").cast("long") % 2 == 1
+    rows = after.select(F.lit("link").alias("kind"), F.col("utterance_id").cast("string").alias("a"), F.col("document_id").cast("string").alias("b"), F.col("reference_type").alias("c"), late.alias("late"))
+    return rows.unionByName(edges_after.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").cast("string").alias("b"), F.col("relationship_type").alias("c"), (F.col("target_id") % 2 == 1).alias("late")))
+
+
 @query("e15_purge_documents", f"""WITH g AS (SELECT id FROM {DOCS} WHERE doc_type = 'meeting'), u AS (SELECT id FROM {UTTERANCES} WHERE conv_id NOT IN (SELECT id FROM g)),
  v AS (SELECT event_id, user_id, CASE WHEN event_id NOT IN (SELECT id FROM g) THEN event_id END AS target FROM events WHERE user_id NOT IN (SELECT id FROM g))
  SELECT 'documents' AS name, CAST(id AS VARCHAR) AS row FROM {DOCS} WHERE doc_type <> 'meeting' UNION ALL SELECT 'votes', CAST(document_id AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM {VOTES} WHERE document_id NOT IN (SELECT id FROM g)
