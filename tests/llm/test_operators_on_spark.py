@@ -461,3 +461,25 @@ def test_numbers_of_alike_rows(spark, hot):
             assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values()) and sum(map(len, by.values())) == 6000
     same = [Counter((r.doc_id, r.source, r.taken) for r in mixing.mix(d, block_rows=64).collect()) for d in (hot, hot.repartition(5))]
     assert same[0] == same[1]  # however the rows are dealt
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    """Deep trees, nodes of several blocks, single precision, and a third of the rows in one place."""
+    monkeypatch.setattr(ann_forest, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann_forest, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((20, 16))[np.arange(1800) % 20] + 0.3 * rng.standard_normal((1800, 16))).astype(np.float32)
+    x[:600] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v], "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, node string")
+    got = defaultdict(list)
+    for r in ann_forest.nearest(df, lambda c: c % 50 == 0, k=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    wide, hit = x.astype(np.float64), 0
+    for q in range(0, 1800, 50):
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        exact = [i for i in np.lexsort((np.arange(1800), d)) if i != q][:10]
+        assert len(got[q]) == 10 and all(abs(d[i] - s) < 1e-12 for i, s in got[q])
+        hit += len(set(exact) & {i for i, _ in got[q]})
+        if q < 600:
+            assert [i for i, _ in got[q]] == exact
+    assert hit >= 0.9 * 10 * 36
