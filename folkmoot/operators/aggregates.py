@@ -123,6 +123,22 @@ def expire(turns: DataFrame, conv: str, ts: str, hours: float, now: Column) -> D
     return last.filter(F.unix_timestamp("last") < F.unix_timestamp(now) - hours * 3600)
 
 
+def conversation_sessions(turns: DataFrame, conv: str, ts: str, hours: float) -> DataFrame:
+    """(conv, first, last, turns) of every stretch of a conversation without a pause of more than the given hours.
+
+    Turns of one span of that length belong together, so they are added up before the shuffle: a conversation that holds
+    most of all turns is a row a span. Turns without a time are in none; those without a conversation make up one.
+    """
+    gap = round(hours * 3_600_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    spans = turns.filter(F.col(ts).isNotNull()).groupBy(conv, (at - F.pmod(at, F.lit(gap))).alias("span"))
+    spans = spans.agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("turns"), F.min(at).alias("from"), F.max(at).alias("to"))
+    order = Window.partitionBy(conv).orderBy("span")
+    opens = F.coalesce(F.col("from") - F.lag("to").over(order) > gap, F.lit(True)).cast("int")
+    told = spans.withColumn("opens", opens).withColumn("number", F.sum("opens").over(order))
+    return told.groupBy(conv, "number").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("turns").alias("turns")).drop("number")
+
+
 def top_voters_on(votes: DataFrame, actors: DataFrame, docs: DataFrame, keyword: str, vote_type: str, k: int = 10) -> DataFrame:
     """Actors that most often cast a vote on documents whose title holds a keyword."""
     about = docs.filter(F.col("title").ilike(f"%{keyword}%")).select(F.col("id").alias("document_id"))

@@ -47,6 +47,14 @@ class KeyedTable:
         _written(_bucketed(rows, key, buckets), path, key)
         return cls(rows.sparkSession, path, rows.schema, key, buckets)
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: StructType, key: list[str], buckets: int = 64) -> KeyedTable:
+        """The table at the path, which has to have as many buckets; an empty one where there is none."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return cls.create(spark.createDataFrame([], schema), path, key, buckets)
+        return cls(spark, path, schema, key, buckets)
+
     def stored(self) -> DataFrame:
         return self.spark.read.schema(StructType([*self.schema.fields, StructField("bucket", IntegerType())])).parquet(self.path)
 

@@ -17,6 +17,7 @@ from folkmoot.operators import aggregates, cells, coalition, episodes, evidence,
 from folkmoot.plans import bindings as b
 from folkmoot.plans.bindings import ACTORS, BOTH, DOCS, EDGES, LINKS, NODES, STEPS, UTTERANCES, VOTES
 from folkmoot.sources import readers, writers
+from folkmoot.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,6 +136,25 @@ def g16b(s, d):
     return aggregates.expire(e, "user_id", "ts", 12, F.lit(newest))
 
 
+SESSIONS = """SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS turns FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS number
+ FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, number"""
+
+
+@query("g16_sessions", SESSIONS)
+def g16c(s, d):
+    return aggregates.conversation_sessions(b.table(s, d, "events"), "user_id", "ts", 12)
+
+
+@query("g16_streamed_sessions", f"SELECT user_id, first, last, turns FROM ({SESSIONS}), (SELECT max(ts) AS newest FROM events) WHERE last + INTERVAL 13 HOURS <= date_trunc('milliseconds', newest)")
+def g16d(s, d):
+    e = b.table(s, d, "events")
+    out = f"{stored_below(s)}/sessions-{uuid.uuid4().hex[:12]}"
+    turns = s.readStream.schema(e.schema).parquet(f"{d}/{{events}}.parquet")  # a pattern, as the table may be one file
+    sessions.stream_sessions(turns, ["event_id"], "user_id", "ts", 12, "1 hour", f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = s.read.schema(e.select("user_id", F.col("ts").cast("timestamp").alias("first"), F.col("ts").cast("timestamp").alias("last"), F.lit(0).cast("long").alias("turns")).schema).parquet(f"{out}/rows")
+    return rows.withColumn("first", F.col("first").cast(e.schema["ts"].dataType)).withColumn("last", F.col("last").cast(e.schema["ts"].dataType))
+
+
 @query("g17_top_voters_on", f"SELECT name, count(*) AS n FROM {VOTES} v JOIN {ACTORS} a ON v.actor_id = a.id JOIN {DOCS} d ON v.document_id = d.id WHERE vote_type = 'against' AND title ILIKE '%urgent%' GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
 def g17(s, d):
     return aggregates.top_voters_on(b.votes(s, d), b.actors(s, d), b.documents(s, d), "urgent", "against", 10)

@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from folkmoot.operators.keyed import KeyedTable
+from folkmoot.operators.tables import upsert_utterances
+
 KEY = ["meeting_id", "position_in_meeting"]
 
 
-def stream_utterances(spark: SparkSession, source: str, schema: StructType, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Appends speeches from new files whose (meeting_id, position_in_meeting) the table lacks.
+def stream_utterances(spark: SparkSession, source: str, schema: StructType, table_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Adds speeches from new files whose (meeting_id, position_in_meeting) the table lacks.
 
-    Every batch writes to its own ``batch=<n>`` folder, which a repeated batch overwrites, so a restart adds nothing
-    twice.
+    The table lies in buckets of that key, and a batch reads and writes the buckets of its own speeches only. A merge gives
+    the same when it is repeated, so a batch that a restart runs again adds nothing twice. A speech is never too late.
     """
+    table = KeyedTable.open(spark, table_path, schema, KEY, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(KEY)
-        if number:
-            have = spark.read.schema(schema.add("batch", "long")).option("basePath", table_path).parquet(table_path).filter(f"batch < {number}")
-            new = new.join(have.select(*KEY), KEY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        table.merge(batch, upsert_utterances)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
