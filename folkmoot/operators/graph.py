@@ -1,11 +1,15 @@
 """Traversal of the typed document graph (inventory F1 to F5), for many seeds at once.
 
-Every level is an equi-join of the frontier with the edges, made distinct at once, so paths never multiply. A join
-with ``source = x OR target = x`` is written as both directions of each edge. Levels are written to the shared folder.
+Seeds are dealt into blocks of 64, and a level holds a row for each node of a block, with a bit for each seed that has
+reached it. Every level is an equi-join of the frontier with the edges, whose bits are or-ed before and after the shuffle,
+so neither paths nor seeds multiply its rows. A join with ``source = x OR target = x`` is written as both directions of
+each edge. Levels that are read twice are written to the shared folder; seeds are told apart again at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,24 +25,58 @@ def both_ways(edges: DataFrame, loops: bool = False) -> DataFrame:
     return both if loops else both.filter("node <> next")
 
 
+def _dealt(seeds: DataFrame) -> DataFrame:
+    """(seed, block, bit) of the distinct seeds, 64 a block."""
+    place = F.monotonically_increasing_id()
+    return kept(seeds.select("seed").distinct().withColumn("place", place).select("seed", F.expr("place div 64").alias("block"), (F.col("place") % 64).cast("int").alias("bit")), "seeds")
+
+
+def _at_seeds(dealt: DataFrame) -> DataFrame:
+    """Level 0: (block, node, reached)."""
+    return dealt.groupBy("block", F.col("seed").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("reached"))
+
+
+def _merged(reached: DataFrame, *key: str) -> DataFrame:
+    return reached.groupBy("block", *key).agg(F.bit_or("reached").alias("reached"))
+
+
+def _followed(level: DataFrame, steps: DataFrame) -> DataFrame:
+    return level.join(steps, "node").drop("node").withColumnRenamed("next", "node")
+
+
+def _new(level: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """What a level adds for the seeds of each node to those seen before."""
+    earlier = _merged(reduce(DataFrame.unionByName, [r.select("block", "node", "reached") for r in seen]), "node").withColumnRenamed("reached", "before")
+    now = _merged(level, "node").join(earlier, ["block", "node"], "left")
+    return now.select("block", "node", F.expr("reached & ~coalesce(before, 0L)").alias("reached")).filter("reached <> 0")
+
+
+def _by_seed(reached: DataFrame, dealt: DataFrame) -> DataFrame:
+    """A row for each seed, with its name for its bit."""
+    told = reached.join(dealt, "block").filter(F.getbit("reached", "bit") == 1)
+    return told.drop("reached", "block", "bit")
+
+
 def related_documents(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """(seed, symbol, doc_type, relationship_type, bucket), distinct.
 
     The type is that of the last edge. The seed itself comes back when an edge leads to it, and so do nodes of earlier
     levels with another type; but only distinct rows are asked for, so a node whose edges were followed once for a seed
-    is not followed again. Edges and levels are stored, so no level is computed twice.
+    is not followed again.
     """
-    steps = kept(both_ways(edges).distinct(), "steps")
-    now = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
-    followed, found = now, None
+    steps, dealt = kept(both_ways(edges), "steps"), _dealt(seeds)
+    now, levels = _at_seeds(dealt), []
+    followed = [now]
     for depth in range(max_depth):
-        level = kept(now.join(steps, "node").select("seed", F.col("next").alias("node"), "relationship_type").distinct(), "level")
-        found = level if found is None else found.unionByName(level)
+        level = _followed(now, steps)
         if depth < max_depth - 1:
-            now = kept(level.select("seed", "node").distinct().join(followed, ["seed", "node"], "left_anti"), "level")
-            followed = followed.unionByName(now)
-    named = found.distinct().join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node")
-    out = named.select("seed", "symbol", "doc_type", "relationship_type").distinct()
+            level = kept(_merged(level, "node", "relationship_type"), "level")
+            now = _new(level, followed)
+            followed.append(level)
+        levels.append(level)
+    found = _merged(reduce(DataFrame.unionByName, levels), "node", "relationship_type")
+    named = found.join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node")
+    out = _by_seed(_merged(named, "symbol", "doc_type", "relationship_type"), dealt).select("seed", "symbol", "doc_type", "relationship_type")
     return out.withColumn("bucket", relation_bucket(F.col("relationship_type"), F.col("doc_type")))
 
 
@@ -53,17 +91,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_r
         own = seeds.select("seed").distinct().join(members.select(F.col("node").alias("seed"), "component"), "seed", "left")
         reached = own.filter("component is not null").join(members, "component").select("seed", "node")
         return reached.unionByName(own.filter("component is null").select("seed", F.col("seed").alias("node")))
-    steps = kept(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct(), "steps")
-    fresh = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "reached")
-    rounds = [fresh]
+    steps, dealt = kept(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct(), "steps"), _dealt(seeds)
+    rounds = [kept(_at_seeds(dealt), "reached")]
     for _ in range(max_rounds):
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.unionByName(r)
-        fresh = fresh.join(steps, "node").select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
-        fresh = kept(fresh, "reached")
+        fresh = kept(_new(_followed(rounds[-1], steps), rounds), "reached")
         if fresh.isEmpty():
-            return seen
+            return _by_seed(reduce(DataFrame.unionByName, rounds), dealt).select("seed", "node")
         rounds.append(fresh)
     raise RuntimeError("max_rounds reached")
 
@@ -80,16 +113,20 @@ def document_chain(docs: DataFrame, edges: DataFrame, seeds: DataFrame, max_dept
     """(seed, id, symbol, doc_type, depth), distinct; documents of excluded types, or of none, are never entered.
 
     A loop on a document leads to itself one level deeper. Every level is wanted, so a document is followed on each level
-    that it is reached on; edges and levels are stored, so no level is computed twice.
+    that it is reached on.
     """
     open_ = docs.filter(~F.col("doc_type").isin(*exclude)).select(F.col("id").alias("next"))
     steps = kept(both_ways(edges, loops=True).select("node", "next").distinct().join(open_, "next", "left_semi"), "steps")
-    now = kept(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
-    found = now.withColumn("depth", F.lit(0))
+    dealt = _dealt(seeds)
+    now = _at_seeds(dealt)
+    levels = [now.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
-        now = kept(now.join(steps, "node").select("seed", F.col("next").alias("node")).distinct(), "level")
-        found = found.unionByName(now.withColumn("depth", F.lit(depth)))
-    return found.join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node").select("seed", F.col("node").alias("id"), "symbol", "doc_type", "depth")
+        now = _merged(_followed(now, steps), "node")
+        if depth < max_depth:
+            now = kept(now, "level")
+        levels.append(now.withColumn("depth", F.lit(depth)))
+    named = reduce(DataFrame.unionByName, levels).join(docs.select(F.col("id").alias("node"), "symbol", "doc_type"), "node")
+    return _by_seed(named, dealt).select("seed", F.col("node").alias("id"), "symbol", "doc_type", "depth")
 
 
 def chain_meetings(docs: DataFrame, edges: DataFrame, utterances: DataFrame, links: DataFrame, chain: DataFrame) -> DataFrame:

@@ -350,3 +350,42 @@ def test_episodes_of_many_countries(spark, monkeypatch):
     got = episodes.episodes(told, countries)
     assert sorted(map(str, got.collect())) == want and len(want) == 6 * 40 * 3
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_of_many_seeds(spark):
+    """More seeds than one block has bits, against a plain walk; the 64th bit is the sign."""
+    import random
+
+    rng = random.Random(5)
+    names = [f"d{i}" for i in range(150)]
+    pairs = [(rng.choice(names), rng.choice(names), rng.choice("xy")) for _ in range(220)]
+    kinds = {n: "meeting" if i % 9 == 0 else "draft" for i, n in enumerate(names)}
+    docs = spark.createDataFrame([(n, n, k) for n, k in kinds.items()], "id string, symbol string, doc_type string")
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string, relationship_type string").coalesce(1)
+    from_all = spark.createDataFrame([(n,) for n in names[:140]], "seed string").coalesce(1)
+    around, ahead = {n: set() for n in names}, {n: set() for n in names}
+    for a, b, t in pairs:
+        around[a].add((b, t))
+        around[b].add((a, t))
+        ahead[a].add(b)
+    related, chain, forward = set(), set(), set()
+    for s in names[:140]:
+        now, level, seen = {s}, {s}, {s}
+        chain.add((s, s, 0))
+        for depth in (1, 2):
+            found = {(b, t) for n in now for b, t in around[n] if b != n}
+            related |= {(s, *f) for f in found}
+            now = {b for b, _ in found}
+            level = {b for n in level for b, _ in around[n] if kinds[b] != "meeting"}
+            chain |= {(s, b, depth) for b in level}
+        todo = [s]
+        while todo:
+            fresh = ahead[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        forward |= {(s, n) for n in seen}
+    assert {(r.seed, r.symbol, r.relationship_type) for r in graph.related_documents(docs, edges, from_all, 2).collect()} == related
+    got = graph.document_chain(docs, edges, from_all, 2).collect()
+    assert {(r.seed, r.id, r.depth) for r in got} == chain and len(got) == len(chain)
+    got = graph.reachable(edges, from_all, "forward").collect()
+    assert {(r.seed, r.node) for r in got} == forward and len(got) == len(forward)
