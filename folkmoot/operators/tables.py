@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from folkmoot.functions.columns import extracted, normalize_symbol
@@ -228,7 +228,20 @@ def purge_documents(tables: dict[str, DataFrame], symbols: DataFrame) -> dict[st
     return out
 
 
+def load_status(corrupt: str = "_corrupt", symbol: str = "symbol") -> Column:
+    """What becomes of a record: errors (it could not be read), skipped (it has no symbol), or loaded."""
+    return F.when(F.col(corrupt).isNotNull(), "errors").when(F.coalesce(F.trim(symbol), F.lit("")) == "", "skipped").otherwise("loaded")
+
+
 def load_stats(records: DataFrame, corrupt: str = "_corrupt", symbol: str = "symbol") -> DataFrame:
     """(status, n): records that could not be read, had no symbol, or were loaded."""
-    status = F.when(F.col(corrupt).isNotNull(), "errors").when(F.coalesce(F.trim(symbol), F.lit("")) == "", "skipped").otherwise("loaded")
-    return records.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return records.groupBy(load_status(corrupt, symbol).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def load_observed(records: DataFrame, path: str, corrupt: str = "_corrupt", symbol: str = "symbol") -> dict[str, int]:
+    """E16 in the pass that loads: records go to ``status=loaded``, ``status=skipped`` and ``status=errors`` below the path, and
+    the numbers of each, 0 for none, are observed on that write, so the input is read once and rejects can be looked up."""
+    told, seen = records.withColumn("status", load_status(corrupt, symbol)), Observation("load")
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("loaded", "skipped", "errors")]
+    told.observe(seen, *counts).write.mode("overwrite").partitionBy("status").parquet(path)
+    return seen.get

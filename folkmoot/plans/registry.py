@@ -921,10 +921,25 @@ def e15(s, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("e16_load_stats", "SELECT CASE WHEN quality = 0 THEN 'errors' WHEN l.doc_id IS NULL THEN 'skipped' ELSE 'loaded' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
-def e16(s, d):
+LOADED = "SELECT CASE WHEN quality = 0 THEN 'errors' WHEN l.doc_id IS NULL THEN 'skipped' ELSE 'loaded' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"
+
+
+def parsed_records(s, d):
     rows = b.table(s, d, "documents").join(b.table(s, d, "labels").select(F.col("doc_id").alias("k"), "quality"), F.col("doc_id") == F.col("k"), "left")
-    return tables.load_stats(rows.select(F.when(F.col("quality") == 0, "x").alias("_corrupt"), F.col("k").cast("string").alias("symbol")))
+    return rows.select(F.when(F.col("quality") == 0, "x").alias("_corrupt"), F.col("k").cast("string").alias("symbol"), "text")
+
+
+@query("e16_load_stats", LOADED)
+def e16(s, d):
+    return tables.load_stats(parsed_records(s, d))
+
+
+@query("e16_observed_load", f"SELECT status, n, n AS observed FROM ({LOADED})")
+def e16b(s, d):
+    path = f"{stored_below(s)}/load-{uuid.uuid4().hex[:12]}"
+    seen = s.createDataFrame(list(tables.load_observed(parsed_records(s, d), path).items()), "status string, observed long")
+    written = s.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return written.join(seen, "status")
 
 
 # ---- scans (2.A)

@@ -75,3 +75,22 @@ def test_bodies(spark):
 
     df = spark.createDataFrame([(("p", "o"), ("",), None, "")], "text_segments struct<preamble:string,operative:string>, raw_text struct<full_text:string>, introduction string, draft_text string").select(F.struct("*").alias("r"))
     assert df.select(body_text(F.col("r"), "resolutions").alias("b")).first()["b"] == "p\n\no"
+
+
+def test_load_observed_on_the_write(spark, tmp_path):
+    from folkmoot.operators.tables import load_observed
+
+    rows = [(None, "A/1", "x"), (None, " ", "y"), (None, None, "z"), ("{", "A/2", None), (None, "A/3", "")]
+    df = spark.createDataFrame(rows, "_corrupt string, symbol string, text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    once = df.mapInPandas(counted, df.schema)
+    assert load_observed(once, str(tmp_path / "a")) == {"loaded": 2, "skipped": 2, "errors": 1} and reads.value == 5
+    got = {(r.status, r.symbol) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    assert got == {("loaded", "A/1"), ("loaded", "A/3"), ("skipped", " "), ("skipped", None), ("errors", "A/2")}
+    assert load_observed(df.limit(0), str(tmp_path / "b")) == {"loaded": 0, "skipped": 0, "errors": 0}
