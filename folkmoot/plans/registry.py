@@ -13,7 +13,7 @@ from folkmoot._store import kept as stored
 from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
 from folkmoot.functions import text as x
-from folkmoot.operators import aggregates, cells, coalition, episodes, evidence, graph, keyed, lookups, postings, sequences, tables, trajectories, vectors
+from folkmoot.operators import aggregates, cells, coalition, episodes, evidence, graph, keyed, lookups, postings, sequences, sketches, tables, trajectories, vectors
 from folkmoot.plans import bindings as b
 from folkmoot.plans.bindings import ACTORS, BOTH, DOCS, EDGES, LINKS, NODES, STEPS, UTTERANCES, VOTES
 from folkmoot.sources import readers, writers
@@ -62,6 +62,15 @@ def g5(s, d):
     return aggregates.top_voters(b.votes(s, d), b.actors(s, d), 5)
 
 
+@query("g5_most_active_by_session", f"""WITH c AS (SELECT session, actor_id, count(*) AS n FROM {VOTES} v JOIN {DOCS} d ON v.document_id = d.id WHERE session IS NOT NULL AND actor_id IS NOT NULL GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, actor_id) AS rank FROM c), f AS (SELECT session, coalesce(max(n) FILTER (rank = 51), 0) AS floor FROM r GROUP BY 1),
+ m AS (SELECT actor_id, sum(n) AS at_least, sum(floor) AS own FROM r JOIN f USING (session) WHERE rank <= 50 GROUP BY 1)
+ SELECT actor_id, CAST(at_least AS BIGINT) AS at_least, CAST(at_least + (SELECT sum(floor) FROM f) - own AS BIGINT) AS at_most FROM m ORDER BY at_least DESC, actor_id LIMIT 20""")
+def g5b(s, d):
+    counts = stored(sketches.voter_counts(b.votes(s, d), b.documents(s, d), keep=50), "counts")
+    return sketches.most_active(counts, 20)
+
+
 @query("g6_coverage_by_type", "SELECT lang AS doc_type, count(*) AS total, count(*) FILTER (coalesce(text, '') <> '') AS with_text FROM documents GROUP BY 1")
 def g6(s, d):
     return aggregates.coverage_by_type(b.table(s, d, "documents").withColumnRenamed("lang", "doc_type"), "text")
