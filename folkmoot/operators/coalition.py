@@ -19,6 +19,9 @@ from folkmoot._store import kept
 from folkmoot.operators.scans import row_number
 
 ACTORS_IN_BLOCK = 512
+FEW_BLOCKS = 64  # beyond as many, blocks are four times as large
+SCORES_IN_PACK = 65_536  # of one block and one chunk of documents, about
+PAIRS_A_SCORE, WIDEST = 16, 1024  # up to these, pairs are counted by document
 SHARES = 32  # of the documents of one square, at most
 BROADCAST_SQUARES = 100_000
 
@@ -134,10 +137,11 @@ def square_sums(scores: DataFrame, blocks: DataFrame, squares: DataFrame, n_squa
     return rows.repartition(*key).sortWithinPartitions(*key, "document").mapInArrow(_squares, SQUARE_SUMS)
 
 
-def in_blocks(actors: DataFrame, order: list[str]) -> DataFrame:
-    """``actors`` with the number of their block, by ``order``."""
+def in_blocks(actors: DataFrame, order: list[str], size: int | None = None) -> DataFrame:
+    """``actors`` with the number of their block and their slot in it, by ``order``."""
     placed = row_number(actors.withColumn("whole", F.lit(0)), ["whole"], order, "place").drop("whole")
-    return placed.withColumn("block", ((F.col("place") - 1) / ACTORS_IN_BLOCK).cast("int")).drop("place")
+    at, size = F.col("place") - 1, F.lit(size or ACTORS_IN_BLOCK)
+    return placed.withColumn("block", (at / size).cast("int")).withColumn("slot", (at % size).cast("int")).drop("place")
 
 
 def every_square(blocks: DataFrame) -> DataFrame:
@@ -241,29 +245,223 @@ def possible_squares(blocks: DataFrame, total: int, min_corr: float) -> DataFram
     return pairs.filter(bound > min_corr - 1e-9).select("bi", "bj")
 
 
+PACK = "block int, chunk int, docs binary, counts binary, slots binary, scores binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by block, chunk and document; each chunk of a block becomes a row."""
+    key, parts = None, []
+
+    def told() -> pa.RecordBatch:
+        doc, slot, score = (np.concatenate(x) for x in zip(*parts))
+        docs, counts = np.unique(doc, return_counts=True)
+        values = [key[0], key[1], docs.tobytes(), counts.astype(np.int32).tobytes(), slot.astype(np.int32).tobytes(), score.astype(np.int8).tobytes()]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["block", "chunk", "docs", "counts", "slots", "scores"])
+
+    for batch in batches:
+        block, chunk, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "chunk", "document", "slot", "score"))
+        edges = np.flatnonzero((block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        for a, z in zip([0, *edges], [*edges, batch.num_rows]):
+            if a == z:
+                continue
+            if key != (block[a], chunk[a]):
+                if parts:
+                    yield told()
+                key, parts = (block[a], chunk[a]), []
+            parts.append([c[a:z] for c in columns])
+    if parts:
+        yield told()
+
+
+def packed(scores: DataFrame, blocks: DataFrame, chunks: int) -> DataFrame:
+    """(block, chunk, docs, counts, slots, scores): the scores of a block's actors, a row for each chunk of documents."""
+    document = F.xxhash64("document_id")
+    x = scores.filter("score <> 0").join(blocks.select("actor_id", "block", "slot"), "actor_id")
+    x = x.select("block", F.pmod(document, F.lit(chunks)).cast("int").alias("chunk"), document.alias("document"), "slot", F.col("score").cast("int").alias("score"))
+    return x.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "document", "slot").mapInArrow(_packed, PACK)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    docs, counts, slots, scores = (np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("counts", np.int32), ("slots", np.int32), ("scores", np.int8)))
+    return np.repeat(docs, counts), slots, scores
+
+
+class _Best:
+    """The k best pairs of a task's squares, by rounded correlation and names."""
+
+    def __init__(self, total: int, min_corr: float, k: int):
+        self.total, self.min_corr, self.k = total, min_corr, k
+        self.pairs: list[tuple] = []
+
+    def add(self, sides: list[dict], sums: np.ndarray, own: bool) -> None:
+        """A square's sums, by slots of its two sides; a few rows first, so that what is not among the best is soon known."""
+        first, second = sides
+        spread = [np.sqrt((self.total * x["q"] - x["s"] * x["s"]).astype(np.float64)) for x in sides]
+        edges = [0, *range(16, len(first["s"]), 256), len(first["s"])]
+        for a, z in zip(edges, edges[1:]):
+            corr = (self.total * sums[a:z].astype(np.int64) - first["s"][a:z, None] * second["s"][None, :]).astype(np.float64) / (spread[0][a:z, None] * spread[1][None, :])
+            if own:
+                corr[first["ids"][a:z, None] >= second["ids"][None, :]] = -np.inf
+            self.take(corr, first["name"][a:z], second["name"])
+
+    def take(self, corr: np.ndarray, names: np.ndarray, others: np.ndarray) -> None:
+        if len(self.pairs) < self.k:
+            i, j = np.nonzero(corr > self.min_corr)
+        else:
+            # Better ones, and those that tie once rounded and whose first name does not come later.
+            least, name = -float(self.pairs[-1][0]), self.pairs[-1][1]
+            fine = corr > least + 0.0006
+            for at in (np.flatnonzero(names <= name), (slice(None), np.flatnonzero(others <= name))):
+                fine[at] = corr[at] > least - 0.0006
+            i, j = np.nonzero(fine & (corr > self.min_corr))
+        c = corr[i, j]
+        if len(c) > self.k:  # rounded values tie, so all that may round to the k-th stay
+            stay = c >= np.partition(c, len(c) - self.k)[len(c) - self.k] - 0.002
+            i, j, c = i[stay], j[stay], c[stay]
+        if not len(c):
+            return
+        rounded = {x: Decimal(repr(x)).quantize(Decimal("0.001"), ROUND_HALF_UP) for x in set(c.tolist())}  # as Spark rounds
+        found = [(-rounded[x], *sorted((names[p], others[q])), x) for p, q, x in zip(i, j, c.tolist())]
+        self.pairs = sorted(self.pairs + found)[: self.k]
+
+    def told(self) -> pa.RecordBatch:
+        columns = list(zip(*[p[1:] for p in self.pairs])) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "c"])
+
+
+def _sums_of(packs: list[dict], shape: tuple[int, int]) -> np.ndarray:
+    """Sums of products of one chunk: by matrices, or where documents have few votes by pairs."""
+    (d0, a0, s0), (d1, a1, s1) = (_unpacked(p) for p in packs)
+    both, first = np.unique(d0, return_inverse=True)
+    place = np.searchsorted(both, d1)
+    met = (place < len(both)) & (both[np.minimum(place, len(both) - 1)] == d1)
+    place, a1, s1 = place[met], a1[met], s1[met]
+    many = np.bincount(place, minlength=len(both))  # votes of side 1, which are by document
+    per = many[first]
+    if int(per.sum()) < len(both) * shape[0] * shape[1] // 64:
+        x = np.repeat(np.arange(len(per)), per)
+        ends = np.cumsum(per)
+        y = np.arange(len(x)) - np.repeat(ends - per, per) + np.repeat((np.cumsum(many) - many)[first], per)
+        return np.bincount(a0[x].astype(np.int64) * shape[1] + a1[y], weights=s0[x].astype(np.int64) * s1[y], minlength=shape[0] * shape[1]).reshape(shape)
+    matrices = [np.zeros((n, len(both)), np.float32) for n in shape]
+    matrices[0][a0, first] = s0
+    matrices[1][a1, place] = s1
+    return matrices[0] @ matrices[1].T
+
+
+def _best_of_squares(total: int, min_corr: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by square and chunk, the actors of its sides first; a block's square with itself has one side."""
+        best, at, sides, sums, waits = _Best(total, min_corr, k), None, [], None, None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n] for c in batch.schema.names}
+                square, chunk, side = (row["bi"].as_py(), row["bj"].as_py()), row["chunk"].as_py(), row["side"].as_py()
+                own = square[0] == square[1]
+                if square != at:
+                    if at is not None:
+                        best.add(sides, sums, at[0] == at[1])
+                    at, sides, sums, waits = square, [], None, None
+                if chunk < 0:
+                    known = {c: row["actors"].values.field(f).to_numpy(zero_copy_only=False) for c, f in (("ids", "actor_id"), ("s", "s"), ("q", "q"), ("name", "name"))}
+                    sides += [known, known] if own else [known]
+                    if len(sides) == 2:
+                        sums = np.zeros([len(x["s"]) for x in sides])
+                    continue
+                pack = {c: row[c].as_buffer() for c in ("docs", "counts", "slots", "scores")}
+                if own:
+                    sums += _sums_of([pack, pack], sums.shape)
+                elif side == 0:
+                    waits = (chunk, pack)
+                elif waits is not None and waits[0] == chunk:
+                    sums += _sums_of([waits[1], pack], sums.shape)
+        if at is not None:
+            best.add(sides, sums, at[0] == at[1])
+        yield best.told()
+
+    return run
+
+
+def best_of_squares(scores: DataFrame, blocks: DataFrame, squares: DataFrame, n_squares: int, total: int, min_corr: float, k: int) -> DataFrame:
+    """(a, b, c) of the best pairs of ``squares``, k a task at most. A square's sums and pairs stay in its task."""
+    most = blocks.groupBy("block").agg(F.sum("q").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    packs = kept(packed(scores, blocks, max(1, -(-most // SCORES_IN_PACK))), "packs")
+    sent = F.broadcast if n_squares <= BROADCAST_SQUARES else lambda df: df
+    actors = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col("actor_id").cast("long").alias("actor_id"), "s", "q", "name"))), lambda a: F.struct(a["actor_id"].alias("actor_id"), a["s"].alias("s"), a["q"].alias("q"), a["name"].alias("name")))
+    named = kept(blocks.groupBy("block").agg(actors.alias("actors")).withColumn("chunk", F.lit(-1)), "named")
+    rows = packs.unionByName(named, allowMissingColumns=True)
+    sides = [rows.join(sent(squares.select(F.col(own).alias("block"), "bi", "bj")), "block").withColumn("side", F.lit(side)) for side, own in enumerate(("bi", "bj"))]
+    met = sides[0].unionByName(sides[1].filter("bi <> bj")).drop("block")
+    tasks = min(n_squares, max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * scores.sparkSession.sparkContext.defaultParallelism))
+    dealt = met.repartition(tasks, "bi", "bj").sortWithinPartitions("bi", "bj", "chunk", "side")
+    return dealt.mapInArrow(_best_of_squares(total, min_corr, k), "a string, b string, c double")
+
+
+def pairs_by_document(scores: DataFrame, actors: DataFrame, total: int, min_corr: float, k: int) -> DataFrame | None:
+    """(a, b, c) of the k best pairs, where documents have few votes each: their pairs are counted by document, which grows
+    with the votes and not with the square of the actors. Nothing where that is more work than squares.
+
+    Pairs whose products add up to 0, and those without a common document, which are no rows, have the correlation -t1 * t2
+    of t = s / spread. Unless the k-th best is above all that these can be, squares have to tell.
+    """
+    votes = scores.filter("score <> 0").select("document_id", "actor_id", "score")
+    m = F.col("m")
+    work = votes.groupBy("document_id").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(m).alias("scores"), F.sum(m * (m - 1) / 2).alias("pairs"), F.max(m).alias("widest")).first()
+    if not work["scores"] or work["pairs"] > PAIRS_A_SCORE * work["scores"] or work["widest"] > WIDEST:
+        return None
+    spread = F.sqrt((F.lit(total) * F.col("q") - F.col("s") * F.col("s")).cast("double"))
+    told = actors.select("actor_id", "s", "name", spread.alias("spread"))
+    t = F.col("s") / F.col("spread")
+    low, high = told.agg(F.min(t), F.max(t)).first()
+    if low is None:
+        return None
+    silent = -min(low * low, low * high, high * high)
+    x, y = (votes.select("document_id", F.col("actor_id").alias(i), F.col("score").alias(f"score_{i}")) for i in ("ia", "ib"))
+    p = x.hint("merge").join(y, "document_id").filter("ia < ib").groupBy("ia", "ib").agg(F.sum(F.col("score_ia") * F.col("score_ib")).cast("long").alias("p")).filter("p <> 0")
+    side = lambda i: told.select(F.col("actor_id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("s", "name", "spread")])
+    c = (F.lit(total) * F.col("p") - F.col("s_ia") * F.col("s_ib")).cast("double") / (F.col("spread_ia") * F.col("spread_ib"))
+    pairs = p.join(side("ia"), "ia").join(side("ib"), "ib").select(F.least("name_ia", "name_ib").alias("a"), F.greatest("name_ia", "name_ib").alias("b"), c.alias("c")).filter(F.col("c") > min_corr)
+    best = kept(pairs.orderBy(F.desc(F.round("c", 3)), "a", "b").limit(k), "best")
+    if silent <= min_corr - 1e-9:
+        return best
+    held = best.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).first()
+    return best if held["n"] == k and held["least"] > silent + 0.002 else None
+
+
 def vote_correlation(scores: DataFrame, actors: DataFrame, min_corr: float = 0.7, k: int = 20) -> DataFrame:
     """H2: (a, b, correlation, n_resolutions) of pairs of actors over all resolutions, best first, ties by name.
 
-    A missing vote counts as 0. Actors without variance have no correlation. Sums are exact integers. Actors are dealt into
-    blocks by the number of their votes; a square of two blocks that cannot hold a pair above ``min_corr`` is not
-    multiplied. The task that adds up a square has all of its pairs at hand, also those whose products add up to 0, and
-    gives out the k best.
+    A missing vote counts as 0. Actors without variance have no correlation. Sums are exact integers. Where documents have
+    few votes each, pairs are counted by document. Else actors are dealt into blocks by the number of their votes; a square
+    of two blocks that cannot hold a pair above ``min_corr`` is not multiplied. The task that adds up a square has all of
+    its pairs at hand, also those whose products add up to 0, and gives out the k best.
     """
     scores = kept(scores.select("actor_id", "document_id", "score"), "scores")
     n = scores.select("document_id").distinct().count()
     sums = scores.groupBy("actor_id").agg(F.sum("score").cast("long").alias("s"), F.sum(F.col("score") * F.col("score")).cast("long").alias("q"))
     sums = sums.join(actors.select(F.col("id").alias("actor_id"), "name"), "actor_id").filter(F.lit(n) * F.col("q") - F.col("s") * F.col("s") > 0)
-    blocks = kept(in_blocks(kept(sums, "actors"), ["q", "s", "actor_id"]), "blocks")
-    squares = kept(possible_squares(blocks, n, min_corr), "squares")
-    n_squares = squares.count()
+    sums = kept(sums, "actors")
+    best = pairs_by_document(scores, sums, n, min_corr, k)
+    if best is None:
+        size = ACTORS_IN_BLOCK * (1 if sums.count() <= FEW_BLOCKS * ACTORS_IN_BLOCK else 4)
+        blocks = kept(in_blocks(sums, ["q", "s", "actor_id"], size), "blocks")
+        squares = kept(possible_squares(blocks, n, min_corr), "squares")
+        n_squares = squares.count()
+        few = n_squares < scores.sparkSession.sparkContext.defaultParallelism
+        best = (best_of_shares if few else best_of_squares)(scores, blocks, squares, n_squares, n, min_corr, k)
+    return best.select("a", "b", F.round("c", 3).alias("correlation"), F.lit(n).alias("n_resolutions")).orderBy(F.desc("correlation"), "a", "b").limit(k)
+
+
+def best_of_shares(scores: DataFrame, blocks: DataFrame, squares: DataFrame, n_squares: int, total: int, min_corr: float, k: int) -> DataFrame:
+    """As ``best_of_squares``, for fewer squares than tasks: sums of a share of the documents are rows, and are added up."""
     sent = F.broadcast if n_squares <= BROADCAST_SQUARES else lambda df: df
     found = square_sums(scores, blocks, squares, n_squares).select("bi", "bj", F.lit(2).alias("side"), F.col("ia").alias("a"), F.col("ib").alias("b"), F.col("p").alias("s"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("string").alias("name"))
     for k_, own in enumerate(("bi", "bj")):
         side = blocks.join(sent(squares.select(F.col(own).alias("block"), "bi", "bj")), "block")
         found = found.unionByName(side.select("bi", "bj", F.lit(k_).alias("side"), F.col("actor_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "s", "q", "name"))
     met = found.repartition("bi", "bj").sortWithinPartitions("bi", "bj", "side")
-    best = met.mapInArrow(_correlated(n, min_corr, k), "a string, b string, c double")
-    return best.select("a", "b", F.round("c", 3).alias("correlation"), F.lit(n).alias("n_resolutions")).orderBy(F.desc("correlation"), "a", "b").limit(k)
+    return met.mapInArrow(_correlated(total, min_corr, k), "a string, b string, c double")
 
 
 def require_resolutions(scores: DataFrame, least: int = 5) -> DataFrame:

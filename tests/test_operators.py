@@ -389,3 +389,24 @@ def test_walks_of_many_seeds(spark):
     assert {(r.seed, r.id, r.depth) for r in got} == chain and len(got) == len(chain)
     got = graph.reachable(edges, from_all, "forward").collect()
     assert {(r.seed, r.node) for r in got} == forward and len(got) == len(forward)
+
+
+def test_correlation_by_documents_and_by_squares_agree(spark, monkeypatch):
+    """Narrow documents are counted by document; where silent pairs may be among the best, or documents are wide, by squares."""
+    import random
+
+    rng = random.Random(11)
+    cells = {(rng.randrange(60), d): rng.choice([1, -1]) for d in range(900) for _ in range(3)}
+    scores = spark.createDataFrame([(a, d, s) for (a, d), s in cells.items()], "actor_id long, document_id long, score int")
+    actors = spark.createDataFrame([(a, f"actor {a % 50:02d}") for a in range(60)], "id long, name string")  # some names twice
+    told = lambda least, k: [tuple(r) for r in coalition.vote_correlation(scores, actors, least, k).collect()]
+    used = []
+    by_document = coalition.pairs_by_document
+    monkeypatch.setattr(coalition, "pairs_by_document", lambda *a: used.append(by_document(*a)) or used[-1])
+    narrow = [told(-1.0, 20), told(0.02, 500), told(-1.0, 1770)]
+    assert [u is None for u in used] == [False, False, True]
+    monkeypatch.setattr(coalition, "PAIRS_A_SCORE", 0)
+    monkeypatch.setattr(coalition, "ACTORS_IN_BLOCK", 16)
+    monkeypatch.setattr(coalition, "SCORES_IN_PACK", 64)
+    assert [told(-1.0, 20), told(0.02, 500), told(-1.0, 1770)] == narrow and len(narrow[2]) == 1770
+    assert used[3:] == [None] * 3
