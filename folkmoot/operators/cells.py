@@ -31,6 +31,7 @@ from folkmoot.operators.vectors import _best_of_blocks, semantic_search_batch
 
 MOST_CELLS = 4096
 ROWS_IN_SHARE = 65_536
+QUERIES_IN_BLOCK = 2048
 SLACK = 1e-6  # of angles
 
 
@@ -95,8 +96,10 @@ class Cells:
         asked = kept(asked.mapInPandas(_asked(self, min_similarity, probes or self.probes, exact), "id long, v array<double>, cell int"), "asked")
         cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # as many as there are cells
         many = F.array(*[F.lit(int(n)) for n in shares])[F.col("cell")]
-        met = self.rows.filter(F.col("cell").isin(cells)).select(F.col("cell").alias("block"), F.pmod(F.xxhash64("id"), many).cast("int").alias("share"), F.lit(False).alias("is_query"), "id", F.col("v").cast("array<double>").alias("v"))
-        met = met.unionByName(asked.select(F.col("cell").alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("share"), F.lit(True).alias("is_query"), "id", "v"))
+        blocks = max(1, -(-asked.select("id").distinct().count() // QUERIES_IN_BLOCK))  # of queries
+        every = F.explode(F.sequence(F.col("cell") * blocks, F.col("cell") * blocks + (blocks - 1))).alias("block")
+        met = self.rows.filter(F.col("cell").isin(cells)).select(every, F.pmod(F.xxhash64("id"), many).cast("int").alias("share"), F.lit(False).alias("is_query"), "id", F.col("v").cast("array<double>").alias("v"))
+        met = met.unionByName(asked.select((F.col("cell") * blocks + F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("share"), F.lit(True).alias("is_query"), "id", "v"))
         dealt = met.repartition("block", "share").sortWithinPartitions("block", "share", F.desc("is_query"))
         found = dealt.mapInArrow(_best_of_blocks(k, min_similarity), "query_id long, id long, similarity double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

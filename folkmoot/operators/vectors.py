@@ -42,6 +42,9 @@ def semantic_search_utterances(utterances: DataFrame, documents: DataFrame, quer
     return found.withColumnsRenamed({"agenda_item_number": "agenda_item", "text": "text_preview"})
 
 
+SCORES_AT_ONCE = 2_000_000  # of one product
+
+
 def _best_of_blocks(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block of queries and share of rows, queries first; a matrix product scores a batch of rows."""
@@ -77,18 +80,25 @@ def _best_of_blocks(k: int, least: float):
                     continue
                 if not len(qs):
                     continue
-                score = matrix @ vectors(part).T
-                score[(qs[:, None] == ids[None, :]) | ~(score >= least)] = -np.inf
-                of = np.broadcast_to(ids, score.shape)
-                if best is not None:
-                    score, of = np.concatenate([best[0], score], 1), np.concatenate([best[1], of], 1)
-                order = np.lexsort((of, -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+                some = max(k, SCORES_AT_ONCE // len(qs))
+                for p in range(0, len(ids), some):
+                    best = _better(best, matrix, qs, vectors(part.slice(p, some)), ids[p : p + some], k, least)
         yield from told()
 
     return run
 
 
+def _better(best: tuple | None, matrix: np.ndarray, qs: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (similarities, ids) of each query, of those known and of some more rows."""
+    score = matrix @ rows.T
+    score[(qs[:, None] == ids[None, :]) | ~(score >= least)] = -np.inf
+    of = np.broadcast_to(ids, score.shape)
+    if best is not None:
+        score, of = np.concatenate([best[0], score], 1), np.concatenate([best[1], of], 1)
+    order = np.lexsort((of, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+
+
 def semantic_search_batch(df: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, queries_in_block: int = 2048, rows_in_share: int = 65_536) -> DataFrame:
     """(query_id, rank, id, similarity) of each query's k best rows, ties by id.
 

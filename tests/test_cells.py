@@ -75,3 +75,29 @@ def test_small_tables(spark):
     one = cells.build(table(spark, np.ones((1, 4))), "vec_id", "embedding")
     asked = spark.createDataFrame([(7, [1.0, 1.0, 1.0, 1.0]), (8, None), (9, [1.0])], "query_id long, query_vector array<double>")
     assert [tuple(r) for r in one.search(asked).collect()] == [(7, 1, 0, 1.0)]
+
+
+def test_queries_of_a_cell_come_in_blocks_and_rows_in_slices(spark, monkeypatch):
+    """No product of a task grows with the queries of a cell, nor with its batches; the rows found are those of one block."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from folkmoot.operators import cells, vectors
+
+    rng = np.random.default_rng(8)
+    e = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))], "id long, v array<double>")
+    asked = e.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    index = cells.build(e, "id", "v", cells=4)
+    told = lambda: sorted(map(tuple, index.search(asked, min_similarity=0.2, exact=True).collect()))
+    want, sizes = told(), []
+    monkeypatch.setattr(cells, "QUERIES_IN_BLOCK", 7)
+    assert told() == want and len(want) == 1000
+    better = vectors._better
+    monkeypatch.setattr(vectors, "SCORES_AT_ONCE", 500)
+    monkeypatch.setattr(vectors, "_better", lambda best, m, qs, rows, *a: sizes.append(len(qs) * len(rows)) or better(best, m, qs, rows, *a))
+    import pyarrow as pa
+
+    v = rng.normal(size=(200, 6))
+    batch = lambda ids, q: pa.RecordBatch.from_pydict({"block": [0] * len(ids), "share": [0] * len(ids), "is_query": [q] * len(ids), "id": ids, "v": v[ids].tolist()})
+    found = [r for b in vectors._best_of_blocks(10, -1.0)(iter([batch(list(range(20)), True), batch(list(range(200)), False)])) for r in b.to_pylist()]
+    assert max(sizes) <= 500 and len(found) == 200
