@@ -1453,6 +1453,9 @@ def marc(tag, **codes):
     return F.struct(F.lit(tag).alias("_tag"), F.lit(" ").alias("_ind1"), F.lit(" ").alias("_ind2"), parts.alias("subfield"))
 
 
+RECORDS_IN_FILE = 20_000  # an XML file is read whole by one task
+
+
 def write_catalogue(s, d):
     """Orders as catalogue records, with their lines as a roll call and their type as a subject."""
     v = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
@@ -1466,7 +1469,7 @@ def write_catalogue(s, d):
     )
     path = folder(s, "catalogue")
     control = F.array(F.struct(n.alias("_VALUE"), F.lit("001").alias("_tag")))
-    docs.select(control.alias("controlfield"), F.concat(fields, "calls").alias("datafield")).write.format("xml").option("rowTag", "record").option("rootTag", "collection").save(path)
+    docs.select(control.alias("controlfield"), F.concat(fields, "calls").alias("datafield")).write.format("xml").option("maxRecordsPerFile", RECORDS_IN_FILE).option("rowTag", "record").option("rootTag", "collection").save(path)
     return path
 
 
