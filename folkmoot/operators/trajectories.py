@@ -87,11 +87,14 @@ def trace_mode(symbol: Column) -> Column:
 
 def genealogy_graph(traces: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). A node is found if every mention of it is; titles are cut to 80 characters."""
-    own = traces.select(F.col("symbol").alias("id"), F.lit("resolution").alias("type"), F.lit(True).alias("found")).distinct()
-    others = traces.select(F.col("ref_symbol").alias("id"), "type", "found")
-    nodes = own.unionByName(others).groupBy("id").agg(F.bool_and("found").alias("found"), F.min("type").alias("type"))
+    mentions = kept(traces.select("symbol", "type", "ref_symbol", "found"), "mentions")
+    own = mentions.select(F.col("symbol").alias("id"), F.lit("resolution").alias("type"), F.lit(True).alias("found"))
+    others = mentions.select(F.col("ref_symbol").alias("id"), "type", "found")
+    # A row an id and type first: that is a hash table, while the least of strings is a sort of what is left.
+    named = own.unionByName(others).groupBy("id", "type").agg(F.bool_and("found").alias("found"))
+    nodes = named.groupBy("id").agg(F.bool_and("found").alias("found"), F.min("type").alias("type"))
     shown = titles.select(normalize_symbol(F.col("symbol"), "index").alias("id"), preview(F.col("title"), 80, "fit").alias("title")).groupBy("id").agg(F.min("title").alias("title"))
-    edges = traces.select(F.col("ref_symbol").alias("source"), F.col("symbol").alias("target"), F.col("type").alias("relation")).distinct()
+    edges = mentions.select(F.col("ref_symbol").alias("source"), F.col("symbol").alias("target"), F.col("type").alias("relation")).distinct()
     return nodes.join(shown, "id", "left"), edges
 
 
@@ -125,6 +128,7 @@ def build_trajectories(traces: DataFrame, records: DataFrame, deliberations: Dat
     * the plenary vote is what the last speech about the record's own symbol lists
     """
     size = lambda a: F.coalesce(F.array_size(a), F.lit(0))
+    traces = kept(traces.select("symbol", "type", "ref_symbol", "found", "pos"), "traces")  # all stages read them
     ids = traces.select(F.col("symbol").alias("trajectory_id"), "type", "ref_symbol", "found", "pos")
     has_note = F.coalesce("action_note", F.col("date").cast("string")) if "action_note" in records.columns else F.col("date").cast("string")
     info = records.select(normalize_symbol(F.col("symbol"), "index").alias("ref_symbol"), F.col("date").cast("string").alias("date"), has_note.alias("note")).dropDuplicates(["ref_symbol"])
