@@ -136,12 +136,16 @@ def segment_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def split_states(c: Column) -> Column:
     """Names between commas outside of parentheses, without page marks, draft titles and a last full stop."""
 
-    def clean(name: Column) -> Column:
-        name = F.regexp_replace(F.regexp_replace(collapse_ws(name), PAGE_MARK, ""), DRAFT_TAIL, "")
+    def unstopped(name: Column) -> Column:
         stop = F.endswith(name, F.lit(".")) & ~name.rlike(INITIAL)
-        return collapse_ws(F.when(stop, F.left(name, F.length(name) - 1)).otherwise(name))
-
-    return F.filter(F.transform(F.split(c, OUTER_COMMA), clean), lambda x: x != "")
+        return F.trim(F.when(stop, F.left(name, F.length(name) - 1)).otherwise(name))
+
+    # White space goes once a list, and each step is a pass of its own: inside of one pass a name would be cleaned anew
+    # wherever the step names it.
+    names = F.transform(F.split(collapse_ws(c), OUTER_COMMA), lambda n: F.trim(n))
+    marked = F.contains(c, F.lit("/")) | F.contains(F.lower(c), F.lit("draft"))
+    bare = F.when(marked, F.transform(names, lambda n: F.regexp_replace(F.regexp_replace(n, PAGE_MARK, ""), DRAFT_TAIL, ""))).otherwise(names)
+    return F.filter(F.transform(bare, unstopped), lambda x: x != "")
 
 
 def vote_lists(c: Column, style: str = "meeting") -> Column:

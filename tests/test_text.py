@@ -146,3 +146,13 @@ def test_states_with_several_commas_in_parentheses(spark):
 
 def test_cited_resolutions_keep_their_digits(spark):
     assert first(spark, x.cited_resolutions(F.col("v")), "(resolutions 78/0, 78/11 and 78/222)") == ["78/0", "78/11", "78/222"]
+
+
+def test_split_states_cleans_each_name_once(spark):
+    """In any place of a list, digits at a name's ends stay; white space, page marks, draft tails and the last stop go."""
+    from folkmoot.functions.text import split_states
+
+    texts = [" State 10,\n 1 State  11 ,State 2, State 3.", "A 12/16 A/78/PV.50 B, C Draft resolution II x. ,Mr. X.,  D  .", "Iran (Islamic, Republic of), , E", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.s for r in rows.select("id", split_states(F.col("t")).alias("s")).collect()}
+    assert got == {0: ["State 10", "1 State 11", "State 2", "State 3"], 1: ["A B", "C", "Mr. X.", "D"], 2: ["Iran (Islamic, Republic of)", "E"], 3: [], 4: None}
