@@ -194,9 +194,12 @@ def relevant_utterances(utterances: DataFrame, held: DataFrame, keywords: list[s
     drafts = held.select("trajectory_id", "meeting", F.explode("drafts").alias("pattern"))
     hits = kept(index.matches(utterances, "utterance_id", "text", drafts.select("pattern").unionByName(words), literal=True), "hits")
     said = hits.join(utterances.select(F.col("utterance_id").alias("key"), "meeting"), "key")
-    by_draft = said.join(drafts, ["meeting", "pattern"]).select("trajectory_id", "meeting", "key")
-    by_word = said.join(F.broadcast(words), "pattern", "left_semi").join(held, "meeting").select("trajectory_id", "meeting", "key")
-    return by_draft.unionByName(by_word).groupBy("trajectory_id", "meeting").agg(F.countDistinct("key").alias("statements"))
+    # A keyword counts for all trajectories of a meeting, so its speeches are counted once a meeting, not once a trajectory.
+    by_word = kept(said.join(F.broadcast(words), "pattern", "left_semi").select("meeting", "key").distinct(), "by-word")
+    by_draft = said.join(drafts, ["meeting", "pattern"]).select("trajectory_id", "meeting", "key").distinct().join(by_word, ["meeting", "key"], "left_anti")
+    spoken = by_word.groupBy("meeting").agg(F.count(F.lit(1)).alias("n")).join(held.select("trajectory_id", "meeting").distinct(), "meeting").select("trajectory_id", "meeting", "n")
+    named = by_draft.groupBy("trajectory_id", "meeting").agg(F.count(F.lit(1)).alias("n"))
+    return spoken.unionByName(named).groupBy("trajectory_id", "meeting").agg(F.sum("n").alias("statements"))
 
 
 def country_actions(votes: DataFrame, sponsors: DataFrame) -> DataFrame:

@@ -274,7 +274,8 @@ def j8(s, d):
     docs = b.table(s, d, "documents").select(F.col("doc_id").alias("utterance_id"), F.coalesce("source", F.lit("-")).alias("meeting"), "text")
     items = b.table(s, d, "benchmark").select(F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("trajectory_id"), F.array(F.left("text", F.lit(16))).alias("drafts"))
     held = docs.select("meeting").distinct().withColumn("one", F.lit(1)).join(items.withColumn("one", F.lit(1)), "one").drop("one")
-    return trajectories.relevant_utterances(docs, held, [" thion "], index=postings.index(docs, "utterance_id", "text"))
+    asked = items.select(F.explode("drafts").alias("pattern")).unionByName(s.createDataFrame([(" thion ",)], "pattern string"))
+    return trajectories.relevant_utterances(docs, held, [" thion "], index=postings.index(docs, "utterance_id", "text", asked, literal=True))
 
 
 @query("f16_divergent_votes", f"""SELECT DISTINCT d.symbol FROM {VOTES} a JOIN {VOTES} b ON a.document_id = b.document_id JOIN {DOCS} d ON d.id = a.document_id
