@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot.functions.columns import collapse_ws, extracted, parse_speaker
+from folkmoot.functions.columns import bound, collapse_ws, extracted, parse_speaker
 from folkmoot.functions.automaton import SHARD_NAMES, tagged_by_shards
 from folkmoot.operators.scans import SEGMENT_ROWS, running
 
@@ -155,7 +158,9 @@ def vote_lists(c: Column, style: str = "meeting") -> Column:
         marks = [F.when(F.instr(c, m) > 0, F.substring(c, F.instr(c, m) + len(m), F.length(c))) for m in VOTE_MARKS[kind]]
         body = F.split(F.coalesce(*marks), VOTE_ENDS[style][kind], 2)[0]
         body = F.regexp_replace(body, r"(?s)\d+/\d+\s+\d{2}/\d{2}/\d{4}.*$", "") if style == "meeting" else F.regexp_replace(body, r"A/\d+/\d+(?:/Add\.\d+)?", "")
-        return F.coalesce(split_states(body), F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        marked = reduce(or_, [F.contains(c, F.lit(m)) for m in VOTE_MARKS[kind]])
+        return F.when(marked, F.coalesce(split_states(body), none)).otherwise(none)
 
     return F.struct(*[names(k).alias(k) for k in VOTE_MARKS])
 
@@ -289,22 +294,29 @@ def short_title(quoted: Column) -> Column:
 def vote_counts(c: Column) -> Column:
     """struct(type, info, yes, no, abstain) of how a text says that it was voted; all null where it does not."""
     kind = F.when(c.rlike(WITHOUT_VOTE), "without").when(c.rlike(BY_VOTE), "plain").when(c.rlike(BY_RECORDED_VOTE), "recorded")
-    counted = lambda plain, recorded: F.when(kind == "plain", extracted(c, *plain)).when(kind == "recorded", extracted(c, *recorded)).cast("int")
-    yes, no = counted((BY_VOTE, 1), (BY_RECORDED_VOTE, 1)), counted((BY_VOTE, 2), (BY_RECORDED_VOTE, 2))
-    abstain = counted((ABSTENTIONS, 1), (BY_RECORDED_VOTE, 3))
-    told = F.concat_ws(" to ", yes.cast("string"), no.cast("string"))
-    extra = F.when(kind == "recorded", F.coalesce(F.concat(F.lit(", with "), abstain.cast("string"), F.lit(" abstentions")), F.lit(""))).otherwise("")
-    info = F.when(kind == "without", "without a vote").when(kind.isNotNull(), F.concat(told, extra))
-    return F.struct(F.when(kind == "without", "without_vote").when(kind.isNotNull(), "recorded_vote").alias("type"), info.alias("info"), yes.alias("yes"), no.alias("no"), abstain.alias("abstain"))
+    count = lambda pattern, group: bound(F.regexp_extract(c, pattern, group), lambda n: F.when(n != "", n.cast("int")))
+
+    def numbers(k: Column) -> Column:
+        counted = lambda plain, recorded: F.when(k == "plain", count(*plain)).when(k == "recorded", count(*recorded))
+        return F.struct(counted((BY_VOTE, 1), (BY_RECORDED_VOTE, 1)).alias("yes"), counted((BY_VOTE, 2), (BY_RECORDED_VOTE, 2)).alias("no"), counted((ABSTENTIONS, 1), (BY_RECORDED_VOTE, 3)).alias("abstain"))
+
+    def told(k: Column, n: Column) -> Column:
+        both = F.concat_ws(" to ", n["yes"].cast("string"), n["no"].cast("string"))
+        extra = F.when(k == "recorded", F.coalesce(F.concat(F.lit(", with "), n["abstain"].cast("string"), F.lit(" abstentions")), F.lit(""))).otherwise("")
+        info = F.when(k == "without", "without a vote").when(k.isNotNull(), F.concat(both, extra))
+        return F.struct(F.when(k == "without", "without_vote").when(k.isNotNull(), "recorded_vote").alias("type"), info.alias("info"), n["yes"].alias("yes"), n["no"].alias("no"), n["abstain"].alias("abstain"))
+
+    return bound(kind, lambda k: bound(numbers(k), lambda n: told(k, n)))
 
 
-def utterance_facts(c: Column) -> Column:
-    """Struct of what a speech says on drafts, titles, numbers, adoption, procedure and votes."""
+def utterance_facts(c: Column, votes: Column | None = None) -> Column:
+    """Struct of what a speech says on drafts, titles, numbers, adoption, procedure and votes. Over many rows, ``votes`` is
+    best a column that holds the ``vote_counts``, as each field that is read would else count them."""
     ordinal, number = F.upper(extracted(c, ORDINAL)), extracted(c, NUMBERED)
     adoption = F.coalesce(*[F.when(c.rlike(pattern), status) for pattern, status in ADOPTION])
     amends = c.rlike(AMENDMENT) & c.rlike("(?i)vote") & number.isNull()
     procedure = F.coalesce(F.when(c.rlike(DIVISION), "motion_for_division"), F.when(amends & c.rlike(ORAL), "vote_on_oral_amendment"), F.when(amends, "vote_on_amendment"))
-    lists, votes = vote_lists(c), vote_counts(c)
+    lists, votes = vote_lists(c), vote_counts(c) if votes is None else votes
     listed = F.size(F.concat(*[lists[k] for k in VOTE_MARKS])) > 0
     drafts = F.filter(F.regexp_extract_all(c, F.lit(SYMBOL), F.lit(0)), lambda s: s.contains("/L."))
     about = F.coalesce(ordinal, F.when(procedure.isNotNull(), F.try_element_at(drafts, F.lit(1))))

@@ -1301,7 +1301,8 @@ def c13(s, d):
     v = b.table(s, d, "lineitem")
     how = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("adopted")
     t = F.concat(F.lit("Draft resolution II was "), how, F.format_string(" by a vote of %d to %d, with %d abstentions (resolution 78/%d).", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"), "l_partkey"))
-    f = v.select("l_orderkey", "l_linenumber", x.utterance_facts(t).alias("f"))
+    counted = v.select("l_orderkey", "l_linenumber", t.alias("t")).withColumn("votes", x.vote_counts(F.col("t")))
+    f = counted.select("l_orderkey", "l_linenumber", x.utterance_facts(F.col("t"), F.col("votes")).alias("f"))
     return f.select("l_orderkey", "l_linenumber", F.col("f.draft_resolution_identifier").alias("ordinal"), F.col("f.resolution_number").alias("number"), F.col("f.resolution_symbol").alias("symbol"), F.col("f.adoption_status").alias("status"), F.col("f.vote_in_favor").alias("yes"), F.col("f.vote_against").alias("no"), F.col("f.vote_abstentions").alias("abstained"), F.col("f.vote_type").alias("kind"))
 
 

@@ -156,3 +156,15 @@ def test_split_states_cleans_each_name_once(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     got = {r.id: r.s for r in rows.select("id", split_states(F.col("t")).alias("s")).collect()}
     assert got == {0: ["State 10", "1 State 11", "State 2", "State 3"], 1: ["A B", "C", "Mr. X.", "D"], 2: ["Iran (Islamic, Republic of)", "E"], 3: [], 4: None}
+
+
+def test_votes_of_a_speech_are_counted_once(spark):
+    from folkmoot.plans import registry
+
+    plan = registry.QUERIES["c13_utterance_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"by\s+a\s+recorded") <= 4  # whether it was, and three numbers
+    assert first(spark, x.vote_lists(v), "In favour: Peru, Chile. Draft resolution II") == first(spark, x.vote_lists(v), "In favor: Peru, Chile. Draft resolution II")
+    assert first(spark, x.vote_lists(v), None) == first(spark, x.vote_lists(v), "no list") and not any(first(spark, x.vote_lists(v), "no list"))
+    got = first(spark, x.vote_counts(v), "by a recorded vote of 90 to 12")
+    assert (got["type"], got["info"], got["yes"], got["no"], got["abstain"]) == ("recorded_vote", "90 to 12", 90, 12, None)
+    assert first(spark, x.vote_counts(v), None)["type"] is None
