@@ -23,6 +23,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ PARTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 BATCH_CHARS = 1 << 20
 WINDOW = 1 << 16
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+MARKS = 21  # bits of a hash that tell whether a run of characters may end a piece, or be one
 GAIN = 24.0  # per character, the same for every path: keeps sums near 1
 BYTE_WEIGHT = 1e-6
 
@@ -76,17 +78,25 @@ class PieceSampler:
         self.piece_ends = np.cumsum([len(b) for b in out])
         self.piece_sizes = np.array([len(b) for b in out])
         self.weight_of = weight_of
-        hashes = []
+        hashes, endings = [], set()
         for piece in self.weights:
             h, power = 0, 1
             for c in reversed(piece):
                 h, power = (h + (ord(c) + 1) * power) % (1 << 64), power * int(HASH_BASE) % (1 << 64)
+                endings.add(h)
             hashes.append(h)
         if len(set(hashes)) < len(hashes):
             raise ValueError("two pieces share a hash")
         order = np.argsort(np.array(hashes, np.uint64))
         self.hashes = np.array(hashes, np.uint64)[order]
         self.hashed_ids = np.array([i for i, _ in self.weights.values()], np.int32)[order]
+        self.marks = np.zeros(1 << MARKS, np.uint8)  # 1: the end of a piece, 2: a whole one; others may share a mark
+        self.marks[self._marked(np.fromiter(endings, np.uint64, len(endings)))] = 1
+        self.marks[self._marked(self.hashes)] = 2
+
+    @staticmethod
+    def _marked(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MARKS)
 
     def _lattice(self, parts: list[str], given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(base, ids, upto, forward): character j of part k is node base[k] + j; ids[node, m] is the piece of m + 1 characters
@@ -103,14 +113,21 @@ class PieceSampler:
         ends, window = np.arange(len(code)), np.zeros(len(code), np.uint64)  # hash of the last m characters, by end
         power = np.uint64(1)
         for m in range(min(self.longest, int(size.max()))):
-            on = inside[ends] >= m
-            ends, window = ends[on], window[on] + (code[ends[on] - m] + np.uint64(1)) * power
+            if m:
+                on = inside[ends] >= m
+                ends, window = ends[on], window[on]
+            window = window + (code[ends - m] + np.uint64(1)) * power
             power = np.uint64(int(power) * int(HASH_BASE) % (1 << 64))
-            spot = np.minimum(np.searchsorted(self.hashes, window), len(self.hashes) - 1)
-            hit = self.hashes[spot] == window
+            # Only what ends a piece can grow into one, and few runs are one.
+            mark = self.marks[self._marked(window)]
+            whole = np.flatnonzero(mark == 2)
+            spot = np.minimum(np.searchsorted(self.hashes, window[whole]), len(self.hashes) - 1)
+            hit = self.hashes[spot] == window[whole]
             if hit.any():
                 most = m + 1
-                hits.append((node[ends[hit]], m, self.hashed_ids[spot[hit]]))
+                hits.append((node[ends[whole[hit]]], m, self.hashed_ids[spot[hit]]))
+            on = np.flatnonzero(mark)
+            ends, window = ends[on], window[on]
         ids = np.zeros((len(code) + len(parts), most), np.int32)
         for where, m, piece in hits:
             ids[where, m] = piece
@@ -185,7 +202,7 @@ class PieceSampler:
 
     def _encode_parts(self, keys: list, split: list[list[str]], done: int) -> list[np.ndarray]:
         """Piece ids of texts in parts, of which ``done`` characters came before."""
-        names = list({p for doc in split for p in doc})
+        names = list(set(chain.from_iterable(split)))
         if not names:
             return [np.zeros(0, np.int32) for _ in split]
         place = dict(zip(names, range(len(names))))
@@ -194,7 +211,7 @@ class PieceSampler:
         base = np.zeros(len(names), np.int64)
         if len(short):
             base[short], pieces, upto, _ = self._lattice([names[k] for k in short])
-        which = np.fromiter((place[p] for doc in split for p in doc), np.int64, sum(map(len, split)))
+        which = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         doc = np.repeat(np.arange(len(split)), [len(d) for d in split])
         left = sizes[which]
         ends = np.cumsum(left)  # places in the text of the batch

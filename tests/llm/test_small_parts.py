@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import random
 import re
 import time
 from collections import Counter
@@ -417,3 +418,26 @@ def test_language_logits_are_sums_over_ngrams():
                 total += table[1 + (mixed >> 8) % 255]
                 count += 1
         assert np.allclose(z, total / count + model.bias, atol=1e-5), t
+
+
+def test_few_runs_are_looked_up_as_pieces(sampler, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 12))) for _ in range(3000))
+    asked, search = [], np.searchsorted
+
+    def counting(a, v, *args, **kwargs):
+        if a is sampler.hashes:
+            asked.append(np.size(v))
+        return search(a, v, *args, **kwargs)
+
+    monkeypatch.setattr(np, "searchsorted", counting)
+    parts = piece_sampling.PARTS.findall("▁" + text.replace(" ", "▁"))
+    ids = sampler._lattice(parts)[1]
+    assert 0 < sum(asked) < 3 * len(text)
+    # Every piece is found wherever it ends.
+    code, at = {p: i for p, (i, _) in sampler.weights.items()}, 0
+    for p in parts[:300]:
+        for j in range(1, len(p) + 1):
+            want = {m: code[p[j - m : j]] for m in range(1, j + 1) if p[j - m : j] in code}
+            assert {m + 1: int(i) for m, i in enumerate(ids[at + j]) if i > 0} == want
+        at += len(p) + 1
