@@ -85,13 +85,15 @@ REFERENCES = {"drafts": "draft_of", "committee_reports": "committee_report_for",
 
 def build_relationships(records: DataFrame, docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Edges (id, source_id, target_id, relationship_type) of records (symbol, related_documents, agenda)."""
-    edges = None
-    for field, kind in REFERENCES.items():
-        e = records.select(F.col("symbol").alias("target"), F.explode(f"related_documents.{field}").alias("r")).select("target", normalize_symbol(F.col("r.text")).alias("source"), F.lit(kind).alias("relationship_type"))
-        edges = e if edges is None else edges.unionByName(e)
-    agenda = records.select(F.col("symbol").alias("target"), F.explode("agenda").alias("a")).select("target", F.coalesce("a.id", "a.agenda_symbol").alias("source"), F.lit("agenda_item_for").alias("relationship_type"))
+    # All lists go through one pass over the records.
+    edge = lambda source, kind: F.struct(source.alias("source"), F.lit(kind).alias("relationship_type"))
+    named = lambda field, kind: F.transform(field, lambda r: edge(normalize_symbol(r["text"]), kind))
+    lists = [named(f"related_documents.{field}", kind) for field, kind in REFERENCES.items()]
+    lists.append(F.transform("agenda", lambda a: edge(F.coalesce(a["id"], a["agenda_symbol"]), "agenda_item_for")))
+    none = F.array().cast("array<struct<source:string,relationship_type:string>>")
+    edges = records.select(F.col("symbol").alias("target"), F.explode(F.concat(*[F.coalesce(x, none) for x in lists])).alias("e")).select("target", "e.source", "e.relationship_type")
     ids = docs.select("id", "symbol")
-    out = edges.unionByName(agenda).distinct().join(ids.select(F.col("id").alias("source_id"), F.col("symbol").alias("source")), "source").join(ids.select(F.col("id").alias("target_id"), F.col("symbol").alias("target")), "target")
+    out = edges.distinct().join(ids.select(F.col("id").alias("source_id"), F.col("symbol").alias("source")), "source").join(ids.select(F.col("id").alias("target_id"), F.col("symbol").alias("target")), "target")
     out = out.select("source_id", "target_id", "relationship_type").distinct()
     if existing is not None:
         out = out.join(existing, ["source_id", "target_id", "relationship_type"], "left_anti")

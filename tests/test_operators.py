@@ -410,3 +410,24 @@ def test_correlation_by_documents_and_by_squares_agree(spark, monkeypatch):
     monkeypatch.setattr(coalition, "SCORES_IN_PACK", 64)
     assert [told(-1.0, 20), told(0.02, 500), told(-1.0, 1770)] == narrow and len(narrow[2]) == 1770
     assert used[3:] == [None] * 3
+
+
+def test_lists_of_references_are_read_in_one_pass(spark):
+    from folkmoot.operators import tables, trajectories
+
+    link = "array<struct<text:string,url:string>>"
+    schema = f"symbol string, kind string, related_documents struct<drafts:{link},committee_reports:{link},meeting_records:{link}>, agenda array<struct<id:string,agenda_symbol:string,item_number:int,sub_item:string>>"
+    rows = [("A/1", "drafts", ([("a/2", None), ("A/2", None)], None, [("A/3", "u")]), [("A/4", None, None, None), (None, "A/5", None, None)]), ("A/2", "drafts", None, None)]
+    records = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([(f"A/{k}", f"A/{k}") for k in range(1, 6)], "id string, symbol string")
+    edges = tables.build_relationships(records, docs)
+    want = {("A/2", "A/1", "draft_of"), ("A/3", "A/1", "meeting_record_for"), ("A/4", "A/1", "agenda_item_for"), ("A/5", "A/1", "agenda_item_for")}
+    assert {(r.source_id, r.target_id, r.relationship_type) for r in edges.collect()} == want and edges.count() == 4
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    index = spark.createDataFrame([("A/2", "p")], "symbol_norm string, path string")
+    refs = trajectories.references(records)
+    same = [trajectories.trajectory_qa(records, index), trajectories.trajectory_qa(records, index, refs=refs)]
+    assert sorted(map(str, same[0].collect())) == sorted(map(str, same[1].collect()))
+    drafts = trajectories.trace_draft(records, index)
+    assert {tuple(r) for r in drafts.collect()} == {("A/1", "agenda_item", "A/5", False), ("A/2", "resolution", "A/1", False)}
+    assert "Generate explode" not in drafts._jdf.queryExecution().optimizedPlan().toString()  # the references are written once
