@@ -71,7 +71,7 @@ def trace_forwards(records: DataFrame, targets: DataFrame) -> DataFrame:
 
 def trace_draft(records: DataFrame, index: DataFrame) -> DataFrame:
     """(draft, type, ref_symbol, found): a draft's agenda items, and resolutions and reports that refer to it."""
-    r = references(records)
+    r = kept(references(records), "references")  # read for both directions
     drafts = records.filter("kind = 'drafts'").select(normalize_symbol(F.col("symbol"), "index").alias("draft"))
     back = r.filter("type = 'agenda_item'").withColumn("draft", normalize_symbol(F.col("symbol"), "index")).join(drafts, "draft", "left_semi").select("draft", "type", "ref_symbol")
     by = records.select("symbol", "kind")
@@ -232,14 +232,15 @@ def reference_qa(expected: DataFrame, found: DataFrame, key: str, kind: str, ref
     return out.withColumn("status", F.when(F.size("missing") == 0, "complete").otherwise("incomplete"))
 
 
-def trajectory_qa(records: DataFrame, index: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def trajectory_qa(records: DataFrame, index: DataFrame, wanted: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """J13 on records: (symbol, status, error, expected, found, missing, lost[type, ref_symbol]), one row a record.
 
     A record is complete if nothing that it refers to is missing, whatever the type, so one without references is, too.
-    ``wanted`` (symbol) asks for certain records; one of them that is not among the records is an error.
+    ``wanted`` (symbol) asks for certain records; one of them that is not among the records is an error. ``refs`` are the
+    references of the records, where they are at hand.
     """
     have = index.select(F.col("symbol_norm").alias("ref_symbol")).distinct().withColumn("ok", F.lit(True))
-    rows = references(records).join(have, "ref_symbol", "left")
+    rows = (references(records) if refs is None else refs).join(have, "ref_symbol", "left")
     lost = F.array_sort(F.collect_list(F.when(F.col("ok").isNull(), F.struct("type", "ref_symbol"))))
     per = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("expected"), F.count_if("ok").alias("found"), lost.alias("lost"))
     every = records.select("symbol").distinct().withColumn("known", F.lit(True))

@@ -986,7 +986,9 @@ def a10(s, d):
 def order_records(s, d):
     """Orders as records: their lines as references, their priority as agenda item."""
     v = b.table(s, d, "lineitem")
-    ref = lambda flag, p: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.struct(F.concat(F.lit(p), F.col("l_suppkey").cast("string")).alias("text"), F.concat(F.lit("https://library.example.org/record/"), F.col("l_suppkey").cast("string")).alias("url")))))
+    # Numbers are collected, and spelled out after the shuffle.
+    spelled = lambda k, p: F.struct(F.concat(F.lit(p), k.cast("string")).alias("text"), F.concat(F.lit("https://library.example.org/record/"), k.cast("string")).alias("url"))
+    ref = lambda flag, p: F.array_sort(F.transform(F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey"))), lambda k: spelled(k, p)))
     refs = v.groupBy(F.col("l_orderkey").alias("id")).agg(F.struct(ref("A", "S").alias("drafts"), ref("R", "S").alias("committee_reports"), ref("N", "X").alias("meeting_records")).alias("related_documents"))
     docs = b.documents(s, d).withColumn("kind", F.when(F.col("doc_type") == "resolution", "resolutions").when(F.col("doc_type") == "draft", "drafts").otherwise("committee-reports"))
     number = F.left("title", F.lit(1)).cast("int")
@@ -1050,7 +1052,7 @@ QA = f"""(SELECT w.symbol, CASE WHEN NOT known THEN 'error' WHEN coalesce(e - f,
 
 
 def qa_of_orders(s, d):
-    r = order_records(s, d)
+    r = stored(order_records(s, d), "records")
     asked = r.select("symbol").unionByName(b.documents(s, d).filter("id % 7 = 0").select(F.concat(F.lit("X/"), "symbol").alias("symbol")))
     r = r.withColumns({"related_documents": F.when(F.col("id") % 10 != 0, F.col("related_documents")), "agenda": F.when(F.col("id") % 4 != 0, F.col("agenda"))})
     return trajectories.trajectory_qa(r, supplier_index(s, d), asked)
@@ -1080,7 +1082,8 @@ def j14b(s, d):
 @query("j15_missing_with_url", f"SELECT ref_symbol AS symbol, type, CASE WHEN type = 'agenda_item' THEN 'https://docs.un.org/en/A/78/251' ELSE 'https://library.example.org/record/' || replace(ref_symbol, 'X', '') END AS url, CASE WHEN type <> 'agenda_item' THEN replace(ref_symbol, 'X', '') END AS record_id FROM (SELECT DISTINCT ref_symbol, type FROM {REFS} WHERE NOT found)")
 def j15(s, d):
     r = order_records(s, d)
-    return trajectories.missing_with_url(trajectories.trajectory_qa(r, supplier_index(s, d)), trajectories.references(r))
+    refs = stored(trajectories.references(r), "references")
+    return trajectories.missing_with_url(trajectories.trajectory_qa(r, supplier_index(s, d), refs=refs), refs)
 
 
 @query("j16_sample", f"SELECT symbol FROM {DOCS} ORDER BY md5(symbol || '/42'), symbol LIMIT 20")
@@ -1234,7 +1237,7 @@ def j30(s, d):
  CASE WHEN x.stage = 'meeting' THEN CAST(substr(x.symbol, 2) AS BIGINT) % 5 ELSE 0 END AS statements FROM x LEFT JOIN {DOCS} d ON d.symbol = x.symbol""")
 def j31(s, d):
     r = order_records(s, d).withColumn("voting", F.struct((F.col("id") % 9).cast("int").alias("yes"), F.lit(2).alias("no"), F.lit(3).alias("abstain")))
-    traces = trajectories.trace_backwards(r, supplier_index(s, d))
+    traces = stored(trajectories.trace_backwards(r, supplier_index(s, d)), "traces")
     said = traces.filter("type = 'meeting'").select(F.col("symbol").alias("trajectory_id"), F.col("ref_symbol").alias("meeting"), (F.substring("ref_symbol", 2, 20).cast("long") % 5).alias("statements")).filter("statements > 0")
     return trajectories.stage_summary(traces, r, said)
 
@@ -1351,7 +1354,7 @@ def g18(s, d):
  UNION ALL SELECT symbol, CASE WHEN id % 2 = 0 THEN 'resolution' ELSE 'committee_report' END, 'T/' || CAST(id AS VARCHAR), id % 3 = 0 FROM {DOCS} WHERE doc_type = 'draft' AND id % 5 <> 0 AND id IN (SELECT l_orderkey FROM lineitem)""")
 def j4(s, d):
     """Most drafts are referred to by a text or by a report."""
-    r = order_records(s, d)
+    r = stored(order_records(s, d), "records")
     name = F.concat(F.lit("T/"), F.col("id").cast("string"))
     none = F.array().cast("array<struct<text:string,url:string>>")
     refs = F.struct(F.array(F.struct(F.lower("symbol").alias("text"), F.lit(None).cast("string").alias("url"))).alias("drafts"), none.alias("committee_reports"), none.alias("meeting_records"))
