@@ -12,6 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import kept
 from folkmoot.functions.columns import extracted, normalize_symbol
 from folkmoot.functions.text import SYMBOL, additional_sponsors, tag_dictionary
 
@@ -204,29 +205,51 @@ def reload_utterances(existing: DataFrame, incoming: DataFrame, links: DataFrame
 CHILDREN = {"votes": ["document_id", "vote_event_id"], "document_relationships": ["source_id", "target_id"], "utterances": ["meeting_id"], "utterance_documents": ["document_id", "utterance_id"], "document_subjects": ["document_id"], "sponsorships": ["document_id"]}
 
 
+BROADCAST_IDS = 100_000  # ids that go to every task
+IDS_A_TASK = 500_000  # ids that one task holds beyond that
+
+
+def _ids(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Ids written to the shared folder, and how many they are; ``apart`` is 0 for all, see ``_against``."""
+    ids = kept(rows.select(F.col(column).alias("gone"), F.lit(0).cast("long").alias("apart")).filter("gone is not null"), "gone")
+    return ids, ids.count()
+
+
+def _against(df: DataFrame, column: str, ids: tuple[DataFrame, int], how: str) -> DataFrame:
+    """Rows joined to ids. Few ids are broadcast; more are dealt into tasks that hold a bounded number of them and let the
+    rows pass, so rows are not sorted and a task's memory does not grow with them. Rows without an id meet none, so they are
+    dealt by their hash, not to one task."""
+    gone, n = ids
+    if n <= BROADCAST_IDS:
+        return df.join(F.broadcast(gone.drop("apart")), df[column] == gone["gone"], how)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // IDS_A_TASK))
+    dealt = gone.repartition(tasks, "gone", "apart").hint("shuffle_hash")
+    apart = F.when(F.col(column).isNull(), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])).otherwise(F.lit(0).cast("long"))
+    rows = df.withColumn("_apart", apart)
+    return rows.join(dealt, (rows[column] == dealt["gone"]) & (rows["_apart"] == dealt["apart"]), how).drop("_apart", "apart")
+
+
 def purge_documents(tables: dict[str, DataFrame], symbols: DataFrame) -> dict[str, DataFrame]:
     """Documents by symbol leave with their children; targets of vote events become null."""
     docs = tables["documents"]
-    gone = docs.join(symbols.select("symbol"), "symbol", "left_semi").select(F.col("id").alias("gone"))
-    out = {**tables, "documents": docs.join(gone, docs["id"] == gone["gone"], "left_anti")}
-
-    def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-        return df.join(ids, df[column] == ids[ids.columns[0]], "left_anti")
-
+    gone = _ids(_against(docs, "symbol", _ids(symbols, "symbol"), "left_semi"), "id")
+    out = {**tables, "documents": _against(docs, "id", gone, "left_anti")}
+    lost = dead = None
     if "utterances" in tables:
-        lost = tables["utterances"].join(gone, tables["utterances"]["meeting_id"] == gone["gone"], "left_semi").select(F.col("id").alias("lost"))
-    else:
-        lost = gone.limit(0).select(F.col("gone").alias("lost"))
+        lost = _ids(_against(tables["utterances"], "meeting_id", gone, "left_semi"), "id")
     if "vote_events" in tables:
-        events = without(without(tables["vote_events"], "meeting_id", gone), "utterance_id", lost)
-        dead = tables["vote_events"].join(events, "id", "left_anti").select(F.col("id").alias("dead"))
-        marked = events.join(gone, events["target_document_id"] == gone["gone"], "left")
+        events = _against(tables["vote_events"], "meeting_id", gone, "left_anti")
+        marked = _against(_against(events, "utterance_id", lost, "left_anti") if lost else events, "target_document_id", gone, "left")
         out["vote_events"] = marked.withColumn("target_document_id", F.when(F.col("gone").isNull(), F.col("target_document_id"))).drop("gone")
+        if "votes" in tables:
+            with_meeting = _against(tables["vote_events"], "meeting_id", gone, "left_semi").select("id")
+            with_speech = [_against(events, "utterance_id", lost, "left_semi").select("id")] if lost else []
+            dead = _ids(reduce(DataFrame.unionByName, with_speech, with_meeting), "id")
     for name, columns in CHILDREN.items():
         if name in tables:
             for c in columns:
-                ids = lost if c == "utterance_id" else dead if c == "vote_event_id" and "vote_events" in tables else None if c == "vote_event_id" else gone
-                out[name] = out[name] if ids is None else without(out[name], c, ids)
+                ids = lost if c == "utterance_id" else dead if c == "vote_event_id" else gone
+                out[name] = out[name] if ids is None else _against(out[name], c, ids, "left_anti")
     return out
 
 

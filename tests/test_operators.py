@@ -183,6 +183,47 @@ def test_merge_and_purge(spark, t):
     assert [(r.id, r.target_document_id) for r in out["vote_events"].collect()] == [(2, 2)]
 
 
+def test_purge_of_many_documents_sorts_no_rows(spark, monkeypatch):
+    """More ids than are broadcast are held by tasks that let rows pass, and rows without an id are not one task's."""
+    docs = spark.range(40).select("id", F.format_string("A/%d", "id").alias("symbol"))
+    said = spark.range(60).select("id", (F.col("id") % 50).alias("meeting_id"))
+    events = spark.range(80).select("id", (F.col("id") % 30 + 10).alias("meeting_id"), F.when(F.col("id") % 4 == 0, F.col("id") % 60).alias("utterance_id"), (F.col("id") % 45).alias("target_document_id"))
+    votes = spark.range(2000).select((F.col("id") % 40).alias("document_id"), F.when(F.col("id") % 5 == 0, F.col("id") % 90).alias("vote_event_id"), F.col("id").alias("n"))
+    edges = spark.range(100).select((F.col("id") % 40).alias("source_id"), (F.col("id") % 7 + 30).alias("target_id"))
+    links = spark.range(100).select((F.col("id") % 60).alias("utterance_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("document_id"))
+    held = {"documents": docs, "votes": votes, "document_relationships": edges, "utterances": said, "utterance_documents": links, "vote_events": events}
+    gone = set(range(0, 40, 3))
+    lost = {r.id for r in said.collect() if r.meeting_id in gone}
+    stays = [r for r in events.collect() if r.meeting_id not in gone and r.utterance_id not in lost]
+    ids = {r.id for r in stays}
+    want = {
+        "documents": {tuple(r) for r in docs.collect() if r.id not in gone},
+        "votes": {tuple(r) for r in votes.collect() if r.document_id not in gone and not (r.vote_event_id in range(80) and r.vote_event_id not in ids)},
+        "document_relationships": {tuple(r) for r in edges.collect() if not {r.source_id, r.target_id} & gone},
+        "utterances": {tuple(r) for r in said.collect() if r.id not in lost},
+        "utterance_documents": {tuple(r) for r in links.collect() if r.document_id not in gone and r.utterance_id not in lost},
+        "vote_events": {(*r[:3], None if r.target_document_id in gone else r.target_document_id) for r in stays},
+    }
+    monkeypatch.setattr(tables, "IDS_A_TASK", 5)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (0, 1000):
+            monkeypatch.setattr(tables, "BROADCAST_IDS", most)
+            out = tables.purge_documents(held, docs.filter("id % 3 = 0").select("symbol"))
+            for name, rows in want.items():
+                assert {tuple(r) for r in out[name].collect()} == rows, (most, name)
+                plan = out[name]._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" not in plan and (most or "ShuffledHashJoin" in plan), (most, name)
+            assert out["votes"].count() == len(want["votes"])
+        monkeypatch.setattr(tables, "BROADCAST_IDS", 0)
+        dealt = tables.purge_documents({"documents": docs, "votes": votes, "vote_events": events}, docs.filter("id % 3 = 0").select("symbol"))["votes"]
+        alone = dealt.filter("vote_event_id is null").groupBy(F.spark_partition_id()).count()
+        assert alone.count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_trajectories(spark):
     ref = "array<struct<text:string,url:string>>"
     schema = f"symbol string, kind string, title string, date string, related_documents struct<drafts:{ref},committee_reports:{ref},meeting_records:{ref}>, agenda array<struct<agenda_symbol:string,item_number:int,sub_item:string>>, voting struct<vote_type:string,yes:int,no:int,abstain:int>, introduction string"
