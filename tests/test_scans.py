@@ -115,6 +115,19 @@ def test_turns_grow_with_the_logarithm_of_a_path(spark, monkeypatch):
     assert many <= few + 2 * 10  # a path 1,000 times as long
 
 
+def test_turns_read_only_edges_that_are_left(spark, monkeypatch):
+    """A tree with hubs on three levels: its ends go over to their hubs in the first turn, and later turns do not read them."""
+    seen, state = [], components._state
+    monkeypatch.setattr(components, "_state", lambda e: seen.append(e.count()) or state(e))
+    up = lambda a, b, n, per: spark.range(n).select(F.format_string(f"{a}%d", "id").alias("source_id"), F.format_string(f"{b}%d", F.floor(F.col("id") / per)).alias("target_id"))
+    tree = up("O", "C", 3000, 10).unionByName(up("C", "N", 300, 20)).unionByName(up("N", "R", 15, 5))
+    for named in (True, False):
+        got = components.components(tree, named=named).collect()
+        assert len(got) == 3318 and len({r.component for r in got}) == 3
+        assert {len({r.component for r in got if r.node in own}) for own in ({"R0", "N0", "N4", "C99", "O0", "O999"}, {"R2", "N10", "C200", "O2999"})} == {1}
+    assert got[0].component != got[0].node and seen[1] * 5 < seen[0] and sum(seen[1:]) < 2 * 3315
+
+
 def test_reachable_both_ways(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "d"), ("e", "f")], "source_id string, target_id string")
     seeds = spark.createDataFrame([("a",), ("d",), ("z",), ("a",)], "seed string")
