@@ -14,7 +14,7 @@ each fingerprint is linked to one that it was reached from, so a bucket gives fe
 never its pairs. A larger bucket is dealt again, by the same construction over the bits that its path does not keep yet,
 until those are so few that a bucket cannot be large: 10 free bits make 1,024 fingerprints at most. For a radius of 2
 that takes three tables at most, whose masks are constants of the query. Components of the
-edges are found by star contraction.
+edges are found by contraction.
 
 Null texts count as empty. Rows of one id, or without one, are rows of their own; a component is named by the smallest id
 that it holds, and by null if it holds none. An empty table gives no rows. Only the id and text columns are read.
