@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folkmoot._store import delete_at_end
 from folkmoot._store import kept as stored
 from folkmoot._store import shared_folder as stored_below
 from folkmoot.functions import columns as c
@@ -1462,11 +1463,13 @@ RECORDS_IN_FILE = 20_000  # an XML file is read whole by one task
 
 
 def write_catalogue(s, d):
-    """Orders as catalogue records, with their lines as a roll call and their type as a subject."""
+    """Orders as catalogue records, with their lines as a roll call and their type as a subject; plain XML would take thirty times
+    the disk."""
     v = b.votes(s, d).join(b.actors(s, d).select(F.col("id").alias("actor_id"), "name"), "actor_id")
     sign = F.when(F.col("vote_type") == "in_favour", "Y").when(F.col("vote_type") == "against", "N")
-    calls = v.groupBy(F.col("document_id").alias("id")).agg(F.collect_list(marc("967", e=F.col("name"), d=sign)).alias("calls"), F.count_if(F.col("vote_type") == "in_favour").alias("yes"), F.count_if(F.col("vote_type") == "against").alias("no"))
-    docs = b.documents(s, d).join(calls, "id")
+    v = v.select(F.col("document_id").alias("id"), "name", sign.alias("sign"))  # fields are made of them behind the shuffle
+    calls = v.groupBy("id").agg(F.collect_list(F.struct("name", "sign")).alias("calls"), F.count_if(F.col("sign") == "Y").alias("yes"), F.count_if(F.col("sign") == "N").alias("no"))
+    docs = b.documents(s, d).join(calls, "id").withColumn("calls", F.transform("calls", lambda v: marc("967", e=v["name"], d=v["sign"])))
     n = F.col("id").cast("string")
     fields = F.array(
         marc("191", a=F.col("symbol")), marc("245", a=F.col("title"), b=F.lit("part two")), marc("269", a=F.col("date")), marc("650", a=F.lit("PEACE")), marc("650", a=F.col("doc_type")), marc("710", a=F.concat(F.lit("C"), F.col("custkey").cast("string"))),
@@ -1474,7 +1477,9 @@ def write_catalogue(s, d):
     )
     path = folder(s, "catalogue")
     control = F.array(F.struct(n.alias("_VALUE"), F.lit("001").alias("_tag")))
-    docs.select(control.alias("controlfield"), F.concat(fields, "calls").alias("datafield")).write.format("xml").option("maxRecordsPerFile", RECORDS_IN_FILE).option("rowTag", "record").option("rootTag", "collection").save(path)
+    records = docs.select(control.alias("controlfield"), F.concat(fields, "calls").alias("datafield"))
+    records.write.format("xml").options(rowTag="record", rootTag="collection", indent="", compression="gzip", maxRecordsPerFile=RECORDS_IN_FILE).save(path)
+    delete_at_end(s, path)
     return path
 
 

@@ -94,3 +94,19 @@ def test_load_observed_on_the_write(spark, tmp_path):
     got = {(r.status, r.symbol) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
     assert got == {("loaded", "A/1"), ("loaded", "A/3"), ("skipped", " "), ("skipped", None), ("errors", "A/2")}
     assert load_observed(df.limit(0), str(tmp_path / "b")) == {"loaded": 0, "skipped": 0, "errors": 0}
+
+
+def test_a_catalogue_takes_no_more_disk_than_its_tables(spark):
+    """Plain XML took about twenty times as much as the Parquet files of orders and lines that it is made of."""
+    from pathlib import Path
+
+    from folkmoot.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    path = registry.write_catalogue(spark, d)
+    files = [f for f in Path(path.removeprefix("file://")).iterdir() if f.name.startswith("part-")]
+    assert sum(f.stat().st_size for f in files) < sum(Path(d, f"{t}.parquet").stat().st_size for t in ("orders", "lineitem"))
+    calls = readers.explode_roll_call(readers.read_marc_votes(spark, path))
+    told = {r.vote: r["count"] for r in calls.groupBy("vote").count().collect()}
+    lines = {r.l_returnflag: r["count"] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").count().collect()}
+    assert told == {"Y": lines["A"], "N": lines["R"], "X": lines["N"]}
