@@ -8,7 +8,8 @@ radius: the largest angle between the centroid and a row.
 Two ways to look up. Exact: no row of a cell is nearer to a query than the angle to the centroid less the radius, so cells
 that cannot reach ``min_similarity`` are left out, and all others are read. Approximate: the ``probes`` nearest cells of
 each query are read; how many are needed for ``target_recall`` of the true neighbours is measured on rows of the table.
-What is read is compared exactly in both.
+What is read is compared exactly in both. Cells are dealt to shares of about as many rows, and a query goes to a share once,
+with the cells that it asks for there; a row goes to each block of the queries of its share.
 
 Vectors that are null, empty, zero, hold null or non-finite entries, or have another length than most take no part.
 """
@@ -21,17 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folkmoot._store import kept, shared_folder
+from folkmoot._store import delete_at_end, kept, shared_folder
 from folkmoot.operators.vectors import _best_of_blocks, semantic_search_batch
 
 MOST_CELLS = 4096
-ROWS_IN_SHARE = 65_536
-QUERIES_IN_BLOCK = 2048
+ROWS_IN_SHARE = 32_768
+SHARES = 32  # of smaller tables
+QUERIES_IN_BLOCK = 8192
+ASKED_AT_ONCE = 65_536  # cells of some queries
 SLACK = 1e-6  # of angles
 
 
@@ -91,36 +95,65 @@ class Cells:
 
     def search(self, queries: DataFrame, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, rank, id, similarity) as ``semantic_search_batch`` gives them, from the cells of each query alone."""
-        shares = np.maximum(1, -(-self.counts // ROWS_IN_SHARE))
-        asked = usable(queries, query_id, query_vector, self.centroids.shape[1])
-        asked = kept(asked.mapInPandas(_asked(self, min_similarity, probes or self.probes, exact), "id long, v array<double>, cell int"), "asked")
-        cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # as many as there are cells
-        many = F.array(*[F.lit(int(n)) for n in shares])[F.col("cell")]
-        blocks = max(1, -(-asked.select("id").distinct().count() // QUERIES_IN_BLOCK))  # of queries
-        every = F.explode(F.sequence(F.col("cell") * blocks, F.col("cell") * blocks + (blocks - 1))).alias("block")
-        met = self.rows.filter(F.col("cell").isin(cells)).select(every, F.pmod(F.xxhash64("id"), many).cast("int").alias("share"), F.lit(False).alias("is_query"), "id", F.col("v").cast("array<double>").alias("v"))
-        met = met.unionByName(asked.select((F.col("cell") * blocks + F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("share"), F.lit(True).alias("is_query"), "id", "v"))
-        dealt = met.repartition("block", "share").sortWithinPartitions("block", "share", F.desc("is_query"))
+        first, many = _shares(self.counts)
+        queries = kept(usable(queries, query_id, query_vector, self.centroids.shape[1]), "asked")
+        asked = queries.mapInArrow(_asked(self, min_similarity, probes or self.probes, exact, first, many), "id long, v array<double>, share int, cells array<int>")
+        told = asked.select("share", F.posexplode("cells").alias("pos", "cell")).groupBy("share", "cell").agg(F.count_if(F.col("pos") == 0).alias("queries")).collect()  # as many as there are cells and shares
+        of_share = np.zeros(int((first + many).max()), np.int64)
+        for r in told:
+            of_share[r["share"]] += r["queries"]
+        listed = lambda x: F.array(*[F.lit(int(n)) for n in x])
+        blocks = listed(np.maximum(1, -(-of_share // QUERIES_IN_BLOCK)))[F.col("share")]
+        share = listed(first)[F.col("cell")] + F.pmod(F.xxhash64("id"), listed(many)[F.col("cell")]).cast("int")
+        met = self.rows.filter(F.col("cell").isin(list({r["cell"] for r in told}))).withColumn("share", share)
+        met = met.select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "share", F.lit(False).alias("is_query"), "cell", "id", F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("array<int>").alias("cells"))
+        met = met.unionByName(asked.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "share", F.lit(True).alias("is_query"), F.lit(-1).alias("cell"), "id", "v", "cells"))
+        dealt = met.repartition("block", "share").sortWithinPartitions("block", "share", F.desc("is_query"), "cell")
         found = dealt.mapInArrow(_best_of_blocks(k, min_similarity), "query_id long, id long, similarity double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))
 
 
-def _asked(index: Cells, min_similarity: float, probes: int, exact: bool):
+def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its first share and how many it has: cells next to each other have one together, a large one has several."""
+    most = min(ROWS_IN_SHARE, max(1, -(-int(counts.sum()) // SHARES)))
+    first, many = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // most))
+    at, held = 0, 0
+    for cell, n in enumerate(counts):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[cell], held = at, held + n
+        if many[cell] > 1:
+            at, held = at + many[cell], 0
+    return first, many
+
+
+def _asked(index: Cells, min_similarity: float, probes: int, exact: bool, first: np.ndarray, many: np.ndarray):
+    """A query once a share, with the cells of the share that it asks for."""
     centroids, radius, counts = index.centroids, index.radius, index.counts
     most = math.acos(max(-1.0, min(1.0, min_similarity)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            angles = np.arccos(np.clip(_unit(f["v"].tolist()) @ centroids.T, -1, 1))
-            if exact:
-                row, cell = np.nonzero((angles - radius <= most + SLACK) & (counts > 0))
-            else:
-                cell = np.argsort(angles, axis=1, kind="stable")[:, :probes].ravel()
-                row = np.repeat(np.arange(len(f)), len(cell) // len(f))
-            yield pd.DataFrame({"id": f["id"].to_numpy()[row], "v": f["v"].to_numpy()[row], "cell": cell.astype(np.int32)})
+    some = max(1, ASKED_AT_ONCE // int(many.sum()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in range(0, batch.num_rows, some):
+                part = batch.slice(p, some)
+                v = part.column("v")
+                angles = np.arccos(np.clip(_unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)) @ centroids.T, -1, 1))
+                if exact:
+                    row, cell = np.nonzero((angles - radius <= most + SLACK) & (counts > 0))
+                else:
+                    cell = np.argsort(angles, axis=1, kind="stable")[:, :probes].ravel()
+                    row = np.repeat(np.arange(len(v)), len(cell) // len(v))
+                times = many[cell]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                share = first[cell] + nth
+                order = np.lexsort((cell, share, row))
+                row, share, cell = row[order], share[order], cell[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (share[1:] != share[:-1])]) if len(row) else np.zeros(0, np.int64)
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)], pa.int32()), pa.array(cell, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[new])), v.take(pa.array(row[new])), pa.array(share[new], pa.int32()), cells], names=["id", "v", "share", "cells"])
 
     return run
 
@@ -148,8 +181,7 @@ def build(df: DataFrame, id_col: str, vector: str, cells: int | None = None, sam
     path = f"{shared_folder(spark)}/cells-{np.random.default_rng().integers(1 << 62):x}"
     laid = placed.select("id", F.col("v").cast(kind if kind.startswith("array") else "array<double>").alias("v"), "cell")
     laid.repartitionByRange("cell", "id").write.partitionBy("cell").parquet(path)  # a full cell is several tasks
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    delete_at_end(spark, path)
     index = Cells(path, spark.read.schema(f"id long, v {kind}, cell int").parquet(path), centroids, radius, counts, len(centroids))
     index.probes = _needed(index, placed, k, measured, target_recall, seed)
     return index

@@ -47,9 +47,11 @@ SCORES_AT_ONCE = 2_000_000  # of one product
 
 def _best_of_blocks(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block of queries and share of rows, queries first; a matrix product scores a batch of rows."""
+        """Rows come by block of queries and share of rows, queries first; a matrix product scores a batch of rows. Where rows
+        have a cell, they come by cell, and meet the queries that list it."""
         at, qs, best = None, [], None
-        matrix = np.zeros((0, 0))
+        matrix, asking = np.zeros((0, 0)), None
+        lists: list[tuple[np.ndarray, np.ndarray]] = []  # (queries, cells)
 
         def vectors(b: pa.RecordBatch) -> np.ndarray:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
@@ -63,7 +65,8 @@ def _best_of_blocks(k: int, least: float):
                 yield pa.RecordBatch.from_arrays([pa.array(qs[which], pa.int64()), pa.array(best[1][which, rank], pa.int64()), pa.array(best[0][which, rank])], names=["query_id", "id", "similarity"])
 
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share")], 1)
+            celled = "cell" in batch.schema.names
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share", "cell")[: 2 + celled]], 1)
             asks = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (asks[1:] != asks[:-1])) + 1
             for a, z in zip([0, *edges], [*edges, batch.num_rows]):
@@ -71,32 +74,64 @@ def _best_of_blocks(k: int, least: float):
                     continue
                 part = batch.slice(a, z - a)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                if tuple(keys[a]) != at:
+                if tuple(keys[a][:2]) != at:
                     yield from told()
-                    at, qs, best = tuple(keys[a]), np.zeros(0, np.int64), None
+                    at, qs, best, asking, lists = tuple(keys[a][:2]), np.zeros(0, np.int64), None, None, []
                 if asks[a]:
+                    if celled:
+                        cells = part.column("cells")
+                        lists.append((np.repeat(np.arange(len(qs), len(qs) + len(ids)), cells.value_lengths().to_numpy(zero_copy_only=False)), cells.flatten().to_numpy(zero_copy_only=False)))
                     matrix = np.concatenate([matrix, vectors(part)]) if len(qs) else vectors(part)
                     qs = np.concatenate([qs, ids])
                     continue
                 if not len(qs):
                     continue
-                some = max(k, SCORES_AT_ONCE // len(qs))
+                best = (np.full((len(qs), k), -np.inf), np.zeros((len(qs), k), np.int64)) if best is None else best
+                who = slice(None)
+                if celled:
+                    if asking is None:
+                        asking = tuple(map(np.concatenate, zip(*lists)))
+                        order = np.argsort(asking[1], kind="stable")
+                        asking = asking[0][order], asking[1][order]
+                    who = asking[0][slice(*np.searchsorted(asking[1], [keys[a][2], keys[a][2] + 1]))]
+                    if not len(who):
+                        continue
+                    who = slice(None) if len(who) == len(qs) else who
+                own, asked = matrix[who], qs[who]
+                known = best[0][who], best[1][who]
+                some = max(k, SCORES_AT_ONCE // len(asked))
                 for p in range(0, len(ids), some):
-                    best = _better(best, matrix, qs, vectors(part.slice(p, some)), ids[p : p + some], k, least)
+                    known = _better(known, own, asked, vectors(part.slice(p, some)), ids[p : p + some], k, least)
+                best[0][who], best[1][who] = known
         yield from told()
 
     return run
 
 
-def _better(best: tuple | None, matrix: np.ndarray, qs: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (similarities, ids) of each query, of those known and of some more rows."""
+def _better(best: tuple, matrix: np.ndarray, qs: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (similarities, ids) of each query, of those known and of some more rows; only rows that may be among them are
+    sorted."""
     score = matrix @ rows.T
-    score[(qs[:, None] == ids[None, :]) | ~(score >= least)] = -np.inf
-    of = np.broadcast_to(ids, score.shape)
-    if best is not None:
-        score, of = np.concatenate([best[0], score], 1), np.concatenate([best[1], of], 1)
-    order = np.lexsort((of, -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+    hit = score >= np.maximum(best[0][:, -1:], least)
+    hit &= qs[:, None] != ids[None, :]
+    if len(ids) > k and np.count_nonzero(hit) > 4 * k * len(qs):
+        score[~hit] = -np.inf
+        hit &= score >= np.partition(score, -k, axis=1)[:, -k][:, None]
+    which, at = np.nonzero(hit)
+    if not len(which):
+        return best
+    changed = np.zeros(len(qs), bool)
+    changed[which] = True
+    old, place = np.nonzero(changed[:, None] & np.isfinite(best[0]))
+    q, s, i = np.concatenate([old, which]), np.concatenate([best[0][old, place], score[which, at]]), np.concatenate([best[1][old, place], ids[at]])
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    q, s, i, rank = (x[rank < k] for x in (q, s, i, rank))
+    out = best[0].copy(), best[1].copy()
+    out[0][changed] = -np.inf
+    out[0][q, rank], out[1][q, rank] = s, i
+    return out
 
 
 def semantic_search_batch(df: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, min_similarity: float = -1.0, queries_in_block: int = 2048, rows_in_share: int = 65_536) -> DataFrame:

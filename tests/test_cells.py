@@ -101,3 +101,50 @@ def test_queries_of_a_cell_come_in_blocks_and_rows_in_slices(spark, monkeypatch)
     batch = lambda ids, q: pa.RecordBatch.from_pydict({"block": [0] * len(ids), "share": [0] * len(ids), "is_query": [q] * len(ids), "id": ids, "v": v[ids].tolist()})
     found = [r for b in vectors._best_of_blocks(10, -1.0)(iter([batch(list(range(20)), True), batch(list(range(200)), False)])) for r in b.to_pylist()]
     assert max(sizes) <= 500 and len(found) == 200
+
+
+def test_a_query_goes_to_a_share_once_with_its_cells(spark, monkeypatch):
+    """A whole batch of queries was copied at once for each of their cells, which took memory by queries times cells."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    asked = e.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    want = sorted(map(tuple, vectors.semantic_search_batch(e, asked, "id", "v", min_similarity=0.2).collect()))
+    monkeypatch.setattr(cells, "ROWS_IN_SHARE", 20)
+    monkeypatch.setattr(cells, "ASKED_AT_ONCE", 100)
+    kept, written = cells.kept, {}
+    monkeypatch.setattr(cells, "kept", lambda df, name, *a: written.setdefault(name, kept(df, name, *a)))
+    for n in (4, 60):  # cells of several shares, shares of several cells
+        written.clear()
+        index = cells.build(e, "id", "v", cells=n)
+        assert sorted(map(tuple, index.search(asked, min_similarity=0.2, exact=True).collect())) == want
+        assert written["asked"].count() == 100
+        first, many = cells._shares(index.counts)
+        ids = list(range(0, 300, 3))
+        batch = pa.RecordBatch.from_pydict({"id": ids, "v": x[ids].tolist()})
+        told = list(cells._asked(index, 0.2, index.probes, True, first, many)(iter([batch])))
+        rows = [r for b in told for r in b.to_pylist()]
+        assert max(b.num_rows for b in told) <= 100 and len({(r["id"], r["share"]) for r in rows}) == len(rows)
+        for i in ids:
+            assert sorted((c, r["share"]) for r in rows if r["id"] == i for c in r["cells"]) == sorted((c, first[c] + m) for c in index.reaching(x[i].tolist(), 0.2) for m in range(many[c]))
+        per_share = np.bincount(np.concatenate([first[c] + np.arange(many[c]) for c in range(len(many))]), np.concatenate([np.full(many[c], index.counts[c] / many[c]) for c in range(len(many))]))
+        assert per_share.max() <= 20 and per_share.sum() == 300
+
+
+def test_rows_meet_only_the_queries_that_list_their_cell(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    x, sizes, better = rng.normal(size=(40, 4)), [], vectors._better
+    monkeypatch.setattr(vectors, "_better", lambda best, m, qs, rows, *a: sizes.append((len(qs), len(rows))) or better(best, m, qs, rows, *a))
+    lists = [[1], [1, 2], []]
+    ask = {"block": [0] * 3, "share": [0] * 3, "is_query": [True] * 3, "cell": [-1] * 3, "id": [100, 101, 102], "v": x[:3].tolist(), "cells": lists}
+    row = {"block": [0] * 40, "share": [0] * 40, "is_query": [False] * 40, "cell": [1] * 10 + [2] * 10 + [3] * 20, "id": list(range(40)), "v": x.tolist(), "cells": [None] * 40}
+    kinds = pa.schema([("block", pa.int32()), ("share", pa.int32()), ("is_query", pa.bool_()), ("cell", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
+    found = [(r["query_id"], r["id"]) for b in vectors._best_of_blocks(5, -1.0)(iter([pa.RecordBatch.from_pydict(d, kinds) for d in (ask, row)])) for r in b.to_pylist()]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[:3] @ unit.T
+    assert sizes == [(2, 10), (1, 10)]
+    assert found == [(100, i) for i in np.argsort(-s[0, :10])[:5]] + [(101, i) for i in np.argsort(-s[1, :20])[:5]]
